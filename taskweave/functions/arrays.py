@@ -45,7 +45,8 @@ def tail_labels(padded: Column, n_output: Column) -> Column:
     return F.concat(_fill(IGNORE, size - kept), F.slice(padded, size - kept + 1, kept))
 
 
-def output_labels(padded: Column, pad: int) -> Column:
-    """The output ids, with the pad run at the end ignored."""
-    run = trailing_run(padded, pad)
-    return F.concat(F.slice(padded, F.lit(1), F.size(padded) - run), _fill(IGNORE, run))
+def output_labels(ids: Column, width: Column | int, pad: int) -> Column:
+    """The output ids filled up to ``width``, where the pad run at the end is ignored, be it padding or ids of its own."""
+    width = F.lit(width) if isinstance(width, int) else width
+    kept = F.size(ids) - trailing_run(ids, pad)
+    return F.concat(F.slice(ids, F.lit(1), kept), _fill(IGNORE, width - kept))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from taskweave.functions.text import SPACE_CLASS, strip
+from taskweave.functions.text import let, strip, words
 
 _END = "taskweave-end-of-answer"
 
@@ -26,28 +26,26 @@ def _json_map(text: Column, lenient: bool) -> Column:
     both = F.from_json(
         F.concat(F.lit("["), text, F.lit(', {"' + _END + '": "1"}]')), "array<map<string,string>>", options
     )
-    return F.when((F.size(both) == 2) & F.map_contains_key(F.get(both, F.lit(1)), _END), F.get(both, F.lit(0)))
+    return let(both, lambda b: F.when((F.size(b) == 2) & F.map_contains_key(F.get(b, F.lit(1)), _END), F.get(b, F.lit(0))))
 
 
 def _value_text(text: Column, fields: Column, key: str) -> Column:
     """One value as stripped text; a JSON true/false (not the text "true") reads ``True``/``False``."""
+    is_bool = F.from_json(text, f"`{key}` boolean")[key].isNotNull()
     value = fields[key]
-    as_bool = F.from_json(text, f"`{key}` boolean")[key]
-    shown = F.when(
-        value.isin("true", "false") & as_bool.isNotNull(), F.initcap(value)
-    ).otherwise(value)
-    return strip(shown)
+    return strip(F.when(value.isin("true", "false") & is_bool, F.initcap(value)).otherwise(value))
 
 
 def strict_pair(content: Column) -> Column:
     """STRUCT<input, output> when the whole answer is a JSON object with both, non-empty; else NULL."""
-    fields = _json_map(content, lenient=False)
-    pair = F.struct(
-        _value_text(content, fields, "input").alias("input"),
-        _value_text(content, fields, "output").alias("output"),
-    )
-    usable = (F.length(pair["input"]) > 0) & (F.length(pair["output"]) > 0)
-    return F.when(usable, pair)
+
+    def both_sides(fields: Column) -> Column:
+        return F.struct(*[_value_text(content, fields, side).alias(side) for side in ("input", "output")])
+
+    def usable(pair: Column) -> Column:
+        return F.when((F.length(pair["input"]) > 0) & (F.length(pair["output"]) > 0), pair)
+
+    return let(let(_json_map(content, lenient=False), both_sides), usable)
 
 
 def last_object_text(content: Column) -> Column:
@@ -55,8 +53,11 @@ def last_object_text(content: Column) -> Column:
 
     Only the braces are walked, not the characters, so long answers cost one scan.
     """
-    last = F.instr(F.reverse(content), "}")
-    body = F.left(content, F.length(content) - last + 1)
+    # as far as the last closing brace; empty when there is none
+    return let(F.regexp_extract(content, r"(?s)^.*\}", 0), _balanced_end)
+
+
+def _balanced_end(body: Column) -> Column:
     braces = F.reverse(F.regexp_extract_all(body, F.lit("[{}]"), F.lit(0)))
     start = F.struct(*[F.lit(0).alias(n) for n in ("depth", "seen", "closed_at")])
 
@@ -67,11 +68,13 @@ def last_object_text(content: Column) -> Column:
         return F.struct(depth.alias("depth"), seen.alias("seen"), closed.alias("closed_at"))
 
     closed_at = F.aggregate(braces, start, walk)["closed_at"]
-    # everything right of the closed_at-th brace from the end, plus the brace itself
-    right = F.call_function(
-        "substring_index", F.translate(body, "{", "}"), F.lit("}"), -closed_at
-    )
-    return F.when((last > 0) & (closed_at > 0), F.right(body, F.length(right) + 1))
+
+    def cut(count: Column) -> Column:
+        # everything right of that brace, plus the brace itself
+        right = F.call_function("substring_index", F.translate(body, "{", "}"), F.lit("}"), -count)
+        return F.when(count > 0, F.right(body, F.length(right) + 1))
+
+    return let(closed_at, cut)
 
 
 def last_object(content: Column, required: Sequence[str], optional: Sequence[str] = ()) -> Column:
@@ -79,23 +82,22 @@ def last_object(content: Column, required: Sequence[str], optional: Sequence[str
 
     Values are stripped; optional keys appear when present; a JSON null stays a NULL value.
     """
-    text = last_object_text(content)
-    fields = _json_map(text, lenient=True)
-    complete = F.lit(True)
-    for key in required:
-        complete = complete & F.map_contains_key(fields, key)
     wanted = [*required, *optional]
-    kept = F.map_filter(fields, lambda k, v: k.isin(wanted))
-    return F.when(complete, F.transform_values(kept, lambda k, v: strip(v)))
+
+    def checked(fields: Column) -> Column:
+        complete = F.lit(True)
+        for key in required:
+            complete = complete & F.map_contains_key(fields, key)
+        kept = F.map_filter(fields, lambda k, v: k.isin(wanted))
+        return F.when(complete, F.transform_values(kept, lambda k, v: strip(v)))
+
+    return let(let(last_object_text(content), lambda text: _json_map(text, lenient=True)), checked)
 
 
 def chosen_name(content: Column) -> Column:
     """The first ``**name**`` on one line, else the last word without dots, else empty."""
-    starred = F.regexp_extract_all(content, F.lit(r"\*\*([^\n]*?)\*\*"), F.lit(1))
-    pieces = F.filter(F.split(content, SPACE_CLASS + "+"), lambda w: w != "")
-    last_word = F.replace(F.element_at(pieces, F.lit(-1)), F.lit("."), F.lit(""))
-    return (
-        F.when(F.size(starred) > 0, F.get(starred, F.lit(0)))
-        .when(F.size(pieces) > 0, last_word)
-        .otherwise(F.lit(""))
+    starred = r"\*\*([^\n]*?)\*\*"
+    last_word = F.try_element_at(words(content), F.lit(-1))
+    return F.when(content.rlike(starred), F.regexp_extract(content, starred, 1)).otherwise(
+        F.coalesce(F.replace(last_word, F.lit("."), F.lit("")), F.lit(""))
     )

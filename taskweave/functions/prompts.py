@@ -7,11 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.draws import draw_distinct
-from taskweave.functions.text import fill, token_count
+from taskweave.functions.text import fill, let, token_count
 
 SECTION = "\n\n======\n\n"
 
@@ -37,6 +37,7 @@ GENERATE_TASK = (
 )
 
 MAX_SAMPLED = 10
+NO_LINES = "N/A\n"
 # Solved tasks shown by the number of sampled examples modulo three.
 SHOWN_BY_REMAINDER = {0: 2, 2: 3, 1: 4}
 
@@ -45,43 +46,53 @@ def example_line(input_col: Column, output_col: Column) -> Column:
     return F.concat(F.lit('input="'), input_col, F.lit('"\noutput="'), output_col, F.lit('"\n'))
 
 
-def _shown_tasks(count: int, seed: int | str, key: Column, solved: Sequence[str]) -> Column:
+def _shown_tasks(count: int, drawn: Column, solved: Sequence[str]) -> Column:
     """The first ``count`` of the four solved tasks drawn for a prompt."""
-    drawn = draw_distinct(F.lit(4), F.lit(len(solved)), f"{seed}-solved", key)
     texts = F.array(*[F.lit(t) for t in solved])
     return F.array_join(F.transform(F.slice(drawn, 1, count), lambda i: F.get(texts, i.cast("int"))), "\n\n")
 
 
-def generation_prompt(
-    instruction: Column, examples: Column, lines: Column, cutoff: int, seed: int | str, key: Column,
+def with_generation_prompt(
+    df: DataFrame, cutoff: int, seed: int | str,
     lead: str = GENERATE_LEAD, solved: Sequence[str] = SOLVED_TASKS, task: str = GENERATE_TASK,
-) -> Column:
-    """STRUCT<prompt, n_used, fits> from the sampled example lines of a prompt.
+) -> DataFrame:
+    """Add ``prompt``, ``n_used`` and ``fits`` to (prompt_id, instruction, examples, lines).
 
-    Takes the largest number of the sampled examples whose prompt stays below ``cutoff`` tokens. ``fits`` is
+    Takes the largest number of the sampled example lines whose prompt stays below ``cutoff`` tokens. ``fits`` is
     false when even the prompt without sampled examples is too long; the prompt is then that one.
     """
-    frame = {r: F.concat(F.lit(lead + SECTION), _shown_tasks(n, seed, key, solved), F.lit(SECTION)) for r, n in SHOWN_BY_REMAINDER.items()}
-
-    def prompt_with(m: Column) -> Column:
-        sampled = F.when(m == 0, F.lit("N/A\n")).otherwise(F.array_join(F.slice(lines, F.lit(1), m), ""))
-        head = F.when(m % 3 == 0, frame[0]).when(m % 3 == 1, frame[1]).otherwise(frame[2])
-        return F.concat(head, fill(task, instruction=instruction, examples=examples, sampled=sampled))
-
-    # pieces meet at line ends or quotes, where no token spans both sides, so counts add up
-    fixed = token_count(fill(task, instruction=instruction, examples=examples, sampled=F.lit("")))
-    heads = {r: token_count(frame[r]) for r in frame}
-    line_tokens = F.transform(lines, token_count)
-
-    def size_with(m: Column) -> Column:
-        used = F.aggregate(F.slice(line_tokens, F.lit(1), m), F.lit(0).cast("bigint"), lambda a, x: a + x)
-        none = token_count(F.lit("N/A\n"))
-        head = F.when(m % 3 == 0, heads[0]).when(m % 3 == 1, heads[1]).otherwise(heads[2])
-        return fixed + head + F.when(m == 0, none).otherwise(used)
-
-    fitting = F.filter(F.sequence(F.lit(0), F.size(lines)), lambda m: size_with(m) < cutoff)
-    best = F.coalesce(F.array_max(fitting), F.lit(0))
-    return F.struct(prompt_with(best).alias("prompt"), best.alias("n_used"), (F.size(fitting) > 0).alias("fits"))
+    case = lambda sampled: fill(task, instruction=F.col("instruction"), examples=F.col("examples"), sampled=sampled)
+    heads = [
+        F.concat(F.lit(lead + SECTION), _shown_tasks(SHOWN_BY_REMAINDER[r], F.col("_solved"), solved), F.lit(SECTION)) for r in range(3)
+    ]
+    head_for = lambda heads, m: F.get(heads, m % 3)
+    # pieces meet at line ends, where no token spans both sides, so counts add up
+    sized = (
+        df.withColumn("_solved", draw_distinct(F.lit(4), F.lit(len(solved)), f"{seed}-solved", F.col("prompt_id")))
+        .withColumn("_heads", F.array(*heads))
+    )
+    # counted once per row: a column used inside a lambda would be counted again for every element
+    counts = F.struct(
+        token_count(case(F.lit(""))).alias("fixed"),
+        F.transform("_heads", token_count).alias("heads"),
+        F.transform("lines", token_count).alias("lines"),
+    )
+
+    def fitting(c: Column) -> Column:
+        def size_with(m: Column) -> Column:
+            used = F.aggregate(F.slice(c["lines"], F.lit(1), m), F.lit(0).cast("bigint"), lambda a, x: a + x)
+            return c["fixed"] + head_for(c["heads"], m) + F.when(m == 0, token_count(F.lit(NO_LINES))).otherwise(used)
+
+        return F.filter(F.sequence(F.lit(0), F.size(c["lines"])), lambda m: size_with(m) < cutoff)
+
+    n = F.col("n_used")
+    sampled = F.when(n == 0, F.lit(NO_LINES)).otherwise(F.array_join(F.slice("lines", F.lit(1), n), ""))
+    return (
+        sized.withColumn("_fitting", let(counts, fitting))
+        .withColumns({"n_used": F.coalesce(F.array_max("_fitting"), F.lit(0)), "fits": F.size("_fitting") > 0})
+        .withColumn("prompt", F.concat(head_for("_heads", n), case(sampled)))
+        .drop("_solved", "_heads", "_fitting")
+    )
 
 
 # --- reranking ---------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -21,6 +23,11 @@ SPACE_CLASS = (
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Name a costly expression so that it is evaluated once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     return F.btrim(c, F.lit(PY_SPACES))
 
@@ -57,7 +64,10 @@ def fill(template: str, **fields: Column) -> Column:
 
 def _float_text(c: Column) -> Column:
     """``repr`` of a double: plain digits from 1e-4 up to 1e16, else an exponent of two digits or more."""
-    raw = c.cast("double").cast("string")
+    return let(c.cast("double").cast("string"), _float_from_java)
+
+
+def _float_from_java(raw: Column) -> Column:
     sign = F.when(raw.startswith("-"), F.lit("-")).otherwise(F.lit(""))
     part = lambda i: F.regexp_extract(raw, r"^-?(\d)\.(\d+)E(-?\d+)$", i)
     frac = F.when(part(2) == "0", F.lit("")).otherwise(part(2))
@@ -98,12 +108,12 @@ def _joined(open_: str, items: Column, close: str) -> Column:
     return F.concat(F.lit(open_), F.array_join(items, ", "), F.lit(close))
 
 
-def _nested(c: Column, dtype: T.DataType, render, key) -> Column | None:
-    """Lists, structs and maps, whose items are rendered by ``render`` and names by ``key``."""
+def _nested(c: Column, dtype: T.DataType, render, key, name) -> Column | None:
+    """Lists, structs and maps: items by ``render``, map keys by ``key``, field names by the Python function ``name``."""
     if isinstance(dtype, T.ArrayType):
         return _joined("[", F.transform(c, lambda x: render(x, dtype.elementType)), "]")
     if isinstance(dtype, T.StructType):
-        pairs = [F.concat(key(F.lit(f.name)), F.lit(": "), render(c[f.name], f.dataType)) for f in dtype.fields]
+        pairs = [F.concat(F.lit(name(f.name) + ": "), render(c[f.name], f.dataType)) for f in dtype.fields]
         return _joined("{", F.array(*pairs), "}")
     if isinstance(dtype, T.MapType):
         entry = lambda e: F.concat(key(e["key"].cast("string")), F.lit(": "), render(e["value"], dtype.valueType))
@@ -113,7 +123,7 @@ def _nested(c: Column, dtype: T.DataType, render, key) -> Column | None:
 
 def py_repr(c: Column, dtype: T.DataType) -> Column:
     """What Python shows for a value inside a list or dict."""
-    nested = _nested(c, dtype, py_repr, _quoted)
+    nested = _nested(c, dtype, py_repr, _quoted, repr)
     if nested is not None:
         text = nested
     elif isinstance(dtype, T.StringType):
@@ -135,28 +145,30 @@ def py_str(c: Column, dtype: T.DataType) -> Column:
 
 
 def _ascii_only(c: Column) -> Column:
-    unit = lambda n: F.concat(F.lit("\\u"), F.lpad(F.lower(F.hex(n)), 4, "0"))
-
     def escape(ch: Column) -> Column:
-        code = F.ascii(ch).cast("bigint")
+        code = F.ascii(ch)
         above = code - 0x10000
-        pair = F.concat(
-            unit(F.shiftright(above, 10) + 0xD800), unit(above.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
-        )
-        return F.when(code.between(0x20, 0x7E), ch).when(code > 0xFFFF, pair).otherwise(unit(code))
+        pair = F.format_string(r"\u%04x\u%04x", F.shiftright(above, 10) + 0xD800, above.bitwiseAND(F.lit(0x3FF)) + 0xDC00)
+        return F.when(ch.rlike("[ -~]"), ch).when(code > 0xFFFF, pair).otherwise(F.format_string(r"\u%04x", code))
 
     escaped = F.array_join(F.transform(F.split(c, ""), escape), "")
     return F.when(c.rlike(r"[^\x20-\x7e]"), escaped).otherwise(c)
 
 
 def _json_string(c: Column) -> Column:
-    wrapped = F.to_json(F.struct(c.alias("v")))  # {"v":"..."}
-    return _ascii_only(F.substring(wrapped, F.lit(6), F.length(wrapped) - 6))
+    bare = F.regexp_extract(F.to_json(F.struct(c.alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    return let(bare, _ascii_only)
+
+
+def json_of_ascii(c: Column) -> Column:
+    """A JSON string of a text that is known to be printable ASCII."""
+    escaped = F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), escaped, F.lit('"'))
 
 
 def json_text(c: Column, dtype: T.DataType) -> Column:
     """``json.dumps(value)``: spaces after separators, everything beyond ASCII escaped."""
-    nested = _nested(c, dtype, json_text, _json_string)
+    nested = _nested(c, dtype, json_text, _json_string, json.dumps)
     if nested is not None:
         text = nested
     elif isinstance(dtype, T.StringType):

@@ -108,6 +108,14 @@ def eligible_models(models: DataFrame, blocked: Sequence[str] = BLOCKED_ORGANIZA
     )
 
 
+def sorted_map(key: Column, value: Column) -> Column:
+    """An aggregate that builds a map with its keys in order; one entry per row of the group."""
+    def order(a: Column, b: Column) -> Column:
+        return F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0)
+
+    return F.map_from_entries(F.array_sort(F.collect_list(F.struct(key.alias("key"), value.alias("value"))), order))
+
+
 def nested_entries(datasets: DataFrame, configs: DataFrame) -> DataFrame:
     """One catalogue row per dataset with its configs as a map.
 
@@ -118,12 +126,11 @@ def nested_entries(datasets: DataFrame, configs: DataFrame) -> DataFrame:
         F.col("config").alias("config_name"), "sample_row", "columns", "columns_mapping", "dataset_description",
         F.col("dataset").alias("dataset_name"),
     )
-    maps = configs.groupBy("dataset").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("config"), entry)))).alias("configs")
-    )
+    maps = configs.groupBy("dataset").agg(sorted_map(F.col("config"), entry).alias("configs"))
     return datasets.join(maps, "dataset", "left")
 
 
 def size_in_mb(n_bytes: Column) -> Column:
     """Bytes as megabytes with two decimals, ``NA`` when unknown."""
-    return F.coalesce(F.format_string("%.2f", n_bytes / F.lit(1024.0 * 1024.0)), F.lit("NA"))
+    text = F.format_string("%.2f", n_bytes / F.lit(1024.0 * 1024.0))
+    return F.when(n_bytes.isNull(), F.lit("NA")).otherwise(text)

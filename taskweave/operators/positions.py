@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,10 @@ def with_position(
         "positions",
     )
     sizes = sorted((r["_part"], r["n"]) for r in numbered.groupBy("_part").agg(F.count("*").alias("n")).collect())
-    starts = [0, *accumulate(n for _, n in sizes)]
+    starts = [0, *accumulate(n for _, n in sizes)][: len(sizes)]
+    # a local relation of one row per partition: its size is known to the optimizer, so it is sent, not shuffled
     offsets = df.sparkSession.createDataFrame(
-        [(part, start) for (part, _), start in zip(sizes, starts)], "_part int, _start bigint"
+        pa.table({"_part": pa.array([p for p, _ in sizes], pa.int32()), "_start": pa.array(starts, pa.int64())})
     )
     out = numbered.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
     if group:

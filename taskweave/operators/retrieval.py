@@ -74,8 +74,10 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, broadcast_limit:
     queries = queries.select("query_id", "embedding")
     corpus = corpus.select("id", "embedding")
     schema = _SCORED.format(q=queries.schema["query_id"].dataType.simpleString(), i=corpus.schema["id"].dataType.simpleString())
-    size = queries.agg(F.sum(8 * F.size("embedding") + 16).alias("b"), F.count("*").alias("n")).first()
-    blocks = max(-(-(size["b"] or 0) // broadcast_limit), -(-size["n"] * k // KEPT_ROWS))
+    n = queries.count()  # does not compute the vectors
+    first = queries.select(F.size("embedding").alias("n")).first()
+    n_bytes = n * (8 * first["n"] + 16) if first else 0  # all vectors have one length
+    blocks = max(-(-n_bytes // broadcast_limit), -(-n * k // KEPT_ROWS))
     if blocks <= 1:
         candidates = _scan_with_broadcast(queries, corpus, k, schema)
     else:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from taskweave.functions.text import json_text
+from taskweave.functions.text import json_of_ascii, json_text, let
 
 
 def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> list[tuple[tuple[str, ...], T.DataType]]:
@@ -68,11 +69,18 @@ def row_preview(df: DataFrame, columns: Sequence[str] | None = None, max_length:
 
     A value up to ``max_length - 3`` is shown whole; a longer one is cut to ``max_length`` and gets dots.
     """
-    def shown(name: str) -> Column:
-        value = json_text(F.col(f"`{name}`"), df.schema[name].dataType)
+    def limited(value: Column) -> Column:
         cut = F.concat(F.left(value, F.lit(max_length)), F.lit("..."))
         return F.when(F.length(value) <= max_length - 3, value).otherwise(cut)
 
+    def shown(name: str) -> Column:
+        value, dtype = F.col(f"`{name}`"), df.schema[name].dataType
+        if isinstance(dtype, T.StringType):
+            # JSON text is never shorter than what it spells, so the rest of a longer text cannot be seen
+            value = F.left(value, F.lit(max_length + 1))
+        return let(json_text(value, dtype), limited)
+
     names = list(columns or df.columns)
-    row_type = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return json_text(F.struct(*[shown(n).alias(n) for n in names]), row_type)
+    # a shown value is JSON text already, hence plain ASCII
+    pairs = [F.concat(F.lit(json.dumps(n) + ": "), json_of_ascii(shown(n))) for n in names]
+    return F.concat(F.lit("{"), F.concat_ws(", ", *pairs), F.lit("}"))

@@ -63,7 +63,7 @@ def tokenize_rows(
     mask = arrays.mask_for(F.col("_in"), widths["i"], left)
     padded = rows.withColumns({"input_ids": ids, "attention_mask": mask})
     if has_encoder:
-        labels = arrays.output_labels(arrays.pad_to(F.col("_out"), widths["o"], pad, left=False), pad)
+        labels = arrays.output_labels(F.col("_out"), widths["o"], pad)
     else:
         labels = arrays.tail_labels(F.col("input_ids"), F.size("_out"))
     return padded.withColumn("labels", labels).drop("_in", "_out")

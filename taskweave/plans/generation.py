@@ -48,16 +48,15 @@ class GenerationSettings:
         )
 
 
-def with_sampled_lines(prompts: DataFrame, pool: DataFrame, pool_sizes: DataFrame, seed: int | str, by: str = "task_id") -> DataFrame:
+def with_sampled_lines(prompts: DataFrame, pool: DataFrame, seed: int | str, by: str = "task_id") -> DataFrame:
     """Give each prompt an array ``lines`` of one to ten random pool examples (none while the pool is empty).
 
-    ``prompts``: (task_id, prompt_id, ...); ``pool``: (task_id, pos, line) with dense positions; ``pool_sizes``:
-    (task_id, have). Positions are drawn by arithmetic and fetched by an equi-join, so no prompt ever meets the
+    ``prompts``: (task_id, prompt_id, have, ...) with the size of the task's pool; ``pool``: (task_id, pos, line) with
+    dense positions. Positions are drawn by arithmetic and fetched by an equi-join, so no prompt ever meets the
     whole pool. A prompt collects ten lines at most.
     """
-    sized = prompts.join(pool_sizes, by, "left").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint")))
     k = F.when(F.col("have") > 0, 1 + draw(F.least(F.col("have"), F.lit(P.MAX_SAMPLED)), f"{seed}-k", F.col("prompt_id"))).otherwise(F.lit(0))
-    drawn = sized.withColumn("_draws", draw_distinct(k, F.col("have"), f"{seed}-draw", F.col("prompt_id")))
+    drawn = prompts.withColumn("_draws", draw_distinct(k, F.col("have"), f"{seed}-draw", F.col("prompt_id")))
     picks = drawn.select(by, "prompt_id", F.posexplode("_draws").alias("slot", "pos"))
     lines = picks.join(pool, [by, "pos"]).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("slot", "line"))).alias("_l"))
     return (
@@ -92,37 +91,33 @@ def generate_with_calls(
     state = tasks.sparkSession.createDataFrame(
         [], f"task_id {task_type}, {INPUT} string, {OUTPUT} string, n bigint, first_seen bigint"
     )
-    calls = tasks.select("task_id", F.lit(0).cast("bigint").alias("calls"))
+    asked_so_far = tasks.select("task_id").limit(0)
     pool = with_position(_pool(state, settings), ["first_seen", INPUT], group=["task_id"])
 
     for round_no in range(settings.max_rounds):
         have = pool.groupBy("task_id").agg(F.count("*").alias("have"))
-        status = tasks.join(calls, "task_id").join(have, "task_id", "left").withColumn("have", F.coalesce("have", F.lit(0).cast("bigint")))
+        calls = asked_so_far.groupBy("task_id").agg(F.count("*").alias("calls"))
+        status = tasks.join(calls, "task_id", "left").join(have, "task_id", "left").fillna(0, ["calls", "have"])
         left = F.coalesce(F.col("max_calls") - F.col("calls"), F.lit(settings.max_batch_size))
         missing = F.ceil((F.col("num_examples") - F.col("have")) / settings.responses_per_request)
-        active = stage(
-            status.withColumn("batch", F.least(F.lit(settings.max_batch_size), missing, left).cast("int"))
-            .where((F.col("have") < F.col("num_examples")) & (left > 0)),
-            "round",
+        active = status.withColumn("batch", F.least(F.lit(settings.max_batch_size), missing, left).cast("int")).where(
+            (F.col("have") < F.col("num_examples")) & (left > 0)
         )
-        if active.isEmpty():
-            break
         warmth = (settings.max_temperature - settings.initial_temperature) * F.col("have") / F.col("num_examples") + settings.initial_temperature
         asked = (
             active.withColumn("temperature", F.greatest(F.lit(0.0), F.least(F.lit(2.0), warmth)))
             .withColumn("number", F.explode(F.sequence(F.lit(0), F.col("batch") - 1)))
             .withColumn("prompt_id", F.concat_ws("~", F.col("task_id").cast("string"), F.lit(str(round_no)), F.col("number").cast("string")))
-            .drop("have")
         )
         lines = pool.select("task_id", "pos", P.example_line(F.col(INPUT), F.col(OUTPUT)).alias("line"))
-        sampled = with_sampled_lines(asked, lines, have, settings.seed)
-        built = P.generation_prompt(
-            F.col("instruction"), F.col("examples"), F.col("lines"), settings.context_cutoff, settings.seed, F.col("prompt_id")
-        )
+        sampled = with_sampled_lines(asked, lines, settings.seed)
+        built = P.with_generation_prompt(sampled, settings.context_cutoff, settings.seed)
         prompts = stage(
-            sampled.withColumn("p", built).select("task_id", "number", "prompt_id", "temperature", F.col("task_id").alias("batch_id"), "p.prompt"),
-            "prompts",
+            built.select("task_id", "number", "prompt_id", "temperature", F.col("task_id").alias("batch_id"), "prompt"), "prompts"
         )
+        if prompts.isEmpty():
+            break
+        asked_so_far = asked_so_far.unionByName(prompts.select("task_id"))
         answers = complete(prompts, factory, settings.calls())
         # order of appearance: round, then prompt, then choice
         seen = F.lit(round_no << 40) + F.shiftleft(F.col("number").cast("bigint"), 20) + F.col("choice")
@@ -136,13 +131,11 @@ def generate_with_calls(
         else:
             fresh = pairs.select("task_id", INPUT, OUTPUT, F.lit(1).cast("bigint").alias("n"), F.col("seen").alias("first_seen"))
             state = stage(state.unionByName(fresh), "pairs")
-        spent = active.select("task_id", F.col("batch").cast("bigint").alias("spent"))
-        calls = stage(calls.join(spent, "task_id", "left").select("task_id", (F.col("calls") + F.coalesce("spent", F.lit(0))).alias("calls")), "calls")
         pool = with_position(_pool(state, settings), ["first_seen", INPUT], group=["task_id"])
 
     goals = tasks.select("task_id", "num_examples")
     pairs = pool.join(goals, "task_id").where(F.col("pos") < F.col("num_examples")).select("task_id", "pos", INPUT, OUTPUT)
-    return pairs, calls
+    return pairs, asked_so_far.groupBy("task_id").agg(F.count("*").alias("calls"))
 
 
 def generate_splits(
@@ -162,6 +155,6 @@ def generate_splits(
         tasks = spark.createDataFrame(row, "task_id string, instruction string, examples string, num_examples bigint, max_calls bigint")
         pairs, calls = generate_with_calls(tasks, factory, settings)
         if left is not None:
-            left -= calls.first()["calls"]
+            left -= sum(r["calls"] for r in calls.collect())  # one task, so one row at most
         parts.append(pairs.withColumnRenamed("task_id", "split"))
     return concatenate(parts)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from taskweave.contracts import INPUT, OUTPUT, TaskSpec
 from taskweave.functions import prompts as P
 from taskweave.functions.text import py_str
+from taskweave.operators.catalog import sorted_map
 from taskweave.operators.completion import CallSettings, complete
 from taskweave.operators.inference import encode, hashed_embedding, predict
 from taskweave.operators.positions import head_per_group, with_position
@@ -29,10 +30,10 @@ def batch_completion(spark, sf_dir):
     return complete(prompts, stubs.echo_client, CallSettings(responses=3, requests_per_minute=None))
 
 
-@query("SELECT doc_id, upper(text) AS prediction, text AS input_text FROM documents")
+@query("SELECT doc_id, replace(text, 'e', 'E') AS prediction, text AS input_text FROM documents")
 def batch_predict(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    said = predict(docs, stubs.shout_model, "text")
+    said = predict(docs, stubs.loud_model, "text")
     return said.select("doc_id", "prediction.prediction", F.col("prediction.aux")["input_text"].alias("input_text"))
 
 
@@ -189,12 +190,13 @@ def few_shot_prompts(spark, sf_dir):
     pool = with_position(turn_pairs(spark, sf_dir), ["conv_id", "turn"]).select(
         F.lit(0).alias("task_id"), "pos", P.example_line(F.col(INPUT), F.col(OUTPUT)).alias("line")
     )
-    sizes = pool.groupBy("task_id").agg(F.count("*").alias("have"))
     users = table(spark, sf_dir, "conversations").where(F.col("role") == "user")
-    prompts = users.select(F.lit(0).alias("task_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("instruction"))
-    sampled = with_sampled_lines(prompts, pool, sizes, _SEED)
-    built = P.generation_prompt(F.col("instruction"), F.lit("N/A"), F.col("lines"), _CUTOFF, _SEED, F.col("prompt_id"))
-    return sampled.select("prompt_id", built.alias("b")).select("prompt_id", "b.prompt", "b.n_used", "b.fits")
+    prompts = users.select(
+        F.lit(0).alias("task_id"), (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.col("text").alias("instruction"), F.lit("N/A").alias("examples"),
+        pool.agg(F.count("*")).scalar().alias("have"),
+    )
+    built = P.with_generation_prompt(with_sampled_lines(prompts, pool, _SEED), _CUTOFF, _SEED)
+    return built.select("prompt_id", "prompt", "n_used", "fits")
 
 
 # --- whole jobs --------------------------------------------------------------------
@@ -262,7 +264,7 @@ def _retrieval_tables(spark, sf_dir):
         F.create_map(F.lit("doc_id"), F.lit("doc_id"), F.lit("text"), F.lit("text"), F.lit("lang"), F.lit("lang")).alias("columns_mapping"),
         F.concat(F.lit("Texts of "), "source").alias("dataset_description"), F.col("source").alias("dataset_name"),
     )
-    maps = entry.groupBy(F.col("source").alias("name")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("lang", config)))).alias("configs"))
+    maps = entry.groupBy(F.col("source").alias("name")).agg(sorted_map(F.col("lang"), config).alias("configs"))
     firsts = docs.groupBy(F.col("source").alias("name")).agg(F.min_by("text", "doc_id").alias("description"), F.count("*").alias("downloads"))
     catalog = firsts.join(maps, "name").withColumns({"tags": F.array(F.lit("text")), "is_gated": F.lit(False)})
 

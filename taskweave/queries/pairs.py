@@ -184,8 +184,8 @@ _TARGET, _SOURCES = 120, 3
 @query(f"""WITH z AS (SELECT source, count(*) AS n, sum(n_chars) AS weight FROM documents GROUP BY source),
 k AS (SELECT source, n, row_number() OVER (ORDER BY weight DESC, source) AS rank FROM z),
 c AS (SELECT source, rank, coalesce(sum(n) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS already FROM k WHERE rank <= {_SOURCES}),
-d AS (SELECT d.doc_id, d.source, c.already + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS at FROM documents d JOIN c ON d.source = c.source WHERE c.already < {_TARGET})
-SELECT doc_id, source FROM d WHERE at <= {_TARGET}""")
+d AS (SELECT d.doc_id, d.source, c.already + row_number() OVER (PARTITION BY d.source ORDER BY d.doc_id) AS place FROM documents d JOIN c ON d.source = c.source WHERE c.already < {_TARGET})
+SELECT doc_id, source FROM d WHERE place <= {_TARGET}""")
 def assemble_to_target(spark, sf_dir):
     return _assembled(spark, sf_dir)
 

@@ -93,8 +93,8 @@ def parse_pairs_strict(spark, sf_dir):
 @query(f"""WITH {_ANSWERS}, s AS (SELECT conv_id, turn, content AS whole, regexp_extract(content, '(?s)^.*\\}}') AS body FROM a),
 ch AS (SELECT conv_id, turn, body, unnest(string_split(body, '')) AS c, generate_subscripts(string_split(body, ''), 1) AS i FROM s WHERE body <> ''),
 dp AS (SELECT *, sum(CASE c WHEN '}}' THEN 1 WHEN '{{' THEN -1 ELSE 0 END) OVER (PARTITION BY conv_id, turn ORDER BY i DESC) AS depth FROM ch),
-st AS (SELECT conv_id, turn, any_value(body) AS body, max(i) AS at FROM dp WHERE c = '{{' AND depth = 0 GROUP BY 1, 2),
-ob AS (SELECT conv_id, turn, substr(body, at) AS content FROM st), p AS ({_FIELDS}, content FROM ob WHERE json_valid(content))
+st AS (SELECT conv_id, turn, any_value(body) AS body, max(i) AS opening FROM dp WHERE c = '{{' AND depth = 0 GROUP BY 1, 2),
+ob AS (SELECT conv_id, turn, substr(body, opening) AS content FROM st), p AS ({_FIELDS}, content FROM ob WHERE json_valid(content))
 SELECT conv_id, turn, input_col, output_col FROM p WHERE json_exists(content, '$.input') AND json_exists(content, '$.output')""")
 def parse_last_json(spark, sf_dir):
     parsed = _answers(spark, sf_dir).withColumn("f", last_object(F.col("content"), ["input", "output"])).where(F.col("f").isNotNull())
