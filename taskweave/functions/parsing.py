@@ -29,11 +29,17 @@ def _json_map(text: Column, lenient: bool) -> Column:
     return let(both, lambda b: F.when((F.size(b) == 2) & F.map_contains_key(F.get(b, F.lit(1)), _END), F.get(b, F.lit(0))))
 
 
+def _last_value(fields: Column, key: str) -> Column:
+    """The value of a key; of a key given twice, the last one, as Python reads it."""
+    given = F.filter(F.map_entries(fields), lambda e: e["key"] == key)
+    return F.try_element_at(given, F.lit(-1))["value"]
+
+
 def _value_text(text: Column, fields: Column, key: str) -> Column:
     """One value as stripped text; a JSON true/false (not the text "true") reads ``True``/``False``."""
     is_bool = F.from_json(text, f"`{key}` boolean")[key].isNotNull()
-    value = fields[key]
-    return strip(F.when(value.isin("true", "false") & is_bool, F.initcap(value)).otherwise(value))
+    as_text = lambda v: F.when(v.isin("true", "false") & is_bool, F.initcap(v)).otherwise(v)
+    return strip(let(_last_value(fields, key), as_text))
 
 
 def strict_pair(content: Column) -> Column:
@@ -88,8 +94,9 @@ def last_object(content: Column, required: Sequence[str], optional: Sequence[str
         complete = F.lit(True)
         for key in required:
             complete = complete & F.map_contains_key(fields, key)
-        kept = F.map_filter(fields, lambda k, v: k.isin(wanted))
-        return F.when(complete, F.transform_values(kept, lambda k, v: strip(v)))
+        entries = F.array(*[F.struct(F.lit(k).alias("key"), strip(_last_value(fields, k)).alias("value")) for k in wanted])
+        present = F.filter(entries, lambda e: F.map_contains_key(fields, e["key"]))
+        return F.when(complete, F.map_from_entries(present))
 
     return let(let(last_object_text(content), lambda text: _json_map(text, lenient=True)), checked)
 

@@ -15,7 +15,7 @@ _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 @query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings a CROSS JOIN embeddings b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
+SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def dense_topk_per_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return dense_top_k(vectors.withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "id"), 10)
@@ -26,7 +26,7 @@ s AS (SELECT q.label AS query_id, b.vec_id AS id, round({_DOT}, 6) AS score FROM
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS first_rank FROM s),
 m AS (SELECT query_id, id AS name, score, d.lang, d.source FROM r JOIN documents d ON d.doc_id = r.id WHERE first_rank <= 1000),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM m)
-SELECT * FROM f WHERE rank <= 25""")
+SELECT * REPLACE (rank::INTEGER AS rank) FROM f WHERE rank <= 25""")
 def dense_retrieve_join(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     queries = vectors.groupBy(F.col("label").alias("query_id")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
@@ -51,7 +51,7 @@ sc AS (SELECT w.query_id, tf.id, round(sum(w.idf * tf.tf * 2.2::DOUBLE / (tf.tf
 
 @query(f"""WITH {_bm25('SELECT item_id AS query_id, text FROM benchmark', 'SELECT doc_id AS id, text FROM documents')},
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sc)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 10""")
+SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def bm25_topk(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
@@ -81,7 +81,7 @@ def encode_texts(spark, sf_dir):
 b AS (SELECT * FROM {_sql_embedding('SELECT item_id AS id, text FROM benchmark')}),
 s AS (SELECT b.id AS query_id, d.id, round(sum(b.weight * d.weight), 6) AS score FROM b JOIN d ON b.slot = d.slot GROUP BY b.id, d.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, score, rank FROM r WHERE rank <= 25""")
+SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 25""")
 def text_search(spark, sf_dir):
     embed = lambda df, key, name: df.select(F.col(key).alias(name), hashed_embedding(F.col("text"), _SIZE).alias("embedding"))
     queries = embed(table(spark, sf_dir, "benchmark"), "item_id", "query_id")
@@ -108,7 +108,7 @@ _MODELS = """m AS (SELECT p_brand || '/' || printf('%06d', p_partkey) AS name, p
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS first_rank FROM sc),
 p AS (SELECT query_id, m.name, round(r.score * log10(m.downloads + 2), 6) AS score FROM r JOIN m ON m.name = r.id WHERE first_rank <= 1000 AND m.size_bytes <= {_SIZE_LIMIT}),
 f AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM p)
-SELECT query_id, rank, name, score FROM f WHERE rank <= 5""")
+SELECT query_id, rank::INTEGER AS rank, name, score FROM f WHERE rank <= 5""")
 def model_retrieval(spark, sf_dir):
     queries = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("query_id")).agg(F.min("p_name").alias("text"))
     return retrieve_models(queries, _part_models(spark, sf_dir), _SIZE_LIMIT)

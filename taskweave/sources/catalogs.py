@@ -49,12 +49,20 @@ def read_models(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def read_json_rows(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """A JSON array is one value over the whole file; of JSON lines each line is a value, and files can be split."""
+    first = spark.read.text(path).where("trim(value) <> ''").head(1)
+    is_array = any(r["value"].lstrip().startswith("[") for r in first)
+    return spark.read.schema(schema).option("multiLine", is_array).json(path)
+
+
 def read_raw_catalog(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A JSON array of entries, or one entry per line."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return read_json_rows(spark, path, schema)
 
 
 def write_catalog_json(catalog: DataFrame, path: str) -> None:
+    """One entry per line."""
     catalog.write.mode("overwrite").json(path)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
+from taskweave.sources.catalogs import read_json_rows
 
 FORMATS = ("parquet", "orc", "json", "csv", "text")
 
@@ -41,9 +42,7 @@ def texts_to_encode(spark: SparkSession, file: str | None = None, table: DataFra
         raise ValueError("give either a file or a table, and not both")
     if table is not None:
         return require_columns(table, "text_id", "text").select("text_id", "text")
-    # an array is one JSON value over the whole file; otherwise each line is a value and the file can be split
-    is_array = any(r["value"].lstrip().startswith("[") for r in spark.read.text(file).where("trim(value) <> ''").head(1))
-    return spark.read.schema("text_id bigint, text string").option("multiLine", is_array).json(file)
+    return read_json_rows(spark, file, "text_id bigint, text string")
 
 
 def write_metrics_json(metrics: DataFrame, path: str) -> None:
