@@ -66,7 +66,8 @@ class _Pace:
             time.sleep(60 - (now - self.starts[0]))
 
 
-def _answer(ask: Ask, prompt: str, temperature: float, budget: int, s: CallSettings) -> list[tuple[int, str, str | None]]:
+def answer_prompt(ask: Ask, prompt: str, temperature: float, budget: int, s: CallSettings) -> list[tuple[int, str, str | None]]:
+    """(choice, content, error) rows for one prompt, after up to ``s.tries`` attempts."""
     error = None
     for attempt in range(s.tries):
         try:
@@ -85,7 +86,7 @@ def _caller(factory: ClientFactory, s: CallSettings, share: float | None):
         ask, pace = factory(), _Pace(share)
 
         def one(row):
-            answers = _answer(ask, row.prompt, row.temperature, int(row.budget), s)
+            answers = answer_prompt(ask, row.prompt, row.temperature, int(row.budget), s)
             return [(row.prompt_id, *a) for a in answers]
 
         with ThreadPoolExecutor(max(1, s.threads)) as pool:

@@ -57,7 +57,7 @@ def with_sampled_lines(prompts: DataFrame, pool: DataFrame, seed: int | str, by:
     """
     k = F.when(F.col("have") > 0, 1 + draw(F.least(F.col("have"), F.lit(P.MAX_SAMPLED)), f"{seed}-k", F.col("prompt_id"))).otherwise(F.lit(0))
     drawn = prompts.withColumn("_draws", draw_distinct(k, F.col("have"), f"{seed}-draw", F.col("prompt_id")))
-    picks = drawn.select(by, "prompt_id", F.posexplode("_draws").alias("slot", "pos"))
+    picks = drawn.select(by, "prompt_id", F.posexplode_outer("_draws").alias("slot", "pos"))
     lines = picks.join(pool, [by, "pos"]).groupBy("prompt_id").agg(F.array_sort(F.collect_list(F.struct("slot", "line"))).alias("_l"))
     return (
         drawn.join(lines, "prompt_id", "left")

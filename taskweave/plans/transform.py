@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from taskweave.contracts import INPUT, OUTPUT, TaskSpec
 from taskweave.functions import prompts as P
 from taskweave.functions.parsing import last_object
-from taskweave.functions.text import py_str
-from taskweave.operators.completion import CallSettings, ClientFactory, complete, complete_until_parsed
+from taskweave.functions.text import py_str, token_count
+from taskweave.operators.completion import CallSettings, ClientFactory, answer_prompt, complete
 from taskweave.operators.positions import batch_number
+from taskweave.operators.tokenize import completion_budget
 
 BATCH = 100
 ROW_CALLS = CallSettings(responses=1, temperature=0.0, requests_per_minute=15)
@@ -24,12 +25,14 @@ def row_text(df: DataFrame, columns: list[str]) -> Column:
     return py_str(row, df.select(row.alias("r")).schema["r"].dataType)
 
 
-def ask_once(spark: SparkSession, prompt: Column | str, factory: ClientFactory, tries: int, settings: CallSettings) -> str:
-    """One prompt, one text."""
-    text = F.lit(prompt) if isinstance(prompt, str) else prompt
-    row = spark.range(1).select(F.col("id").alias("prompt_id"), text.alias("prompt"))
-    whole = lambda c: F.when(c != "", c)
-    return complete_until_parsed(row, factory, whole, tries, settings, strict=True).first()["parsed"]
+def ask_once(spark: SparkSession, prompt: Column, factory: ClientFactory, tries: int, settings: CallSettings) -> str:
+    """One prompt, one text: asked from the driver, since there is nothing to spread."""
+    row = spark.range(1).select(prompt.alias("prompt")).select("prompt", token_count(F.col("prompt")).alias("n"))
+    text = row.select("prompt", completion_budget(F.col("n"), settings.max_tokens, settings.token_buffer).alias("budget")).first()
+    answer = answer_prompt(factory(), text["prompt"], settings.temperature, text["budget"], replace(settings, responses=1, tries=tries))[0]
+    if not answer[1] or answer[2]:
+        raise RuntimeError(f"no answer within {tries} calls: {answer[2]}")
+    return answer[1]
 
 
 def judge_answers(answers: DataFrame, examples: str, pos: str = "prompt_id") -> DataFrame:

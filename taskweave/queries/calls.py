@@ -18,7 +18,7 @@ from taskweave.plans.transform import transform_table
 from taskweave.plans.understanding import expand_queries, parse_prompts, select_columns
 from taskweave.queries import stubs
 from taskweave.queries.registry import (
-    TURN_PAIRS, lit, query, sql_draw, sql_draw_distinct, sql_fill, sql_mark, sql_token_count, table, turn_pairs,
+    TURN_PAIRS, lit, query, sql_draw, sql_draw_distinct, sql_fill, sql_mark, spread_table, sql_token_count, table, turn_pairs,
 )
 
 FREE = CallSettings(responses=1, requests_per_minute=None, wait_seconds=0.0)
@@ -32,7 +32,7 @@ def batch_completion(spark, sf_dir):
 
 @query("SELECT doc_id, replace(text, 'e', 'E') AS prediction, text AS input_text FROM documents")
 def batch_predict(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", "text")
     said = predict(docs, stubs.loud_model, "text")
     return said.select("doc_id", "prediction.prediction", F.col("prediction.aux")["input_text"].alias("input_text"))
 
@@ -40,7 +40,7 @@ def batch_predict(spark, sf_dir):
 @query("""SELECT doc_id, length(text)::DOUBLE AS n_chars, (length(text) - length(replace(text, 'e', '')))::DOUBLE AS n_e,
   (length(text) - length(replace(text, chr(10), '')))::DOUBLE AS n_lines FROM documents""")
 def batch_encode(spark, sf_dir):
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), stubs.shape_model)
+    docs = encode(spread_table(spark, sf_dir, "documents").select("doc_id", "text"), stubs.shape_model)
     return docs.select("doc_id", *[F.get("embedding", F.lit(i)).alias(n) for i, n in enumerate(("n_chars", "n_e", "n_lines"))])
 
 
@@ -69,7 +69,7 @@ _SELECTING = lit(P.SECTION.join([P.SELECT_LEAD, *_CASES]) + P.SECTION) + " || "
 
 
 def _selection_tables(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("prompt_id"), F.lit("Find the language.").alias("instruction"), F.col("source").alias("name"),
         F.concat(F.lit("Texts of "), "source").alias("description"), F.array(*[F.lit(c) for c in ("text", "lang", "source", "doc_id")]).alias("columns"),
         F.concat(F.lit('{"doc_id": "'), F.col("doc_id").cast("string"), F.lit('"}')).alias("sample_row"),
@@ -125,7 +125,7 @@ UNION ALL SELECT 'imagine', doc_id::VARCHAR, {sql_fill(P.IMAGINE, instruction='t
 UNION ALL SELECT 'parse', doc_id::VARCHAR, {_PARSING} FROM c
 UNION ALL SELECT 'select', doc_id::VARCHAR, {_SELECTING} FROM c""")
 def catalog_prompts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
+    docs = spread_table(spark, sf_dir, "documents").withColumn("id", F.col("doc_id").cast("string"))
     tasks, candidates, _ = _rank_tables(spark, sf_dir)
     text = F.col("text")
     each = lambda kind, prompt: docs.select(F.lit(kind).alias("kind"), "id", prompt.alias("prompt"))

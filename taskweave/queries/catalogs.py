@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from taskweave.operators.catalog import (
     accessible, curate, curation_reasons, eligible_configs, eligible_models, nested_entries, reason_counts, size_in_mb, valid_datasets,
 )
-from taskweave.queries.registry import query, sql_words, table
+from taskweave.queries.registry import query, sql_words, spread_table, table
 
 # every eleventh text is blanked and every fifth has no download count, so that each reason occurs
 _CATALOG = f"""c AS (SELECT doc_id AS pos, CASE WHEN doc_id % 11 = 0 THEN '' ELSE text END AS description,
@@ -21,7 +21,7 @@ j AS (SELECT *, CASE WHEN early IS NOT NULL THEN early
 
 def _catalog(spark, sf_dir):
     blank = F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("text"))
-    return table(spark, sf_dir, "documents").select(
+    return spread_table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("pos"), blank.alias("description"), F.when(F.col("doc_id") % 5 != 0, F.col("n_chars")).alias("downloads")
     )
 

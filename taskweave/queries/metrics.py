@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taskweave.operators.metrics import chrf, containment_accuracy, detach_echo, evaluate, exact_match, greedy_match, pair_with_references
 from taskweave.operators.sampling import sample_rows
-from taskweave.queries.registry import SPACE_CLASS, TURN_PAIRS, lit, query, sql_mark, sql_strip, sql_words, table, turn_pairs
+from taskweave.queries.registry import SPACE_CLASS, TURN_PAIRS, lit, query, sql_mark, sql_strip, sql_words, spread_table, table, turn_pairs
 
 # predictions: some repeat the input, some are the reference, some are cut
 _PREDICTED = f"""{TURN_PAIRS}, p AS (SELECT conv_id * 1000 + turn AS row_id, conv_id, turn, input_col AS model_input, output_col AS reference,
@@ -73,7 +73,7 @@ chrf AS (SELECT g, coalesce(500 * p * r / nullif(4 * p + r, 0), 0) AS value FROM
 @query(f"""WITH {_sql_chrf("SELECT doc_id AS rid, lang AS g, lower(text) AS p, text AS r FROM documents")}
 SELECT g AS lang, round(value, 4) AS value FROM chrf""")
 def chrf_pp(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("prediction"), F.col("text").alias("reference"))
+    docs = spread_table(spark, sf_dir, "documents").select("lang", F.lower("text").alias("prediction"), F.col("text").alias("reference"))
     return chrf(docs, by=["lang"]).select("lang", F.round("value", 4).alias("value"))
 
 

@@ -11,7 +11,7 @@ from taskweave.operators.sampling import holdout, sample_rows, shuffle
 from taskweave.operators.shapes import flatten_with_unique_names, row_preview
 from taskweave.operators.splits import split_table, split_tasks
 from taskweave.operators.textualize import drop_empty_pairs, process_tasks, textualize, wrap_input
-from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, lit, query, sql_mark, sql_strip, table, turn_pairs
+from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, lit, query, sql_mark, sql_strip, spread_table, table, turn_pairs
 
 INSTRUCTION = "Tell whether the text is of good quality (1) or not (0)."
 CAPS = {"train": 3500, "val": 500, "test": 1000}
@@ -159,7 +159,7 @@ c AS (SELECT doc_id, {_sql_cut('doc_id::VARCHAR')} AS d, {_sql_cut('t')} AS t, {
 SELECT doc_id, '{{"doc_id": ' || to_json(d)::VARCHAR || ', "text": ' || to_json(t)::VARCHAR || ', "lang": ' || to_json(l)::VARCHAR
   || ', "source": ' || to_json(s)::VARCHAR || ', "n_chars": ' || to_json(n)::VARCHAR || '}}' AS preview FROM c""")
 def row_previews(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     return docs.select("doc_id", row_preview(docs, ["doc_id", "text", "lang", "source", "n_chars"]).alias("preview"))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from taskweave.functions.text import PY_SPACES, SPACE_CLASS, TOKEN
 from taskweave.shipping import ship_package
+from taskweave.sources.tables import spread
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,6 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """For queries that work hard on every row."""
+    return spread(table(spark, sf_dir, name))
+
+
 # SQL spellings of the text and draw expressions ------------------------------
 
 
@@ -111,6 +117,6 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input_col"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input_col"))
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("output_col"))
     return docs.join(marks, "doc_id")

@@ -8,7 +8,7 @@ from taskweave.operators.inference import hashed_embedding
 from taskweave.operators.positions import head_per_group
 from taskweave.operators.retrieval import bm25_top_k, dense_top_k, rescore, with_metadata
 from taskweave.plans.model_retrieval import lower_tokens, retrieve_models
-from taskweave.queries.registry import query, sql_draw, sql_tokens, table
+from taskweave.queries.registry import query, sql_draw, sql_tokens, spread_table, table
 
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
@@ -54,7 +54,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id
 SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
 def bm25_topk(spark, sf_dir):
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    docs = spread_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
     return bm25_top_k(queries, docs, 10, lower_tokens)
 
 
@@ -71,9 +71,10 @@ def _sql_embedding(rows: str) -> str:
 
 @query(f"SELECT id AS doc_id, slot::INTEGER AS slot, round(weight, 6) AS weight FROM {_sql_embedding('SELECT doc_id AS id, text FROM documents')}")
 def encode_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     vectors = docs.select("doc_id", hashed_embedding(F.col("text"), _SIZE).alias("embedding"))
-    long = vectors.select("doc_id", F.posexplode("embedding").alias("slot", "weight")).where(F.col("weight") > 0)
+    # the outer form: of a plain explode the optimizer infers a filter that would run the encoder again
+    long = vectors.select("doc_id", F.posexplode_outer("embedding").alias("slot", "weight")).where(F.col("weight") > 0)
     return long.select("doc_id", "slot", F.round("weight", 6).alias("weight"))
 
 
@@ -85,7 +86,7 @@ SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 25""")
 def text_search(spark, sf_dir):
     embed = lambda df, key, name: df.select(F.col(key).alias(name), hashed_embedding(F.col("text"), _SIZE).alias("embedding"))
     queries = embed(table(spark, sf_dir, "benchmark"), "item_id", "query_id")
-    return dense_top_k(queries, embed(table(spark, sf_dir, "documents"), "doc_id", "id"), 25)
+    return dense_top_k(queries, embed(spread_table(spark, sf_dir, "documents"), "doc_id", "id"), 25)
 
 
 _SIZE_LIMIT = 4_000_000_000

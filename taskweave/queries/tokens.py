@@ -10,7 +10,7 @@ from taskweave.operators.pairs import format_pairs
 from taskweave.operators.positions import batch_number, with_position
 from taskweave.operators.textualize import textualize
 from taskweave.operators.tokenize import batch_budgets, hashed_ids, longest_texts, tokenize_causal, tokenize_rows
-from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, query, sql_draw, sql_strip, sql_token_count, sql_tokens, table, turn_pairs
+from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, query, sql_draw, sql_strip, sql_token_count, sql_tokens, spread_table, table, turn_pairs
 
 _MAX = 512
 _EOS = " <end>"
@@ -29,7 +29,7 @@ def _joined(df, keys):
 f AS (SELECT doc_id, ids, list_position(list_transform(ids, lambda x: x <> 0), true) AS a, list_position(list_transform(list_reverse(ids), lambda x: x <> 0), true) AS b FROM r)
 SELECT doc_id, (CASE WHEN coalesce(a, 0) = 0 THEN len(ids) ELSE a - 1 END)::INTEGER AS leading, (CASE WHEN coalesce(b, 0) = 0 THEN len(ids) ELSE b - 1 END)::INTEGER AS trailing FROM f""")
 def pad_runs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread_table(spark, sf_dir, "documents")
     zeros = lambda n: F.array_repeat(F.lit(0), (F.col("n_chars") % n).cast("int"))
     ids = docs.select("doc_id", F.concat(zeros(7), hashed_ids()(F.col("text")), zeros(5)).alias("ids"))
     return ids.select("doc_id", arrays.leading_run(F.col("ids"), 0).alias("leading"), arrays.trailing_run(F.col("ids"), 0).alias("trailing"))
@@ -83,6 +83,6 @@ def longest_and_truncation(spark, sf_dir):
 @query(f"""WITH t AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // 100 AS batch_id, {sql_token_count('text')} AS n FROM documents)
 SELECT batch_id, max(n) AS n_tokens, count(*) AS n_prompts, 4000 - max(n) - 300 AS budget FROM t GROUP BY 1""")
 def token_budgets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
+    docs = spread_table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text")).alias("n_tokens"))
     batches = with_position(docs, ["doc_id"]).select(batch_number("pos", 100).alias("batch_id"), "n_tokens")
     return batch_budgets(batches, max_tokens=4000)

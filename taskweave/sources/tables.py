@@ -18,6 +18,16 @@ def read_table(spark: SparkSession, path: str, format: str = "parquet", schema:
     return (reader.schema(schema) if schema else reader).load(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan whose files give fewer partitions than there are cores, evenly over the cores; any other scan unchanged.
+
+    For work that is heavy per row on tables of a few files. A large table has more splits than cores, and is
+    never shuffled by this. Meant for a plain scan: counting its partitions runs nothing.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def write_splits(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     """One folder per split, so that a reader of one split opens only its files."""
     require_columns(df, "split").write.mode(mode).partitionBy("split").parquet(path)

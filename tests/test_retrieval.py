@@ -60,7 +60,10 @@ def test_bm25_returns_only_documents_that_share_a_term(spark, models):
     assert [(r["query_id"], r["id"]) for r in bm25_top_k(queries, docs, 10, lower_tokens).collect()] == [(0, "t5-base")]
 
 
-def test_bm25_scores(spark):
+@pytest.mark.parametrize("cells", [retrieval.WEIGHT_CELLS, 0])
+def test_bm25_scores(spark, monkeypatch, cells):
+    """Scored in the tasks, two documents at a time, and by join."""
+    monkeypatch.setattr(retrieval, "_TF_CELLS", 6)
     docs = ["a b b c", "a a", "c d e f g h", "b", ""]
     queries = ["b a", "c c z", "q"]
     df = {t: sum(t in d.split() for d in docs) for t in "abcdefgh"}
@@ -77,7 +80,7 @@ def test_bm25_scores(spark):
                 )
     q = spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
     d = spark.createDataFrame(list(enumerate(docs)), "id int, text string").repartition(3)
-    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_top_k(q, d, 10, words).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in bm25_top_k(q, d, 10, words, weight_cells=cells).collect()}
     assert got.keys() == expected.keys()
     assert all(abs(got[k] - expected[k]) < 2e-6 for k in got)
 
