@@ -70,7 +70,11 @@ def split_tasks(
     caps: Mapping[str, int] | None = None,
     task: str = "task_id",
 ) -> DataFrame:
-    """Split every task's table on its own. One row per task is joined back; a task may be of any size."""
+    """Split every task's table on its own; a task may be of any size.
+
+    Only the keys are put in order, to find the three border keys of each task. One row of borders per task
+    is joined to the rows, which are cut by comparison.
+    """
     check_proportions(train, val)
     caps = caps or {}
     limit = lambda size, name: F.least(size, F.lit(caps[name])) if name in caps else size
@@ -81,10 +85,15 @@ def split_tasks(
     b = a + limit(raw_val, "val")
     c = b + limit(F.col("_n") - raw_train - raw_val, "test")
     ends = counts.select(task, a.alias("_a"), b.alias("_b"), c.alias("_c"))
-    placed = with_position(df, list(keys), name="_pos", group=[task])
+    placed = with_position(df.select(task, *keys), list(keys), name="_pos", group=[task]).join(ends, task)
+    here = F.struct(*keys)
+    borders = placed.where(F.col("_pos").isin(F.col("_a"), F.col("_b"), F.col("_c"))).groupBy(task).agg(
+        *[F.max(F.when(F.col("_pos") == F.col(end), here)).alias(f"{end}_key") for end in ("_a", "_b", "_c")]
+    )
+
+    def before(end: str) -> Column:
+        return F.col(f"{end}_key").isNull() | (here < F.col(f"{end}_key"))  # no border: the task ends first
+
     return (
-        placed.join(ends, task)
-        .where(F.col("_pos") < F.col("_c"))
-        .withColumn("split", _named(F.col("_pos") < F.col("_a"), F.col("_pos") < F.col("_b")))
-        .select(*df.columns, "split")
+        df.join(borders, task, "left").where(before("_c")).withColumn("split", _named(before("_a"), before("_b"))).select(*df.columns, "split")
     )

@@ -50,9 +50,18 @@ def known_votes(votes: DataFrame, candidates: DataFrame, item: str = "item", nam
     return votes.join(known, [item, name], "left").withColumn(name, F.when(F.col("_known"), F.col(name))).drop("_known")
 
 
-def plurality(votes: DataFrame, item: str = "item", name: str = "name", vote: str = "vote") -> DataFrame:
-    """The most voted name per item; ties go to the name voted for first."""
+def plurality(
+    votes: DataFrame, candidates: DataFrame | None = None, item: str = "item", name: str = "name", vote: str = "vote"
+) -> DataFrame:
+    """The most voted name per item; ties go to the name voted for first.
+
+    With ``candidates`` (item, name), other names count as NULL. Votes are counted before they meet the candidates, so an
+    item with very many votes brings one row per name to that join.
+    """
     tally = votes.groupBy(item, name).agg(F.count("*").alias("n"), F.min(vote).alias("first"))
+    if candidates is not None:
+        known = known_votes(tally, candidates, item, name)
+        tally = known.groupBy(item, name).agg(F.sum("n").alias("n"), F.min("first").alias("first"))
     return tally.groupBy(item).agg(
         F.max_by(name, F.struct(F.col("n"), -F.col("first"))).alias("winner"), F.max("n").alias("votes")
     )

@@ -13,7 +13,7 @@ from taskweave.functions.parsing import chosen_name
 from taskweave.functions.text import fill
 from taskweave.operators.completion import CallSettings, ClientFactory, complete
 from taskweave.operators.positions import head_per_group
-from taskweave.operators.voting import known_votes, plurality
+from taskweave.operators.voting import plurality
 
 VOTES = CallSettings(responses=5, temperature=0.01)
 MAX_CONFIGS = 10
@@ -48,8 +48,7 @@ def vote_names(prompts: DataFrame, candidates: DataFrame, factory: ClientFactory
     """(task_id, winner): ask ``calls.responses`` times, read the name, drop unknown names to NULL, take the most voted."""
     answers = complete(prompts, factory, calls)
     votes = answers.select(F.col("prompt_id").alias("item"), F.col("choice").alias("vote"), chosen_name(F.col("content")).alias("name"))
-    known = known_votes(votes, candidates.select(F.col("task_id").alias("item"), "name"))
-    return plurality(known).select(F.col("item").alias("task_id"), "winner")
+    return plurality(votes, candidates.select(F.col("task_id").alias("item"), "name")).select(F.col("item").alias("task_id"), "winner")
 
 
 def rerank(

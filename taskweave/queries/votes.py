@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from taskweave.contracts import INPUT, OUTPUT
 from taskweave.functions.parsing import chosen_name, last_object, strict_pair
-from taskweave.operators.voting import known_votes, multi_vote, plurality
+from taskweave.operators.voting import multi_vote, plurality
 from taskweave.queries.registry import TURN_PAIRS, query, sql_strip, table, turn_pairs
 from taskweave.staging import shared_folder
 from taskweave.streaming.incremental import current_winners, parse_stream, vote_stream
@@ -56,7 +56,7 @@ def rerank_votes(spark, sf_dir):
     )
     votes = events.select(F.col("user_id").alias("item"), F.col("event_id").alias("vote"), chosen_name(answer).alias("name"))
     candidates = events.where(F.col("value") > 20).select(F.col("user_id").alias("item"), kind.alias("name"))
-    return plurality(known_votes(votes, candidates))
+    return plurality(votes, candidates)
 
 
 # answers as a model might give them: well formed, cut off, with a wrong key, with words around, with an empty side

@@ -115,11 +115,10 @@ def test_votes_merge_round_by_round(spark):
 
 def test_plurality_counts_unknown_names_as_none(spark):
     votes = [(0, i, n) for i, n in enumerate(["x", "ghost", "ghoul", "x"])] + [(1, i, n) for i, n in enumerate(["y", "x", "x", "y"])] + [(2, 0, "ghost"), (2, 1, "spook"), (2, 2, "x")]
-    known = known_votes(
-        spark.createDataFrame(votes, "item int, vote int, name string"),
-        spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "x")], "item int, name string"),
-    )
-    assert {r["item"]: (r["winner"], r["votes"]) for r in plurality(known).collect()} == {0: ("x", 2), 1: ("y", 2), 2: (None, 2)}
+    rows = spark.createDataFrame(votes, "item int, vote int, name string")
+    candidates = spark.createDataFrame([(0, "x"), (1, "x"), (1, "y"), (2, "x"), (2, "x")], "item int, name string")
+    for chosen in (plurality(rows, candidates), plurality(known_votes(rows, candidates))):
+        assert {r["item"]: (r["winner"], r["votes"]) for r in chosen.collect()} == {0: ("x", 2), 1: ("y", 2), 2: (None, 2)}
 
 
 def test_assemble_takes_sources_in_rank_order_up_to_the_target(spark):
