@@ -203,10 +203,10 @@ PARSE_SHOWN = (
     ),
     ("Shorten the text to one sentence.", '{"Instruction": "Shorten the text to one sentence.", "Demonstrations": "N/A"}'),
 )
-PARSE_CASE = 'Prompt: """\n{prompt}\n"""\n\nParsed Outputs:\n'
+PARSE_CASE = "The prompt:\n<<<\n{prompt}\n>>>\nIts parts as JSON:\n"
 IMAGINE = (
     "Describe, in a few sentences, a model from a model library that would do what the instruction asks: its kind, the data it "
-    'saw, and its use.\nInstruction: "{instruction}"\nHypothetical model description:\n'
+    'saw, and its use.\nInstruction: "{instruction}"\nDescription:\n'
 )
 
 

@@ -101,11 +101,14 @@ def _caller(factory: ClientFactory, s: CallSettings, share: float | None):
     return call
 
 
-def complete(prompts: DataFrame, factory: ClientFactory, settings: CallSettings = CallSettings(), path: str | None = None) -> DataFrame:
+def complete(
+    prompts: DataFrame, factory: ClientFactory, settings: CallSettings = CallSettings(), path: str | None = None,
+    count: Callable[[Column], Column] = token_count,
+) -> DataFrame:
     """(prompt_id, choice, content, error) for a table of (prompt_id, prompt[, temperature, batch_id]).
 
     A refused prompt gets the marker text, a failing one the empty text; neither fails the others. The longest prompt
-    of a batch (of the table, without ``batch_id``) sets the completion budget. With ``path``, answers
+    of a batch (of the table, without ``batch_id``) by the token counter ``count`` sets the completion budget. With ``path``, answers
     are added to that table and prompts that it already answers are not asked again.
     """
     require_columns(prompts, "prompt_id", "prompt")
@@ -117,7 +120,7 @@ def complete(prompts: DataFrame, factory: ClientFactory, settings: CallSettings
             prompts = prompts.join(known.select("prompt_id").distinct(), "prompt_id", "left_anti")
         except AnalysisException:
             pass
-    sized = prompts.withColumn("n_tokens", token_count(F.col("prompt")))
+    sized = prompts.withColumn("n_tokens", count(F.col("prompt")))
     if "batch_id" in prompts.columns:
         longest = sized.groupBy("batch_id").agg(F.max("n_tokens").alias("longest"))
         sized = sized.join(longest, "batch_id")

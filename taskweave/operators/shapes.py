@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -37,16 +38,12 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
 
 def unique_names(columns: Sequence[str]) -> dict[str, str]:
     """New name per column: dots become underscores, a name already taken gets ``_1``, ``_2``..."""
-    taken: dict[str, int] = {}
-    mapping: dict[str, str] = {}
-    for column in columns:
-        base = column.replace(".", "_")
-        name = base
-        if base in mapping.values():
-            taken[base] = taken.get(base, 0) + 1
-            name = f"{base}_{taken[base]}"
-        mapping[column] = name
-    return mapping
+    given: list[str] = []
+    repeats: Counter[str] = Counter()
+    for plain in (c.replace(".", "_") for c in columns):
+        repeats[plain] += plain in given
+        given.append(f"{plain}_{repeats[plain]}" if plain in given else plain)
+    return dict(zip(columns, given))
 
 
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -10,7 +10,7 @@ from taskweave.operators.pairs import canonicalize, combine, contributions, form
 from taskweave.operators.sampling import holdout, sample_rows, shuffle
 from taskweave.operators.shapes import flatten_with_unique_names, row_preview
 from taskweave.operators.splits import split_table, split_tasks
-from taskweave.operators.textualize import drop_empty_pairs, process_tasks, textualize, wrap_input
+from taskweave.operators.textualize import drop_empty_pairs, process_tasks, wrap_input
 from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, lit, query, sql_mark, sql_strip, spread_table, table, turn_pairs
 
 INSTRUCTION = "Tell whether the text is of good quality (1) or not (0)."
@@ -33,9 +33,8 @@ _PROMPT = "'<task 0>' || " + lit(INSTRUCTION) + " || chr(10) || 'Example:' || ch
 
 def flagship(spark, sf_dir):
     """Labelled documents to split model text."""
-    pairs = drop_empty_pairs(labelled(spark, sf_dir))
-    split = split_table(pairs, ["doc_id"], 0.7, 0.1, CAPS)
-    return textualize(split, INSTRUCTION, has_encoder=True)
+    split = split_table(labelled(spark, sf_dir), ["doc_id"], 0.7, 0.1, CAPS)
+    return process_tasks(split, INSTRUCTION, has_encoder=True)
 
 
 @query(f"""WITH {LABELLED}, s AS (SELECT *, {_SPLIT} AS split FROM labelled WHERE {_INSIDE})

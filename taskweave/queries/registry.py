@@ -116,7 +116,7 @@ def turn_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.join(replies, ["conv_id", "turn"])
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spread_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input_col"))
+def labelled(spark: SparkSession, sf_dir: str, read=table) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("input_col"))
     marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("output_col"))
     return docs.join(marks, "doc_id")

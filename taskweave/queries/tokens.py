@@ -36,7 +36,7 @@ def pad_runs(spark, sf_dir):
 
 
 def _model_rows(spark, sf_dir, has_encoder):
-    rows = labelled(spark, sf_dir).withColumn("split", F.lit("train"))
+    rows = labelled(spark, sf_dir, spread_table).withColumn("split", F.lit("train"))
     return textualize(rows, "Judge.", has_encoder, _EOS).drop("split")
 
 
