@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from taskweave.llm import chat, packing, pii, quality  # noqa: F401
+from taskweave.llm import chat, packing, pii, quality, substrings  # noqa: F401
 from taskweave.llm.registry import QUERIES, SQL  # noqa: F401
