@@ -20,7 +20,6 @@ table gives no rows. A window that stands twice in one document only is no repea
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
 
