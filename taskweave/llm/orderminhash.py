@@ -222,8 +222,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` without those of documents that a group has another document for."""
-    dropped = near_duplicates(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, F.col(key).cast("long") == F.col("_dropped"), "left_anti")
+    dropped = near_duplicates(docs, key, text).where(~F.col("kept")).select(F.col("doc_id").alias("__dropped")).distinct()
+    return docs.join(dropped, F.col(key).cast("long") == F.col("__dropped"), "left_anti")
 
 
 @query()

@@ -1,4 +1,4 @@
 """Imports every module of this subpackage that registers queries."""
 
-from taskweave.llm import chat, orderminhash, packing, pii, quality, substrings, suffixes  # noqa: F401
+from taskweave.llm import chat, linededup, orderminhash, packing, pii, quality, substrings, suffixes  # noqa: F401
 from taskweave.llm.registry import QUERIES, SQL  # noqa: F401
