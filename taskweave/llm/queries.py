@@ -1,4 +1,15 @@
 """Imports every module of this subpackage that registers queries."""
 
-from taskweave.llm import chat, linededup, orderminhash, packing, pii, quality, substrings, suffixes, vectors  # noqa: F401
+from taskweave.llm import (  # noqa: F401
+    chat,
+    linededup,
+    orderminhash,
+    packing,
+    pii,
+    quality,
+    sentencepieces,
+    substrings,
+    suffixes,
+    vectors,
+)
 from taskweave.llm.registry import QUERIES, SQL  # noqa: F401
