@@ -29,9 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return the written table."""
+def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
+    """Write ``df`` once and return the written table; ``options`` are those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/taskweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
