@@ -5,7 +5,7 @@ per position:
 
 1. Units are hashed, and of every window the smallest hash of ``gram`` units in a row is its *anchor*. Equal windows
    have equal anchors, and neighbouring windows mostly share theirs.
-2. Documents are dealt into chunks of a few megabytes. A chunk sends the distinct anchors it holds, packed in one binary
+2. Documents (but for copies of whole texts) are dealt into chunks of a few megabytes. A chunk sends the distinct anchors it holds, packed in one binary
    row for each bucket of anchor values, so an anchor that every document holds is sent once a chunk.
 3. A bucket answers every chunk with one bit for each anchor: does it occur in another chunk, or in two documents of
    this one?
@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,44 +58,56 @@ def mix(h: np.ndarray, turn: int = 0) -> np.ndarray:
 
 
 def grams(units: np.ndarray, n: int, turn: int = 0) -> np.ndarray:
-    """Hash of the ``n`` units from each place on."""
+    """Hash of the ``n`` units from each place on, put together from those of 1, 2, 4, ... units."""
     count = len(units) - n + 1
     if count <= 0:
         return np.empty(0, np.uint64)
-    out = np.zeros(count, np.uint64)
+    power, size, piece = np.uint64(_ODD[4]), 1, units
+    out, done = None, 0
     with np.errstate(over="ignore"):
-        for i in range(n):
-            out = out * np.uint64(_ODD[4]) + units[i : i + count]
+        while True:
+            if n & size:
+                part = piece[done : done + count]
+                out = part.copy() if out is None else out * power + part
+                done += size
+            if size * 2 > n:
+                break
+            piece = piece[:-size] * power + piece[size:]
+            power, size = power * power, size * 2
     return np.minimum(mix(out, turn), _TOP - np.uint64(1))
 
 
-def sliding(values: np.ndarray, size: int, least: bool = True) -> np.ndarray:
-    """Smallest (or largest) of each ``size`` values in a row."""
-    n = len(values)
-    if n < size:
+def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
+    """Smallest of each ``size`` values in a row, from those of 1, 2, 4, ... values."""
+    if len(values) < size:
         return np.empty(0, values.dtype)
-    op, fill = (np.minimum, _TOP) if least else (np.maximum, np.uint64(0))
-    padded = np.full(-(-n // size) * size, fill, values.dtype)
-    padded[:n] = values
-    rows = padded.reshape(-1, size)
-    ahead = op.accumulate(rows, axis=1).ravel()
-    behind = op.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    return op(behind[: n - size + 1], ahead[size - 1 : n])
-
-
-def anchored(units: np.ndarray, starts: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash of each gram, smallest one of each window (top value: no whole window there), places that are some window's anchor."""
-    g = grams(units, gram)
-    span = window - gram + 1
-    low = sliding(g, span)
-    inside = np.zeros(len(low), bool)
-    for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
-        if b - a >= window:
-            inside[a : b - window + 1] = True
-    top = np.where(inside, low, np.uint64(0))
-    around = sliding(np.concatenate([np.zeros(span - 1, np.uint64), top, np.zeros(span - 1, np.uint64)]), span, least=False)
-    chosen = np.flatnonzero(g == around[: len(g)]) if len(low) else np.empty(0, np.int64)
-    return g, np.where(inside, low, _TOP), chosen
+    low, reach = values, 1
+    while reach * 2 <= size:
+        low, reach = np.minimum(low[:-reach], low[reach:]), reach * 2
+    rest = size - reach
+    return np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+
+
+def anchored(
+    units: np.ndarray, starts: np.ndarray, window: int, gram: int, at_once: int = 1 << 18
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor: the anchors, the first windows and the ends; no run leaves its text.
+
+    Texts are taken ``at_once`` units at a time, so that what is in hand stays small; a longer text is taken by itself.
+    """
+    found = []
+    at = 0
+    while at + 1 < len(starts):
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + at_once, side="right")) - 1)
+        base = starts[at]
+        low = sliding_min(grams(units[base : starts[stop]], gram), window - gram + 1)
+        # the windows of each text that start in its last units would run into the next text
+        ends = np.repeat(starts[at + 1 : stop + 1] - base, np.diff(starts[at : stop + 1]))[: len(low)]
+        first, end = runs(np.arange(len(low)) + window <= ends, low)
+        found.append((low[first], first + base, end + base))
+        at = stop
+    empty = np.empty(0, np.int64)
+    return tuple(np.concatenate([e, *parts]) for e, parts in zip((empty.astype(np.uint64), empty, empty), zip(*found) if found else ((), (), ())))
 
 
 def runs(keep: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,16 +119,22 @@ def runs(keep: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + 1
 
 
-def _sha(content: bytes) -> bytes:
-    return hashlib.blake2b(content, digest_size=16).digest()
+def _name(content: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
 
 
-def _anchors_of(table: pa.Table, units: Units):
-    table = table.combine_chunks()
-    table = table.sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
+def _anchors_of(table: pa.Table, copies: pa.Table, units: Units):
+    """The texts of a chunk but for copies, in the order of their documents, and their runs."""
+    table = table.combine_chunks().sort_by([("doc_id", "ascending"), ("text_hash", "ascending")])
+    if copies.num_rows:
+        known = set(zip(copies.column("doc_id").to_pylist(), copies.column("text_hash").to_pylist()))
+        pairs = zip(table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist())
+        table = table.filter(pa.array([pair not in known for pair in pairs], pa.bool_()))
     texts = table.column("text").combine_chunks()
+    if isinstance(texts, pa.ChunkedArray):
+        texts = pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
     hashes, starts, content = units.read(texts)
-    return table, hashes, starts, content, anchored(hashes, starts, units.window, units.gram)
+    return table, starts, content, anchored(hashes, starts, units.window, units.gram)
 
 
 def _value_rows(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -126,20 +145,21 @@ def _value_rows(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     return at[:-1], at[1:]
 
 
-def _send(table: pa.Table, units: Units, buckets: int) -> pa.Table:
+def _send(table: pa.Table, copies: pa.Table, units: Units, buckets: int) -> pa.Table:
+    if not table.num_rows:
+        return _SENT.empty_table()
     chunk = table.column("chunk")[0].as_py()
-    table, _, starts, _, (g, _, chosen) = _anchors_of(table, units)
+    table, starts, _, (anchors, first, _) = _anchors_of(table, copies, units)
     ids = table.column("doc_id").to_numpy()
-    owner = ids[np.searchsorted(starts, chosen, side="right") - 1]
-    order = np.lexsort((owner, g[chosen]))
-    value, doc = g[chosen][order], owner[order]
-    first = np.concatenate([[True], value[1:] != value[:-1]])[: len(value)]
-    at = np.flatnonzero(first)
+    order = np.argsort(anchors, kind="stable")  # documents stay in ascending order
+    value = anchors[order]
+    doc = ids[np.searchsorted(starts, first[order], side="right") - 1] if len(order) else order
+    at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
     last = np.concatenate([at[1:], [len(value)]])[: len(at)] - 1
     distinct, many = value[at], doc[at] != doc[last]
     lo, hi = _value_rows(distinct, buckets)
     rows = [(chunk, b, distinct[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(lo, hi)) if i < j]
-    return pa.Table.from_pylist([dict(zip(("chunk", "bucket", "anchors", "many"), r)) for r in rows], schema=_SENT)
+    return pa.Table.from_pylist([dict(zip(_SENT.names, r)) for r in rows], schema=_SENT)
 
 
 _SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("many", pa.binary())])
@@ -166,7 +186,7 @@ def _answer(table: pa.Table) -> pa.Table:
 PIECES = pa.schema(
     [
         ("anchor", pa.int64()),
-        ("content_id", pa.binary()),
+        ("content_id", pa.int64()),
         ("doc_id", pa.int64()),
         ("text_hash", pa.int64()),
         ("place", pa.int32()),
@@ -174,68 +194,81 @@ PIECES = pa.schema(
         ("content", pa.binary()),
     ]
 )
-PIECES_SQL = "anchor long, content_id binary, doc_id long, text_hash long, place int, windows int, content binary"
+PIECES_SQL = "anchor long, content_id long, doc_id long, text_hash long, place int, windows int, content binary"
 
 
 def _cut(table: pa.Table, answers: pa.Table, units: Units, buckets: int) -> pa.Table:
     if not table.num_rows or not answers.num_rows:
         return PIECES.empty_table()
-    table, hashes, starts, content, (g, low, chosen) = _anchors_of(table, units)
-    values = np.unique(g[chosen])
+    is_copy = pc.is_valid(answers.column("doc_id"))
+    table, starts, content, (low, first, end) = _anchors_of(table, answers.filter(is_copy), units)
+    answers = answers.filter(pc.invert(is_copy))
+    values = np.unique(low)
     repeated = np.zeros(len(values), bool)
     lo, hi = _value_rows(values, buckets)
     for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("repeated").to_pylist()):
         n = hi[b] - lo[b]
         repeated[lo[b] : hi[b]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
-    first, end = runs(low != _TOP, low)
-    kept = repeated[np.searchsorted(values, low[first])] if len(first) else np.empty(0, bool)
-    first, end = first[kept], end[kept]
+    kept = repeated[np.searchsorted(values, low)] if len(low) else np.empty(0, bool)
+    low, first, end = low[kept], first[kept], end[kept]
     owner = np.searchsorted(starts, first, side="right") - 1
-    out: dict[str, list] = {name: [] for name in PIECES.names}
-    ids, texts = table.column("doc_id").to_pylist(), table.column("text_hash").to_pylist()
-    seen: set[bytes] = set()
-    anchors = low[first].view(np.int64).tolist() if len(first) else []
-    for anchor, a, b, t in zip(anchors, first.tolist(), end.tolist(), owner.tolist()):
-        base = int(starts[t])
-        body = content(t, a - base, b - base + units.window - 1)
-        name = _sha(body)
-        out["anchor"].append(anchor)
-        out["content_id"].append(name)
-        out["doc_id"].append(ids[t])
-        out["text_hash"].append(texts[t])
-        out["place"].append(a - base)
-        out["windows"].append(b - a)
-        out["content"].append(None if name in seen else body)
-        seen.add(name)
-    return pa.Table.from_pydict(out, schema=PIECES)
-
-
-def chunked(docs: DataFrame, units: Units, total_bytes: int) -> DataFrame:
-    """``doc_id, text_hash, text, chunk`` with chunks of about ``units.chunk_bytes``."""
-    n = max(1, total_bytes // units.chunk_bytes)
-    chunk = F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("chunk")), F.lit(n)).alias("chunk")
-    return docs.select("doc_id", "text_hash", "text", chunk)
+    base = starts[owner]
+    names, contents = [], []
+    seen: set[tuple[int, int]] = set()
+    places = zip(low.tolist(), (first - base).tolist(), (end - base + units.window - 1).tolist(), owner.tolist())
+    for anchor, a, b, t in places:
+        body = content(t, a, b)
+        name = _name(body)
+        names.append(name)
+        contents.append(None if (anchor, name) in seen else body)
+        seen.add((anchor, name))
+    who = pa.array(owner)
+    return pa.Table.from_arrays(
+        [
+            pa.array(low.view(np.int64)),
+            pa.array(names, pa.int64()),
+            table.column("doc_id").take(who),
+            table.column("text_hash").take(who),
+            pa.array((first - base).astype(np.int32)),
+            pa.array((end - first).astype(np.int32)),
+            pa.array(contents, pa.binary()),
+        ],
+        schema=PIECES,
+    )
 
 
-def pieces(docs: DataFrame, units: Units, total_bytes: int, total_units: int) -> DataFrame:
-    """The pieces of ``docs`` (``doc_id``, ``text_hash``, ``text``, none of them null); see the head of this module."""
-    dealt = chunked(docs, units, total_bytes)
+def _chunk(n: int) -> Column:
+    return F.pmod(F.xxhash64("doc_id", "text_hash", F.lit("chunk")), F.lit(n)).alias("chunk")
+
+
+def copied(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_hash`` of the documents whose whole text a document with a smaller id has."""
+    named = docs.select("doc_id", "text_hash", F.xxhash64("text", F.lit(1)).alias("h2"), F.length("text").alias("n"))
+    first = named.groupBy("text_hash", "h2", "n").agg(F.min("doc_id").alias("first"))
+    return named.join(first, ["text_hash", "h2", "n"]).where("doc_id > first").select("doc_id", "text_hash").distinct()
+
+
+def pieces(docs: DataFrame, copies: DataFrame, units: Units, total_bytes: int, total_units: int) -> DataFrame:
+    """The pieces of ``docs`` (``doc_id``, ``text_hash``, ``text``, none of them null) but for ``copies``."""
+    n = max(1, total_bytes // units.chunk_bytes)
+    dealt = docs.select("doc_id", "text_hash", "text", _chunk(n))
+    noted = copies.select(_chunk(n), "doc_id", "text_hash")
     density = 2 / (units.window - units.gram + 2)
     buckets = max(1, int(total_units * density / 2_000_000))
-    sent = dealt.groupBy("chunk").applyInArrow(
-        lambda t: _send(t, units, buckets), "chunk long, bucket long, anchors binary, many binary"
+    by_chunk = dealt.groupBy("chunk")
+    sent = by_chunk.cogroup(noted.groupBy("chunk")).applyInArrow(
+        lambda a, b: _send(a, b, units, buckets), "chunk long, bucket long, anchors binary, many binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, repeated binary")
-    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        lambda a, b: _cut(a, b, units, buckets), PIECES_SQL
-    )
+    both = answers.unionByName(noted, allowMissingColumns=True)
+    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(lambda a, b: _cut(a, b, units, buckets), PIECES_SQL)
 
 
 def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
     """Pieces cut again by the smallest gram in another order of hashes; in the last turn, each window by itself.
 
-    ``rows``: ``anchor, content_id, shift, windows, doc_id, content``; ``shift`` is the first window's place in the piece
-    that ``content_id`` names.
+    ``rows``: ``party, anchor, content_id, shift, windows, doc_id, content``: ``shift`` is the first window's place in the
+    piece that ``anchor`` and ``content_id`` name, ``party`` the key under which rows meet.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,11 +280,12 @@ def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
                 if turn >= 4:
                     low = grams(hashes, units.window)
                 else:
-                    low = sliding(grams(hashes, units.gram, turn), units.window - units.gram + 1)
+                    low = sliding_min(grams(hashes, units.gram, turn), units.window - units.gram + 1)
                 first, end = runs(np.ones(len(low), bool), low)
                 for a, b in zip(first.tolist(), end.tolist()):
-                    anchor = mix(np.array([row["anchor"]], np.int64).view(np.uint64) ^ low[a], turn)
-                    out["anchor"].append(int(anchor.view(np.int64)[0]))
+                    party = mix(np.array([row["party"]], np.int64).view(np.uint64) ^ low[a : a + 1], turn)
+                    out["party"].append(int(party.view(np.int64)[0]))
+                    out["anchor"].append(row["anchor"])
                     out["content_id"].append(row["content_id"])
                     out["shift"].append(row["shift"] + a)
                     out["windows"].append(b - a)
@@ -262,43 +296,41 @@ def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
-def text_key() -> Column:
-    return F.xxhash64("text").alias("text_hash")
-
-
 Engine = Callable[[pa.Table], pa.Table]
-_ROWS = "anchor long, content_id binary, shift int, windows int, doc_id long, content binary"
-FOUND = pa.schema([("content_id", pa.binary()), ("low", pa.int32()), ("high", pa.int32()), ("first_doc", pa.int64())])
-FOUND_SQL = "content_id binary, low int, high int, first_doc long"
+FOUND = pa.schema([("anchor", pa.int64()), ("content_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("first_doc", pa.int64())])
+FOUND_SQL = "anchor long, content_id long, low int, high int, first_doc long"
 LAST_TURN = 4
+WHOLE = 2**31 - 1
 
 
 def first_holders(
     found: DataFrame, units: Units, engine: Engine, shard_units: int, most_contents: int = 500
 ) -> DataFrame:
-    """``content_id, low, high, first_doc``: the smallest document that holds the windows ``[low, high)`` of a content.
+    """``anchor, content_id, low, high, first_doc``: the smallest document that holds the windows ``[low, high)`` of a content.
 
     An anchor with many different contents (a common line in ever new surroundings) is cut finer before the engine sees
     it, so what meets in one shard is bounded; the last turn leaves single windows, of which equal ones alone meet.
     """
     rows = found.where(F.col("content").isNotNull()).select(
-        "anchor", "content_id", F.lit(0).alias("shift"), "windows", "doc_id", "content"
+        F.col("anchor").alias("party"), "anchor", "content_id", F.lit(0).alias("shift"), "windows", "doc_id", "content"
     )
     cool: list[DataFrame] = []
     for turn in range(1, LAST_TURN + 1):
-        counts = rows.groupBy("anchor").agg(F.count("*").alias("n"))
-        hot = stage(counts.where(F.col("n") > most_contents).select("anchor"), "hot-anchors")
+        counts = rows.groupBy("party").agg(F.count("*").alias("n"))
+        hot = stage(counts.where(F.col("n") > most_contents).select("party"), "hot-anchors")
         if hot.isEmpty():
             break
-        cool.append(rows.join(hot, "anchor", "left_anti"))
-        rows = stage(refined(rows.join(hot, "anchor", "left_semi"), units, turn), "refined")
+        cool.append(rows.join(hot, "party", "left_anti"))
+        rows = stage(refined(rows.join(hot, "party", "left_semi"), units, turn), "refined", compression="zstd")
     cool.append(rows)
     every = cool[0]
     for more in cool[1:]:
         every = every.unionByName(more)
     sizes = [c.agg(F.sum(F.col("windows") + units.window)).first()[0] or 0 for c in cool]
     shards = max(1, -(-sum(sizes) // shard_units))
-    sharded = every.withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
+    sharded = every.select(
+        F.pmod(F.xxhash64("party"), F.lit(shards)).alias("shard"), "anchor", "content_id", "shift", "doc_id", "content"
+    )
     return sharded.groupBy("shard").applyInArrow(engine, FOUND_SQL)
 
 
@@ -307,15 +339,17 @@ def spans_of_repeats(
 ) -> DataFrame:
     """``doc_id, text_hash, spans``: units covered by windows that a document with a smaller id holds too.
 
-    ``docs`` needs ``doc_id, text_hash, text``; spans are sorted (start, end) pairs that may overlap.
+    ``docs`` needs ``doc_id, text_hash, text``; spans are sorted (start, end) pairs that may overlap. A copy of a whole
+    text is told by one span that ends at ``WHOLE``, and takes no part in the search.
     """
     whole = docs.where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    found = stage(pieces(whole, units, total, int(total * units_per_byte)), "pieces")
+    copies = stage(copied(whole), "copies")
+    found = stage(pieces(whole, copies, units, total, int(total * units_per_byte)), "pieces", compression="zstd")
     holders = first_holders(found, units, engine, shard_units)
     covered = (
-        found.select("content_id", "doc_id", "text_hash", "place")
-        .join(holders, "content_id")
+        found.select("anchor", "content_id", "doc_id", "text_hash", "place")
+        .join(holders, ["anchor", "content_id"])
         .where(F.col("first_doc") < F.col("doc_id"))
         .select(
             "doc_id",
@@ -326,7 +360,10 @@ def spans_of_repeats(
             ).alias("span"),
         )
     )
-    return covered.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    every = covered.unionByName(
+        copies.select("doc_id", "text_hash", F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end")).alias("span"))
+    )
+    return every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("spans"))
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -334,9 +371,18 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return docs.join(spans, ["doc_id", "text_hash"], "left")
 
 
-def covered_mask(n: int, spans: list | None) -> np.ndarray:
+def covered_mask(n: int, spans: list | None, window: int) -> np.ndarray:
     steps = np.zeros(n + 1, np.int64)
     for span in spans or ():
+        end = span["end"]
+        if end == WHOLE:
+            if n < window:
+                continue
+            end = n
         steps[span["start"]] += 1
-        steps[span["end"]] -= 1
+        steps[end] -= 1
     return np.cumsum(steps[:n]) > 0
+
+
+def text_key() -> Column:
+    return F.xxhash64("text").alias("text_hash")

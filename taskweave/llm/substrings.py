@@ -149,20 +149,22 @@ def value_runs(values: list) -> Iterator[tuple[int, int, int]]:
 
 def match_shard(shard: pa.Table) -> pa.Table:
     """``FOUND`` rows of the contents of one shard."""
-    rows = shard.select(["doc_id", "content_id", "shift", "content"]).sort_by([("doc_id", "ascending"), ("content_id", "ascending")])
+    rows = shard.select(["doc_id", "anchor", "content_id", "shift", "content"]).sort_by(
+        [("doc_id", "ascending"), ("anchor", "ascending"), ("content_id", "ascending")]
+    )
     automaton, numbers = SuffixAutomaton(), {}
-    contents: dict[tuple[bytes, int], list[int]] = {}
+    contents: dict[tuple[int, int, int], list[int]] = {}
     for row in rows.to_pylist():
-        key = (row["content_id"], row["shift"])
+        key = (row["anchor"], row["content_id"], row["shift"])
         if key not in contents:
             contents[key] = [numbers.setdefault(w, len(numbers)) for w in row["content"].split(b" ")]
             automaton.add(contents[key], row["doc_id"])
     out = [
-        (name, shift + low, shift + high, first)
-        for (name, shift), words in contents.items()
+        (anchor, name, shift + low, shift + high, first)
+        for (anchor, name, shift), words in contents.items()
         for low, high, first in value_runs(automaton.firsts(words, WINDOW))
     ]
-    columns = list(zip(*out)) or [[], [], [], []]
+    columns = list(zip(*out)) or [[]] * len(FOUND)
     return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, FOUND.types)], schema=FOUND)
 
 
@@ -181,7 +183,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
             starts, words = words_of(batch.column("text"))
             total = np.diff(starts)
             spans = batch.column("spans").to_pylist()
-            gone = np.concatenate([np.empty(0, bool), *(covered_mask(n, s) for n, s in zip(total.tolist(), spans))])
+            gone = np.concatenate([np.empty(0, bool), *(covered_mask(n, s, WINDOW) for n, s in zip(total.tolist(), spans))])
             owner = np.repeat(np.arange(len(total)), total)
             removed = np.bincount(owner[gone], minlength=len(total))
             ends = np.concatenate([[0], np.cumsum(total - removed)]).astype(np.int32)

@@ -15,7 +15,8 @@ into groups of a bounded number of bytes. In the task of a group
    were in different intervals: after 50 bytes, the intervals are the runs of rotations with a common prefix of 50, and
    the smallest document in an interval is the first holder of its window.
 
-Several bytes make a block as long as there are no more than 65,536 different ones, so that slots are sorted by two bytes
+A content that is the only one of its anchor shares no window with any other and is not merged with anything. Several
+bytes make a block as long as there are no more than 65,536 different ones, so that slots are sorted by two bytes
 whatever the text is. Every copy of a content gets its verdict by a join.
 
 Defined results: a null text counts as empty; texts under 50 bytes stay whole; rows with a null id are kept whole and are
@@ -25,6 +26,7 @@ span may cut a character, so what is kept is bytes; other columns are ignored; a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,9 +38,10 @@ from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
 from taskweave.llm.repeats import FOUND, Units, covered_mask, mix, spans_of_repeats, text_key, with_spans
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 20
 SHARDS = 8
 _CODES = 1 << 16
+_BYTE_HASH = mix(np.arange(1, 257, dtype=np.uint64))
 
 
 def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -51,16 +54,12 @@ def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _read(texts: pa.Array):
     held, starts = _bytes_of(texts)
-    view = memoryview(held)
-    return (
-        mix(held.astype(np.uint64) + np.uint64(1)),
-        starts,
-        lambda text, a, b: bytes(view[starts[text] + a : starts[text] + b]),
-    )
+    view, at = memoryview(held), starts.tolist()
+    return _BYTE_HASH[held], starts, lambda text, a, b: bytes(view[at[text] + a : at[text] + b])
 
 
 BYTES = Units(
-    _read, lambda c: mix(np.frombuffer(c, np.uint8).astype(np.uint64) + np.uint64(1)), lambda c, a, b: c[a:b], WINDOW, GRAM
+    _read, lambda c: _BYTE_HASH[np.frombuffer(c, np.uint8)], lambda c, a, b: c[a:b], WINDOW, GRAM
 )
 
 
@@ -95,28 +94,35 @@ def blocks_before(text: np.ndarray, size: int) -> np.ndarray:
     return key
 
 
-def coded_blocks(shards: list[np.ndarray], size: int) -> list[np.ndarray] | None:
+def coded_blocks(shards: list[np.ndarray], size: int) -> np.ndarray | None:
     """The blocks of all shards as codes of two bytes in their order, if there are few enough."""
     blocks = np.concatenate([blocks_before(s, size) for s in shards])
     if size > 2:
-        distinct, codes = np.unique(blocks, return_inverse=True)
+        ordered = np.sort(blocks)
+        distinct = ordered[np.concatenate([[True], ordered[1:] != ordered[:-1]])]
         if len(distinct) > _CODES:
             return None
-        blocks = codes
-    return np.split(blocks.astype(np.uint16), np.cumsum([len(s) for s in shards])[:-1])
+        blocks = np.searchsorted(distinct, blocks)
+    return blocks.astype(np.uint16)
 
 
 def merged(shards: list[np.ndarray], orders: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """The interleave of the shards' rotations in the order of their first ``depth`` bytes, and where intervals start."""
     total = sum(map(len, shards))
-    size = next(m for m in (4, 3, 2) if m == 2 or coded_blocks(shards, m) is not None)
+    before = np.cumsum([0, *map(len, shards)])
+    ordered = np.concatenate([o + a for o, a in zip(orders, before)])
+    transforms: dict[int, np.ndarray] = {}
+    for size in (4, 3, 2):
+        codes = coded_blocks(shards, size)
+        if codes is not None:
+            transforms[size] = codes[ordered]
+            break
+    if depth % size:  # fewer bytes than a block that has codes, so these have codes too
+        transforms[depth % size] = coded_blocks(shards, depth % size)[ordered]
     sizes = ([depth % size] if depth % size else []) + [size] * (depth // size)
     source = np.repeat(np.arange(len(shards), dtype=np.uint8), [len(s) for s in shards])
     interval = np.zeros(total, np.int32)
-    transforms: dict[int, np.ndarray] = {}
     for m in sizes:
-        if m not in transforms:
-            transforms[m] = np.concatenate([c[o] for c, o in zip(coded_blocks(shards, m), orders)])
         block = np.empty(total, np.uint16)
         block[np.argsort(source, kind="stable")] = transforms[m]
         moved = np.argsort(block, kind="stable")
@@ -151,22 +157,32 @@ def first_docs(contents: list[bytes], docs: np.ndarray, window: int = WINDOW, sh
 
 def merge_group(group: pa.Table) -> pa.Table:
     """``FOUND`` rows of the contents of one group."""
-    rows = group.select(["doc_id", "content_id", "shift", "content"]).sort_by([("doc_id", "ascending"), ("content_id", "ascending")])
-    contents: dict[tuple[bytes, int], tuple[bytes, int]] = {}
-    for row in rows.to_pylist():
-        contents.setdefault((row["content_id"], row["shift"]), (row["content"], row["doc_id"]))
-    names = list(contents)
-    firsts = first_docs([c for c, _ in contents.values()], np.array([d for _, d in contents.values()], np.int64))
+    rows = group.select(["doc_id", "anchor", "content_id", "shift", "content"]).sort_by(
+        [("doc_id", "ascending"), ("anchor", "ascending"), ("content_id", "ascending")]
+    )
+    contents: dict[tuple[int, int, int], tuple[bytes, int]] = {}
+    for row in zip(*(rows.column(c).to_pylist() for c in ("anchor", "content_id", "shift", "content", "doc_id"))):
+        contents.setdefault(row[:3], row[3:])
+    # equal windows have equal anchors: the only content of an anchor is a merged transform as it is
+    several = Counter(anchor for anchor, _, _ in contents)
+    alone = [key for key in contents if several[key[0]] == 1]
+    shared = [key for key in contents if several[key[0]] > 1]
+    names = alone + shared
+    firsts = [np.full(len(contents[key][0]) - WINDOW + 1, contents[key][1], np.int64) for key in alone]
+    if shared:
+        docs = np.array([contents[key][1] for key in shared], np.int64)
+        firsts += first_docs([contents[key][0] for key in shared], docs)
     lengths = np.array([len(f) for f in firsts])
     every, owner = np.concatenate(firsts), np.repeat(np.arange(len(firsts)), lengths)
     begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
     at = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]))
     end = np.concatenate([at[1:], [len(every)]])
     who = owner[at]
-    shift = np.array([s for _, s in names])[who]
+    anchor, content, shift = np.array(names, np.int64)[who].T
     return pa.Table.from_arrays(
         [
-            pa.array([n for n, _ in names], pa.binary()).take(pa.array(who)),
+            pa.array(anchor),
+            pa.array(content),
             pa.array(shift + at - begin[who], pa.int32()),
             pa.array(shift + end - begin[who], pa.int32()),
             pa.array(every[at], pa.int64()),
@@ -190,7 +206,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
             held, starts = _bytes_of(batch.column("text"))
             removed, runs, kept = [], [], []
             for a, b, spans in zip(starts[:-1].tolist(), starts[1:].tolist(), batch.column("spans").to_pylist()):
-                gone = covered_mask(b - a, spans)
+                gone = covered_mask(b - a, spans, WINDOW)
                 removed.append(int(gone.sum()))
                 runs.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum()))
                 kept.append(held[a:b][~gone].tobytes())
