@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -120,22 +120,18 @@ def _buckets(lines: DataFrame, threshold: int, shortest: int) -> DataFrame:
     return lines.select("h1", "line").mapInArrow(run, "bucket long, h1 long")
 
 
-def _tested(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    left = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
+def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("line_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("line_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            far = [
-                edit_distance(x, y, 2 * threshold) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(far, pa.int64()), pa.array([d <= threshold for d in far], pa.bool_())],
-                names=["a", "b", "distance", "linked"],
-            )
+            sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = pa.array([edit_distance(x, y, threshold) <= threshold for x, y in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
-    return held.mapInArrow(run, "a long, b long, distance long, linked boolean")
+    return held.mapInArrow(run, "a long, b long")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -157,18 +153,18 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int =
     dealt = _buckets(lines, threshold, shortest).repartition("bucket")
     ends = dealt.groupBy("bucket").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
     crowded = stage(dealt.join(ends, "bucket").select("bucket", "h1").distinct(), "crowded")
-    members = stage(
-        crowded.join(known.select("h1", "id"), "h1").select("bucket", "id", F.lit(0).alias("n")).distinct(), "members"
-    )
-    wanted = members.select("id").distinct().join(known.select("id", "first"), "id").select("id", "first.*")
-    per_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
-    named = docs.join(per_doc, ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-    texts = stage(named.select("w.id", F.col("all")[F.col("w.place")].alias("line")).dropDuplicates(["id"]), "texts")
+    members = crowded.join(known.select("h1", "id"), "h1").select("bucket", "id").distinct()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = ids.join(known.select("id", "first"), "id").select("id", "first.*")
+        per_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
+        named = docs.join(per_doc, ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+        return named.select("w.id", F.col("all")[F.col("w.place")].alias("text")).dropDuplicates(["id"])
 
-    def close(d1: Column, n1: Column, d2: Column, n2: Column) -> Column:
-        return F.abs(d1 - d2) <= threshold
+    def compare(found: list[str]):
+        return lambda i, j: edit_distance(found[i], found[j], threshold) <= threshold
 
-    groups = linked_groups(members, lambda pairs: _tested(pairs, texts, threshold), close)
+    groups = linked_groups(members, texts_of, lambda pairs, texts: _links(pairs, texts, threshold), compare)
     owned = known.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = owned.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1")
     late = owned.join(heads.select("component", "head"), "component").select("h1", "h2", "head")

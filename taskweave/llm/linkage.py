@@ -1,42 +1,68 @@
 """Connected groups from candidate buckets, without writing out all pairs of a bucket.
 
 Members of a bucket are first held against its leader, the smallest id. Where that and other buckets leave a bucket in
-more than one piece, the members outside its largest piece are held against the members of other pieces. A pair is
-spared only where the distances to the leader prove that it can't be a link (``close``), so the groups are those that
-all pairs of all buckets would give.
+more than one piece, the members outside its largest piece meet the members of other pieces inside tasks, in tiles of a
+bounded number of rows, and only links come out. The groups are those that all pairs of all buckets would give.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.staging import stage
 
-#: pairs (a, b) -> tested pairs (a, b, distance, linked)
-Verify = Callable[[DataFrame], DataFrame]
+#: pairs (a, b), texts (id, text) -> those pairs that are links
+Verify = Callable[[DataFrame, DataFrame], DataFrame]
+#: texts -> is the pair of the i-th and the j-th a link?
+Compare = Callable[[list[str]], Callable[[int, int], bool]]
+TILE = 400
 
 
-def components(edges: DataFrame) -> DataFrame:
+def _star(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(smallest id, id) for each id of a task's edges: what they connect, with one edge for each id."""
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    for batch in edges:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    ids = list(parent)
+    yield pa.RecordBatch.from_arrays([pa.array(map(root, ids), pa.int64()), pa.array(ids, pa.int64())], names=["a", "b"])
+
+
+def components(edges: DataFrame, edges_of_a_task: int = 2_000_000) -> DataFrame:
     """``id, component`` (smallest id that can be reached) for every id of ``edges`` (a, b).
 
-    Alternates large-star and small-star steps; each turn is written, so the lineage stays short. Smallest neighbours come
-    from an aggregation, so an id with very many edges is summed on the map side.
+    Each task first connects the edges it holds, and passes on one edge for each id. If that took more than one task, large-star
+    and small-star steps alternate until nothing changes; each turn is written, so the lineage stays short. Smallest
+    neighbours come from an aggregation, so an id with very many edges is summed on the map side.
     """
-    pairs = stage(_ordered(edges.select("a", "b")), "edges")
-    ids = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    known = None
+    given = stage(edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")), "edges")
+    tasks = max(1, -(-given.count() // edges_of_a_task))
+    stars = stage(given.coalesce(tasks).mapInArrow(_star, "a long, b long"), "edges")
+    if tasks == 1:
+        return stars.select(F.col("b").alias("id"), F.col("a").alias("component"))
+    ids = stars.select(F.col("b").alias("id")).distinct()
+    pairs, known = stage(_ordered(stars), "edges"), None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         larger = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         large = stage(_ordered(larger), "edges")
-        low = large.groupBy(F.col("b").alias("a")).agg(F.min("a").alias("low"))
-        small = large.join(low, large["b"] == low["a"]).select(large["a"].alias("n"), "low", large["b"].alias("u"))
-        stars = small.select(F.col("n").alias("a"), F.col("low").alias("b")).union(small.select("u", "low"))
-        pairs = stage(_ordered(stars), "edges")
+        low = large.groupBy(F.col("b").alias("u")).agg(F.min("a").alias("low"))
+        small = large.join(low, large["b"] == low["u"]).select("a", "u", "low")
+        joined = small.select("a", F.col("low").alias("b")).union(small.select(F.col("u").alias("a"), F.col("low").alias("b")))
+        pairs = stage(_ordered(joined), "edges")
         now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == known:
             break
@@ -47,48 +73,93 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     """Each undirected pair once, as a < b."""
-    a, b = pairs.columns
-    return pairs.where(F.col(a) != F.col(b)).select(
-        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
-    ).distinct()
+    return pairs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def linked_groups(members: DataFrame, verify: Verify, close: Callable[[Column, Column, Column, Column], Column]) -> DataFrame:
-    """``id, component`` of the ids that have links.
+def linked_groups(
+    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verify: Verify, compare: Compare, tile: int = TILE
+) -> DataFrame:
+    """``id, component`` of the ids that have links, from ``members`` (bucket, id).
 
-    ``members``: ``bucket, id, n`` (``n`` is what ``close`` needs to know of an id). ``close(d1, n1, d2, n2)``: may two
-    members at distances ``d1`` and ``d2`` from the same leader still be a link?
+    ``texts_of`` gives (id, text) for a table of ids.
     """
-    sizes = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("most"))
-    shared = stage(
-        members.join(sizes.where("leader < most"), "bucket").select("bucket", "id", "n", "leader").distinct(), "buckets"
+    sizes = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
+    shared = stage(members.join(sizes.select("bucket", "leader"), "bucket").distinct(), "buckets")
+    texts = stage(texts_of(shared.select("id").distinct()), "texts", compression="zstd")
+    pairs = shared.where("id != leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+    links = stage(verify(pairs, texts).select("a", "b"), "links")
+    groups = components(links)
+
+    placed = shared.join(groups, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
+    ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    torn = stage(placed.join(ends.select("bucket"), "bucket"), "torn")
+    if torn.isEmpty():
+        return groups
+    more = stage(_across(torn, texts, compare, tile), "links")
+    return components(links.unionByName(more))
+
+
+def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int) -> DataFrame:
+    """Links (a, b) between the pieces of torn buckets: enough of them to join what links join.
+
+    The members outside a bucket's largest piece meet all members of the bucket, tile by tile. A pair that shares several
+    buckets is looked at in the first one, and pairs that a tile's links have already joined are passed over.
+    """
+    piece = torn.groupBy("bucket", "component").agg(F.count("*").alias("c"))
+    main = piece.groupBy("bucket").agg(
+        F.max_by("component", F.struct("c", "component")).alias("main"), F.sum("c").alias("all"), F.max("c").alias("largest")
     )
-    first = shared.where("id > leader").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    tested = stage(verify(first), "tested")
-    groups = stage(components(tested.where("linked")), "groups")
-
-    placed = (
-        shared.join(groups, "id", "left")
-        .select("bucket", "id", "n", "leader", F.coalesce("component", "id").alias("component"))
-        .join(tested.select(F.col("a").alias("leader"), F.col("b").alias("id"), "distance"), ["leader", "id"], "left")
-        .withColumn("distance", F.coalesce("distance", F.lit(0)))
+    counted = main.select(
+        "bucket",
+        "main",
+        F.ceil(F.col("all") / tile).alias("rows"),
+        F.ceil((F.col("all") - F.col("largest")) / tile).alias("columns"),
     )
-    torn = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    placed = stage(placed.join(torn.select("bucket"), "bucket"), "torn")
-    piece = placed.groupBy("bucket", "component").agg(F.count("*").alias("c"))
-    main = piece.groupBy("bucket").agg(F.max_by("component", F.struct("c", "component")).alias("main"))
-    rest = placed.join(main, "bucket").where("component != main")
-    x, y = rest.alias("x"), placed.alias("y")
-    across = (
-        x.join(y, "bucket")
-        .where("x.component != y.component AND (y.component = x.main OR x.id < y.id) AND y.id != y.leader")
-        .where(close(F.col("x.distance"), F.col("x.n"), F.col("y.distance"), F.col("y.n")))
-        .where("x.id != x.leader")
-        .select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-        .distinct()
-        .join(tested.select("a", "b"), ["a", "b"], "left_anti")
+    own = torn.groupBy("id").agg(F.sort_array(F.collect_set("bucket")).alias("buckets"))
+    zero = F.lit(0).cast("long")
+    row, column = F.pmod(F.xxhash64("id"), F.col("rows")), F.pmod(F.xxhash64("id", F.lit(1)), F.col("columns"))
+    as_row = F.transform(F.sequence(zero, F.col("columns") - 1), lambda c: F.struct(F.col("row").alias("r"), c.alias("c"), F.lit(False).alias("apart")))
+    as_column = F.transform(F.sequence(zero, F.col("rows") - 1), lambda r: F.struct(r.alias("r"), F.col("column").alias("c"), F.lit(True).alias("apart")))
+    none = F.slice(as_column, 1, 0)
+    spread = (
+        torn.join(counted, "bucket")
+        .withColumns({"row": row, "column": column})
+        .select(
+            "bucket",
+            "id",
+            "component",
+            (F.col("component") == F.col("main")).alias("central"),
+            F.explode(F.concat(as_row, F.when(F.col("component") != F.col("main"), as_column).otherwise(none))).alias("p"),
+        )
+        .select("bucket", "id", "component", "central", "p.*")
     )
-    more = stage(verify(across).where("linked"), "tested")
-    if more.isEmpty():
-        return groups
-    return components(tested.where("linked").select("a", "b").unionByName(more.select("a", "b")))
+
+    def look(one: pa.Table) -> pa.Table:
+        ids, component = one.column("id").to_pylist(), one.column("component").to_pylist()
+        apart, central = one.column("apart").to_pylist(), one.column("central").to_pylist()
+        buckets = [frozenset(b) for b in one.column("buckets").to_pylist()]
+        here = one.column("bucket")[0].as_py()
+        linked = compare(one.column("text").to_pylist())
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        rows = [i for i, a in enumerate(apart) if not a]
+        a, b = [], []
+        for x in (i for i, a_ in enumerate(apart) if a_):
+            for y in rows:
+                if not central[y] and ids[x] >= ids[y]:
+                    continue
+                one_, other = root(component[x]), root(component[y])
+                if one_ != other and min(buckets[x] & buckets[y]) == here and linked(x, y):
+                    parent[one_] = other
+                    a.append(ids[x])
+                    b.append(ids[y])
+        return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    held = spread.join(own, "id").join(texts.select("id", "text"), "id")
+    return held.groupBy("bucket", "r", "c").applyInArrow(look, "a long, b long")

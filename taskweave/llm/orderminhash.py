@@ -10,8 +10,8 @@ shingles of both (common / (both - common)). The test is exact: an alignment tha
 both lengths, so it stays within that band, and a bit-parallel recurrence over the band finds it. Candidates at a similarity
 of exactly 0.8 share a band with probability 0.997, closer ones with more.
 
-Documents with the same words are one class and are sketched and compared once. Buckets are held against their leader
-first (see ``linkage``); groups are the connected components of the links.
+Documents with the same words are one class and are sketched and compared once. Buckets are not written
+out as pairs (see ``linkage``); groups are the connected components of the links.
 
 Defined results: documents without words, and rows with a null id, stand alone and are kept; documents of one to four
 words are linked to those with the same words only; the kept document of a group is that with the smallest id; rows that
@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
@@ -98,11 +98,11 @@ def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return starts, hashes[coded.indices.to_numpy(zero_copy_only=False)] if len(words) else hashes, words
 
 
-_SKETCH = "doc_id long, words_id binary, n long, bands array<long>"
+_SKETCH = "doc_id long, words_id binary, bands array<long>"
 
 
 def sketch_documents(docs: DataFrame) -> DataFrame:
-    """``doc_id, words_id`` (null: no words), ``n`` shingles, ``bands`` (none under five words)."""
+    """``doc_id, words_id`` (null: no words), ``bands`` (none under five words)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,10 +121,9 @@ def sketch_documents(docs: DataFrame) -> DataFrame:
                     [
                         batch.column(0),
                         pa.array(names, pa.binary()),
-                        pa.array(np.maximum(sizes - SHINGLE + 1, 0)),
                         pa.array(bands, pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "words_id", "n", "bands"],
+                    names=["doc_id", "words_id", "bands"],
                 )
 
     return docs.select("doc_id", "text").mapInArrow(run, _SKETCH)
@@ -166,36 +165,42 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return min(len(a) + len(b) - 2 * common, most + 1)
 
 
-def _tested(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``a, b, distance, linked`` for pairs of ids; distances beyond twice the limit count as that and one more."""
-    left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+def _sequences(texts: pa.Array) -> list[np.ndarray]:
+    starts, hashes, _ = _word_hashes(texts)
+    return [grams(hashes[i:j], SHINGLE) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())]
+
+
+def _linked(x: np.ndarray, y: np.ndarray) -> bool:
+    most = (len(x) + len(y)) // NINTH
+    return distance(x, y, most) <= most
+
+
+def _links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs of ids that are links."""
+    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
+    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sides = []
-            for c in (2, 3):
-                starts, hashes, _ = _word_hashes(batch.column(c))
-                sides.append([grams(hashes[i:j], SHINGLE) for i, j in zip(starts[:-1].tolist(), starts[1:].tolist())])
-            far, linked = [], []
-            for x, y in zip(*sides):
-                limit = (len(x) + len(y)) // NINTH
-                d = distance(x, y, 2 * limit)
-                far.append(d)
-                linked.append(d <= limit)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(far, pa.int64()), pa.array(linked, pa.bool_())],
-                names=["a", "b", "distance", "linked"],
-            )
+            sides = zip(_sequences(batch.column(2)), _sequences(batch.column(3)))
+            keep = pa.array([_linked(x, y) for x, y in sides], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    each = held.mapInArrow(run, "a long, b long, distance long, linked boolean")
-    return each.groupBy("a", "b").agg(F.min("distance").alias("distance"), F.max("linked").alias("linked"))
+    return held.mapInArrow(run, "a long, b long").distinct()
 
 
-def _close(d1: Column, n1: Column, d2: Column, n2: Column) -> Column:
-    """The distance is a metric; one that is beyond twice the limit is known from below alone."""
-    return F.abs(d1 - d2) * NINTH <= n1 + n2
+def _compare(texts: list[str]):
+    """Alignments only where the shingles in common are enough for a link, in whatever order."""
+    sequences = _sequences(pa.array(texts, pa.string()))
+    marks = [frozenset(labelled(s).tolist()) if len(s) else frozenset() for s in sequences]
+
+    def linked(i: int, j: int) -> bool:
+        total = len(sequences[i]) + len(sequences[j])
+        enough = total - 2 * len(marks[i] & marks[j]) <= total // NINTH
+        return enough and _linked(sequences[i], sequences[j])
+
+    return linked
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -205,12 +210,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     sketched = stage(sketch_documents(own), "sketches")
     known = sketched.where(F.col("doc_id").isNotNull() & F.col("words_id").isNotNull())
     classes = known.groupBy("words_id").agg(F.min("doc_id").alias("id"))
-    heads = known.join(classes, "words_id").where("doc_id = id").select("id", "n", F.explode("bands").alias("bucket"))
-    members = stage(heads.groupBy("bucket", "id").agg(F.max("n").alias("n")), "bands")
-    crowded = members.groupBy("bucket").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi")
-    wanted = members.join(crowded, "bucket").select(F.col("id").alias("doc_id")).distinct()
-    texts = stage(own.join(wanted, "doc_id", "left_semi"), "texts")
-    groups = linked_groups(members, lambda pairs: _tested(pairs, texts), _close)
+    heads = known.join(classes, "words_id").where("doc_id = id").select("id", F.explode("bands").alias("bucket"))
+    members = heads.distinct()
+
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct()
+
+    groups = linked_groups(members, texts_of, _links, _compare)
     # rows that share an id belong to one group, whatever their words
     joined = known.join(classes, "words_id").select("doc_id", "id").distinct()
     labelled_ = joined.join(groups, "id", "left").select("doc_id", F.coalesce("component", "id").alias("component"))
