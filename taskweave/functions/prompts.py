@@ -162,8 +162,8 @@ def column_selection_prompt(instruction: Column, name: Column, description: Colu
 # --- explaining, planning, transforming ---------------------------------------
 
 EXPLAIN = (
-    "Read the task and its examples and describe the task again, more clearly, with care for the form of inputs and outputs. "
-    "Describe the whole, not single examples." + SECTION + "Task: {instruction}\nExamples:\n{examples}\n"
+    "Someone who has never seen this task will have to do it. Tell them in one paragraph what they are given and what they "
+    "must hand back." + SECTION + "Task: {instruction}\nExamples:\n{examples}\n"
 )
 PLAN = (
     "Write a numbered plan that turns rows of a table into examples of a task." + SECTION
@@ -205,8 +205,8 @@ PARSE_SHOWN = (
 )
 PARSE_CASE = "The prompt:\n<<<\n{prompt}\n>>>\nIts parts as JSON:\n"
 IMAGINE = (
-    "Describe, in a few sentences, a model from a model library that would do what the instruction asks: its kind, the data it "
-    'saw, and its use.\nInstruction: "{instruction}"\nDescription:\n'
+    "Write the catalogue card of a model made for the work below: its kind, the data it saw, and its use.\n"
+    'Work: "{instruction}"\nCard:\n'
 )
 
 

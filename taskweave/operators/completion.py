@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
@@ -28,7 +28,10 @@ ClientFactory = Callable[[], Ask]
 
 # Fixed value: what a prompt gets that the provider refuses.
 FILTERED = "Invalid Request: Prompt was filtered"
+NO_ROOM = "the prompt leaves no room for an answer"
 _ANSWERS = "prompt_id {id}, choice int, content string, error string"
+# prompts of one commit when answers are kept under a path: what a broken job may have to pay twice
+CHUNK = 10_000
 
 
 class PromptRefused(Exception):
@@ -60,7 +63,7 @@ class _Pace:
             now = time.monotonic()
             while self.starts and now - self.starts[0] >= 60:
                 self.starts.popleft()
-            if len(self.starts) < max(1, int(self.limit)):
+            if len(self.starts) + 1 <= max(1.0, self.limit):
                 self.starts.append(now)
                 return
             time.sleep(60 - (now - self.starts[0]))
@@ -68,6 +71,8 @@ class _Pace:
 
 def answer_prompt(ask: Ask, prompt: str, temperature: float, budget: int, s: CallSettings) -> list[tuple[int, str, str | None]]:
     """(choice, content, error) rows for one prompt, after up to ``s.tries`` attempts."""
+    if budget <= 0:
+        return [(0, "", NO_ROOM)]
     error = None
     for attempt in range(s.tries):
         try:
@@ -103,29 +108,27 @@ def _caller(factory: ClientFactory, s: CallSettings, share: float | None):
 
 def complete(
     prompts: DataFrame, factory: ClientFactory, settings: CallSettings = CallSettings(), path: str | None = None,
-    count: Callable[[Column], Column] = token_count,
+    count: Callable[[Column], Column] = token_count, chunk: int = CHUNK,
 ) -> DataFrame:
     """(prompt_id, choice, content, error) for a table of (prompt_id, prompt[, temperature, batch_id]).
 
-    A refused prompt gets the marker text, a failing one the empty text; neither fails the others. The longest prompt
-    of a batch (of the table, without ``batch_id``) by the token counter ``count`` sets the completion budget. With ``path``, answers
-    are added to that table and prompts that it already answers are not asked again.
+    A refused prompt gets the marker text, a failing one the empty text; neither fails the others. A prompt's own length by
+    the token counter ``count`` sets its completion budget; with ``batch_id``, the longest prompt of the batch sets that of all.
+    A prompt that leaves no room is not asked and gets an error.
+
+    With ``path``, answers are kept in that table, ``chunk`` prompts to a commit. A prompt that has an answer there, or was
+    refused, under the same id, text, temperature, budget and number of responses is not asked again; failed and changed
+    prompts are. Only answers to ``prompts`` are returned.
     """
     require_columns(prompts, "prompt_id", "prompt")
     spark = prompts.sparkSession
     schema = _ANSWERS.format(id=prompts.schema["prompt_id"].dataType.simpleString())
-    if path is not None:
-        try:
-            known = spark.read.schema(schema).parquet(path)
-            prompts = prompts.join(known.select("prompt_id").distinct(), "prompt_id", "left_anti")
-        except AnalysisException:
-            pass
     sized = prompts.withColumn("n_tokens", count(F.col("prompt")))
     if "batch_id" in prompts.columns:
         longest = sized.groupBy("batch_id").agg(F.max("n_tokens").alias("longest"))
         sized = sized.join(longest, "batch_id")
     else:
-        sized = sized.withColumn("longest", sized.agg(F.max("n_tokens")).scalar())
+        sized = sized.withColumn("longest", F.col("n_tokens"))
     temperature = F.col("temperature") if "temperature" in prompts.columns else F.lit(float(settings.temperature))
     budget = completion_budget(F.col("longest"), settings.max_tokens, settings.token_buffer)
     tasks = spark.sparkContext.defaultParallelism
@@ -134,11 +137,52 @@ def complete(
         # fewer tasks than slots, so that the shares still add up to the limit
         tasks, share = max(1, int(settings.requests_per_minute)), 1.0
     asked = sized.select("prompt_id", "prompt", temperature.cast("double").alias("temperature"), budget.cast("bigint").alias("budget"))
-    answers = asked.repartition(tasks, "prompt_id").mapInPandas(_caller(factory, settings, share), schema)
+
+    def answer(rows: DataFrame) -> DataFrame:
+        return rows.repartition(tasks, "prompt_id").mapInPandas(_caller(factory, settings, share), schema)
+
     if path is None:
-        return stage(answers, "answers")
-    answers.write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+        return stage(answer(asked), "answers")
+    mark = F.md5(F.to_json(F.struct("prompt", "temperature", "budget", F.lit(settings.responses).alias("n")))).alias("asked_as")
+    asked = stage(asked.withColumn("asked_as", mark), "asked")
+    kept_as = f"{schema}, asked_as string"
+    if _exists(spark, path):
+        good = spark.read.schema(kept_as).parquet(path).where(F.col("error").isNull() | (F.col("content") == FILTERED))
+        pending = asked.join(good.select("prompt_id", "asked_as").distinct(), ["prompt_id", "asked_as"], "left_anti")
+    else:
+        pending = asked
+    chunks = -(-pending.count() // chunk)
+    pending = pending.withColumn("part", F.pmod(F.xxhash64("prompt_id"), F.lit(max(chunks, 1))))
+    if chunks:
+        pending = stage(pending, "pending")
+    for part in range(chunks):
+        rows = pending.where(F.col("part") == part)
+        marks = rows.select("prompt_id", "asked_as")
+        answer(rows.drop("asked_as", "part")).join(marks, "prompt_id").select(*schema_names(kept_as)).write.mode("append").parquet(path)
+    if not _exists(spark, path):
+        return spark.createDataFrame([], schema)
+    kept = spark.read.schema(kept_as).parquet(path).join(asked.select("prompt_id", "asked_as"), ["prompt_id", "asked_as"], "left_semi")
+    # an earlier failure stays in the table beside the answer that came later
+    answered = F.max(F.col("error").isNull() | (F.col("content") == FILTERED)).over(Window.partitionBy("prompt_id"))
+    usable = kept.withColumn("_answered", answered).where(
+        F.col("error").isNull() | (F.col("content") == FILTERED) | ~F.col("_answered")
+    )
+    return usable.select(*schema_names(schema)).dropDuplicates(["prompt_id", "choice"])
+
+
+def schema_names(ddl: str) -> list[str]:
+    return [field.strip().split(" ")[0] for field in ddl.split(",")]
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether something was written to ``path``; any other trouble in reading it is raised."""
+    try:
+        spark.read.format("binaryFile").load(f"{path}/_SUCCESS").select("path").head(1)
+        return True
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def complete_until_parsed(

@@ -17,9 +17,6 @@ from taskweave.functions.text import tokens
 Predict = Callable[[list[str]], list[str]]
 Encode = Callable[[list[str]], np.ndarray]
 
-MAX_TOKENS = 400
-
-
 def _in_batches(load: Callable[[], Callable], size: int, shape: Callable):
     """An Arrow UDF body that loads the model once per worker and feeds it ``size`` texts at a time."""
 
@@ -60,17 +57,18 @@ def encode(df: DataFrame, load: Callable[[], Encode], text_column: str = "text",
 
 @F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unit_counts(slots: pd.Series, size: pd.Series) -> pd.Series:
-    def one(values, n):
-        counts = np.bincount(np.asarray(values, dtype=np.int64), minlength=n).astype(np.float64)
-        norm = np.sqrt((counts**2).sum())
-        return counts / norm if norm else counts
-
-    return pd.Series([one(v, n) for v, n in zip(slots, size)], dtype=object)
-
-
-def hashed_embedding(text: Column, size: int = 64, max_tokens: int | None = MAX_TOKENS) -> Column:
-    """Stand-in encoder: counts of hashed tokens, scaled to length one."""
-    used = tokens(F.lower(text))
+    """One count over row and slot for the whole batch; a row without slots gives zeros."""
+    n, width = len(slots), int(size.iloc[0]) if len(size) else 1
+    lengths = np.array([0 if v is None else len(v) for v in slots])
+    flat = np.concatenate([np.empty(0, np.int64), *(np.asarray(v, np.int64) for v in slots if v is not None)])
+    counts = np.bincount(np.repeat(np.arange(n), lengths) * width + flat, minlength=n * width).reshape(n, width).astype(np.float64)
+    norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+    return pd.Series(list(counts / np.where(norm == 0, 1, norm)), dtype=object)
+
+
+def hashed_embedding(text: Column, size: int = 64, max_tokens: int | None = None) -> Column:
+    """Stand-in encoder: counts of hashed tokens of the whole text, scaled to length one; a NULL text gives zeros."""
+    used = tokens(F.lower(F.coalesce(text, F.lit(""))))
     if max_tokens is not None:
         used = F.slice(used, 1, max_tokens)
     slots = F.transform(used, lambda t: draw(F.lit(size), "slot", t).cast("int"))

@@ -12,20 +12,21 @@ from pyspark.sql import types as T
 
 from taskweave.contracts import require_columns
 from taskweave.functions.text import SPACE_CLASS, strip, words
+from taskweave.staging import stage
 
 CHAR_ORDERS, WORD_ORDERS, BETA = 6, 2, 2
 _ORDERS = CHAR_ORDERS + WORD_ORDERS
 
 
 def pair_with_references(predictions: DataFrame, references: DataFrame, key: str = "row_id") -> DataFrame:
-    """Join predictions to references; raises when either side has rows the other lacks.
+    """Join predictions to references; raises when either side has rows the other lacks, or a key more than once.
 
     The check moves keys only.
     """
-    mine = predictions.select(key, F.lit(True).alias("_p"))
-    theirs = references.select(key, F.lit(True).alias("_r"))
-    both = mine.join(theirs, key, "full_outer")
-    lost = both.where(F.col("_p").isNull() | F.col("_r").isNull()).select(key).head(1)
+    one, none = F.lit(1), F.lit(0)
+    sides = predictions.select(key, one.alias("_p"), none.alias("_r")).union(references.select(key, none, one))
+    both = sides.groupBy(key).agg(F.sum("_p").alias("_p"), F.sum("_r").alias("_r"))
+    lost = both.where(F.col(key).isNull() | (F.col("_p") != 1) | (F.col("_r") != 1)).select(key).head(1)
     if lost:
         raise ValueError(f"predictions and references do not match, for example at {key}={lost[0][0]}")
     return predictions.join(references, key)
@@ -38,14 +39,15 @@ def detach_echo(prediction: Column, model_input: Column, reference: Column) -> C
 
 
 def exact_match(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    hit = (F.col("prediction") == F.col("reference")).cast("double")
+    """Share of predictions that equal the reference; without one of the two there is no hit."""
+    hit = F.coalesce((F.col("prediction") == F.col("reference")).cast("double"), F.lit(0.0))
     return pairs.groupBy(*by).agg(F.avg(hit).alias("value"))
 
 
 def containment_accuracy(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of predictions that contain the target, without the prompt, in lower case."""
     said = strip(F.lower(F.replace(F.col("prediction"), F.col("model_input"), F.lit(""))))
-    hit = F.contains(said, strip(F.lower(F.col("reference")))).cast("double")
+    hit = F.coalesce(F.contains(said, strip(F.lower(F.col("reference")))).cast("double"), F.lit(0.0))
     return pairs.groupBy(*by).agg(F.avg(hit).alias("value"))
 
 
@@ -192,7 +194,8 @@ def greedy_match(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
             rows = []
             for k, pb, rb, p, r in zip(cell[key], cell["p_block"], cell["r_block"], cell["p"], cell["r"]):
                 a, b = np.stack(p).astype(np.float64), np.stack(r).astype(np.float64)
-                a, b = (m / np.linalg.norm(m, axis=1, keepdims=True) for m in (a, b))
+                # a zero vector has cosine 0 with all others
+                a, b = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), np.finfo(float).tiny) for m in (a, b))
                 cosine = a @ b.T
                 rows.append((k, 0, pb, cosine.max(axis=1)))
                 rows.append((k, 1, rb, cosine.max(axis=0)))
@@ -206,6 +209,11 @@ def greedy_match(tokens: DataFrame, key: str = "pair_id") -> DataFrame:
         F.avg(F.when(F.col("side") == 0, F.col("best"))).alias("precision"),
         F.avg(F.when(F.col("side") == 1, F.col("best"))).alias("recall"),
     )
+    # a pair with tokens on one side only matches nothing
+    zero = F.lit(0.0)
+    means = tokens.select(key).distinct().join(means, key, "left").select(
+        key, F.coalesce("precision", zero).alias("precision"), F.coalesce("recall", zero).alias("recall")
+    )
     p, r = F.col("precision"), F.col("recall")
     return means.withColumn("f1", F.coalesce(2 * p * r / F.nullif(p + r, F.lit(0.0)), F.lit(0.0)))
 
@@ -242,15 +250,17 @@ def evaluate(
         raise ValueError(f"metrics must be among {sorted(known)}, not {sorted(set(metrics) - known)}")
     if model_input is not None:
         pairs = pairs.withColumn("prediction", detach_echo(F.col("prediction"), F.col(model_input), F.col("reference")))
+    if len(metrics) > 1:
+        pairs = stage(pairs, "pairs")  # predictions are made once, whatever the number of metrics
     parts = []
     for name in metrics:
         if name == NEEDS_VECTORS:
             if token_vectors is None:
                 raise ValueError("bert_score needs token_vectors")
             scored = greedy_match(token_vectors(pairs)).withColumnRenamed("pair_id", "row_id")
-            if by:
-                scored = scored.join(pairs.select("row_id", *by), "row_id")
-            label, table = "average_bert_score", scored.groupBy(*by).agg(F.avg("f1").alias("value"))
+            # a pair without any token is a pair all the same
+            every = pairs.select("row_id", *by).join(scored, "row_id", "left")
+            label, table = "average_bert_score", every.groupBy(*by).agg(F.avg(F.coalesce("f1", F.lit(0.0))).alias("value"))
         else:
             label, fn = METRICS[name]
             table = fn(pairs, by)

@@ -10,7 +10,9 @@ number per partition reaches the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import accumulate
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 from taskweave.staging import stage
 
 _ROW_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: row inside the partition
-_ONE_TASK = 1_000_000  # most rows that one window task should receive
+_BUNDLES = 64  # a bundle merges the heads of one in so many partitions, and one task the heads of so many bundles
 
 
 def with_position(
@@ -47,8 +49,9 @@ def with_position(
     )
     out = numbered.join(offsets, "_part").withColumn(name, F.col("_start") + F.col("_row")).drop("_part", "_row", "_start")
     if group:
-        first = out.groupBy(*group).agg(F.min(name).alias("_first"))
-        out = out.join(first, list(group)).withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+        first = out.groupBy(*[F.col(g).alias(f"_{g}") for g in group]).agg(F.min(name).alias("_first"))
+        same = reduce(and_, [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in group])  # rows without a group are one group
+        out = out.join(first, same).withColumn(name, F.col(name) - F.col("_first"))
     return out.select(*df.columns, name)
 
 
@@ -81,18 +84,15 @@ def head_per_group(
 ) -> DataFrame:
     """First ``n`` rows of each group in a total order.
 
-    Every input partition cuts its own rows to ``n`` per group before the shuffle
-    (WindowGroupLimit). When ``n`` times the number of partitions is still
-    too much for one task, partitions are merged in bundles first; the result is
-    the same.
+    Every input partition cuts its own rows to ``n`` per group before the shuffle (WindowGroupLimit). The heads of every
+    64th partition are merged in a bundle, then the bundles, so the last task of a group gets 64 heads of it, however
+    many partitions there are.
     """
     column = rank or "_rank"
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    bundles = -(-n * parts // _ONE_TASK)
-    if bundles > 1:
-        salted = df.withColumn("_bundle", F.spark_partition_id() % bundles)
-        local = Window.partitionBy(*group, "_bundle").orderBy(*order)
-        df = salted.withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= n).drop("_local", "_bundle")
+    bundle = F.spark_partition_id() % F.lit(_BUNDLES)
+    local = Window.partitionBy(*group, "_bundle").orderBy(*order)
+    df = df.withColumn("_bundle", bundle).withColumn("_local", F.row_number().over(local)).where(F.col("_local") <= n)
+    df = df.drop("_local", "_bundle")
     if not group and rank is None:
         return df.orderBy(*order).limit(n)
     window = Window.partitionBy(*group).orderBy(*order)

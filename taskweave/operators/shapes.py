@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections import Counter
 from collections.abc import Mapping, Sequence
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,13 +37,22 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
 
 
 def unique_names(columns: Sequence[str]) -> dict[str, str]:
-    """New name per column: dots become underscores, a name already taken gets ``_1``, ``_2``..."""
-    given: list[str] = []
-    repeats: Counter[str] = Counter()
-    for plain in (c.replace(".", "_") for c in columns):
-        repeats[plain] += plain in given
-        given.append(f"{plain}_{repeats[plain]}" if plain in given else plain)
-    return dict(zip(columns, given))
+    """New name per column: dots become underscores; of columns that then agree, later ones get the first free ``_1``, ``_2``...
+
+    A name that some column has by itself is never given to another.
+    """
+    groups: dict[str, list[str]] = {}
+    for column in columns:
+        groups.setdefault(column.replace(".", "_"), []).append(column)
+    taken = set(groups)
+    names: dict[str, str] = {}
+    for plain, (first, *others) in groups.items():
+        names[first] = plain
+        numbered = (f"{plain}_{i}" for i in count(1))
+        for column in others:
+            names[column] = next(name for name in numbered if name not in taken)
+            taken.add(names[column])
+    return {column: names[column] for column in columns}
 
 
 def rename(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:

@@ -23,6 +23,11 @@ def split_sizes(n: int, train: float, val: float, caps: Mapping[str, int] | None
     return tuple(min(size, caps.get(name, size)) for name, size in sizes.items())
 
 
+def _unsplit(df: DataFrame) -> DataFrame:
+    """Of a table that already has splits only the training part is split anew, so that no test row is trained on."""
+    return df.where(F.col("split") == "train").drop("split") if "split" in df.columns else df
+
+
 def _ends(sizes: Sequence[int]) -> tuple[int, int, int]:
     return sizes[0], sizes[0] + sizes[1], sum(sizes)
 
@@ -45,6 +50,7 @@ def split_table(
     rows, and Parquet skips the row groups beyond the caps.
     """
     check_proportions(train, val)
+    df = _unsplit(df)
     n = df.select(*keys).count()
     ends = _ends(split_sizes(n, train, val, caps))
     borders = keys_at(df, keys, [e for e in ends if e < n])
@@ -76,6 +82,9 @@ def split_tasks(
     is joined to the rows, which are cut by comparison.
     """
     check_proportions(train, val)
+    df = _unsplit(df)
+    if df.where(F.col(task).isNull()).select(task).head(1):
+        raise ValueError(f"rows without {task} belong to no task and cannot be split")
     caps = caps or {}
     limit = lambda size, name: F.least(size, F.lit(caps[name])) if name in caps else size
     counts = df.groupBy(task).agg(F.count("*").alias("_n"))

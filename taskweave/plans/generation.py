@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ class GenerationSettings:
     requests_per_minute: float | None = 80
     multi_vote: bool = True
     context_cutoff: int = 3500
-    max_rounds: int = 1000
+    max_rounds: int | None = None  # None: as many as the goals and the calls allow
+    max_idle_rounds: int = 20  # rounds without one new pair in the whole table
     seed: int | str = 2023
     max_tokens: int | None = 4000
     wait_seconds: float = 10.0
@@ -94,7 +96,11 @@ def generate_with_calls(
     asked_so_far = tasks.select("task_id").limit(0)
     pool = with_position(_pool(state, settings), ["first_seen", INPUT], group=["task_id"])
 
-    for round_no in range(settings.max_rounds):
+    idle, gathered = 0, -1
+    for round_no in count():
+        if settings.max_rounds is not None and round_no >= settings.max_rounds:
+            _refuse(tasks, pool, f"{round_no} rounds were not enough")
+            break
         have = pool.groupBy("task_id").agg(F.count("*").alias("have"))
         calls = asked_so_far.groupBy("task_id").agg(F.count("*").alias("calls"))
         status = tasks.join(calls, "task_id", "left").join(have, "task_id", "left").fillna(0, ["calls", "have"])
@@ -113,10 +119,14 @@ def generate_with_calls(
         sampled = with_sampled_lines(asked, lines, settings.seed)
         built = P.with_generation_prompt(sampled, settings.context_cutoff, settings.seed)
         prompts = stage(
-            built.select("task_id", "number", "prompt_id", "temperature", F.col("task_id").alias("batch_id"), "prompt"), "prompts"
+            built.select("task_id", "number", "prompt_id", "temperature", F.col("task_id").alias("batch_id"), "prompt", "fits"), "prompts"
         )
         if prompts.isEmpty():
             break
+        too_long = prompts.where(~F.col("fits")).select("task_id").head(1)
+        if too_long:
+            raise ValueError(f"the instruction of task {too_long[0][0]} leaves no room in a prompt of {settings.context_cutoff} tokens")
+        prompts = prompts.drop("fits")
         asked_so_far = asked_so_far.unionByName(prompts.select("task_id"))
         answers = complete(prompts, factory, settings.calls())
         # order of appearance: round, then prompt, then choice
@@ -132,12 +142,24 @@ def generate_with_calls(
             fresh = pairs.select("task_id", INPUT, OUTPUT, F.lit(1).cast("bigint").alias("n"), F.col("seen").alias("first_seen"))
             state = stage(state.unionByName(fresh), "pairs")
         pool = with_position(_pool(state, settings), ["first_seen", INPUT], group=["task_id"])
+        before, gathered = gathered, state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        idle = idle + 1 if gathered == before else 0
+        if idle >= settings.max_idle_rounds:
+            _refuse(tasks, pool, f"{idle} rounds brought no usable answer")
 
     goals = tasks.select("task_id", "num_examples")
     pairs = pool.join(goals, "task_id").where(F.col("pos") < F.col("num_examples")).select("task_id", "pos", INPUT, OUTPUT)
     return pairs, asked_so_far.groupBy("task_id").agg(F.count("*").alias("calls"))
 
 
+def _refuse(tasks: DataFrame, pool: DataFrame, why: str) -> None:
+    """Raise, naming some of the tasks that are short of their goal."""
+    have = pool.groupBy("task_id").agg(F.count("*").alias("have"))
+    short = tasks.join(have, "task_id", "left").where(F.coalesce("have", F.lit(0)) < F.col("num_examples")).select("task_id").head(5)
+    if short:
+        raise RuntimeError(f"{why}; short of pairs: {', '.join(str(r[0]) for r in short)}")
+
+
 def generate_splits(
     spark: SparkSession,
     spec: TaskSpec,

@@ -1,4 +1,4 @@
 """The registered queries."""
 
-from taskweave.queries import calls, catalogs, metrics, pairs, retrieval, tokens, votes  # noqa: F401
+from taskweave.queries import calls, catalogs, metrics, pairs, retrieval, stores, tokens, votes  # noqa: F401
 from taskweave.queries.registry import QUERIES, SQL  # noqa: F401

@@ -75,7 +75,7 @@ def drop_empty(spark, sf_dir):
     return drop_empty_pairs(_blanked(turn_pairs(spark, sf_dir)))
 
 
-_MULTI, _MULTI_INSIDE = _sql_split(train=0.6, val=0.2, caps={"train": 300, "val": 50, "test": 100})
+_MULTI, _MULTI_INSIDE = _sql_split(train=0.6, val=0.2, caps={"train": 25, "val": 5, "test": 8})
 
 
 @query(f"""WITH r AS (SELECT doc_id, source, n_chars, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos,
@@ -83,7 +83,7 @@ _MULTI, _MULTI_INSIDE = _sql_split(train=0.6, val=0.2, caps={"train": 300, "val"
 SELECT doc_id, source, n_chars, {_MULTI} AS split FROM r WHERE {_MULTI_INSIDE}""")
 def split_with_caps_per_task(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
-    return split_tasks(docs, ["doc_id"], 0.6, 0.2, {"train": 300, "val": 50, "test": 100}, task="source")
+    return split_tasks(docs, ["doc_id"], 0.6, 0.2, {"train": 25, "val": 5, "test": 8}, task="source")
 
 
 @query(f"""WITH r AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_orderkey) - 1 AS pos, count(*) OVER () AS n FROM orders)

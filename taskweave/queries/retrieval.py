@@ -65,7 +65,7 @@ def _sql_embedding(rows: str) -> str:
     """Long form (id, slot, weight) of the stand-in encoder over ``rows``: (id, text)."""
     return f"""(SELECT id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM (
   SELECT id, slot, count(*)::DOUBLE AS n FROM (
-    SELECT id, {sql_draw(str(_SIZE), 'slot', 't')} AS slot FROM (SELECT id, unnest({sql_tokens('lower(text)')}[1:400]) AS t FROM ({rows})))
+    SELECT id, {sql_draw(str(_SIZE), 'slot', 't')} AS slot FROM (SELECT id, unnest({sql_tokens('lower(text)')}) AS t FROM ({rows})))
   GROUP BY id, slot))"""
 
 

@@ -185,7 +185,7 @@ def test_understanding_jobs(spark):
         def ask(prompt, n, temperature, max_tokens):
             if "Its parts as JSON" in prompt:
                 return ['{"Instruction": "i\nj", "Demonstrations": "N/A"}'] if "good" in prompt else ["{"]
-            if prompt.endswith("Description:\n"):
+            if prompt.endswith("Card:\n"):
                 return ["a model"]
             kind = prompt.rsplit("Data set: ", 1)[1].split("\n")[0]
             return [json.dumps({"input": ["q", "c"] if kind != "unknown" else ["zz"], "output": ["a"] if kind != "two" else ["a", "q"]}) if kind != "missing" else '{"output": ["a"]}']

@@ -44,10 +44,10 @@ def test_keys_at(skewed):
     assert keys_at(df, ["g", "k"], [0, 1234, 1999, 5000]) == {i: ordered[i] for i in (0, 1234, 1999)}
 
 
-@pytest.mark.parametrize("one_task", [1_000_000, 50])
-def test_head_per_group_with_and_without_bundles(skewed, monkeypatch, one_task):
+@pytest.mark.parametrize("bundles", [64, 3])
+def test_head_per_group_with_and_without_bundles(skewed, monkeypatch, bundles):
     data, df = skewed
-    monkeypatch.setattr(positions, "_ONE_TASK", one_task)
+    monkeypatch.setattr(positions, "_BUNDLES", bundles)
     got = {tuple(r) for r in head_per_group(df.repartition(16), ["g"], [F.desc("k")], 40, rank="r").collect()}
     expected = set()
     for g in {g for g, _ in data}:

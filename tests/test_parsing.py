@@ -34,25 +34,14 @@ def test_strict_pair(spark):
     assert [None if g is None else (g["input"], g["output"]) for g in got] == [python_strict(t) for t in texts]
 
 
-def rightmost(text):
-    """The definition, character by character."""
-    ends = []
-    for i in range(len(text) - 1, -1, -1):
-        if text[i] == "}":
-            ends.append(i)
-        elif text[i] == "{" and ends:
-            end = ends.pop()
-            if not ends:
-                return text[i : end + 1]
-    return None
-
-
 def test_last_object_text(spark):
-    texts = [
-        "", "no braces", "}", "{", "}{", "{}", "a {b} c", "{a}{b}", "{a{b}c}", "{a}}", "{{a}", "x {1} y {2 {3} } z {", "{a} } b", "é {猫} 😀",
-        '{"a": "}"}', '{"a": "{"}', "{a} {b} tail", "{\n}\n", "{a{b}", "{{{}}}", "}}{{", "{}}{",
-    ]
-    assert apply(spark, texts, last_object_text) == [rightmost(t) for t in texts]
+    expected = {
+        "": None, "no braces": None, "}": None, "{": None, "}{": None, "{}": "{}", "a {b} c": "{b}", "{a}{b}": "{b}",
+        "{a{b}c}": "{a{b}c}", "{a}}": None, "{{a}": "{a}", "x {1} y {2 {3} } z {": "{2 {3} }", "{a} } b": None,
+        "é {猫} 😀": "{猫}", '{"a": "}"}': None, '{"a": "{"}': '{"}', "{a} {b} tail": "{b}", "{\n}\n": "{\n}", "{a{b}": "{b}",
+        "{{{}}}": "{{{}}}", "}}{{": None, "{}}{": None,
+    }
+    assert apply(spark, list(expected), last_object_text) == list(expected.values())
 
 
 def test_last_object_fields(spark):
@@ -71,5 +60,5 @@ def test_last_object_fields(spark):
 
 
 def test_chosen_name(spark):
-    texts = ["**codeparrot/apps**", "I take **a b** or **c**", "**a\nb** last.", "The best is v1.0.", "not_a_config", "", "  ", "****"]
-    assert apply(spark, texts, chosen_name) == ["codeparrot/apps", "a b", "last", "v10", "not_a_config", "", "", ""]
+    texts = ["**code/puzzles**", "I take **a b** or **c**", "**a\nb** last.", "The best is v1.0.", "no_such_part", "", "  ", "****"]
+    assert apply(spark, texts, chosen_name) == ["code/puzzles", "a b", "last", "v10", "no_such_part", "", "", ""]
