@@ -158,7 +158,7 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int =
     def texts_of(ids: DataFrame) -> DataFrame:
         wanted = ids.join(known.select("id", "first"), "id").select("id", "first.*")
         per_doc = wanted.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("place", "id")).alias("wanted"))
-        named = docs.join(per_doc, ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
+        named = docs.join(per_doc.hint("merge"), ["doc_id", "text_hash"]).select(F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
         return named.select("w.id", F.col("all")[F.col("w.place")].alias("text")).dropDuplicates(["id"])
 
     def compare(found: list[str]):
@@ -178,7 +178,7 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     marked = docs.withColumns({"__id": F.col(key).cast("long"), "__hash": F.xxhash64(F.col(text))})
     plain = marked.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text).alias("text"))
     gone = repeated_lines(plain, **limits).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    held = marked.join(gone, ["__id", "__hash"], "left").select(*docs.columns, "__gone")
+    held = marked.join(gone.hint("merge"), ["__id", "__hash"], "left").select(*docs.columns, "__gone")
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     members = heads.distinct()
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        return own.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct()
+        # the same plan at every size: the ids may be many
+        return own.join(ids.withColumnRenamed("id", "doc_id").hint("merge"), "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text").distinct()
 
     groups = linked_groups(members, texts_of, _links, _compare)
     # rows that share an id belong to one group, whatever their words

@@ -368,7 +368,7 @@ def spans_of_repeats(
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """Every document with its spans; null where there are none."""
-    return docs.join(spans, ["doc_id", "text_hash"], "left")
+    return docs.join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
 
 
 def covered_mask(n: int, spans: list | None, window: int) -> np.ndarray:
