@@ -4,17 +4,33 @@ Three things need a table that later stages re-read instead of recomputing:
 model answers (a recomputed call may answer differently, and costs money),
 positions (both passes must see the same row order), and the state of a loop.
 A Parquet table survives the loss of executors, is pruned by column when read
-back, and cuts the lineage of loops.
+back, and cuts the lineage of loops. Staged tables stay until the ``staging_scope`` around them
+ends; a long session opens one around each job whose result it writes.
 """
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def staging_scope(spark: SparkSession) -> Iterator[None]:
+    """Delete at the end what was staged inside; results must be written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,5 +49,7 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
     """Write ``df`` once and return the written table; ``options`` are those of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/taskweave/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

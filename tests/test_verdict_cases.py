@@ -1,5 +1,7 @@
 """Budgets, resumed calls, NULLs and duplicates."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from taskweave.operators.metrics import containment_accuracy, exact_match, greed
 from taskweave.operators.positions import with_position
 from taskweave.operators.shapes import unique_names
 from taskweave.operators.splits import split_table, split_tasks
+from taskweave.staging import stage, staging_scope
 
 FREE = CallSettings(responses=1, requests_per_minute=None, wait_seconds=0.0, tries=1)
 
@@ -17,6 +20,16 @@ def telling():
     return lambda prompt, n, temperature, max_tokens: [str(max_tokens)] * n
 
 
+def test_staged_tables_go_with_their_scope(spark):
+    kept = stage(spark.range(3), "kept")
+    with staging_scope(spark):
+        inner = stage(spark.range(5), "inner")
+        files = inner.inputFiles()
+        assert inner.count() == 5 and all(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert kept.count() == 3
+
+
 def test_every_prompt_has_its_own_budget(spark):
     rows = spark.createDataFrame([(0, "short"), (1, "word " * 3000), (2, "word " * 5000)], "prompt_id int, prompt string")
     got = {r.prompt_id: (r.content, r.error) for r in complete(rows, telling, FREE).collect()}
