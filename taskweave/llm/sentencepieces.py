@@ -11,7 +11,7 @@ states a cut can have, products from the right which can be completed; the best
 traces its own path back between its two states. Matrices are a few numbers wide, whatever the chunk holds.
 
 Most cuts can be laid where no piece of the vocabulary reaches over (before a space), which leaves one state. Within a
-chunk, words are segmented by themselves and remembered. A run of spaces, whose pieces all score alike, is never cut.
+chunk, words are merged by themselves and remembered; the matrices carry what lies around the cuts. A run of spaces, whose pieces all score alike, is never cut.
 
 Characters that are no piece become the pieces of their UTF-8 bytes. Ids equal those of the ``sentencepiece`` library
 for a byte-fallback BPE model with identity normalization and a space before the text.
@@ -69,6 +69,26 @@ class Pieces:
 
     def merge(self, text: str) -> list[str]:
         """The definition: the best-scored neighbours are joined first, the leftmost of equal ones, until none can be."""
+        return self._merge_short(text) if len(text) <= 32 else self._merge_long(text)
+
+    def _merge_short(self, text: str) -> list[str]:
+        score, parts = self.score, list(text)
+        joined = [score.get(a + b) for a, b in zip(parts, parts[1:])]
+        while True:
+            best, at = None, -1
+            for i, s in enumerate(joined):
+                if s is not None and (best is None or s > best):
+                    best, at = s, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+            del joined[at]
+            if at < len(joined):
+                joined[at] = score.get(parts[at] + parts[at + 1])
+            if at:
+                joined[at - 1] = score.get(parts[at - 1] + parts[at])
+
+    def _merge_long(self, text: str) -> list[str]:
         parts = list(text)
         after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
         score = self.score
@@ -105,21 +125,6 @@ class Pieces:
             if start == end - 1 or text[start:end] in self.ids:
                 yield start
 
-    def _path(self, unit: str) -> list[str]:
-        if SPACE * 2 in unit:  # equal scores: the order of merging decides
-            return self.merge(unit)
-        last = [""] + [""] * len(unit)
-        for end in range(1, len(unit) + 1):
-            for start in self.endings(unit, end):
-                if (start == 0 or last[start]) and self.may_follow(last[start], unit[start:end]):
-                    last[end] = unit[start:end]
-                    break
-        path, end = [], len(unit)
-        while end:
-            path.append(last[end])
-            end -= len(last[end])
-        return path[::-1]
-
     def ids_of(self, pieces: list[str]) -> list[int]:
         out: list[int] = []
         for piece in pieces:
@@ -136,7 +141,7 @@ class Pieces:
             if ids is None:
                 if len(units) > 1_000_000:
                     units.clear()
-                ids = tuple(self.ids_of(self._path(unit)))
+                ids = tuple(self.ids_of(self.merge(unit)))
                 if len(unit) <= 64:
                     units[unit] = ids
             out += ids
