@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
 _scopes: list[list[str]] = []
+_local_folders: dict[str, str] = {}  # of local sessions without the setting
 
 
 @contextmanager
@@ -40,9 +41,10 @@ def shared_folder(spark: SparkSession) -> str:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_SETTING} to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="taskweave-")
-    spark.conf.set(_SETTING, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _local_folders:
+        _local_folders[app] = tempfile.mkdtemp(prefix="taskweave-")
+    return _local_folders[app]
 
 
 def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
