@@ -14,8 +14,10 @@ from taskweave.functions.text import py_str, token_count
 from taskweave.operators.completion import CallSettings, ClientFactory, answer_prompt, complete
 from taskweave.operators.positions import batch_number
 from taskweave.operators.tokenize import completion_budget
+from taskweave.staging import stage
 
 BATCH = 100
+FIRST_ROWS = 4 * BATCH  # rows asked before the failures are counted for the first time; then twice as many each time
 ROW_CALLS = CallSettings(responses=1, temperature=0.0, requests_per_minute=15)
 
 
@@ -70,7 +72,8 @@ def transform_table(
 ) -> DataFrame:
     """(pos, input_col, output_col) from the first ``n_rows`` rows of a table with dense positions.
 
-    The limit comes before the model calls, and only the row text is carried to them.
+    The limit comes before the model calls, and only the row text is carried to them. Rows are asked in order of position in
+    growing parts, and none after the part whose failures exceed the budget.
     """
     spark = table.sparkSession
     columns = [c for c in table.columns if c != pos]
@@ -81,8 +84,16 @@ def transform_table(
     rows = F.array(*[F.lit(r["row"]) for r in head]) if head else F.array().cast("array<string>")
     plan = ask_once(spark, P.plan_prompt(F.lit(task), F.lit(spec.examples), rows), factory, tries, single)
     prompt = P.transform_prompt(F.lit(task), F.lit(spec.examples), F.lit(plan), shown)
-    prompts = table.where(F.col(pos) < n_rows).select(
-        F.col(pos).alias("prompt_id"), prompt.alias("prompt"), batch_number(pos, BATCH).alias("batch_id")
-    )
-    judged = judge_answers(complete(prompts, factory, calls), spec.examples)
+    judged, failed, start, size = None, 0, 0, FIRST_ROWS
+    while start < n_rows and failed <= max_failed:
+        rows = table.where((F.col(pos) >= start) & (F.col(pos) < min(start + size, n_rows)))
+        prompts = rows.select(F.col(pos).alias("prompt_id"), prompt.alias("prompt"), batch_number(pos, BATCH).alias("batch_id"))
+        part = stage(judge_answers(complete(prompts, factory, calls), spec.examples), "judged")
+        judged = part if judged is None else judged.unionByName(part)
+        failed += part.where("failed").count()
+        start, size = start + size, size * 2
+        if part.isEmpty() and rows.isEmpty():
+            break
+    if judged is None:
+        judged = judge_answers(complete(table.limit(0).select(F.col(pos).alias("prompt_id"), prompt.alias("prompt")), factory, calls), spec.examples)
     return within_failure_budget(judged, max_failed).withColumnRenamed("prompt_id", pos)

@@ -5,12 +5,14 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from taskweave.contracts import TaskSpec
 from taskweave.operators.completion import NO_ROOM, CallSettings, PromptRefused, complete, complete_until_parsed
 from taskweave.operators.inference import hashed_embedding
 from taskweave.operators.metrics import containment_accuracy, exact_match, greedy_match, pair_with_references
 from taskweave.operators.positions import with_position
 from taskweave.operators.shapes import unique_names
 from taskweave.operators.splits import split_table, split_tasks
+from taskweave.plans.transform import FIRST_ROWS, transform_table
 from taskweave.staging import stage, staging_scope
 
 FREE = CallSettings(responses=1, requests_per_minute=None, wait_seconds=0.0, tries=1)
@@ -119,3 +121,20 @@ def test_null_text_has_a_zero_vector(spark):
 def test_new_names_never_meet(spark):
     assert unique_names(["a_b_1", "a.b", "a_b"]) == {"a_b_1": "a_b_1", "a.b": "a_b", "a_b": "a_b_2"}
     assert unique_names(["x.y", "x_y", "x_y_2", "z"]) == {"x.y": "x_y", "x_y": "x_y_1", "x_y_2": "x_y_2", "z": "z"}
+
+
+def test_rows_after_the_failure_budget_are_not_asked(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def bad():
+        def ask(prompt, n, temperature, max_tokens):
+            with open(log, "a") as f:
+                f.write("x")
+            return ['{"input": "", "output": ""}']
+
+        return ask
+
+    rows = spark.range(2000).select(F.col("id").alias("pos"), F.concat(F.lit("row "), F.col("id")).alias("text"))
+    calls = CallSettings(responses=1, temperature=0.0, requests_per_minute=None, wait_seconds=0.0)
+    assert transform_table(rows, TaskSpec("do", "shown"), bad, 2000, 10, calls=calls).count() == 0
+    assert len(log.read_text()) == 2 + FIRST_ROWS
