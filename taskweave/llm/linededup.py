@@ -61,27 +61,48 @@ def probes(length: int, threshold: int) -> Iterator[tuple[int, int, int, int]]:
                 yield length - shorter, i, start, size
 
 
+def _same_start(x: str, y: str) -> int:
+    """Length of the common prefix, by halving."""
+    low, high = 0, min(len(x), len(y))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if x[low:middle] == y[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
+
+
 def edit_distance(x: str, y: str, most: int) -> int:
-    """Levenshtein distance if it is at most ``most``, else ``most + 1``; bit k stands for the diagonal k - most."""
+    """Levenshtein distance if it is at most ``most``, else ``most + 1``; bit k stands for the diagonal k - most.
+
+    What both lines start and end with is left out. The band's matches are read as the columns come, so lines that differ from
+    the start cost a few columns.
+    """
     if len(x) < len(y):
         x, y = y, x
     if len(x) - len(y) > most:
         return most + 1
-    mask = (1 << (2 * most + 1)) - 1
-    where: dict[str, int] = {}
-    for i, c in enumerate(x):
-        where[c] = where.get(c, 0) | 1 << (i + most)
-    up = mask ^ ((1 << most) - 1)
-    down = 0
+    head = _same_start(x, y)
+    x, y = x[head:], y[head:]
+    tail = _same_start(x[::-1], y[::-1])
+    x, y = x[: len(x) - tail], y[: len(y) - tail]
+    width = 2 * most + 1
+    mask = (1 << width) - 1
+    up, down = mask ^ ((1 << most) - 1), 0
     goal, score = 1 << (len(x) - len(y) + most), len(x) - len(y)
+    padded = "\0" * most + x
     for j, c in enumerate(y):
-        same = (where.get(c, 0) >> j) & mask
+        same, at = 0, padded.find(c, max(j, most), j + width)
+        while at >= 0:
+            same |= 1 << (at - j)
+            at = padded.find(c, at + 1, j + width)
         diagonal = ((((same & up) + up) ^ up) | same | down) & mask
         right, left = (down | ~(diagonal | up)) & mask, diagonal & up
         slid = diagonal >> 1
         up, down = (left | ~(slid | right)) & mask, slid & right
         score += not diagonal & goal
-        if score > most + len(x) - len(y) + (len(y) - j):
+        if score > most:
             break
     return min(score, most + 1)
 
