@@ -1,11 +1,17 @@
-"""Operator 1, line dedup: a segment-partition edit join finds lines that differ in at most two characters.
+"""Operator 1, line dedup: a segment-partition edit join finds lines that differ in few characters.
+
+How many edits link two lines depends on the length of the shorter one (``BANDS``): one from 2 characters on, two from
+10, three from 128, four from 256. Lines of one character are compared for equality only, as one edit makes any of
+them any other; lines without a word are not compared at all: they always stay. Equal lines are one line throughout.
 
 A line of length n is cut into threshold + 1 segments; of two lines within the threshold, one holds a segment of the
 other unchanged, shifted by no more than the edits before it allow. Every line therefore gives out its own segments and,
-for each shorter length within the threshold, only those substrings that could be that length's segments (chosen by the
-position and the difference of the lengths); equal ones meet in a bucket. Candidates are verified by a bit-parallel edit
-distance over the band of that many diagonals. Equal lines are one line throughout, lines under ``shortest`` characters
-and lines without a word are compared for equality only (the latter not at all: they always stay).
+for each shorter length within that length's threshold, only those substrings that could be that length's segments
+(chosen by the position and the difference of the lengths); equal ones meet in a bucket. Segments of short lines would be
+a character or two, which very many lines share: lines under ``DELETED_UNDER`` characters, and those that can be within
+two edits of one, give out what is left of them after each choice of that many deletions or fewer, which two lines
+within the threshold share as well. Candidates are verified by a bit-parallel edit distance over the band of that many
+diagonals.
 
 Groups are the connected components of the links, found without all pairs of a bucket (see ``linkage``). Of each
 group only the first line, by document id and place, stays.
@@ -21,6 +27,8 @@ their names; an empty table gives no rows. A text that loses all its lines is em
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import pyarrow as pa
 import xxhash
@@ -34,10 +42,23 @@ from taskweave.llm.quality import blocks
 from taskweave.llm.registry import query, table
 from taskweave.staging import stage
 
-THRESHOLD, SHORTEST = 2, 24
+Bands = tuple[tuple[int, int], ...]
+#: shortest length of a band, and the edits that link a line of that length with one at least as long
+BANDS: Bands = ((2, 1), (10, 2), (128, 3), (256, 4))
+SHORTEST = BANDS[0][0]
+DELETED_UNDER, DELETED_MOST = 16, 2
 _WORD = r"[^\x20\x09-\x0D]"
 
 
+def allowed(length: int, bands: Bands) -> int:
+    """Edits that link a line of this length with one at least as long; 0 below the bands."""
+    most = 0
+    for shortest, edits in bands:
+        if length >= shortest:
+            most = edits
+    return most
+
+
 def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     """Start and size of the threshold + 1 even parts of a line."""
     parts = threshold + 1
@@ -50,15 +71,35 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def probes(length: int, threshold: int) -> Iterator[tuple[int, int, int, int]]:
+def _by_deletion(length: int, bands: Bands) -> bool:
+    return length < DELETED_UNDER and 0 < allowed(length, bands) <= DELETED_MOST
+
+
+@lru_cache(maxsize=1 << 14)
+def probes(length: int, bands: Bands) -> tuple[tuple[int, int, int, int], ...]:
     """``(indexed length, segment, start, size)`` of the substrings that may be a segment of a line no longer than this."""
-    for shorter in range(threshold + 1):
+    out = []
+    for shorter in range(min(allowed(length, bands), length - 1) + 1):
+        threshold = allowed(length - shorter, bands)
+        if not threshold or shorter > threshold or _by_deletion(length - shorter, bands):
+            continue
         for i, (at, size) in enumerate(segments(length - shorter, threshold)):
             before, after = i, threshold - i
             low = max(at - before, at + shorter - after, 0)
             high = min(at + before, at + shorter + after, length - size)
-            for start in range(low, high + 1):
-                yield length - shorter, i, start, size
+            out += [(length - shorter, i, start, size) for start in range(low, high + 1)]
+    return tuple(out)
+
+
+@lru_cache(maxsize=1 << 10)
+def deletions(length: int, bands: Bands) -> int:
+    """How many deletions a line has to try, so that it meets lines that are found by deletions; -1 if there are none."""
+    found = -1
+    for shorter in range(min(allowed(length, bands), length - 1) + 1):
+        most = allowed(length - shorter, bands)
+        if shorter <= most and _by_deletion(length - shorter, bands):
+            found = max(found, most)
+    return found
 
 
 def _same_start(x: str, y: str) -> int:
@@ -107,20 +148,35 @@ def edit_distance(x: str, y: str, most: int) -> int:
     return min(score, most + 1)
 
 
-def _keys(line: str, threshold: int) -> list[int]:
+def linked(x: str, y: str, bands: Bands) -> bool:
+    most = allowed(min(len(x), len(y)), bands)
+    return most > 0 and edit_distance(x, y, most) <= most
+
+
+def _hash(text: str, seed: int) -> int:
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed)
+
+
+def _keys(line: str, bands: Bands | int) -> list[int]:
+    """Keys of the buckets of a line; a number stands for that many edits at every length above it."""
+    if isinstance(bands, int):
+        bands = ((bands + 1, bands),)
     n = len(line)
-    return [
-        xxhash.xxh3_64_intdigest(line[start : start + size].encode("utf-8", "surrogatepass"), seed=size_ * 64 + i)
-        for size_, i, start, size in probes(n, threshold)
-    ]
+    keys = [_hash(line[start : start + size], size_ * 64 + i) for size_, i, start, size in probes(n, bands)]
+    left = {
+        "".join(rest)
+        for gone in range(min(deletions(n, bands), n) + 1)
+        for rest in combinations(line, n - gone)
+    }
+    return keys + [_hash(text, 63) for text in left]
 
 
 def _signed(values: list[int]) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in values]
 
 
-def _buckets(lines: DataFrame, threshold: int, shortest: int) -> DataFrame:
-    """``bucket, h1`` of the lines long enough; each batch gives a line once."""
+def _buckets(lines: DataFrame, bands: Bands) -> DataFrame:
+    """``bucket, h1`` of the lines; each batch gives a line once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -130,10 +186,9 @@ def _buckets(lines: DataFrame, threshold: int, shortest: int) -> DataFrame:
                 buckets: list[int] = []
                 names: list[int] = []
                 for name, line in seen.items():
-                    if len(line) >= shortest:
-                        keys = _keys(line, threshold)
-                        buckets += keys
-                        names += [name] * len(keys)
+                    keys = _keys(line, bands)
+                    buckets += keys
+                    names += [name] * len(keys)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(_signed(buckets), pa.int64()), pa.array(names, pa.int64())], names=["bucket", "h1"]
                 )
@@ -141,14 +196,14 @@ def _buckets(lines: DataFrame, threshold: int, shortest: int) -> DataFrame:
     return lines.select("h1", "line").mapInArrow(run, "bucket long, h1 long")
 
 
-def _links(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+def _links(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("line_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sides = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            keep = pa.array([edit_distance(x, y, threshold) <= threshold for x, y in sides], pa.bool_())
+            keep = pa.array([linked(x, y, bands) for x, y in sides], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(keep)
 
     held = pairs.join(left, "a").join(right, "b").select("a", "b", "line_a", "line_b")
@@ -164,14 +219,14 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int = SHORTEST) -> DataFrame:
+def repeated_lines(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     """``doc_id, text_hash, gone`` (places of the lines to drop) from ``doc_id, text_hash, text``."""
     lines = _lines(docs)
     spot = F.struct("doc_id", "text_hash", "place")
     distinct = lines.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))
     known = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies"), "lines")
 
-    dealt = _buckets(lines, threshold, shortest).repartition("bucket")
+    dealt = _buckets(lines, bands).repartition("bucket")
     ends = dealt.groupBy("bucket").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
     crowded = stage(dealt.join(ends, "bucket").select("bucket", "h1").distinct(), "crowded")
     members = crowded.join(known.select("h1", "id"), "h1").select("bucket", "id").distinct()
@@ -183,9 +238,9 @@ def repeated_lines(docs: DataFrame, threshold: int = THRESHOLD, shortest: int =
         return named.select("w.id", F.col("all")[F.col("w.place")].alias("text")).dropDuplicates(["id"])
 
     def compare(found: list[str]):
-        return lambda i, j: edit_distance(found[i], found[j], threshold) <= threshold
+        return lambda i, j: linked(found[i], found[j], bands)
 
-    groups = linked_groups(members, texts_of, lambda pairs, texts: _links(pairs, texts, threshold), compare)
+    groups = linked_groups(members, texts_of, lambda pairs, texts: _links(pairs, texts, bands), compare)
     owned = known.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
     heads = owned.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1")
     late = owned.join(heads.select("component", "head"), "component").select("h1", "h2", "head")

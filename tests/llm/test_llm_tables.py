@@ -165,6 +165,30 @@ def test_repeated_lines_against_brute_force(docs, none):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
+def test_repeated_lines_of_every_length(spark):
+    from test_llm_parts import edited, levenshtein
+
+    rng = random.Random(11)
+    lines = ["a", "b", "ab", "ac", "No. 7", "No. 8", "(c) 2019 Foo", "(c) 2021 Foo", "It was a sunny day.", "It was a suny day."]
+    for n in (1, 2, 3, 5, 8, 9, 10, 11, 15, 16, 17, 20, 23, 24, 60, 126, 127, 128, 129, 200, 255, 256, 257, 300):
+        base = "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+        lines += [base, *("".join(edited(rng, base, k, "xyz")) for k in (1, 2, 2, 3, 4, 4, 5))]
+    lines = list(dict.fromkeys(line for line in lines if line))
+    rng.shuffle(lines)
+    docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(3)
+    group = list(range(len(lines)))
+    for i, a in enumerate(lines):
+        for j, b in enumerate(lines[:i]):
+            n = min(len(a), len(b))
+            most = 4 if n >= 256 else 3 if n >= 128 else 2 if n >= 10 else 1 if n >= 2 else 0
+            if abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most and group[i] != group[j]:
+                low, high = sorted((group[i], group[j]))
+                group = [low if g == high else g for g in group]
+    got = {i: n for i, _, n in linededup.drop_repeated_lines(docs).collect()}
+    assert got == {i: int(group[i] != i) for i in range(len(lines))}
+    assert sum(got[i] for i, line in enumerate(lines) if len(line) < 24) > 20
+
+
 _HASHES = {}
 
 
