@@ -267,6 +267,8 @@ def pieces(docs: DataFrame, copies: DataFrame, units: Units, total_bytes: int, t
 def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
     """Pieces cut again by the smallest gram in another order of hashes; in the last turn, each window by itself.
 
+    A row of the last turn stands for equal windows in a row, and its content is one of them.
+
     ``rows``: ``party, anchor, content_id, shift, windows, doc_id, content``: ``shift`` is the first window's place in the
     piece that ``anchor`` and ``content_id`` name, ``party`` the key under which rows meet.
     """
@@ -277,7 +279,7 @@ def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
             for row in batch.to_pylist():
                 body = row["content"]
                 hashes = units.again(body)
-                if turn >= 4:
+                if turn >= LAST_TURN:
                     low = grams(hashes, units.window)
                 else:
                     low = sliding_min(grams(hashes, units.gram, turn), units.window - units.gram + 1)
@@ -290,12 +292,33 @@ def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
                     out["shift"].append(row["shift"] + a)
                     out["windows"].append(b - a)
                     out["doc_id"].append(row["doc_id"])
-                    out["content"].append(units.part(body, a, b + units.window - 1))
+                    out["content"].append(units.part(body, a, (a + 1 if turn >= LAST_TURN else b) + units.window - 1))
             yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
 
     return rows.mapInArrow(run, rows.schema)
 
 
+def least_holders(rows: DataFrame, parts: int = 64) -> DataFrame:
+    """``FOUND`` rows of the last turn's ``rows``: the smallest document of each window, combined before any shuffle.
+
+    A window that very many contents hold is summed and told again in ``parts`` parts.
+    """
+    named = rows.select(
+        "party",
+        F.sha2("content", 256).alias("window"),
+        F.pmod(F.xxhash64("anchor", "content_id", "shift"), F.lit(parts)).alias("part"),
+        "anchor",
+        "content_id",
+        F.col("shift").alias("low"),
+        (F.col("shift") + F.col("windows")).alias("high"),
+        "doc_id",
+    )
+    parted = named.groupBy("party", "window", "part").agg(F.min("doc_id").alias("least"))
+    least = parted.groupBy("party", "window").agg(F.min("least").alias("first_doc"))
+    told = parted.select("party", "window", "part").join(least, ["party", "window"])
+    return named.join(told, ["party", "window", "part"]).select("anchor", "content_id", "low", "high", "first_doc")
+
+
 Engine = Callable[[pa.Table], pa.Table]
 FOUND = pa.schema([("anchor", pa.int64()), ("content_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("first_doc", pa.int64())])
 FOUND_SQL = "anchor long, content_id long, low int, high int, first_doc long"
@@ -309,20 +332,30 @@ def first_holders(
     """``anchor, content_id, low, high, first_doc``: the smallest document that holds the windows ``[low, high)`` of a content.
 
     An anchor with many different contents (a common line in ever new surroundings) is cut finer before the engine sees
-    it, so what meets in one shard is bounded; the last turn leaves single windows, of which equal ones alone meet.
+    it, so no party in a shard has more than ``most_contents`` rows. The last turn leaves single windows, which Spark
+    aggregates: the engine is not given them.
     """
     rows = found.where(F.col("content").isNotNull()).select(
         F.col("anchor").alias("party"), "anchor", "content_id", F.lit(0).alias("shift"), "windows", "doc_id", "content"
     )
     cool: list[DataFrame] = []
+    single = None
     for turn in range(1, LAST_TURN + 1):
         counts = rows.groupBy("party").agg(F.count("*").alias("n"))
         hot = stage(counts.where(F.col("n") > most_contents).select("party"), "hot-anchors")
         if hot.isEmpty():
             break
         cool.append(rows.join(hot, "party", "left_anti"))
-        rows = stage(refined(rows.join(hot, "party", "left_semi"), units, turn), "refined", compression="zstd")
-    cool.append(rows)
+        crowded = rows.join(hot, "party", "left_semi")
+        # chunks each give a content once: one of them goes on, for the smallest document
+        once = crowded.groupBy("party", "anchor", "content_id", "shift", "windows").agg(
+            F.min("doc_id").alias("doc_id"), F.first("content").alias("content")
+        )
+        rows = stage(refined(once, units, turn), "refined", compression="zstd")
+    else:
+        single = rows
+    if single is None:
+        cool.append(rows)
     every = cool[0]
     for more in cool[1:]:
         every = every.unionByName(more)
@@ -331,7 +364,8 @@ def first_holders(
     sharded = every.select(
         F.pmod(F.xxhash64("party"), F.lit(shards)).alias("shard"), "anchor", "content_id", "shift", "doc_id", "content"
     )
-    return sharded.groupBy("shard").applyInArrow(engine, FOUND_SQL)
+    holders = sharded.groupBy("shard").applyInArrow(engine, FOUND_SQL)
+    return holders if single is None else holders.unionByName(least_holders(single))
 
 
 def spans_of_repeats(

@@ -122,6 +122,32 @@ def test_crowded_anchors_are_cut_finer(spark, monkeypatch):
     assert cut == plain and cut[100] > 60 and sum(v for k, v in cut.items() if k != 100) == 0
 
 
+@pytest.mark.parametrize("operator", [substrings, suffixes])
+def test_no_party_of_the_engine_is_crowded(spark, monkeypatch, operator):
+    from collections import Counter
+
+    from taskweave.llm import repeats
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    passage, same = " ".join(word() for _ in range(56)), "aaaaa " * 60
+    rows = [(i, " ".join(word() for _ in range(50)) + f" {passage} {same}" + " ".join(word() for _ in range(50))) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    plain = sorted(tuple(r) for r in operator.without_repeats(docs).collect())
+    few, cap = repeats.first_holders, 3
+
+    def bounded(found, units, engine, shard_units):
+        def watched(shard):
+            assert max(Counter(shard.column("content").to_pylist()).values()) <= cap
+            return engine(shard)
+
+        return few(found, units, watched, shard_units, most_contents=cap)
+
+    monkeypatch.setattr(repeats, "first_holders", bounded)
+    cut = sorted(tuple(r) for r in operator.without_repeats(docs).collect())
+    assert cut == plain and cut[0][2] == 0 and all(r[2] > 100 for r in cut[1:])
+
+
 def test_repeated_lines_against_brute_force(docs, none):
     from test_llm_parts import levenshtein
 
