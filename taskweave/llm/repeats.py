@@ -5,8 +5,8 @@ per position:
 
 1. Units are hashed, and of every window the smallest hash of ``gram`` units in a row is its *anchor*. Equal windows
    have equal anchors, and neighbouring windows mostly share theirs.
-2. Documents (but for copies of whole texts) are dealt into chunks of a few megabytes. A chunk sends the distinct anchors it holds, packed in one binary
-   row for each bucket of anchor values, so an anchor that every document holds is sent once a chunk.
+2. Documents (but for copies of whole texts) are dealt into chunks of a few megabytes. A chunk sends the distinct anchors it holds, mixed and packed in one
+   binary row for each bucket of values, so an anchor that every document holds is sent once a chunk.
 3. A bucket answers every chunk with one bit for each anchor: does it occur in another chunk, or in two documents of
    this one?
 4. A chunk keeps the windows whose anchor has that bit, and gives them out as *pieces*: a run of windows with
@@ -138,7 +138,10 @@ def _anchors_of(table: pa.Table, copies: pa.Table, units: Units):
 
 
 def _value_rows(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """First place of each bucket among the sorted values; a bucket is a range of values."""
+    """First place of each bucket among the sorted values; a bucket is a range of values.
+
+    Anchors are smallest hashes and crowd at the low end: they are mixed before, one to one, and spread evenly.
+    """
     bounds = (np.arange(buckets + 1, dtype=np.float64) / buckets * 2.0**64).clip(max=2.0**64 - 2049)
     at = np.searchsorted(distinct, bounds.astype(np.uint64)).astype(np.int64)
     at[0], at[-1] = 0, len(distinct)
@@ -151,8 +154,9 @@ def _send(table: pa.Table, copies: pa.Table, units: Units, buckets: int) -> pa.T
     chunk = table.column("chunk")[0].as_py()
     table, starts, _, (anchors, first, _) = _anchors_of(table, copies, units)
     ids = table.column("doc_id").to_numpy()
-    order = np.argsort(anchors, kind="stable")  # documents stay in ascending order
-    value = anchors[order]
+    mixed = mix(anchors)
+    order = np.argsort(mixed, kind="stable")  # documents stay in ascending order
+    value = mixed[order]
     doc = ids[np.searchsorted(starts, first[order], side="right") - 1] if len(order) else order
     at = np.flatnonzero(np.concatenate([[True], value[1:] != value[:-1]])[: len(value)])
     last = np.concatenate([at[1:], [len(value)]])[: len(at)] - 1
@@ -203,13 +207,14 @@ def _cut(table: pa.Table, answers: pa.Table, units: Units, buckets: int) -> pa.T
     is_copy = pc.is_valid(answers.column("doc_id"))
     table, starts, content, (low, first, end) = _anchors_of(table, answers.filter(is_copy), units)
     answers = answers.filter(pc.invert(is_copy))
-    values = np.unique(low)
+    mixed = mix(low)
+    values = np.unique(mixed)
     repeated = np.zeros(len(values), bool)
     lo, hi = _value_rows(values, buckets)
     for b, bits in zip(answers.column("bucket").to_pylist(), answers.column("repeated").to_pylist()):
         n = hi[b] - lo[b]
         repeated[lo[b] : hi[b]] = np.unpackbits(np.frombuffer(bits, np.uint8))[:n].astype(bool)
-    kept = repeated[np.searchsorted(values, low)] if len(low) else np.empty(0, bool)
+    kept = repeated[np.searchsorted(values, mixed)] if len(low) else np.empty(0, bool)
     low, first, end = low[kept], first[kept], end[kept]
     owner = np.searchsorted(starts, first, side="right") - 1
     base = starts[owner]

@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from taskweave.llm import linededup, orderminhash, packing, pii, repeats, sentencepieces, substrings, suffixes
@@ -126,6 +127,16 @@ def test_equal_windows_have_equal_anchors():
     assert [anchor[p] for p in range(200, 651)] == [anchor[p + 1200] for p in range(200, 651)]
 
 
+@pytest.mark.parametrize("operator", [substrings.WORDS, suffixes.BYTES])
+def test_buckets_of_anchors_are_even(operator):
+    rng = random.Random(13)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20000))
+    table = pa.table({"chunk": [0], "doc_id": [1], "text_hash": [1], "text": [text]})
+    sent = repeats._send(table, table.select(["doc_id", "text_hash"]).slice(1), operator, 8)
+    sizes = [len(a) for a in sent.column("anchors").to_pylist()]
+    assert sent.column("bucket").to_pylist() == list(range(8)) and max(sizes) < 2 * sum(sizes) / 8
+
+
 def plain_spans(text):
     found = []
     patterns = {
