@@ -1,6 +1,7 @@
 """Imports every module of this subpackage that registers queries."""
 
 from taskweave.llm import (  # noqa: F401
+    bytepairs,
     chat,
     linededup,
     orderminhash,
