@@ -3,6 +3,7 @@
 from taskweave.llm import (  # noqa: F401
     bytepairs,
     chat,
+    divergence,
     linededup,
     orderminhash,
     packing,
