@@ -8,6 +8,7 @@ from taskweave.llm import (  # noqa: F401
     orderminhash,
     packing,
     pii,
+    prefixtrie,
     quality,
     sentencepieces,
     substrings,
