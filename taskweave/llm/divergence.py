@@ -2,7 +2,7 @@
 
 **Index.** Every task reads its documents once and counts, in memory, the terms of each (lang, source): occurrences
 and documents. When ``block`` entries are held, the block is spilled as a run: sorted by (shard, lang, term) and cut into
-short sorted stretches, one row each. The shard is a hash of (lang, term), so all that runs know of a term meets in one
+short sorted stretches, one row each. The shard is a hash of the term, so all that runs know of a term meets in one
 shard, already summed per run. There the stretches come in the order of their first terms and a heap merges them: a
 stretch is opened when its first term is reached and closed when it is used up, so a task holds the open stretches
 only. A term that too few documents of its language have ends there; the others are written with their postings, a source and a
@@ -33,6 +33,7 @@ from heapq import heappop, heappush, heapreplace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,7 +42,7 @@ from taskweave.llm.registry import query, table
 from taskweave.operators.positions import head_per_group
 from taskweave.staging import stage
 
-BLOCK = 400_000  # entries a task holds before it spills a run
+BLOCK = 500_000  # entries a task holds before it spills a run
 STRETCH = 2_048  # entries of a row of a run
 SLICE = 1 << 20  # bytes of a text that are split at once
 TILE, TILES = 128, 256  # sources on a side of a tile, tiles held by a task
@@ -50,7 +51,10 @@ SCALE, SMOOTH = 1_000_000_000, 5
 _BYTES = bytes(
     b + 32 if 0x41 <= b <= 0x5A else 0x20 if b <= 0x40 or 0x5B <= b <= 0x60 or 0x7B <= b <= 0x7F else b for b in range(256)
 )
-_RUN = "shard int, lang string, first binary, terms array<binary>, sources array<string>, counts array<bigint>, docs array<bigint>"
+_RUN = (
+    "shard int, lang string, first binary, names array<string>, terms array<binary>, docs array<bigint>, "
+    "ends array<int>, sources array<int>, counts array<bigint>"
+)
 _POSTINGS = "lang string, term binary, sources array<string>, counts array<bigint>"
 _GROUP = b""  # stands for the group itself, so that groups without terms are known
 
@@ -76,43 +80,58 @@ class Block:
 
     def add(self, lang: str, source: str, terms: list[bytes], new: set[bytes]) -> None:
         counts, docs = self.groups.setdefault((lang, source), (Counter(), Counter()))
-        held = len(docs) + len(counts)
+        held = len(counts)
         counts.update(terms)
         docs.update(new)
-        self.entries += len(docs) + len(counts) - held
+        self.entries += len(counts) - held
 
     def run(self, shards: int) -> pa.RecordBatch:
-        """Everything held as sorted stretches of one shard and language each."""
-        langs, sources, terms, counts, docs = [], [], [], [], []
-        for (lang, source), (count, doc) in self.groups.items():
-            own = list(count.keys() | doc.keys())
-            langs += [lang] * len(own)
-            sources += [source] * len(own)
+        """Everything held as sorted stretches of one shard and language each: terms, then for each its sources and counts."""
+        langs, names = (sorted({g[i] for g in self.groups}) for i in (0, 1))
+        terms, docs, sizes = [], [], []
+        codes = np.empty((len(self.groups), 2), np.int64)
+        counts: list[int] = []
+        for i, ((lang, source), (count, doc)) in enumerate(self.groups.items()):
+            codes[i] = langs.index(lang), names.index(source)
+            own = [*doc, *(t for t in count if t not in doc)]  # a document that goes on after a spill brings the latter
             terms += own
-            counts += [count[t] for t in own]
-            docs += [doc[t] for t in own]
-        salt = {lang: zlib.crc32(lang.encode()) for lang, _ in self.groups}
-        shard = np.fromiter((zlib.crc32(t, salt[lang]) % shards for t, lang in zip(terms, langs)), np.int32, len(terms))
-        rows = pa.table(
-            {
-                "shard": shard,
-                "lang": pa.array(langs, pa.string()),
-                "term": pa.array(terms, pa.binary()),
-                "source": pa.array(sources, pa.string()),
-                "count": pa.array(counts, pa.int64()),
-                "docs": pa.array(docs, pa.int64()),
-            }
-        ).sort_by([("shard", "ascending"), ("lang", "ascending"), ("term", "ascending")])
-        rows = rows.combine_chunks()
-        shard, lang = rows["shard"].to_numpy(), rows["lang"].to_numpy()
-        changes = np.flatnonzero((shard[1:] != shard[:-1]) | (lang[1:] != lang[:-1])) + 1
-        parts = np.concatenate([[0], changes, [len(shard)]])
-        starts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(parts, parts[1:])])
-        ends = pa.array(np.append(starts, len(shard)).astype(np.int32))
-        lists = [pa.ListArray.from_arrays(ends, rows[c].chunk(0)) for c in ("term", "source", "count", "docs")]
-        at = pa.array(starts)
-        heads = [rows["shard"].chunk(0).take(at), rows["lang"].chunk(0).take(at), rows["term"].chunk(0).take(at)]
-        return pa.RecordBatch.from_arrays([*heads, *lists], names=["shard", "lang", "first", "terms", "sources", "counts", "docs"])
+            docs += map(doc.__getitem__, own)
+            counts += map(count.__getitem__, own)
+            sizes.append(len(own))
+        lang, source = np.repeat(codes, sizes, axis=0).T
+        coded = pa.array(terms, pa.binary()).dictionary_encode()
+        distinct = coded.dictionary
+        place = np.empty(len(distinct), np.int64)  # of each distinct term, by shard and then by term
+        shard = np.fromiter(map(zlib.crc32, distinct.to_pylist()), np.int64, len(distinct)) % shards
+        order = pc.sort_indices(distinct).to_numpy()
+        order = order[np.argsort(shard[order], kind="stable")]
+        place[order] = np.arange(len(distinct))
+        code = coded.indices.to_numpy()
+        rows = np.lexsort((source, place[code], lang, shard[code]))
+        lang, source, code, shard = lang[rows], source[rows], code[rows], shard[code][rows]
+        new = np.concatenate([[True], (code[1:] != code[:-1]) | (lang[1:] != lang[:-1])])
+        at = np.flatnonzero(new)  # first entry of each (language, term)
+        new_part = np.concatenate([[True], (shard[at][1:] != shard[at][:-1]) | (lang[at][1:] != lang[at][:-1])])
+        parts = np.append(np.flatnonzero(new_part), len(at))
+        cuts = np.concatenate([np.arange(a, b, STRETCH) for a, b in zip(parts, parts[1:])])
+        per_term = pa.array(np.append(cuts, len(at)).astype(np.int32))
+        firsts = at[cuts]
+        per_entry = pa.array(np.append(firsts, len(code)).astype(np.int32))
+        sizes = np.diff(np.append(at, len(code)))
+        sizes = np.cumsum(sizes) - np.repeat(firsts, np.diff(per_term))  # ends of the terms' entries inside their stretch
+        listed = pa.ListArray.from_arrays
+        columns = {
+            "shard": pa.array(shard[firsts].astype(np.int32)),
+            "lang": pa.array(langs, pa.string()).take(pa.array(lang[firsts])),
+            "first": distinct.take(pa.array(code[firsts])),
+            "names": pa.array([names] * len(firsts), pa.list_(pa.string())),
+            "terms": listed(per_term, distinct.take(pa.array(code[at]))),
+            "docs": listed(per_term, pa.array(np.add.reduceat(np.asarray(docs, np.int64)[rows], at))),
+            "ends": listed(per_term, pa.array(sizes.astype(np.int32))),
+            "sources": listed(per_entry, pa.array(source.astype(np.int32))),
+            "counts": listed(per_entry, pa.array(np.asarray(counts, np.int64)[rows])),
+        }
+        return pa.RecordBatch.from_pydict(columns)
 
 
 def index_blocks(batches: Iterator[pa.RecordBatch], shards: int, block: int) -> Iterator[pa.RecordBatch]:
@@ -121,13 +140,13 @@ def index_blocks(batches: Iterator[pa.RecordBatch], shards: int, block: int) ->
     for batch in batches:
         for lang, source, text in zip(batch.column(0), batch.column(1), batch.column(2)):
             lang, source = lang.as_py(), source.as_py()
-            held.add(lang, source, [], {_GROUP})
+            held.add(lang, source, [], {_GROUP})  # no occurrence, one document
             seen: set[bytes] = set()  # a document counts once for a term, over all its slices and runs
             for terms in term_lists(text.as_py()):
                 new = set(terms) - seen
                 held.add(lang, source, terms, new)
                 seen |= new
-                if held.entries >= 2 * block:
+                if held.entries >= block:
                     yield from _sliced(held.run(shards))
                     held = Block()
     if held.groups:
@@ -141,7 +160,7 @@ def _sliced(run: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
 
 def merge_runs(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[pa.RecordBatch]:
     """Postings of the terms that enough documents have, from stretches sorted by (shard, lang, first term)."""
-    heap: list[tuple[bytes, int, int, tuple[list, list, list, list]]] = []  # next term, number of the stretch, place, stretch
+    heap: list[tuple[bytes, int, int, tuple[list, ...]]] = []  # next term, number of the stretch, place, stretch
     out: list[tuple[str, bytes, list[str], list[int]]] = []
     where: tuple[int, str] | None = None
     term: bytes | None = None
@@ -160,20 +179,23 @@ def merge_runs(batches: Iterator[pa.RecordBatch], least_docs: int) -> Iterator[p
         nonlocal term, counts, docs
         while heap and (limit is None or heap[0][0] < limit):
             found, number, at, stretch = heap[0]
+            names, terms, term_docs, ends, sources, numbers = stretch
             if found != term:
                 close()
                 term, counts, docs = found, {}, 0
-            source = stretch[1][at]
-            counts[source] = counts.get(source, 0) + stretch[2][at]
-            docs += stretch[3][at]
-            if at + 1 < len(stretch[0]):
-                heapreplace(heap, (stretch[0][at + 1], number, at + 1, stretch))
+            docs += term_docs[at]
+            for i in range(ends[at - 1] if at else 0, ends[at]):
+                source = names[sources[i]]
+                counts[source] = counts.get(source, 0) + numbers[i]
+            if at + 1 < len(terms):
+                heapreplace(heap, (terms[at + 1], number, at + 1, stretch))
             else:
                 heappop(heap)
 
     for batch in batches:
         for row in range(batch.num_rows):
-            shard, lang, first, *lists = (column[row].as_py() for column in batch.columns)
+            shard, lang, first, names, terms = (column[row].as_py() for column in batch.columns[:5])
+            lists = (names, terms, *(column[row].values.to_numpy().tolist() for column in batch.columns[5:]))
             if (shard, lang) != where:
                 advance(None)
                 close()
