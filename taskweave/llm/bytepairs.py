@@ -23,8 +23,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import uuid
-from collections.abc import Callable, Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from taskweave.staging import stage
 
 PART = 65_536  # characters of a part
 SPREAD = 8_388_608  # bytes of a text whose parts are dealt over the cluster
-BLOCK = 8_388_608  # bytes of text that one output batch is made from
+BLOCK = 2_097_152  # bytes of text that one output batch is made from
 _RUN = 4_096  # white space characters that the library's matcher is not asked to take at once
 _UNKNOWN = "�".encode()
 # fixed values: Unicode White_Space, as the matcher's \s
@@ -69,17 +69,29 @@ class Ranks:
     """A rank file, ready to encode parts of texts and to decode ids."""
 
     def __init__(self, path: str, pattern: str):
+        with open(path, "rb") as lines:
+            self._ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self._pattern = pattern
+
+    def _encoding(self, pattern: str):
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._by_pattern = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self._one_match = tiktoken.Encoding("match", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-        size = max(ranks.values(), default=-1) + 1
-        self._bytes = [_UNKNOWN] * (size + 1)
-        for token, rank in ranks.items():
-            self._bytes[rank] = token
-        self._size = size
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=self._ranks, special_tokens={})
+
+    @cached_property
+    def _by_pattern(self):
+        return self._encoding(self._pattern)
+
+    @cached_property
+    def _one_match(self):
+        return self._encoding(r"[\s\S]+")
+
+    @cached_property
+    def _bytes(self) -> list[bytes]:
+        out = [_UNKNOWN] * (max(self._ranks.values(), default=-1) + 2)
+        for token, rank in self._ranks.items():
+            out[rank] = token
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text that ends at a safe boundary or is whole."""
@@ -100,7 +112,8 @@ class Ranks:
         return np.concatenate(parts) if len(parts) > 1 else parts[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
-        known = np.where((ids >= 0) & (ids < self._size), ids, self._size)
+        unknown = len(self._bytes) - 1
+        known = np.where((ids >= 0) & (ids < unknown), ids, unknown)
         return b"".join(map(self._bytes.__getitem__, known.tolist()))
 
 
@@ -116,8 +129,8 @@ def _public_pattern() -> str:
 
 
 def _text(value: pa.Scalar) -> str | None:
-    raw = value.as_py()
-    return None if raw is None else raw.decode("utf-8", "replace")
+    raw = value.as_buffer()
+    return None if raw is None else str(raw, "utf-8", "replace")
 
 
 def _lists(rows: list[np.ndarray | None]) -> pa.Array:
@@ -143,19 +156,24 @@ def _sizes(column: pa.Array) -> np.ndarray:
     return pc.fill_null(length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _mapped(df: DataFrame, source: str, into: str, kind: T.DataType, make: Callable[[pa.Array], pa.Array]) -> DataFrame:
-    """``df`` with ``into`` made from the column ``source``, a bounded batch of rows at a time."""
-    kept = [f for f in df.schema.fields if f.name != into]
-    fed = df.select(*[F.col(f"`{f.name}`") for f in kept], F.col(f"`{source}`").alias("__fed"))
-    names = [f.name for f in kept] + [into]
+def _mapped(
+    df: DataFrame, carry: Sequence[str], source: str, into: dict[str, T.DataType], make: Callable[[pa.Array], Sequence[pa.Array]]
+) -> DataFrame:
+    """The columns ``carry`` of ``df`` and those of ``into``, made from ``source`` a bounded batch of rows at a time."""
+    kept = [f for f in df.schema.fields if f.name in carry and f.name not in into]
+    columns = [f.name for f in kept]
+    fed = columns if source in columns else [*columns, source]
+    at = fed.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start, stop in _slices(_sizes(batch.column(len(names) - 1))):
+            for start, stop in _slices(_sizes(batch.column(at))):
                 rows = batch.slice(start, stop - start)
-                yield pa.RecordBatch.from_arrays([*rows.columns[:-1], make(rows.columns[-1])], names=names)
+                made = make(rows.column(at))
+                yield pa.RecordBatch.from_arrays([*rows.columns[: len(columns)], *made], names=[*columns, *into])
 
-    return fed.mapInArrow(run, T.StructType([*kept, T.StructField(into, kind)]))
+    schema = T.StructType([*kept, *(T.StructField(n, k) for n, k in into.items())])
+    return df.select(*[F.col(f"`{c}`") for c in fed]).mapInArrow(run, schema)
 
 
 def encode_texts(
@@ -167,74 +185,74 @@ def encode_texts(
     safe: str = SAFE,
     part: int = PART,
     spread: int = SPREAD,
+    carry: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``docs`` with the ids of each text as an array; ``safe`` must name boundaries that no match of ``pattern`` crosses."""
-    require_columns(docs, text)
+    """The columns ``carry`` of ``docs`` (all) and the ids of each text as an array.
+
+    ``safe`` must name boundaries that no match of ``pattern`` crosses.
+    """
+    require_columns(docs, text, *(carry or ()))
     pattern = pattern or _public_pattern()
-    raw, number = f"__raw_{uuid.uuid4().hex[:8]}", f"__row_{uuid.uuid4().hex[:8]}"
+    number = f"__row_{uuid.uuid4().hex[:8]}"
+    carry = [c for c in docs.columns if c != into and (carry is None or c in carry)]
+    kind = T.ArrayType(T.IntegerType())
 
-    def encoded(column: pa.Array) -> pa.Array:
+    def encoded(column: pa.Array) -> list[pa.Array]:
         model = ranks_of(ranks, pattern)
         texts = map(_text, column)
-        return _lists([None if t is None else model.encode_whole(t, part, safe) for t in texts])
-
-    kind = T.ArrayType(T.IntegerType())
-    columns = [f"`{c}`" for c in docs.columns if c != into]
-    given = docs.withColumn(raw, F.col(f"`{text}`").cast("string").cast("binary"))
-    giant = F.coalesce(F.octet_length(raw) > spread, F.lit(False))
-    near = _mapped(given.where(~giant), raw, into, kind, encoded).select(*columns, f"`{into}`")
+        return [_lists([None if t is None else model.encode_whole(t, part, safe) for t in texts])]
 
+    given = docs if docs.schema[text].dataType == T.StringType() else docs.withColumn(text, F.col(f"`{text}`").cast("string"))
+    giant = F.coalesce(F.octet_length(F.col(f"`{text}`")) > spread, F.lit(False))
+    near = _mapped(given.where(~giant), carry, text, {into: kind}, encoded)
     far = stage(given.where(giant).withColumn(number, F.monotonically_increasing_id()), "giant-texts")
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row, value in zip(batch.column(0).to_pylist(), batch.column(1)):
-                whole = _text(value)
+                whole = _text(value)  # one text at a time, its parts one by one
                 for i, (a, b) in enumerate(cut_points(whole, part, safe)):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([row]), pa.array([i], pa.int64()), pa.array([whole[a:b].encode()], pa.binary())],
                         names=["row", "part", "raw"],
                     )
 
-    def part_ids(column: pa.Array) -> pa.Array:
+    def part_ids(column: pa.Array) -> list[pa.Array]:
         model = ranks_of(ranks, pattern)
-        return _lists([model.encode(_text(v)) for v in column])
+        return [_lists([model.encode(_text(v)) for v in column])]
 
-    dealt = far.select(number, raw).mapInArrow(parts, "row long, part long, raw binary").repartition("row", "part")
-    pieces = _mapped(dealt, "raw", "ids", kind, part_ids).drop("raw")
+    dealt = far.select(number, F.col(f"`{text}`")).mapInArrow(parts, "row long, part long, raw binary").repartition("row", "part")
+    pieces = _mapped(dealt, ["row", "part"], "raw", {"ids": kind}, part_ids)
     joined = pieces.groupBy("row").agg(
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("part", "ids"))), lambda p: p["ids"])).alias("__ids")
     )
-    spread_out = far.join(joined, far[number] == joined["row"]).select(*columns, F.col("__ids").alias(into))
+    spread_out = far.join(joined, far[number] == joined["row"]).select(*[F.col(f"`{c}`") for c in carry], F.col("__ids").alias(into))
     return near.unionByName(spread_out)
 
 
-def decode_ids(df: DataFrame, ranks: str, ids: str = "ids", into: str = "bytes", pattern: str | None = None) -> DataFrame:
-    """``df`` with the raw bytes of each row's ids."""
+def decode_ids(
+    df: DataFrame, ranks: str, ids: str = "ids", into: str = "bytes", digest: str | None = None, pattern: str | None = None
+) -> DataFrame:
+    """``df`` with the raw bytes of each row's ids.
+
+    ``digest`` names one more column, the SHA-256 of the ids as little-endian unsigned 32-bit integers (null for null ids).
+    """
     require_columns(df, ids)
     pattern = pattern or _public_pattern()
     kind = df.schema[ids].dataType
     if not isinstance(kind, T.ArrayType):
         raise ValueError(f"{ids} holds {kind.simpleString()} and no arrays of ids")
 
-    def decoded(column: pa.Array) -> pa.Array:
+    def decoded(column: pa.Array) -> list[pa.Array]:
         model = ranks_of(ranks, pattern)
-        rows = (None if not v.is_valid else v.values.fill_null(-1).to_numpy(zero_copy_only=False) for v in column)
-        return pa.array([None if r is None else model.decode(r) for r in rows], pa.binary())
-
-    return _mapped(df, ids, into, T.BinaryType(), decoded)
-
-
-def hash_ids(df: DataFrame, ids: str = "ids", into: str = "ids_sha256") -> DataFrame:
-    """``df`` with a digest of each row's ids as little-endian unsigned 32-bit integers."""
-
-    def digests(column: pa.Array) -> pa.Array:
-        rows = (None if not v.is_valid else v.values.to_numpy(zero_copy_only=False) for v in column)
-        return pa.array(
-            [None if r is None else hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows], pa.string()
-        )
+        rows = [None if not v.is_valid else v.values.fill_null(-1).to_numpy(zero_copy_only=False) for v in column]
+        out = [pa.array([None if r is None else model.decode(r) for r in rows], pa.binary())]
+        if digest:
+            own = [None if r is None else hashlib.sha256(r.astype("<u4").tobytes()).hexdigest() for r in rows]
+            out.append(pa.array(own, pa.string()))
+        return out
 
-    return _mapped(df, ids, into, T.StringType(), digests)
+    return _mapped(df, df.columns, ids, {into: T.BinaryType(), **({digest: T.StringType()} if digest else {})}, decoded)
 
 
 @query()
@@ -243,8 +261,8 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    encoded = encode_texts(docs, ranks).select("doc_id", "ids")
-    decoded = hash_ids(decode_ids(encoded, ranks))
+    encoded = encode_texts(docs, ranks, carry=["doc_id"])
+    decoded = decode_ids(encoded, ranks, digest="ids_sha256")
     return decoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
