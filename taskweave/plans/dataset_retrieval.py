@@ -72,12 +72,13 @@ def retrieve_dataset(
     single: CallSettings = SINGLE,
     row_calls: CallSettings = ROW_CALLS,
     seed: int | str = 2023,
-) -> DataFrame | None:
-    """(split, source, input_col, output_col), or None when nothing fits.
+) -> DataFrame:
+    """(split, source, input_col, output_col); without rows when nothing fits.
 
     ``datasets``: (name, description); ``catalog``: rows of ``read_rerank_datasets``. Without ``transform`` one dataset is
     taken, at most ``max_rows`` rows per split. With it, datasets are chosen and rewritten one after the other, at most
     ``max_datasets``, until ``target_rows`` pairs are there; ``strict`` gives everything up when a choice fails midway.
+    Raises when none of the votes is answered.
     """
     spark = datasets.sparkSession
     tasks = spark.createDataFrame([(0, spec.instruction, spec.examples)], "task_id int, instruction string, examples string")
@@ -107,6 +108,7 @@ def retrieve_dataset(
         )
         return row.first(), select_columns(asked, factory, calls=single).first()
 
+    nothing = spark.createDataFrame([], f"split string, source string, {INPUT} string, {OUTPUT} string")
     used: list[tuple[str, str | None]] = []
     gathered: list[DataFrame] = []
     have = 0
@@ -117,11 +119,11 @@ def retrieve_dataset(
         pick, left = chosen
         if pick["dataset"] is None:
             if strict:
-                return None
+                return nothing
             break
         if pick["config"] is None:
             if not transform:
-                return None
+                return nothing
             used.append((pick["dataset"], None))
             continue
         used.append((pick["dataset"], pick["config"]))
@@ -147,4 +149,4 @@ def retrieve_dataset(
         gathered.append(made.select(F.lit("train").alias("split"), source, INPUT, OUTPUT))
         if have >= target_rows:
             break
-    return concatenate(gathered) if gathered else None
+    return concatenate(gathered) if gathered else nothing

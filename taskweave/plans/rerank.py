@@ -45,8 +45,17 @@ def config_prompts(tasks: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def vote_names(prompts: DataFrame, candidates: DataFrame, factory: ClientFactory, calls: CallSettings) -> DataFrame:
-    """(task_id, winner): ask ``calls.responses`` times, read the name, drop unknown names to NULL, take the most voted."""
+    """(task_id, winner): ask ``calls.responses`` times, read the name, drop unknown names to NULL, take the most voted.
+
+    Raises when there were prompts and not one of them was answered: that is a broken client or budget, not a vote.
+    """
     answers = complete(prompts, factory, calls)
+    failed = F.col("error").isNotNull()
+    told = answers.agg(
+        F.count("*").alias("n"), F.sum(failed.cast("int")).alias("failed"), F.first(F.when(failed, F.col("error")), True).alias("why")
+    ).first()
+    if told["n"] and told["n"] == told["failed"]:
+        raise RuntimeError(f"no vote was answered: {told['why']}")
     votes = answers.select(F.col("prompt_id").alias("item"), F.col("choice").alias("vote"), chosen_name(F.col("content")).alias("name"))
     return plurality(votes, candidates.select(F.col("task_id").alias("item"), "name")).select(F.col("item").alias("task_id"), "winner")
 

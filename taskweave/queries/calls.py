@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from taskweave.contracts import INPUT, OUTPUT, TaskSpec
@@ -17,8 +19,9 @@ from taskweave.plans.rerank import config_prompts, dataset_prompts, rerank
 from taskweave.plans.transform import transform_table
 from taskweave.plans.understanding import expand_queries, parse_prompts, select_columns
 from taskweave.queries import stubs
+from taskweave.queries.retrieval import sql_embedding
 from taskweave.queries.registry import (
-    TURN_PAIRS, lit, query, sql_draw, sql_draw_distinct, sql_fill, sql_mark, spread_table, sql_token_count, table, turn_pairs,
+    TURN_PAIRS, lit, query, sql_draw, sql_draw_distinct, sql_fill, sql_mark, spread_table, sql_strip, sql_token_count, table, turn_pairs,
 )
 
 FREE = CallSettings(responses=1, requests_per_minute=None, wait_seconds=0.0)
@@ -255,39 +258,93 @@ def synthetic_rounds(spark, sf_dir):
 
 
 def _retrieval_tables(spark, sf_dir):
-    """Sources as catalogue entries, languages as configs, documents as their rows."""
+    """Languages as catalogue entries, even and odd lengths as their configs, documents as rows."""
     docs = table(spark, sf_dir, "documents")
-    entry = docs.groupBy("source", "lang").agg(F.min("doc_id").alias("first_id"))
+    part = F.concat(F.lit("part_"), (F.col("n_chars") % 2).cast("string"))
+    about = F.concat(F.lit("Texts of many sources in "), "lang")
+    entry = docs.groupBy("lang", part.alias("part")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n"))
+    columns = ("doc_id", "text", "source")
     config = F.struct(
-        F.col("lang").alias("config_name"), F.concat(F.lit('{"doc_id": "'), F.col("first_id").cast("string"), F.lit('"}')).alias("sample_row"),
-        F.array(*[F.lit(c) for c in ("doc_id", "text", "lang")]).alias("columns"),
-        F.create_map(F.lit("doc_id"), F.lit("doc_id"), F.lit("text"), F.lit("text"), F.lit("lang"), F.lit("lang")).alias("columns_mapping"),
-        F.concat(F.lit("Texts of "), "source").alias("dataset_description"), F.col("source").alias("dataset_name"),
+        F.col("part").alias("config_name"), F.concat(F.lit('{"doc_id": "'), F.col("first_id").cast("string"), F.lit('"}')).alias("sample_row"),
+        F.array(*[F.lit(c) for c in columns]).alias("columns"),
+        F.create_map(*[F.lit(c) for name in columns for c in (name, name)]).alias("columns_mapping"),
+        about.alias("dataset_description"), F.col("lang").alias("dataset_name"),
     )
-    maps = entry.groupBy(F.col("source").alias("name")).agg(sorted_map(F.col("lang"), config).alias("configs"))
-    firsts = docs.groupBy(F.col("source").alias("name")).agg(F.min_by("text", "doc_id").alias("description"), F.count("*").alias("downloads"))
-    catalog = firsts.join(maps, "name").withColumns({"tags": F.array(F.lit("text")), "is_gated": F.lit(False)})
+    catalog = entry.groupBy(F.col("lang").alias("name"), about.alias("description")).agg(
+        sorted_map(F.col("part"), config).alias("configs"), F.sum("n").alias("downloads")
+    ).withColumns({"tags": F.array(F.lit("text")), "is_gated": F.lit(False)})
 
     def loader(dataset: str, config_name: str):
-        rows = docs.where((F.col("source") == dataset) & (F.col("lang") == config_name))
-        split = F.when(F.col("n_chars") % 10 < 8, "train").when(F.col("n_chars") % 10 == 8, "val").otherwise("test")
-        return rows.select("doc_id", "text", "lang", split.alias("split"), F.col("doc_id").alias("row_key"))
-
-    return firsts.select("name", "description"), catalog, loader
-
-
-_QUICK = dict(votes=FREE, single=FREE, row_calls=FREE)
-
-
-@query()
+        rows = docs.where((F.col("lang") == dataset) & (part == config_name))
+        split = F.when(F.col("doc_id") % 10 < 8, "train").when(F.col("doc_id") % 10 == 8, "val").otherwise("test")
+        return rows.select("doc_id", "text", "source", split.alias("split"), F.col("doc_id").alias("row_key"))
+
+    return catalog.select("name", "description"), catalog, loader
+
+
+# prompts list whole catalogues, so a prompt's own length sets its budget
+_ROOMY = replace(FREE, max_tokens=None)
+_QUICK = dict(votes=_ROOMY, single=_ROOMY, row_calls=_ROOMY)
+_SOURCE_SPEC = TaskSpec("Tell the source of a text.", "N/A")
+_ASKED = dict(instruction=lit(_SOURCE_SPEC.instruction), examples="'N/A'")
+_ABOUT = "'Texts of many sources in ' || lang"
+# catalogue entries by inner product with the instruction, numbered; all rows with their config, split and place in the shuffle
+_FOUND = f"""d AS (SELECT doc_id, text, lang, source, 'part_' || (n_chars % 2) AS part,
+    CASE WHEN doc_id % 10 < 8 THEN 'train' WHEN doc_id % 10 = 8 THEN 'val' ELSE 'test' END AS split, {sql_mark(2023, 'doc_id')} AS m FROM documents),
+cf AS (SELECT lang, part, min(doc_id) AS first_id FROM d GROUP BY 1, 2),
+qe AS (SELECT * FROM {sql_embedding(f"SELECT 0 AS id, {lit(_SOURCE_SPEC.instruction)} AS text")}),
+de AS (SELECT * FROM {sql_embedding(f"SELECT DISTINCT lang AS id, {_ABOUT} AS text FROM d")}),
+sc AS (SELECT l.lang, round(coalesce(sum(qe.weight * de.weight), 0), 6) AS score FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN de ON de.id = l.lang LEFT JOIN qe ON qe.slot = de.slot GROUP BY 1),
+found AS (SELECT lang, row_number() OVER (ORDER BY score DESC, lang) AS pos FROM sc)"""
+
+
+def _sql_choice(r: int) -> str:
+    """CTE ``u{r}``: (lang, part) chosen by votes among the configs that earlier rounds left."""
+    used = "".join(f" AND (lang, part) NOT IN (SELECT (lang, part) FROM u{i})" for i in range(r))
+    item = f"'[' || pos || '] **' || lang || '** ' || {_ABOUT} || chr(10) || '    tags: text'"
+    pick = """'[' || chr((96 + pos)::INTEGER) || '] **' || part || '**' || chr(10) || '    columns: doc_id, text, source' || chr(10) || '    first row: {"doc_id": "' || first_id || '"}'"""
+    return f"""left{r} AS (SELECT * FROM cf WHERE true{used}),
+pr{r} AS (SELECT 0 AS lang, {sql_fill(P.RANK_DATASETS, count='count(*)', items=f'string_agg({item}, chr(10) ORDER BY pos)', **_ASKED)} AS prompt, list(lang ORDER BY pos) AS names
+  FROM found WHERE lang IN (SELECT lang FROM left{r})),
+w{r} AS {_sql_winner(f'pr{r}')},
+nu{r} AS (SELECT lang, part, first_id, row_number() OVER (ORDER BY part) AS pos FROM left{r} WHERE lang IN (SELECT name FROM w{r})),
+cp{r} AS (SELECT lang, {sql_fill(P.RANK_CONFIGS, count='count(*)', dataset='lang', description=_ABOUT, items=f'string_agg({pick}, chr(10) ORDER BY pos)', **_ASKED)} AS prompt, list(part ORDER BY pos) AS names
+  FROM nu{r} GROUP BY lang),
+cw{r} AS {_sql_winner(f'cp{r}')},
+u{r} AS (SELECT cp{r}.lang, CASE WHEN len(names) = 1 THEN names[1] ELSE name END AS part FROM cp{r} JOIN cw{r} ON cw{r}.lang = cp{r}.lang)"""
+
+
+_ESCAPED = "replace(replace(replace(replace(text, '\\', '\\\\'), chr(10), '\\n'), chr(13), '\\r'), chr(9), '\\t')"
+_REPR = f"""CASE WHEN contains(text, '''') AND NOT contains(text, '"') THEN '"' || {_ESCAPED} || '"' ELSE '''' || replace({_ESCAPED}, '''', '\\''') || '''' END"""
+_TARGET = 3000
+_MOST_FAILED = int(_TARGET * 0.333)
+
+
+def _sql_rewritten(r: int) -> str:
+    """CTE ``t{r}``: the pairs that the rows of choice ``r`` are rewritten to."""
+    row = f"""'{{''text'': ' || {_REPR} || ', ''source'': ''' || source || '''}}'"""
+    have = " - ".join([str(_TARGET), *(f"(SELECT count(*) FROM t{i})" for i in range(r))])
+    plan = sql_fill(P.PLAN, task="any_value(task)", examples="'N/A'", rows="string_agg(row || chr(10), chr(10) ORDER BY pos)")
+    return f"""o{r} AS (SELECT doc_id, {row} AS row, row_number() OVER (ORDER BY m, doc_id) - 1 AS pos FROM d WHERE split = 'train' AND (lang, part) IN (SELECT (lang, part) FROM u{r})),
+pl{r} AS (SELECT any_value(task) AS task, 'text ' || md5({plan}) AS plan FROM o{r} CROSS JOIN e WHERE pos < {P.PLAN_ROWS}),
+h{r} AS (SELECT pos, md5({sql_fill(P.TRANSFORM, task='task', examples="'N/A'", plan='plan', row='row')}) AS h FROM o{r} CROSS JOIN pl{r} WHERE pos < {have}),
+c{r} AS (SELECT *, h[1] = '1' AS failed, sum((h[1] = '1')::INTEGER) OVER (ORDER BY pos) AS n_failed FROM h{r} WHERE h[1] <> '0'),
+t{r} AS (SELECT 'train' AS split, u{r}.lang || '_' || u{r}.part AS source, h AS input_col, left(h, 4) AS output_col FROM c{r} CROSS JOIN u{r}
+  WHERE NOT failed AND n_failed <= {_MOST_FAILED})"""
+
+
+@query(f"""WITH {_FOUND}, {_sql_choice(0)},
+r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY m, doc_id) AS rn FROM d WHERE (lang, part) IN (SELECT (lang, part) FROM u0))
+SELECT split, lang || '_' || part AS source, {sql_strip("'text: ' || text")} AS input_col, source AS output_col FROM r WHERE rn <= 3000""")
 def dataset_retrieval(spark, sf_dir):
     datasets, catalog, loader = _retrieval_tables(spark, sf_dir)
-    spec = TaskSpec("Tell the language of a text.")
-    return retrieve_dataset(spec, datasets, catalog, hashed_embedding, stubs.dataset_client, loader, **_QUICK)
+    return retrieve_dataset(_SOURCE_SPEC, datasets, catalog, hashed_embedding, stubs.dataset_client, loader, **_QUICK)
 
 
-@query()
+@query(f"""WITH {_FOUND}, e AS (SELECT 'text ' || md5({sql_fill(P.EXPLAIN, **_ASKED)}) AS task),
+{', '.join(f'{_sql_choice(r)}, {_sql_rewritten(r)}' for r in range(3))}
+SELECT * FROM t0 UNION ALL SELECT * FROM t1 WHERE (SELECT count(*) FROM t0) < {_TARGET}
+UNION ALL SELECT * FROM t2 WHERE (SELECT count(*) FROM t0) + (SELECT count(*) FROM t1) < {_TARGET}""")
 def dataset_retrieval_transformed(spark, sf_dir):
     datasets, catalog, loader = _retrieval_tables(spark, sf_dir)
-    spec = TaskSpec("Tell the language of a text.", "N/A")
-    return retrieve_dataset(spec, datasets, catalog, hashed_embedding, stubs.dataset_client, loader, transform=True, **_QUICK)
+    return retrieve_dataset(_SOURCE_SPEC, datasets, catalog, hashed_embedding, stubs.dataset_client, loader, transform=True, **_QUICK)

@@ -61,7 +61,7 @@ def bm25_topk(spark, sf_dir):
 _SIZE = 64
 
 
-def _sql_embedding(rows: str) -> str:
+def sql_embedding(rows: str) -> str:
     """Long form (id, slot, weight) of the stand-in encoder over ``rows``: (id, text)."""
     return f"""(SELECT id, slot, n / sqrt(sum(n * n) OVER (PARTITION BY id)) AS weight FROM (
   SELECT id, slot, count(*)::DOUBLE AS n FROM (
@@ -69,7 +69,7 @@ def _sql_embedding(rows: str) -> str:
   GROUP BY id, slot))"""
 
 
-@query(f"SELECT id AS doc_id, slot::INTEGER AS slot, round(weight, 6) AS weight FROM {_sql_embedding('SELECT doc_id AS id, text FROM documents')}")
+@query(f"SELECT id AS doc_id, slot::INTEGER AS slot, round(weight, 6) AS weight FROM {sql_embedding('SELECT doc_id AS id, text FROM documents')}")
 def encode_texts(spark, sf_dir):
     docs = spread_table(spark, sf_dir, "documents")
     vectors = docs.select("doc_id", hashed_embedding(F.col("text"), _SIZE).alias("embedding"))
@@ -78,8 +78,8 @@ def encode_texts(spark, sf_dir):
     return long.select("doc_id", "slot", F.round("weight", 6).alias("weight"))
 
 
-@query(f"""WITH d AS (SELECT * FROM {_sql_embedding('SELECT doc_id AS id, text FROM documents')}),
-b AS (SELECT * FROM {_sql_embedding('SELECT item_id AS id, text FROM benchmark')}),
+@query(f"""WITH d AS (SELECT * FROM {sql_embedding('SELECT doc_id AS id, text FROM documents')}),
+b AS (SELECT * FROM {sql_embedding('SELECT item_id AS id, text FROM benchmark')}),
 s AS (SELECT b.id AS query_id, d.id, round(sum(b.weight * d.weight), 6) AS score FROM b JOIN d ON b.slot = d.slot GROUP BY b.id, d.id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
 SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 25""")

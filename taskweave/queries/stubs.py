@@ -82,7 +82,7 @@ def dataset_client():
         if prompt.endswith("is:"):
             return choose(prompt, n, temperature, max_tokens)
         if prompt.endswith("Chosen columns:"):
-            return [json.dumps({"input": ["text"], "output": ["lang"], "irrelevant": [], "ambiguous": []})]
+            return [json.dumps({"input": ["text"], "output": ["source"], "irrelevant": ["doc_id"], "ambiguous": []})]
         return transform(prompt, n, temperature, max_tokens)
 
     return ask

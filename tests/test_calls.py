@@ -279,3 +279,37 @@ def test_contracts(spark):
         TaskSpec("")
     with pytest.raises(ValueError):
         require_columns(spark.range(1), "x")
+
+
+def test_dataset_retrieval_without_a_choice_is_an_empty_table(spark):
+    for options in ({}, {"transform": True}, {"transform": True, "strict": True}):
+        got = retrieved_by(spark, nobody, **options)
+        assert got.columns == ["split", "source", "input_col", "output_col"] and got.count() == 0
+
+
+def nobody():
+    return lambda prompt, n, temperature, max_tokens: ["**no such set**"] * n
+
+
+def broken():
+    def ask(prompt, n, temperature, max_tokens):
+        raise ValueError("provider is down")
+
+    return ask
+
+
+def retrieved_by(spark, client, **options):
+    from taskweave.operators.inference import hashed_embedding
+
+    rows = catalog(spark)
+    calls = dict(votes=FREE, single=FREE, row_calls=FREE)
+    return retrieve_dataset(
+        TaskSpec("about texts"), rows.select("name", "description"), rows, hashed_embedding, client, loader(spark), **{**calls, **options}
+    )
+
+
+def test_dataset_retrieval_says_when_no_vote_is_answered(spark):
+    with pytest.raises(RuntimeError, match="no vote was answered: ValueError: provider is down"):
+        retrieved_by(spark, broken)
+    with pytest.raises(RuntimeError, match="no room"):
+        retrieved_by(spark, nobody, votes=CallSettings(responses=1, requests_per_minute=None, wait_seconds=0.0, max_tokens=20))
