@@ -246,7 +246,41 @@ def rerank_datasets(spark, sf_dir):
     return rerank(tasks, candidates, configs, stubs.choose_client, 5, FREE)
 
 
-@query()
+_ROUNDS = 6  # a round spends a call at least, and a task has six
+
+
+def _sql_round(r: int) -> str:
+    """CTEs of one round: from status ``s{r}`` and pool ``p{r}`` to ``s{r+1}`` and ``p{r+1}``."""
+    fixed = sql_fill(P.GENERATE_TASK, instruction="instruction", examples="'N/A'", sampled="''")
+    heads = ", ".join(f"{_sql_head(_SHOWN_FOR[m])} AS h{m}" for m in range(3))
+    none = sql_token_count("'N/A' || chr(10)")
+    answers = " UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(r + 1))
+    return f"""q{r} AS MATERIALIZED (SELECT task_id, instruction, have, number, task_id || '~{r}~' || number AS prompt_id
+  FROM s{r}, unnest(range(least(2, ceil((num - have) / 3.0), 6 - calls)::BIGINT)) t(number) WHERE have < num AND calls < 6 AND NOT too_long),
+k{r} AS (SELECT *, CASE WHEN have > 0 THEN 1 + {sql_draw('least(have, 10)', f'{_SEED}-k', 'prompt_id')} ELSE 0 END AS k FROM q{r}),
+d{r} AS MATERIALIZED (SELECT *, {sql_draw_distinct('k', 'have', f'{_SEED}-draw', 'prompt_id')} AS draws, {sql_draw_distinct('4', str(len(P.SOLVED_TASKS)), f'{_SEED}-solved', 'prompt_id')} AS solved FROM k{r}),
+x{r} AS (SELECT task_id, prompt_id, unnest(draws) AS pos, generate_subscripts(draws, 1) AS slot FROM d{r}),
+l{r} AS (SELECT x.prompt_id, list({_LINE} ORDER BY slot) AS lines FROM x{r} x JOIN p{r} p ON p.task_id = x.task_id AND p.pos = x.pos GROUP BY 1),
+h{r} AS MATERIALIZED (SELECT d.* EXCLUDE (draws), coalesce(l.lines, []) AS lines, {heads}, list_transform(coalesce(l.lines, []), lambda s: {sql_token_count('s')}) AS lt,
+  {sql_token_count(fixed)} AS fixed FROM d{r} d LEFT JOIN l{r} l ON l.prompt_id = d.prompt_id),
+z{r} AS MATERIALIZED (SELECT *, {sql_token_count('h0')} AS t0, {sql_token_count('h1')} AS t1, {sql_token_count('h2')} AS t2 FROM h{r}),
+f{r} AS (SELECT *, list_filter(range(0, k + 1), lambda m: fixed + CASE m % 3 WHEN 0 THEN t0 WHEN 1 THEN t1 ELSE t2 END + CASE WHEN m = 0 THEN {none} ELSE list_sum(lt[1:m]) END < 3500) AS fit FROM z{r}),
+e{r} AS MATERIALIZED (SELECT task_id, number, len(fit) > 0 AS fits, CASE m % 3 WHEN 0 THEN h0 WHEN 1 THEN h1 ELSE h2 END || {_FULL} AS prompt FROM (SELECT *, coalesce(list_max(fit), 0) AS m FROM f{r})),
+g{r} AS MATERIALIZED (SELECT task_id, 'case ' || (('0x' || substr(h, 2, 3))::BIGINT % 40) AS input_col, CASE WHEN h[5] < '8' THEN h[5] ELSE 'x' END AS output_col, ({r}::BIGINT << 40) + (number << 20) + i AS seen
+  FROM (SELECT task_id, number, i, md5(prompt || '~' || i) AS h FROM e{r}, range(3) a(i) WHERE fits) WHERE h[1] <> '0'),
+v{r} AS (SELECT task_id, input_col, output_col, count(*) AS n, min(seen) AS seen FROM ({answers}) GROUP BY ALL),
+w{r} AS (SELECT task_id, input_col, output_col, min(seen) OVER (PARTITION BY task_id, input_col) AS first_seen,
+  row_number() OVER (PARTITION BY task_id, input_col ORDER BY n DESC, length(output_col), seen, output_col) AS rn FROM v{r}),
+p{r + 1} AS MATERIALIZED (SELECT task_id, input_col, output_col, row_number() OVER (PARTITION BY task_id ORDER BY first_seen, input_col) - 1 AS pos FROM w{r} WHERE rn = 1),
+s{r + 1} AS MATERIALIZED (SELECT s.task_id, instruction, num, coalesce(p.n, 0) AS have, calls + coalesce(e.n, 0) AS calls, too_long OR coalesce(e.n = 0, false) AS too_long
+  FROM s{r} s LEFT JOIN (SELECT task_id, count(*) AS n FROM p{r + 1} GROUP BY 1) p ON p.task_id = s.task_id
+  LEFT JOIN (SELECT task_id, count(*) FILTER (fits) AS n FROM e{r} GROUP BY 1) e ON e.task_id = s.task_id)"""
+
+
+@query(f"""WITH s0 AS (SELECT conv_id AS task_id, arg_min(text, turn) AS instruction, count(*) AS num, 0::BIGINT AS have, 0::BIGINT AS calls, false AS too_long FROM conversations GROUP BY 1),
+p0 AS (SELECT 0::BIGINT AS task_id, 0::BIGINT AS pos, '' AS input_col, '' AS output_col WHERE false),
+{', '.join(_sql_round(r) for r in range(_ROUNDS))}
+SELECT p.* FROM p{_ROUNDS} p JOIN s{_ROUNDS} s ON s.task_id = p.task_id WHERE p.pos < s.num""")
 def synthetic_rounds(spark, sf_dir):
     """One task per conversation; as many pairs as it has turns, in at most six calls."""
     turns = table(spark, sf_dir, "conversations")

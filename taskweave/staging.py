@@ -55,3 +55,26 @@ def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
         _scopes[-1].append(path)
     df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Grown:
+    """A table that a loop adds to, part by part; it reads as one scan, however many parts there are."""
+
+    def __init__(self, spark: SparkSession, label: str, schema: str):
+        self._spark, self._schema, self._parts = spark, schema, 0
+        self._path = f"{shared_folder(spark)}/taskweave/{label}-{uuid.uuid4().hex}"
+        if _scopes:
+            _scopes[-1].append(self._path)
+
+    def add(self, df: DataFrame, part: int) -> None:
+        """Write a part; one that a broken run left behind is written over."""
+        df.write.mode("overwrite").parquet(f"{self._path}/part={part}")
+        self._parts += 1
+
+    def read(self) -> DataFrame:
+        """All parts, with their number as ``part``."""
+        schema = f"{self._schema}, part int"
+        return self._spark.read.schema(schema).parquet(self._path) if self._parts else self._spark.createDataFrame([], schema)
+
+    def part(self, part: int) -> DataFrame:
+        return self.read().where(f"part = {part}").drop("part")
