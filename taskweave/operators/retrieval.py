@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.operators.positions import head_per_group
+from taskweave.operators.ranking import candidates, cut
+from taskweave.operators.sparse_index import search_index, temporary_index
 
 # Query vectors are sent to every worker while they take no more than this, and while the
 # rows one task has to keep stay below the second number; larger sets go through a shuffle.
@@ -19,9 +21,8 @@ QUERY_BYTES = 64 << 20
 KEPT_ROWS = 4_000_000
 _BLOCK = 4096  # corpus vectors and
 _QUERY_BLOCK = 1024  # query vectors scored at once, bounds the score matrix
-# Query terms by queries, and documents by query terms, held as a matrix in a task
-WEIGHT_CELLS = 8_000_000
-_TF_CELLS = 2_000_000
+WEIGHT_CELLS = 8_000_000  # scores of queries by documents held in a task of a sparse search, and
+_TF_CELLS = 2_000_000  # tokens of its blocks of documents
 
 
 def _schema(queries: DataFrame, corpus: DataFrame) -> str:
@@ -29,22 +30,6 @@ def _schema(queries: DataFrame, corpus: DataFrame) -> str:
     return f"query_id {q}, id {i}, score double"
 
 
-def _candidates(scores: np.ndarray, names: np.ndarray, ids: np.ndarray, k: int, found: np.ndarray | None = None) -> pd.DataFrame:
-    """Rows (query_id, id, score) that can still be among the k best of each query, for one block of scores.
-
-    All scores tied (after rounding) with the k-th stay in, so ties are settled later by id. ``found`` marks the
-    cells that count as results at all.
-    """
-    scores = np.round(scores, 6) + 0.0
-    keep = np.ones(scores.shape, bool) if found is None else found
-    if scores.shape[1] > k:
-        open_ = scores if found is None else np.where(found, scores, -np.inf)
-        bound = np.partition(open_, scores.shape[1] - k, axis=1)[:, -k]
-        keep = keep & (scores >= bound[:, None])
-    q, v = np.nonzero(keep)
-    return pd.DataFrame({"query_id": names[q], "id": ids[v], "score": scores[q, v]})
-
-
 def _per_partition(queries: np.ndarray, names: np.ndarray, k: int):
     """A pass over one partition that keeps only the candidates of that partition."""
 
@@ -56,23 +41,18 @@ def _per_partition(queries: np.ndarray, names: np.ndarray, k: int):
                 vectors = np.stack(block["embedding"].to_numpy()).astype(np.float64)
                 ids = block["id"].to_numpy()
                 new = [
-                    _candidates(queries[q : q + _QUERY_BLOCK] @ vectors.T, names[q : q + _QUERY_BLOCK], ids, k)
+                    candidates(queries[q : q + _QUERY_BLOCK] @ vectors.T, names[q : q + _QUERY_BLOCK], ids, k)
                     for q in range(0, len(names), _QUERY_BLOCK)
                 ]
                 kept = pd.concat(new if kept is None else [kept, *new], ignore_index=True)
                 if len(kept) > 4 * k * len(names):
-                    kept = _cut(kept, k)
+                    kept = cut(kept, k)
         if kept is not None:
-            yield _cut(kept, k)
+            yield cut(kept, k)
 
     return scan
 
 
-def _cut(rows: pd.DataFrame, k: int) -> pd.DataFrame:
-    ordered = rows.sort_values(["query_id", "score", "id"], ascending=[True, False, True])
-    return ordered.groupby("query_id", sort=False).head(k)
-
-
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, broadcast_limit: int = QUERY_BYTES) -> DataFrame:
     """Exact inner-product search: (query_id, id, score, rank), best first, ties by id.
 
@@ -138,73 +118,11 @@ def bm25_top_k(
     """Sparse search: (query_id, id, score, rank). Only documents that share a term with the query appear.
 
     ``queries``: (query_id, text); ``documents``: (id, text), with unique ids. Every term of a text is looked at. ``k1``
-    and ``b`` are the usual defaults. While the table of query terms by queries is small (counted first), each document is
-    scored where it is and a partition passes on k rows per query. Beyond that, terms meet queries in a join.
+    and ``b`` are the usual defaults. The documents are indexed first (``sparse_index``), for this search alone; for
+    several searches, write the index once. A task holds at most ``weight_cells`` scores.
     """
-    # the outer form of explode: from the plain one the optimizer infers a filter that tokenizes every text again
-    terms_of = lambda c: F.explode_outer(c).alias("term")
-    asked = queries.select("query_id", terms_of(F.array_distinct(tokenize(F.col("text"))))).where(F.col("term").isNotNull())
-    vocabulary = asked.select("term").distinct()
-    docs = documents.select("id", tokenize(F.col("text")).alias("terms"))
-    stats = docs.agg(F.struct(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg")).alias("s"))
-    df = (
-        docs.select(terms_of(F.array_distinct("terms"))).join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    )
-    n = stats.scalar()["n"]
-    idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").select("query_id", "term", idf.alias("idf"))
-    size = asked.agg(F.countDistinct("query_id").alias("q"), F.countDistinct("term").alias("t")).first()
-    if size["q"] * size["t"] <= weight_cells and size["q"] * k <= KEPT_ROWS:
-        scores = _bm25_in_tasks(docs, weights, stats, k, k1, b, _schema(queries, documents))
-    else:
-        scores = _bm25_by_join(docs, vocabulary, weights, stats.scalar()["avg"], k1, b)
-    return head_per_group(scores, ["query_id"], [F.desc("score"), F.asc("id")], k, rank="rank")
-
-
-def _bm25_in_tasks(docs: DataFrame, weights: DataFrame, stats: DataFrame, k: int, k1: float, b: float, schema: str) -> DataFrame:
-    """Term counts of a few documents at a time as a matrix, times the weights of all queries."""
-    rows = weights.toPandas()  # bounded by the caller's check
-    average = stats.first()["s"]["avg"] or 1.0
-    query_of, names = pd.factorize(rows["query_id"])
-    term_of, terms = pd.factorize(rows["term"])
-    matrix = np.zeros((len(terms), len(names)))
-    matrix[term_of, query_of] = rows["idf"]
-    sent = docs.sparkSession.sparkContext.broadcast((matrix, np.asarray(names), list(terms)))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matrix, names, terms = sent.value
-        vocabulary = pa.array(terms, pa.string())
-        width, step = len(terms), max(1, _TF_CELLS // max(1, len(terms)))
-        kept: list[pd.DataFrame] = []
-        for batch in batches if width else ():
-            ids, lists = batch.column(0).to_pandas().to_numpy(), batch.column(1)
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy().astype(np.int64)
-            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=vocabulary), -1).to_numpy()
-            row = np.repeat(np.arange(len(ids)), lengths)[found >= 0]
-            term = found[found >= 0]
-            for at in range(0, len(ids), step):
-                block = slice(at, at + step)
-                lo, hi = np.searchsorted(row, [at, at + step])
-                size = len(ids[block])
-                tf = np.bincount((row[lo:hi] - at) * width + term[lo:hi], minlength=size * width).reshape(size, width)
-                part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * lengths[block] / average)[:, None] + (tf == 0))
-                scores = (part @ matrix).T
-                kept.append(_candidates(scores, names, ids[block], k, scores > 0))
-            if sum(map(len, kept)) > 4 * k * len(names):
-                kept = [_cut(pd.concat(kept, ignore_index=True), k)]
-        if kept:
-            best = _cut(pd.concat(kept, ignore_index=True), k)
-            yield pa.RecordBatch.from_pandas(best, preserve_index=False)
-
-    return docs.mapInArrow(scan, schema)
-
-
-def _bm25_by_join(docs: DataFrame, vocabulary: DataFrame, weights: DataFrame, average: Column, k1: float, b: float) -> DataFrame:
-    """A document's terms stay together, so most of the sum per (query, document) is done before its shuffle."""
-    terms = docs.select("id", F.size("terms").alias("length"), F.explode_outer("terms").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = terms.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / average))
-    return tf.join(weights, "term").groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
+    index = temporary_index(documents, tokenize, block_tokens=_TF_CELLS)
+    return search_index(index, queries, k, tokenize, k1, b, scores=weight_cells)
 
 
 def with_metadata(ranked: DataFrame, catalog: DataFrame, key: str = "name") -> DataFrame:
