@@ -2,113 +2,35 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.operators.positions import head_per_group
-from taskweave.operators.ranking import candidates, cut
-from taskweave.operators.sparse_index import search_index, temporary_index
-
-# Query vectors are sent to every worker while they take no more than this, and while the
-# rows one task has to keep stay below the second number; larger sets go through a shuffle.
-QUERY_BYTES = 64 << 20
-KEPT_ROWS = 4_000_000
-_BLOCK = 4096  # corpus vectors and
-_QUERY_BLOCK = 1024  # query vectors scored at once, bounds the score matrix
+from taskweave.operators.sparse_index import SparseIndex, search_index, temporary_index
+from taskweave.operators.vector_index import QUERY_BYTES, VectorIndex, scan, search_vectors
+
+_BLOCK = 1024  # corpus vectors that meet a block of queries at once
 WEIGHT_CELLS = 8_000_000  # scores of queries by documents held in a task of a sparse search, and
 _TF_CELLS = 2_000_000  # tokens of its blocks of documents
 
 
-def _schema(queries: DataFrame, corpus: DataFrame) -> str:
-    q, i = queries.schema["query_id"].dataType.simpleString(), corpus.schema["id"].dataType.simpleString()
-    return f"query_id {q}, id {i}, score double"
-
-
-def _per_partition(queries: np.ndarray, names: np.ndarray, k: int):
-    """A pass over one partition that keeps only the candidates of that partition."""
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: pd.DataFrame | None = None
-        for batch in batches:
-            for at in range(0, len(batch), _BLOCK):
-                block = batch.iloc[at : at + _BLOCK]
-                vectors = np.stack(block["embedding"].to_numpy()).astype(np.float64)
-                ids = block["id"].to_numpy()
-                new = [
-                    candidates(queries[q : q + _QUERY_BLOCK] @ vectors.T, names[q : q + _QUERY_BLOCK], ids, k)
-                    for q in range(0, len(names), _QUERY_BLOCK)
-                ]
-                kept = pd.concat(new if kept is None else [kept, *new], ignore_index=True)
-                if len(kept) > 4 * k * len(names):
-                    kept = cut(kept, k)
-        if kept is not None:
-            yield cut(kept, k)
-
-    return scan
-
-
-def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int, broadcast_limit: int = QUERY_BYTES) -> DataFrame:
+def dense_top_k(queries: DataFrame, corpus: DataFrame | VectorIndex, k: int, broadcast_limit: int = QUERY_BYTES) -> DataFrame:
     """Exact inner-product search: (query_id, id, score, rank), best first, ties by id.
 
-    ``queries``: (query_id, embedding); ``corpus``: (id, embedding), both with unique ids. Scores are
-    rounded to six digits. While the query vectors are few (measured, not assumed), each
-    corpus partition meets all of them in one scan and passes on k rows per query.
-    Beyond that both sides are cut into blocks and each pair of blocks is scored in its own task.
+    ``queries``: (query_id, embedding); ``corpus``: (id, embedding), both with unique ids, or a stored index of it. Scores
+    are rounded to six digits. Queries go in blocks of ``broadcast_limit`` bytes; without an index every vector meets every
+    block, with one only the files that can hold a result are opened.
     """
-    queries = queries.select("query_id", "embedding")
-    corpus = corpus.select("id", "embedding")
-    schema = _schema(queries, corpus)
-    n = queries.count()  # does not compute the vectors
-    first = queries.select(F.size("embedding").alias("n")).first()
-    n_bytes = n * (8 * first["n"] + 16) if first else 0  # all vectors have one length
-    blocks = max(-(-n_bytes // broadcast_limit), -(-n * k // KEPT_ROWS))
-    if blocks <= 1:
-        candidates = _scan_with_broadcast(queries, corpus, k, schema)
-    else:
-        candidates = _grid(queries, corpus, k, schema, blocks)
-    return head_per_group(candidates, ["query_id"], [F.desc("score"), F.asc("id")], k, rank="rank")
-
-
-def _scan_with_broadcast(queries: DataFrame, corpus: DataFrame, k: int, schema: str) -> DataFrame:
-    rows = queries.toPandas()  # bounded by the caller's check
-    if rows.empty:
-        return corpus.sparkSession.createDataFrame([], schema)
-    matrix = np.stack(rows["embedding"].to_numpy()).astype(np.float64)
-    sent = corpus.sparkSession.sparkContext.broadcast((matrix, rows["query_id"].to_numpy()))
-
-    def scan(batches):
-        return _per_partition(*sent.value, k)(batches)
-
-    return corpus.mapInPandas(scan, schema)
-
-
-def _grid(queries: DataFrame, corpus: DataFrame, k: int, schema: str, query_blocks: int) -> DataFrame:
-    """Cells of (query block, corpus block); ids are spread by hash, so the cells are even."""
-    corpus_blocks = max(1, -(-corpus.count() // (16 * _BLOCK)))
-    cell = lambda id_, n: F.pmod(F.xxhash64(id_), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = queries.withColumn("qb", cell("query_id", query_blocks)).withColumn("cb", every(corpus_blocks))
-    right = corpus.withColumn("cb", cell("id", corpus_blocks)).withColumn("qb", every(query_blocks))
-
-    def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": q["query_id"][:0], "id": c["id"][:0], "score": pd.Series(dtype="float64")})
-        matrix = np.stack(q["embedding"].to_numpy()).astype(np.float64)
-        parts = list(_per_partition(matrix, q["query_id"].to_numpy(), k)(iter([c])))
-        return pd.concat(parts, ignore_index=True)
-
-    return left.groupBy("qb", "cb").cogroup(right.groupBy("qb", "cb")).applyInPandas(score, schema)
+    if isinstance(corpus, VectorIndex):
+        return search_vectors(corpus, queries, k, broadcast_limit)
+    return scan(queries, corpus, k, broadcast_limit, _BLOCK)
 
 
 def bm25_top_k(
     queries: DataFrame,
-    documents: DataFrame,
+    documents: DataFrame | SparseIndex,
     k: int,
     tokenize: Callable[[Column], Column],
     k1: float = 1.2,
@@ -119,9 +41,9 @@ def bm25_top_k(
 
     ``queries``: (query_id, text); ``documents``: (id, text), with unique ids. Every term of a text is looked at. ``k1``
     and ``b`` are the usual defaults. The documents are indexed first (``sparse_index``), for this search alone; for
-    several searches, write the index once. A task holds at most ``weight_cells`` scores.
+    several searches, write the index once and give it instead. A task holds at most ``weight_cells`` scores.
     """
-    index = temporary_index(documents, tokenize, block_tokens=_TF_CELLS)
+    index = documents if isinstance(documents, SparseIndex) else temporary_index(documents, tokenize, block_tokens=_TF_CELLS)
     return search_index(index, queries, k, tokenize, k1, b, scores=weight_cells)
 
 

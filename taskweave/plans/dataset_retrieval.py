@@ -14,8 +14,8 @@ from taskweave.operators.completion import CallSettings, ClientFactory
 from taskweave.operators.pairs import canonicalize, concatenate
 from taskweave.operators.positions import head_per_group
 from taskweave.operators.retrieval import dense_top_k
-from taskweave.operators.sampling import shuffle
 from taskweave.operators.shapes import flatten, prune, rename
+from taskweave.operators.vector_index import VectorIndex
 from taskweave.operators.positions import with_position
 from taskweave.plans.rerank import VOTES, rerank
 from taskweave.plans.transform import ROW_CALLS, transform_table
@@ -31,9 +31,12 @@ Loader = Callable[[str, str], DataFrame]
 
 def search_datasets(
     tasks: DataFrame, datasets: DataFrame, encoder: Callable[[Column], Column], first_depth: int = FIRST_STAGE_DEPTH, depth: int = FINAL_DEPTH,
-    vectors: DataFrame | None = None,
+    vectors: DataFrame | VectorIndex | None = None,
 ) -> DataFrame:
-    """(task_id, pos, name, score) by inner product of instruction and description. ``vectors``: stored (id, embedding)."""
+    """(task_id, pos, name, score) by inner product of instruction and description.
+
+    ``vectors``: stored (id, embedding), or an index of them, ids being names; then no description is encoded.
+    """
     corpus = vectors if vectors is not None else datasets.select(F.col("name").alias("id"), encoder(F.col("description")).alias("embedding"))
     asked = tasks.select(F.col("task_id").alias("query_id"), encoder(F.col("instruction")).alias("embedding"))
     found = dense_top_k(asked, corpus, first_depth).select(F.col("query_id").alias("task_id"), F.col("id").alias("name"), "score")
@@ -71,18 +74,20 @@ def retrieve_dataset(
     votes: CallSettings = VOTES,
     single: CallSettings = SINGLE,
     row_calls: CallSettings = ROW_CALLS,
+    vectors: DataFrame | VectorIndex | None = None,
     seed: int | str = 2023,
 ) -> DataFrame:
     """(split, source, input_col, output_col); without rows when nothing fits.
 
-    ``datasets``: (name, description); ``catalog``: rows of ``read_rerank_datasets``. Without ``transform`` one dataset is
+    ``datasets``: (name, description); ``catalog``: rows of ``read_rerank_datasets``; ``vectors``: their stored descriptions,
+    as vectors or as an index. Without ``transform`` one dataset is
     taken, at most ``max_rows`` rows per split. With it, datasets are chosen and rewritten one after the other, at most
     ``max_datasets``, until ``target_rows`` pairs are there; ``strict`` gives everything up when a choice fails midway.
     Raises when none of the votes is answered.
     """
     spark = datasets.sparkSession
     tasks = spark.createDataFrame([(0, spec.instruction, spec.examples)], "task_id int, instruction string, examples string")
-    found = stage(_candidates(search_datasets(tasks, datasets, encoder), catalog, allow_gated), "candidates")
+    found = stage(_candidates(search_datasets(tasks, datasets, encoder, vectors=vectors), catalog, allow_gated), "candidates")
     if found.isEmpty():
         raise ValueError("no dataset found in the catalogue")
     configs = configs_of(found.select("name", "configs"))

@@ -7,20 +7,32 @@ from pyspark.sql import functions as F
 from taskweave.operators.inference import hashed_embedding
 from taskweave.operators.positions import head_per_group
 from taskweave.operators.retrieval import bm25_top_k, dense_top_k, rescore, with_metadata
+from taskweave.operators.vector_index import temporary_vector_index
 from taskweave.plans.model_retrieval import lower_tokens, retrieve_models
 from taskweave.queries.registry import query, sql_draw, sql_tokens, spread_table, table
 
 _DOT = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"
 
 
-@query(f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings a CROSS JOIN embeddings b),
+_NEAREST = f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings a CROSS JOIN embeddings b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)
-SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10""")
+SELECT query_id, id, score, rank::INTEGER AS rank FROM r WHERE rank <= 10"""
+
+
+@query(_NEAREST)
 def dense_topk_per_query(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return dense_top_k(vectors.withColumnRenamed("vec_id", "query_id"), vectors.withColumnRenamed("vec_id", "id"), 10)
 
 
+@query(_NEAREST)
+def dense_topk_indexed(spark, sf_dir):
+    """The same rows through a stored index of four cells."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index = temporary_vector_index(vectors.withColumnRenamed("vec_id", "id"), cells=4)
+    return dense_top_k(vectors.withColumnRenamed("vec_id", "query_id"), index, 10)
+
+
 @query(f"""WITH q AS (SELECT label, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
 s AS (SELECT q.label AS query_id, b.vec_id AS id, round({_DOT}, 6) AS score FROM q JOIN embeddings a ON a.vec_id = q.vec_id CROSS JOIN embeddings b),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS first_rank FROM s),
