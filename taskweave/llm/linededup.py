@@ -1,52 +1,52 @@
 """Operator 1, line dedup: a segment-partition edit join finds lines that differ in few characters.
 
-How many edits link two lines depends on the length of the shorter one (``BANDS``): one from 2 characters on, two from
-10, three from 128, four from 256. Lines of one character are compared for equality only, as one edit makes any of
-them any other; lines without a word are not compared at all: they always stay. Equal lines are one line throughout.
+How many edits link two lines depends on the length of the shorter one (``BANDS``): none under 10 characters, where an edit
+makes another word or number, one from 10 on, two from 24, three from 128, four from 256. Lines that no band reaches are compared for
+equality only; lines without a word are not compared at all: they always stay. Equal lines are one line throughout.
 
 A line of length n is cut into threshold + 1 segments; of two lines within the threshold, one holds a segment of the
 other unchanged, shifted by no more than the edits before it allow. Every line therefore gives out its own segments and,
 for each shorter length within that length's threshold, only those substrings that could be that length's segments
-(chosen by the position and the difference of the lengths); equal ones meet in a bucket. Segments of short lines would be
-a character or two, which very many lines share: lines under ``DELETED_UNDER`` characters, and those that can be within
-two edits of one, give out what is left of them after each choice of that many deletions or fewer, which two lines
-within the threshold share as well. Candidates are verified by a bit-parallel edit distance over the band of that many
-diagonals.
+(chosen by the position and the difference of the lengths); equal ones meet in a bucket. The hashes of all these
+substrings are differences of one running sum per block of lines. Candidates are verified by a bit-parallel edit distance over the
+band of that many diagonals.
 
-Groups are the connected components of the links, found without all pairs of a bucket (see ``linkage``). Of each
-group only the first line, by document id and place, stays.
+Groups are the connected components of the links, found without all pairs of a bucket (see ``linkage``). Of each group the first
+line stays, by document id and place, and a line of the group goes if it is within its band of that first one; what only a
+chain of links joins to it stays.
 
 Keys and hashes only choose candidates, two 64-bit hashes together name a line.
 
 Defined results: a null text stays null, an empty one empty; rows with a null id are returned as they are and do not
 count for others; rows that share id and text are one document, and keep the same lines; among rows that share an id, the text
-hash orders; ties cannot arise, as places are unique; other columns are carried along, whatever
-their names; an empty table gives no rows. A text that loses all its lines is empty.
+hash orders; ties cannot arise, as places are unique; other columns are carried along, whatever their names, but a column
+``__removed`` is replaced; an empty table gives no rows. A text that loses all its lines is empty.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskweave.contracts import require_columns
-from taskweave.llm.linkage import linked_groups
+from taskweave.llm.linkage import linked_groups_and_texts
 from taskweave.llm.quality import blocks
 from taskweave.llm.registry import query, table
 from taskweave.staging import stage
 
 Bands = tuple[tuple[int, int], ...]
 #: shortest length of a band, and the edits that link a line of that length with one at least as long
-BANDS: Bands = ((2, 1), (10, 2), (128, 3), (256, 4))
+BANDS: Bands = ((10, 1), (24, 2), (128, 3), (256, 4))
 SHORTEST = BANDS[0][0]
-DELETED_UNDER, DELETED_MOST = 16, 2
+_BLOCK = 1 << 20  # bytes of lines whose keys are made at once
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -71,17 +71,13 @@ def segments(length: int, threshold: int) -> list[tuple[int, int]]:
     return out
 
 
-def _by_deletion(length: int, bands: Bands) -> bool:
-    return length < DELETED_UNDER and 0 < allowed(length, bands) <= DELETED_MOST
-
-
 @lru_cache(maxsize=1 << 14)
 def probes(length: int, bands: Bands) -> tuple[tuple[int, int, int, int], ...]:
     """``(indexed length, segment, start, size)`` of the substrings that may be a segment of a line no longer than this."""
     out = []
     for shorter in range(min(allowed(length, bands), length - 1) + 1):
         threshold = allowed(length - shorter, bands)
-        if not threshold or shorter > threshold or _by_deletion(length - shorter, bands):
+        if not threshold or shorter > threshold:
             continue
         for i, (at, size) in enumerate(segments(length - shorter, threshold)):
             before, after = i, threshold - i
@@ -91,17 +87,6 @@ def probes(length: int, bands: Bands) -> tuple[tuple[int, int, int, int], ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=1 << 10)
-def deletions(length: int, bands: Bands) -> int:
-    """How many deletions a line has to try, so that it meets lines that are found by deletions; -1 if there are none."""
-    found = -1
-    for shorter in range(min(allowed(length, bands), length - 1) + 1):
-        most = allowed(length - shorter, bands)
-        if shorter <= most and _by_deletion(length - shorter, bands):
-            found = max(found, most)
-    return found
-
-
 def _same_start(x: str, y: str) -> int:
     """Length of the common prefix, by halving."""
     low, high = 0, min(len(x), len(y))
@@ -153,49 +138,90 @@ def linked(x: str, y: str, bands: Bands) -> bool:
     return most > 0 and edit_distance(x, y, most) <= most
 
 
-def _hash(text: str, seed: int) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), seed=seed)
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Well spread 64-bit numbers from any (Steele, Lea and Flood)."""
+    x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _keys(line: str, bands: Bands | int) -> list[int]:
-    """Keys of the buckets of a line; a number stands for that many edits at every length above it."""
-    if isinstance(bands, int):
-        bands = ((bands + 1, bands),)
-    n = len(line)
-    keys = [_hash(line[start : start + size], size_ * 64 + i) for size_, i, start, size in probes(n, bands)]
-    left = {
-        "".join(rest)
-        for gone in range(min(deletions(n, bands), n) + 1)
-        for rest in combinations(line, n - gone)
-    }
-    return keys + [_hash(text, 63) for text in left]
+@lru_cache(maxsize=4)
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
 
+@lru_cache(maxsize=1 << 14)
+def _probe_columns(length: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of the substrings of ``probes``, and a number for the segment each may be."""
+    found = np.array(probes(length, bands), np.int64).reshape(-1, 4)
+    return found[:, 2], found[:, 2] + found[:, 3], _mixed((found[:, 0] * 64 + found[:, 1]).astype(np.uint64))
+
+
+def keys_of(lines: list[str], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the buckets of all lines, and for each the place of its line."""
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    starts = np.cumsum(lengths) - lengths
+    # sums[b] - sums[a], shifted back by a powers, is a hash of the characters from a to b
+    size = 1 << max(20, int(len(codes)).bit_length())
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes) * _powers(_BASE, size)[: len(codes)], dtype=np.uint64)])
+    back = _powers(pow(_BASE, -1, 1 << 64), size)
+    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    order = np.argsort(lengths, kind="stable")
+    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
+    for same in np.split(order, cuts):
+        if not len(same) or not allowed(int(lengths[same[0]]), bands):
+            continue
+        at, end, segment = _probe_columns(int(lengths[same[0]]), bands)
+        a, b = starts[same][:, None] + at[None, :], starts[same][:, None] + end[None, :]
+        keys.append(_mixed((sums[b] - sums[a]) * back[a] ^ segment[None, :]).view(np.int64).ravel())
+        places.append(np.repeat(same, len(at)))
+    return np.concatenate(keys), np.concatenate(places)
 
-def _signed(values: list[int]) -> list[int]:
-    return [v - (1 << 64) if v >> 63 else v for v in values]
+
+def _keys(line: str, bands: Bands | int) -> list[int]:
+    """Keys of the buckets of a line; a number stands for that many edits at every length above it."""
+    return keys_of([line], ((bands + 1, bands),) if isinstance(bands, int) else bands)[0].tolist()
 
 
 def _buckets(lines: DataFrame, bands: Bands) -> DataFrame:
-    """``bucket, h1`` of the lines; each batch gives a line once."""
+    """``bucket, h1`` of the lines; each block gives a line once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i, j in blocks(whole.column(1), 1 << 22):
-                part = whole.slice(i, j - i)
-                seen: dict[int, str] = dict(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
-                buckets: list[int] = []
-                names: list[int] = []
-                for name, line in seen.items():
-                    keys = _keys(line, bands)
-                    buckets += keys
-                    names += [name] * len(keys)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_signed(buckets), pa.int64()), pa.array(names, pa.int64())], names=["bucket", "h1"]
-                )
+            for i, j in blocks(whole.column(1), _BLOCK):
+                names, first = np.unique(whole.column(0).slice(i, j - i).to_numpy(), return_index=True)
+                part = whole.column(1).slice(i, j - i).take(pa.array(first)).to_pylist()
+                keys, places = keys_of(part, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[places])], names=["bucket", "h1"])
 
     return lines.select("h1", "line").mapInArrow(run, "bucket long, h1 long")
 
 
+def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by bucket and line, each (bucket, line) once, where a bucket has different lines."""
+    last: tuple[int, int, bool] | None = None  # the last row, and whether it has been passed on
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        if last is not None:
+            bucket, name = np.append(last[0], bucket), np.append(last[1], name)
+        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])])
+        bucket, name = bucket[new], name[new]
+        alike = bucket[1:] == bucket[:-1]
+        held = np.concatenate([alike, [False]]) | np.concatenate([[False], alike])
+        told = last is not None and last[2]
+        out = held.copy()
+        if told:
+            out[0] = False  # passed on with the batch before
+        last = (int(bucket[-1]), int(name[-1]), bool(held[-1]) or (len(bucket) == 1 and told))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[out]), pa.array(name[out])], names=["bucket", "h1"])
+
+
 def _links(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
     left = texts.select(F.col("id").alias("a"), F.col("text").alias("line_a"))
     right = texts.select(F.col("id").alias("b"), F.col("text").alias("line_b"))
@@ -226,9 +252,8 @@ def repeated_lines(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     distinct = lines.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))
     known = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies"), "lines")
 
-    dealt = _buckets(lines, bands).repartition("bucket")
-    ends = dealt.groupBy("bucket").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo < hi")
-    crowded = stage(dealt.join(ends, "bucket").select("bucket", "h1").distinct(), "crowded")
+    dealt = _buckets(lines, bands).repartition("bucket").sortWithinPartitions("bucket", "h1")
+    crowded = stage(dealt.mapInArrow(_shared, "bucket long, h1 long"), "crowded")
     members = crowded.join(known.select("h1", "id"), "h1").select("bucket", "id").distinct()
 
     def texts_of(ids: DataFrame) -> DataFrame:
@@ -240,21 +265,28 @@ def repeated_lines(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     def compare(found: list[str]):
         return lambda i, j: linked(found[i], found[j], bands)
 
-    groups = linked_groups(members, texts_of, lambda pairs, texts: _links(pairs, texts, bands), compare)
-    owned = known.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    heads = owned.groupBy("component").agg(F.min("first").alias("head"), F.sum("copies").alias("copies")).where("copies > 1")
-    late = owned.join(heads.select("component", "head"), "component").select("h1", "h2", "head")
-    gone = lines.select("h1", "h2", "doc_id", "text_hash", "place").join(late, ["h1", "h2"]).where(spot != F.col("head"))
+    groups, texts = linked_groups_and_texts(members, texts_of, lambda pairs, texts: _links(pairs, texts, bands), compare)
+    grouped = stage(known.join(groups, "id"), "grouped-lines")
+    heads = grouped.groupBy("component").agg(F.min_by("id", "first").alias("head_id"), F.min("first").alias("head"))
+    followers = grouped.join(heads, "component").where(F.col("id") != F.col("head_id"))
+    near = _links(followers.select(F.col("head_id").alias("a"), F.col("id").alias("b")), texts, bands).select(F.col("b").alias("id"))
+    replaced = followers.join(near, "id").select("id", "head")
+    owned = known.join(replaced, "id", "left").where((F.col("copies") > 1) | F.col("head").isNotNull())
+    late = owned.select("h1", "h2", F.coalesce("head", "first").alias("kept"))
+    gone = lines.select("h1", "h2", "doc_id", "text_hash", "place").join(late, ["h1", "h2"]).where(spot != F.col("kept"))
     return gone.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("gone"))
 
 
 def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", **limits) -> DataFrame:
     """The same rows and columns, repeated lines taken out of ``text``, and ``__removed``, how many they were."""
     require_columns(docs, key, text)
-    marked = docs.withColumns({"__id": F.col(key).cast("long"), "__hash": F.xxhash64(F.col(text))})
-    plain = marked.select(F.col("__id").alias("doc_id"), F.col("__hash").alias("text_hash"), F.col(text).alias("text"))
-    gone = repeated_lines(plain, **limits).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("gone").alias("__gone"))
-    held = marked.join(gone.hint("merge"), ["__id", "__hash"], "left").select(*docs.columns, "__gone")
+    docs = docs.drop("__removed")
+    own = uuid.uuid4().hex[:8]  # names that no column has
+    doc, digest, places = f"__id_{own}", f"__hash_{own}", f"__gone_{own}"
+    marked = docs.withColumns({doc: F.col(key).cast("long"), digest: F.xxhash64(F.col(text))})
+    plain = marked.select(F.col(doc).alias("doc_id"), F.col(digest).alias("text_hash"), F.col(text).alias("text"))
+    gone = repeated_lines(plain, **limits).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(digest), F.col("gone").alias(places))
+    held = marked.join(gone.hint("merge"), [doc, digest], "left").select(*docs.columns, places)
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -83,6 +83,13 @@ def linked_groups(
 
     ``texts_of`` gives (id, text) for a table of ids.
     """
+    return linked_groups_and_texts(members, texts_of, verify, compare, tile)[0]
+
+
+def linked_groups_and_texts(
+    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verify: Verify, compare: Compare, tile: int = TILE
+) -> tuple[DataFrame, DataFrame]:
+    """The groups, and the written texts of all ids that were compared."""
     sizes = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
     shared = stage(members.join(sizes.select("bucket", "leader"), "bucket").distinct(), "buckets")
     texts = stage(texts_of(shared.select("id").distinct()), "texts", compression="zstd")
@@ -94,9 +101,9 @@ def linked_groups(
     ends = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
     torn = stage(placed.join(ends.select("bucket"), "bucket"), "torn")
     if torn.isEmpty():
-        return groups
+        return groups, texts
     more = stage(_across(torn, texts, compare, tile), "links")
-    return components(links.unionByName(more))
+    return components(links.unionByName(more)), texts
 
 
 def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int) -> DataFrame:

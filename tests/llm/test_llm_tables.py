@@ -149,8 +149,6 @@ def test_no_party_of_the_engine_is_crowded(spark, monkeypatch, operator):
 
 
 def test_repeated_lines_against_brute_force(docs, none):
-    from test_llm_parts import levenshtein
-
     out = linededup.drop_repeated_lines(docs)
     assert out.columns == [*docs.columns, "__removed"]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text is None, r.text or "") for r in out.collect())
@@ -162,20 +160,7 @@ def test_repeated_lines_against_brute_force(docs, none):
                 if SPACES.search(line):
                     spot = (i, order, place)
                     key[line] = min(spot, key.get(line, spot))
-    lines = sorted(key)
-    group = {x: x for x in lines}
-
-    def head(x):
-        while group[x] != x:
-            x = group[x]
-        return x
-
-    for a in lines:
-        for b in lines:
-            close = a < b and min(len(a), len(b)) >= linededup.SHORTEST and abs(len(a) - len(b)) <= 2
-            if close and levenshtein(a, b) <= 2 and head(a) != head(b):
-                x, y = sorted((head(a), head(b)), key=key.get)
-                group[y] = x
+    head = heads_by_hand(key)
     expected = []
     for i, t, *_ in corpus():
         if i is not None and t is not None:
@@ -183,7 +168,7 @@ def test_repeated_lines_against_brute_force(docs, none):
             kept = [
                 line
                 for place, line in enumerate(t.split("\n"))
-                if line not in key or key[head(line)] == (i, order, place)
+                if line not in key or (head[line] == line and key[line] == (i, order, place))
             ]
             t = "\n".join(kept)
         expected.append((i is None, i or 0, t is None, t or ""))
@@ -191,8 +176,32 @@ def test_repeated_lines_against_brute_force(docs, none):
     assert linededup.drop_repeated_lines(none).count() == 0
 
 
+def edits_by_hand(length):
+    """The documented bands."""
+    return 4 if length >= 256 else 3 if length >= 128 else 2 if length >= 24 else 1 if length >= 10 else 0
+
+
+def heads_by_hand(key):
+    """The line that stays for each line, from the first place of each: itself, or the first of its group if that is close."""
+    from test_llm_parts import levenshtein
+
+    lines = sorted(key, key=key.get)
+
+    def close(a, b):
+        most = edits_by_hand(min(len(a), len(b)))
+        return most > 0 and abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most
+
+    group = {x: x for x in lines}
+    for i, b in enumerate(lines):
+        for a in lines[:i]:
+            if group[a] != group[b] and close(a, b):
+                low, high = sorted((group[a], group[b]), key=key.get)
+                group = {x: low if g == high else g for x, g in group.items()}
+    return {x: g if g == x or close(g, x) else x for x, g in group.items()}
+
+
 def test_repeated_lines_of_every_length(spark):
-    from test_llm_parts import edited, levenshtein
+    from test_llm_parts import edited
 
     rng = random.Random(11)
     lines = ["a", "b", "ab", "ac", "No. 7", "No. 8", "(c) 2019 Foo", "(c) 2021 Foo", "It was a sunny day.", "It was a suny day."]
@@ -202,17 +211,50 @@ def test_repeated_lines_of_every_length(spark):
     lines = list(dict.fromkeys(line for line in lines if line))
     rng.shuffle(lines)
     docs = spark.createDataFrame([(i, line) for i, line in enumerate(lines)], "doc_id long, text string").repartition(3)
-    group = list(range(len(lines)))
-    for i, a in enumerate(lines):
-        for j, b in enumerate(lines[:i]):
-            n = min(len(a), len(b))
-            most = 4 if n >= 256 else 3 if n >= 128 else 2 if n >= 10 else 1 if n >= 2 else 0
-            if abs(len(a) - len(b)) <= most and levenshtein(a, b) <= most and group[i] != group[j]:
-                low, high = sorted((group[i], group[j]))
-                group = [low if g == high else g for g in group]
+    head = heads_by_hand({line: i for i, line in enumerate(lines)})
     got = {i: n for i, _, n in linededup.drop_repeated_lines(docs).collect()}
-    assert got == {i: int(group[i] != i) for i in range(len(lines))}
-    assert sum(got[i] for i, line in enumerate(lines) if len(line) < 24) > 20
+    assert got == {i: int(head[line] != line) for i, line in enumerate(lines)}
+    assert sum(got.values()) > 25
+
+
+def test_lines_that_are_no_repeats_stay(spark):
+    lines = ["yes", "yet", "cat", "car", "12", "13", "2021", "2022", "Price: 10", "Price: 95", *map(str, range(10, 100))]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    removed = {r.doc_id: r["__removed"] for r in linededup.drop_repeated_lines(docs).collect()}
+    assert sorted(lines[i] for i, n in removed.items() if n) == ["12", "13"]  # the second ones, which are equal
+
+
+def test_a_chain_does_not_carry_lines_away(spark):
+    base = "the quick brown fox jumps over it"
+    chain = [base, base.replace("quick", "quikk"), base.replace("quick", "quukk"), base.replace("quick", "zuukk"), base.replace("quick", "zuuxx")]
+    docs = spark.createDataFrame(list(enumerate([*chain, base])), "doc_id long, text string")
+    removed = {r.doc_id: r["__removed"] for r in linededup.drop_repeated_lines(docs).collect()}
+    assert removed == {0: 0, 1: 1, 2: 1, 3: 0, 4: 0, 5: 1}
+
+
+def test_line_dedup_and_names_of_the_caller(spark):
+    rows = [("1", "same line of text", 5, "x"), ("2", "same line of text\nother", 6, "y")]
+    docs = spark.createDataFrame(rows, "doc_id string, __id string, __hash int, __removed string")
+    out = linededup.drop_repeated_lines(docs, key="doc_id", text="__id")
+    assert out.columns == ["doc_id", "__id", "__hash", "__removed"]
+    assert sorted(tuple(r) for r in out.collect()) == [("1", "same line of text", 5, 0), ("2", "other", 6, 1)]
+
+
+def test_shared_buckets_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    for _ in range(300):
+        rows = sorted((rng.randint(0, 6), rng.randint(0, 3)) for _ in range(rng.randint(0, 25)))
+        cuts = sorted(rng.randint(0, len(rows)) for _ in range(4))
+        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
+        batches = (pa.RecordBatch.from_pydict({"bucket": [r[0] for r in p], "h1": [r[1] for r in p]},
+                   schema=pa.schema([("bucket", pa.int64()), ("h1", pa.int64())])) for p in parts)
+        got = [tuple(r.values()) for b in linededup._shared(batches) for r in b.to_pylist()]
+        names = {}
+        for b, h in rows:
+            names.setdefault(b, set()).add(h)
+        assert sorted(got) == sorted((b, h) for b, hs in names.items() if len(hs) > 1 for h in hs)
 
 
 _HASHES = {}
