@@ -26,7 +26,7 @@ hash orders; ties cannot arise, as places are unique; other columns are carried
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -46,6 +46,8 @@ Bands = tuple[tuple[int, int], ...]
 BANDS: Bands = ((10, 1), (24, 2), (128, 3), (256, 4))
 SHORTEST = BANDS[0][0]
 _BLOCK = 1 << 20  # bytes of lines whose keys are made at once
+_HELD = 1 << 20  # keys a task holds before it passes them on
+_IN_RANGE = 1 << 20  # keys that are sorted at once
 _BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 _WORD = r"[^\x20\x09-\x0D]"
 
@@ -138,6 +140,29 @@ def linked(x: str, y: str, bands: Bands) -> bool:
     return most > 0 and edit_distance(x, y, most) <= most
 
 
+def near_enough(lines: pa.Array, bands: Bands) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Which pairs of lines may be within their edits: by length, and by counts of characters, of which an edit changes two.
+
+    A character is counted by the first byte of its UTF-8 form.
+    """
+    n = len(lines)
+    ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + n + 1].astype(np.int64)
+    data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    first = (data & 0xC0) != 0x80
+    row = np.repeat(np.arange(n), np.diff(ends))[first]
+    counts = np.bincount(row * 32 + data[first] % 32, minlength=32 * n).reshape(-1, 32).astype(np.int32)
+    lengths = counts.sum(axis=1)
+    edits = np.concatenate([[0], [e for _, e in bands]])[np.searchsorted([at for at, _ in bands], lengths, side="right")]
+
+    def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        most = edits[np.where(lengths[i] < lengths[j], i, j)]
+        close = (np.abs(lengths[i] - lengths[j]) <= most) & (most > 0)
+        close[close] = np.abs(counts[i[close]] - counts[j[close]]).sum(axis=1) <= 2 * most[close]
+        return close
+
+    return may
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Well spread 64-bit numbers from any (Steele, Lea and Flood)."""
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
@@ -153,6 +178,11 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@lru_cache(maxsize=1)
+def _of_codes() -> np.ndarray:
+    return _mixed(np.arange(1 << 16, dtype=np.uint64))
+
+
 @lru_cache(maxsize=1 << 14)
 def _probe_columns(length: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of the substrings of ``probes``, and a number for the segment each may be."""
@@ -162,12 +192,13 @@ def _probe_columns(length: int, bands: Bands) -> tuple[np.ndarray, np.ndarray, n
 
 def keys_of(lines: list[str], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the buckets of all lines, and for each the place of its line."""
-    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    codes = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    values = _of_codes()[codes & np.uint32(0xFFFF)] + (codes >> np.uint32(16)) * np.uint64(_BASE)
     lengths = np.fromiter(map(len, lines), np.int64, len(lines))
     starts = np.cumsum(lengths) - lengths
     # sums[b] - sums[a], shifted back by a powers, is a hash of the characters from a to b
     size = 1 << max(20, int(len(codes)).bit_length())
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(codes) * _powers(_BASE, size)[: len(codes)], dtype=np.uint64)])
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, size)[: len(codes)], dtype=np.uint64)])
     back = _powers(pow(_BASE, -1, 1 << 64), size)
     keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     order = np.argsort(lengths, kind="stable")
@@ -187,39 +218,81 @@ def _keys(line: str, bands: Bands | int) -> list[int]:
     return keys_of([line], ((bands + 1, bands),) if isinstance(bands, int) else bands)[0].tolist()
 
 
-def _buckets(lines: DataFrame, bands: Bands) -> DataFrame:
-    """``bucket, h1`` of the lines; each block gives a line once."""
+def keys_of_length(length: int, bands: Bands) -> int:
+    """About how many keys a line has."""
+    most = allowed(length, bands)
+    return sum((most * most - d * d) // 2 + most + 1 for d in range(most + 1)) if most else 0
+
+
+def _buckets(lines: DataFrame, bands: Bands, ranges: int) -> DataFrame:
+    """``range, data``: the keys of the lines, packed with the lines' names, by ``ranges`` even ranges of keys.
+
+    A block of lines gives a line once; a task passes its keys on when it holds ``_HELD``.
+    """
+
+    def packs(keys: list[np.ndarray], names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        rows = np.stack([np.concatenate(keys), np.concatenate(names)], axis=1)
+        at = _range_of(rows[:, 0], ranges)
+        order = np.argsort(at, kind="stable")
+        rows, at = rows[order], at[order]
+        starts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        offsets = pa.py_buffer((np.append(starts, len(at)) * 16).astype(np.int32))
+        data = pa.Array.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(rows.tobytes())])
+        yield pa.RecordBatch.from_arrays([pa.array(at[starts].astype(np.int64)), data], names=["range", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[list, list] = ([], [])
         for whole in batches:
             for i, j in blocks(whole.column(1), _BLOCK):
                 names, first = np.unique(whole.column(0).slice(i, j - i).to_numpy(), return_index=True)
                 part = whole.column(1).slice(i, j - i).take(pa.array(first)).to_pylist()
                 keys, places = keys_of(part, bands)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(names[places])], names=["bucket", "h1"])
+                held[0].append(keys)
+                held[1].append(names[places])
+                if sum(map(len, held[0])) >= _HELD:
+                    yield from packs(*held)
+                    held = ([], [])
+        if sum(map(len, held[0])):
+            yield from packs(*held)
+
+    return lines.select("h1", "line").mapInArrow(run, "range long, data binary")
+
+
+def _range_of(keys: np.ndarray, ranges: int) -> np.ndarray:
+    high = keys.view(np.uint64) >> np.uint64(32)
+    at = (high * np.uint64(ranges)) >> np.uint64(32)
+    return at.astype(np.uint16 if ranges <= 1 << 16 else np.int64)
 
-    return lines.select("h1", "line").mapInArrow(run, "bucket long, h1 long")
+
+def _repeated(values: np.ndarray) -> np.ndarray:
+    """Which of sorted values are equal to a neighbour."""
+    alike = np.zeros(len(values) + 1, bool)
+    alike[1:-1] = values[1:] == values[:-1]
+    return alike[1:] | alike[:-1]
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by bucket and line, each (bucket, line) once, where a bucket has different lines."""
-    last: tuple[int, int, bool] | None = None  # the last row, and whether it has been passed on
+    """Of packed keys sorted by range, each (bucket, line) once, where a bucket has different lines."""
+    held: list[np.ndarray] = []
+    at = None
+
+    def told() -> pa.RecordBatch:
+        rows = np.concatenate(held)
+        order = np.argsort(rows[:, 0])
+        several = order[_repeated(rows[order, 0])]
+        rows = np.unique(rows[several], axis=0)  # each line of a bucket once
+        rows = rows[_repeated(rows[:, 0])]
+        return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["bucket", "h1"])
+
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket, name = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            bucket, name = np.append(last[0], bucket), np.append(last[1], name)
-        new = np.concatenate([[True], (bucket[1:] != bucket[:-1]) | (name[1:] != name[:-1])])
-        bucket, name = bucket[new], name[new]
-        alike = bucket[1:] == bucket[:-1]
-        held = np.concatenate([alike, [False]]) | np.concatenate([[False], alike])
-        told = last is not None and last[2]
-        out = held.copy()
-        if told:
-            out[0] = False  # passed on with the batch before
-        last = (int(bucket[-1]), int(name[-1]), bool(held[-1]) or (len(bucket) == 1 and told))
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[out]), pa.array(name[out])], names=["bucket", "h1"])
+        for range_, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if range_ != at and held:
+                yield told()
+                held = []
+            at = range_
+            held.append(np.frombuffer(data.as_py(), np.int64).reshape(-1, 2))
+    if held:
+        yield told()
 
 
 def _links(pairs: DataFrame, texts: DataFrame, bands: Bands) -> DataFrame:
@@ -249,10 +322,16 @@ def repeated_lines(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     """``doc_id, text_hash, gone`` (places of the lines to drop) from ``doc_id, text_hash, text``."""
     lines = _lines(docs)
     spot = F.struct("doc_id", "text_hash", "place")
-    distinct = lines.groupBy("h1", "h2").agg(F.min(spot).alias("first"), F.count("*").alias("copies"))
-    known = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies"), "lines")
+    distinct = lines.groupBy("h1", "h2").agg(
+        F.min(spot).alias("first"), F.count("*").alias("copies"), F.max(F.length("line")).alias("length")
+    )
+    known = stage(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "first", "copies", "length"), "lines")
 
-    dealt = _buckets(lines, bands).repartition("bucket").sortWithinPartitions("bucket", "h1")
+    expected = F.lit(0)
+    for shortest, _ in bands:
+        expected = F.when(F.col("length") >= shortest, F.lit(keys_of_length(shortest, bands))).otherwise(expected)
+    n_keys = known.agg(F.sum(F.col("copies") * expected)).first()[0] or 0
+    dealt = _buckets(lines, bands, max(1, -(-n_keys // _IN_RANGE))).repartition("range").sortWithinPartitions("range")
     crowded = stage(dealt.mapInArrow(_shared, "bucket long, h1 long"), "crowded")
     members = crowded.join(known.select("h1", "id"), "h1").select("bucket", "id").distinct()
 
@@ -265,7 +344,10 @@ def repeated_lines(docs: DataFrame, bands: Bands = BANDS) -> DataFrame:
     def compare(found: list[str]):
         return lambda i, j: linked(found[i], found[j], bands)
 
-    groups, texts = linked_groups_and_texts(members, texts_of, lambda pairs, texts: _links(pairs, texts, bands), compare)
+    def sieve(found: pa.Array):
+        return near_enough(found, bands)
+
+    groups, texts = linked_groups_and_texts(members, texts_of, lambda pairs, texts: _links(pairs, texts, bands), compare, sieve=sieve)
     grouped = stage(known.join(groups, "id"), "grouped-lines")
     heads = grouped.groupBy("component").agg(F.min_by("id", "first").alias("head_id"), F.min("first").alias("head"))
     followers = grouped.join(heads, "component").where(F.col("id") != F.col("head_id"))

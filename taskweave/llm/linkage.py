@@ -7,8 +7,9 @@ bounded number of rows, and only links come out. The groups are those that all p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,10 @@ from taskweave.staging import stage
 Verify = Callable[[DataFrame, DataFrame], DataFrame]
 #: texts -> is the pair of the i-th and the j-th a link?
 Compare = Callable[[list[str]], Callable[[int, int], bool]]
+#: texts -> which pairs (i, j), given as two arrays, may be links? Those left out cannot be
+Sieve = Callable[[pa.Array], Callable[[np.ndarray, np.ndarray], np.ndarray]]
 TILE = 400
+_PAIRS = 500_000  # pairs that are sieved at once
 
 
 def _star(edges: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +91,8 @@ def linked_groups(
 
 
 def linked_groups_and_texts(
-    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verify: Verify, compare: Compare, tile: int = TILE
+    members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], verify: Verify, compare: Compare, tile: int = TILE,
+    sieve: Sieve | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """The groups, and the written texts of all ids that were compared."""
     sizes = members.groupBy("bucket").agg(F.min("id").alias("leader"), F.max("id").alias("last")).where("leader < last")
@@ -102,11 +107,11 @@ def linked_groups_and_texts(
     torn = stage(placed.join(ends.select("bucket"), "bucket"), "torn")
     if torn.isEmpty():
         return groups, texts
-    more = stage(_across(torn, texts, compare, tile), "links")
+    more = stage(_across(torn, texts, compare, tile, sieve), "links")
     return components(links.unionByName(more)), texts
 
 
-def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int) -> DataFrame:
+def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int, sieve: Sieve | None = None) -> DataFrame:
     """Links (a, b) between the pieces of torn buckets: enough of them to join what links join.
 
     The members outside a bucket's largest piece meet all members of the bucket, tile by tile. A pair that shares several
@@ -141,32 +146,115 @@ def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int) -> D
         .select("bucket", "id", "component", "central", "p.*")
     )
 
-    def look(one: pa.Table) -> pa.Table:
-        ids, component = one.column("id").to_pylist(), one.column("component").to_pylist()
-        apart, central = one.column("apart").to_pylist(), one.column("central").to_pylist()
-        buckets = [frozenset(b) for b in one.column("buckets").to_pylist()]
-        here = one.column("bucket")[0].as_py()
-        linked = compare(one.column("text").to_pylist())
-        parent: dict[int, int] = {}
-
-        def root(x: int) -> int:
-            while parent.setdefault(x, x) != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        rows = [i for i, a in enumerate(apart) if not a]
-        a, b = [], []
-        for x in (i for i, a_ in enumerate(apart) if a_):
-            for y in rows:
+    columns = ["bucket", "r", "c", "id", "component", "central", "apart", "buckets", "text"]
+
+    def look(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        here = rows[0][0]
+        ids, component, central, apart, buckets, found = zip(*(r[3:] for r in rows))
+        linked, joined = compare(list(found)), _Joined()
+        across = [i for i, a in enumerate(apart) if not a]
+        for x in (i for i, a in enumerate(apart) if a):
+            own = set(buckets[x])
+            for y in across:
                 if not central[y] and ids[x] >= ids[y]:
                     continue
-                one_, other = root(component[x]), root(component[y])
-                if one_ != other and min(buckets[x] & buckets[y]) == here and linked(x, y):
-                    parent[one_] = other
-                    a.append(ids[x])
-                    b.append(ids[y])
-        return pa.Table.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    held = spread.join(own, "id").join(texts.select("id", "text"), "id")
-    return held.groupBy("bucket", "r", "c").applyInArrow(look, "a long, b long")
+                one, other = joined.root(component[x]), joined.root(component[y])
+                if one != other and min(own.intersection(buckets[y])) == here and linked(x, y):
+                    joined.parent[one] = other
+                    yield ids[x], ids[y]
+
+    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows sorted by tile; one tile is held at a time."""
+        rows: list[tuple] = []
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if rows and row[:3] != rows[0][:3]:
+                    found += look(rows)
+                    rows = []
+                rows.append(row)
+            yield _pairs(found)
+        if rows:
+            yield _pairs(look(rows))
+
+    def look_through_sieve(part: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+        """The same for whole tiles at once: only pairs that the sieve lets through are looked at one by one."""
+        bucket, ids, component = (part[c].to_numpy() for c in ("bucket", "id", "component"))
+        central, apart = (part[c].to_numpy(zero_copy_only=False) for c in ("central", "apart"))
+        tile_of = np.cumsum(_tile_starts(part))
+        may_link, linked = sieve(part["text"]), compare(_Lazy(part["text"]))
+        xs, ys = np.flatnonzero(apart), np.flatnonzero(~apart)
+        start, stop = (np.searchsorted(tile_of[ys], tile_of[xs], side) for side in ("left", "right"))
+        ends = np.cumsum(stop - start)
+        at, joined = 0, _Joined()
+        while at < len(xs):
+            to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+            n = (stop - start)[at:to]
+            i = np.repeat(xs[at:to], n)
+            j = ys[np.arange(int(n.sum())) + np.repeat(start[at:to] - (np.cumsum(n) - n), n)]
+            open_ = (component[i] != component[j]) & (central[j] | (ids[i] < ids[j]))
+            i, j = i[open_], j[open_]
+            kept = may_link(i, j)
+            for x, y in zip(i[kept].tolist(), j[kept].tolist()):
+                tile_ = tile_of[x]
+                one, other = joined.root((tile_, component[x])), joined.root((tile_, component[y]))
+                if one != other:
+                    shared = np.intersect1d(part["buckets"][x].values, part["buckets"][y].values)
+                    if shared[0] == bucket[x] and linked(x, y):
+                        joined.parent[one] = other
+                        yield int(ids[x]), int(ids[y])
+            at = to
+
+    def sieved_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.RecordBatch | None = None  # the last tile may go on in the next batch
+        for batch in batches:
+            if left is not None:
+                batch = pa.Table.from_batches([left, batch]).combine_chunks().to_batches()[0]
+            if batch.num_rows:
+                last = int(np.flatnonzero(_tile_starts(batch))[-1])
+                yield _pairs(look_through_sieve(batch.slice(0, last)) if last else ())
+                left = batch.slice(last)
+        if left is not None:
+            yield _pairs(look_through_sieve(left))
+
+    held = spread.join(own, "id").join(texts.select("id", "text"), "id").select(*columns)
+    dealt = held.repartition("bucket", "r", "c").sortWithinPartitions("bucket", "r", "c")
+    return dealt.mapInArrow(sieved_tiles if sieve else tiles, "a long, b long")
+
+
+class _Joined:
+    """What the links of a tile have joined so far."""
+
+    def __init__(self) -> None:
+        self.parent: dict = {}
+
+    def root(self, x):
+        parent = self.parent
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+
+class _Lazy:
+    """A column as a list whose items are read when they are asked for."""
+
+    def __init__(self, column: pa.Array):
+        self._column = column
+
+    def __getitem__(self, i: int) -> str:
+        return self._column[i].as_py()
+
+
+def _tile_starts(rows: pa.RecordBatch) -> np.ndarray:
+    new = np.ones(rows.num_rows, bool)
+    new[1:] = False
+    for name in ("bucket", "r", "c"):
+        values = rows[name].to_numpy()
+        new[1:] |= values[1:] != values[:-1]
+    return new
+
+
+def _pairs(found: Iterable[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if (found := list(found)) else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])

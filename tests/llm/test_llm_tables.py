@@ -245,11 +245,10 @@ def test_shared_buckets_over_batches():
 
     rng = random.Random(5)
     for _ in range(300):
-        rows = sorted((rng.randint(0, 6), rng.randint(0, 3)) for _ in range(rng.randint(0, 25)))
-        cuts = sorted(rng.randint(0, len(rows)) for _ in range(4))
-        parts = [rows[a:b] for a, b in zip([0, *cuts], [*cuts, len(rows)])]
-        batches = (pa.RecordBatch.from_pydict({"bucket": [r[0] for r in p], "h1": [r[1] for r in p]},
-                   schema=pa.schema([("bucket", pa.int64()), ("h1", pa.int64())])) for p in parts)
+        rows = [(rng.randint(0, 9), rng.randint(0, 3)) for _ in range(rng.randint(0, 40))]
+        packs = sorted((b // 3, np.array([(x, y) for x, y in rows[i::3] if x // 3 == b // 3], np.int64).tobytes()) for b in (0, 3, 6, 9) for i in range(3))
+        batches = (pa.RecordBatch.from_pydict({"range": [r for r, _ in packs[k::1][:1]], "data": [d for _, d in packs[k::1][:1]]},
+                   schema=pa.schema([("range", pa.int64()), ("data", pa.binary())])) for k in range(len(packs)))
         got = [tuple(r.values()) for b in linededup._shared(batches) for r in b.to_pylist()]
         names = {}
         for b, h in rows:
@@ -257,6 +256,22 @@ def test_shared_buckets_over_batches():
         assert sorted(got) == sorted((b, h) for b, hs in names.items() if len(hs) > 1 for h in hs)
 
 
+def test_the_sieve_lets_every_link_through():
+    import pyarrow as pa
+    from test_llm_parts import edited
+
+    rng = random.Random(6)
+    for _ in range(60):
+        base = "".join(rng.choice("abcdéfgh中 ") for _ in range(rng.choice([9, 10, 30, 130, 260])))
+        lines = [base, *("".join(edited(rng, base, k, "xyz é")) for k in range(6)), base[::-1], "other " * 9]
+        may = linededup.near_enough(pa.array(["before", *lines]).slice(1), linededup.BANDS)
+        every = np.arange(len(lines))
+        for i in every.tolist():
+            through = may(np.full(len(lines), i), every)
+            assert all(through[j] or not linededup.linked(lines[i], lines[j], linededup.BANDS) for j in every.tolist())
+        assert not may(np.array([0]), every[-1:])[0]
+
+
 _HASHES = {}
 
 
@@ -317,6 +332,14 @@ def test_groups_equal_those_of_all_pairs(spark):
     found = {r.id: r.component for r in got.collect()}
     assert {i: found.get(i, i) for i in points} == group
 
+    def sieve(column):
+        values = np.array(column.to_pylist(), np.int64)
+        return lambda i, j: np.abs(values[i] - values[j]) <= 5
+
+    buckets = spark.createDataFrame([m[:2] for m in members], "bucket long, id long")
+    sieved, _ = linkage.linked_groups_and_texts(buckets, lambda ids: texts.join(ids, "id"), verify, compare, tile=7, sieve=sieve)
+    assert sorted(map(tuple, sieved.collect())) == sorted(map(tuple, got.collect()))
+
 
 def test_components_of_chains_and_rings(spark):
     edges = [(i, i + 1) for i in range(40)] + [(50 + i, 50 + (i + 1) % 9) for i in range(9)] + [(99, 90), (99, 95), (7, 7)]
