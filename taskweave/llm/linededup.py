@@ -372,16 +372,18 @@ def drop_repeated_lines(docs: DataFrame, key: str = "doc_id", text: str = "text"
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, removed = [], []
-            for value, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                if places:
-                    drop = set(places)
-                    value = "\n".join(line for i, line in enumerate(value.split("\n")) if i not in drop)
-                texts.append(value)
-                removed.append(len(places or ()))
-            columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "__removed"])
+        for whole in batches:
+            for start, stop in blocks(whole.column(at)):
+                batch = whole.slice(start, stop - start)
+                texts, removed = [], []
+                for value, places in zip(batch.column(at).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                    if places:
+                        drop = set(places)
+                        value = "\n".join(line for i, line in enumerate(value.split("\n")) if i not in drop)
+                    texts.append(value)
+                    removed.append(len(places or ()))
+                columns = [pa.array(texts, pa.string()) if i == at else c for i, c in enumerate(batch.columns[:-1])]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(removed, pa.int64())], names=[*batch.schema.names[:-1], "__removed"])
 
     schema = T.StructType([*held.schema.fields[:-1], T.StructField("__removed", T.LongType())])
     return held.mapInArrow(run, schema)

@@ -1,7 +1,7 @@
 """Operator 3, quality rules: clean line by line first, then judge what is left of the document.
 
 Lines are judged by themselves: a line fails if it is short and does not end in punctuation, is mostly punctuation, reads like a
-navigation bar, or carries a boilerplate phrase. Failing lines are taken out, and a document is rejected when it loses
+navigation bar, or is short and carries a boilerplate phrase as whole words. Failing lines are taken out, and a document is rejected when it loses
 more than half of its word characters. A document of one line (or of one paragraph) is judged like any other.
 
 Words are ``[^\\x20\\x09-\\x0D]+``, lines are split at ``\\n``. Lines without a word are neither failing nor counted.
@@ -28,20 +28,20 @@ from pyspark.sql import functions as F
 from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
 
-# fixed values: the rules of a line, RE2 syntax, read by Arrow and by the SQL alike
+# fixed values: the rules of a line (phrases: English only), RE2 syntax, read by Arrow and by the SQL alike
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 ENDS = r"[.!?:;,…。！？\"'”’»)\]}]" + SPACE + r"*$"
 MARKS = r"[^\pL\pN\x20\x09-\x0D]"
 BAR = r"[|>»•·/]" + SPACE
 PHRASES = (
-    r"(?i)(cookie policy|privacy policy|terms of (use|service)|all rights reserved|javascript|lorem ipsum"
-    r"|sign in|log in|subscribe to|click here|read more|skip to content|powered by|share (this|on))"
+    r"(?i)\b(cookie policy|privacy policy|terms of (use|service)|all rights reserved|javascript|lorem ipsum"
+    r"|sign in|log in|subscribe to|click here|read more|skip to content|powered by|share (this|on))\b"
 )
 
 MIN_WORDS, MAX_REPEAT_PCT, MAX_LOST_PCT = 50, 50, 50
 SHORT = 120  # word characters; a longer line is a paragraph, which may end without punctuation
-_BLOCK = 1 << 24  # bytes of text that are worked on at once, unless one text is longer
+_BLOCK = 1 << 22  # bytes of text that are worked on at once, unless one text is longer
 
 _FIGURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_failed_lines long, n_marks_failed long, n_nav_failed long, n_phrase_failed long, kept_chars long, base_failed boolean, kept boolean, cleaned string"
 
@@ -113,7 +113,7 @@ def judge(texts: pa.Array) -> dict[str, pa.Array | np.ndarray]:
     first[np.unique(key, return_index=True)[1]] = True
     marks = (~_has(lines, ENDS) & (chars < SHORT)) | (100 * _count(lines, MARKS) > 30 * chars)
     bars = 100 * _count(lines, BAR) > 5 * chars
-    phrase = _has(lines, PHRASES)
+    phrase = _has(lines, PHRASES) & (chars < SHORT)
     failed = filled & (marks | bars | phrase)
     kept_chars = _sums(doc, np.where(failed, 0, chars), n)
     base_failed = (n_words < MIN_WORDS) | (100 * repeat > MAX_REPEAT_PCT * n_words)
@@ -209,7 +209,7 @@ measured AS (
   SELECT i, line, {_CHARS.format(x="line")} AS chars,
     NOT regexp_matches(line, {_q(ENDS)}) AND {_CHARS.format(x="line")} < {SHORT} OR 100 * {_N.format(x="line", p=_q(MARKS))} > 30 * {_CHARS.format(x="line")} AS marks,
     100 * {_N.format(x="line", p=_q(BAR))} > 5 * {_CHARS.format(x="line")} AS bars,
-    regexp_matches(line, {_q(PHRASES)}) AS phrase
+    regexp_matches(line, {_q(PHRASES)}) AND {_CHARS.format(x="line")} < {SHORT} AS phrase
   FROM raw),
 lined AS (
   SELECT i, count(*) AS n_lines, count(*) - count(DISTINCT line) AS dup,

@@ -476,3 +476,37 @@ def test_pipeline_stages(spark, docs, none):
     empty = none.select("doc_id", "text", F.lit("en").alias("lang"), "source", F.lit(1).cast("long").alias("n_chars"))
     for _, work in pipeline.STAGES:
         assert work(spark, empty, "").count() == 0
+
+
+def test_vectors_of_every_length_and_size(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in (1, 2, 3, 17):
+        for _ in range(12):
+            v = rng.normal(size=size)
+            scale = 10.0 ** rng.choice([-300, -200, 0, 5, 200, 300])
+            rows += [v * scale, (v + rng.normal(size=size) * 0.1) * 10.0 ** rng.choice([-250, 0, 250])]
+    rows += [np.array([1e200, 0, 0]), np.array([1e-200, 0, 0]), np.array([1.0, 0, 0]), np.array([1.0, 1.0]), np.array([1.0, 1.0])]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], "vec_id long, embedding array<double>").repartition(3)
+    scaled = [v / np.abs(v).max() for v in rows]
+    unit = [v / np.sqrt(v @ v) for v in scaled]
+    links = [[j for j, w in enumerate(unit) if i != j and len(v) == len(w) and v @ w >= 0.9] for i, v in enumerate(unit)]
+    least = list(range(len(rows)))
+    while True:
+        new = [min(least[j] for j in [i, *own]) for i, own in enumerate(links)]
+        if new == least:
+            break
+        least = new
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vectors.near_duplicates(table).collect()}
+    assert got == {i: (len(links[i]), least[i], least[i] == i) for i in range(len(rows))}
+    assert got[len(rows) - 1][0] > 0 and got[len(rows) - 3][0] > 1
+
+
+def test_phrases_are_whole_words_of_short_lines(spark):
+    words = " ".join(f"word{i}" for i in range(60)) + "."
+    lines = ["The new design in Paris was plain.", "Please spread more butter on it.", "A dialog in the film is short."]
+    paragraph = words + " Please read more of it, and log in."
+    rows = [(0, "\n".join([words, *lines])), (1, words + "\nSign in to read more."), (2, paragraph)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_phrase_failed, r.kept) for r in quality.judge_documents(docs).collect()}
+    assert got == {0: (0, True), 1: (1, True), 2: (0, True)}
