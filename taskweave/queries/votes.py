@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from taskweave.contracts import INPUT, OUTPUT
 from taskweave.functions.parsing import chosen_name, last_object, strict_pair
-from taskweave.operators.voting import multi_vote, plurality
+from taskweave.operators.voting import multi_vote, plurality, winners
 from taskweave.queries.registry import TURN_PAIRS, query, sql_strip, table, turn_pairs
 from taskweave.staging import shared_folder
-from taskweave.streaming.incremental import current_winners, parse_stream, vote_stream
+from taskweave.streaming.incremental import current_totals, parse_stream, vote_totals_stream
 
 
 def _sql_vote(rows: str, pos: bool) -> str:
@@ -104,18 +104,20 @@ def parse_last_json(spark, sf_dir):
 @query(f"""WITH {_sql_vote("SELECT user_id::VARCHAR AS input_col, event_type AS output_col, event_id AS pos FROM events", True)}
 SELECT input_col, output_col, first_seen FROM w WHERE rn = 1""")
 def streaming_votes(spark, sf_dir):
-    """The events as a stream of answers: parse each, count votes per micro-batch, then pick the winners."""
+    """The events as a stream of answers in two parts: parse each, keep vote totals in the state, stop, go on, pick the winners."""
     import uuid
 
     folder = f"{shared_folder(spark)}/taskweave/stream-{uuid.uuid4().hex}"
-    schema = table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    answers = events.select(
-        F.to_json(F.struct(F.col("user_id").alias("input"), F.col("event_type").alias("output"))).alias("content"), F.col("event_id").alias("seen")
-    )
-    run = (
-        vote_stream(parse_stream(answers), f"{folder}/counts", F.col("seen"))
-        .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
-    )
-    run.awaitTermination()
-    return current_winners(spark, f"{folder}/counts")
+    events = table(spark, sf_dir, "events")
+    for part in range(2):
+        events.where(F.col("event_id") % 2 == part).write.mode("append").parquet(f"{folder}/events")
+        arrived = spark.readStream.schema(events.schema).parquet(f"{folder}/events")
+        answers = arrived.select(
+            F.to_json(F.struct(F.col("user_id").alias("input"), F.col("event_type").alias("output"))).alias("content"), F.col("event_id").alias("seen")
+        )
+        run = (
+            vote_totals_stream(parse_stream(answers), f"{folder}/totals", F.col("seen"))
+            .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+        )
+        run.awaitTermination()
+    return winners(current_totals(spark, f"{folder}/totals"))

@@ -1,6 +1,15 @@
 from pyspark.sql import functions as F
 
-from taskweave.streaming.incremental import compact_counts, current_winners, parse_stream, textualize_stream, vote_stream
+from taskweave.operators.voting import winners
+from taskweave.streaming.incremental import (
+    compact_counts,
+    current_totals,
+    current_winners,
+    parse_stream,
+    textualize_stream,
+    vote_stream,
+    vote_totals_stream,
+)
 
 SCHEMA = "seen bigint, content string"
 
@@ -39,3 +48,25 @@ def test_textualize_on_a_stream(spark, tmp_path):
     query = stream.writeStream.format("memory").queryName("texts").trigger(availableNow=True).start()
     query.awaitTermination()
     assert [r["model_output"] for r in spark.sql("SELECT * FROM texts").collect()] == ["b"]
+
+
+def test_totals_live_in_the_state_over_batches_and_restarts(spark, tmp_path):
+    source, totals, seen = str(tmp_path / "in"), str(tmp_path / "totals"), 0
+    given: dict = {}
+    for start in range(3):  # each start is a stream of its own on the same checkpoint
+        for i in range(3):
+            votes = [(str((seen + k) % 4), "ab"[(seen * 7 + k) % 2]) for k in range(5)]
+            rows = [(seen + k, answer(*v)) for k, v in enumerate(votes)]
+            for at, v in enumerate(votes, seen):
+                n, first = given.get(v, (0, at))
+                given[v] = (n + 1, first)
+            seen += len(votes)
+            spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(source)
+        stream = parse_stream(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source))
+        query = vote_totals_stream(stream, totals, F.col("seen"), fold_every=3)
+        query.option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        got = {(r.input_col, r.output_col): (r.n, r.first_seen) for r in current_totals(spark, totals).collect()}
+        assert got == given
+        assert len([p for p in (tmp_path / "totals").iterdir() if p.name.startswith("upto=")]) <= 4
+    assert winners(current_totals(spark, totals)).count() == 4
+    assert current_totals(spark, str(tmp_path / "nothing")).count() == 0
