@@ -154,7 +154,7 @@ def complete(
     chunks = -(-pending.count() // chunk)
     pending = pending.withColumn("part", F.pmod(F.xxhash64("prompt_id"), F.lit(max(chunks, 1))))
     if chunks:
-        pending = stage(pending, "pending")
+        pending = stage(pending.repartition("part"), "pending", by="part")  # a chunk is read from its own files
     for part in range(chunks):
         rows = pending.where(F.col("part") == part)
         marks = rows.select("prompt_id", "asked_as")

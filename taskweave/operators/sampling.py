@@ -5,10 +5,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from taskweave.functions.draws import mark
+from taskweave.operators.positions import with_position
 
 _SMALL = 10_000  # rows few enough to be ordered by one task
 _PREFIX = 3  # hex digits looked at per pass: at most 4096 counts reach the driver
@@ -71,22 +72,9 @@ def holdout(df: DataFrame, keys: Sequence[str], share: float = 0.15, seed: int |
 
 
 def shuffle(df: DataFrame, keys: Sequence[str], seed: int | str = 2023, name: str = "pos") -> DataFrame:
-    """Random order as a position column.
+    """Random order as a position column: the place of each row's hash mark, ties by the keys.
 
-    Rows are numbered inside buckets of equal leading hash digits, which are even by
-    construction whatever the data, and the sizes of the buckets before are added.
+    Marks are even whatever the data, and positions come from range partitions, so no task sees more than its range.
     """
-    n = df.select(*keys).count()
-    digits = max(1, math.ceil(math.log(max(n, 1) / 50_000, 16))) if n > 50_000 else 1
-    marked = df.withColumn("_mark", mark(seed, *_columns(keys))).withColumn("_bucket", F.left("_mark", F.lit(digits)))
-    sizes = marked.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # one row per bucket (16 ** digits at most), so this window is small whatever the table
-    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_bucket").orderBy("_mark", *keys)
-    return (
-        marked.withColumn("_at", F.row_number().over(inside) - 1)
-        .join(starts, "_bucket")
-        .withColumn(name, (F.col("_start") + F.col("_at")).cast("bigint"))
-        .select(*df.columns, name)
-    )
+    marked = df.withColumn("_mark", mark(seed, *_columns(keys)))
+    return with_position(marked, ["_mark", *keys], name=name).select(*df.columns, name)

@@ -47,14 +47,19 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[app]
 
 
-def stage(df: DataFrame, label: str, **options: str) -> DataFrame:
-    """Write ``df`` once and return the written table; ``options`` are those of the Parquet writer."""
+def stage(df: DataFrame, label: str, by: str | None = None, **options: str) -> DataFrame:
+    """Write ``df`` once and return the written table; ``options`` are those of the Parquet writer.
+
+    With ``by``, a folder for each value of that column, so that a reader of one value opens only its files.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/taskweave/{label}-{uuid.uuid4().hex}"
     if _scopes:
         _scopes[-1].append(path)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.options(**options)
+    (writer.partitionBy(by) if by else writer).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table.select(*[f"`{c}`" for c in df.columns]) if by else table
 
 
 class Grown:
