@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +13,7 @@ from taskweave.contracts import MODEL_INPUT, MODEL_OUTPUT, require_columns
 from taskweave.functions import arrays
 from taskweave.functions.draws import draw
 from taskweave.functions.text import tokens
+from taskweave.staging import stage
 
 Tokenizer = Callable[[Column], Column]
 
@@ -51,22 +52,68 @@ def tokenize_rows(
     Inputs are padded to the longest row of the whole table, on the left for decoder-only models.
     The two widths come from one small aggregate that enters the plan as a scalar.
     """
-    require_columns(df, MODEL_INPUT, MODEL_OUTPUT)
-    tokenizer = tokenizer or hashed_ids()
-    cut = lambda name: arrays.truncate(tokenizer(F.col(name)), max_length)
-    rows = df.withColumns({"_in": cut(MODEL_INPUT), "_out": cut(MODEL_OUTPUT)}).drop(MODEL_INPUT, MODEL_OUTPUT)
+    rows = _token_rows(df, tokenizer, max_length)
     widths = rows.agg(
         F.struct(F.max(F.size("_in")).alias("i"), F.max(F.size("_out")).alias("o")).alias("w")
     ).scalar()
+    return _padded(rows, has_encoder, pad, widths["i"], widths["o"]).drop("_in", "_out")
+
+
+def _token_rows(df: DataFrame, tokenizer: Tokenizer | None, max_length: int | None) -> DataFrame:
+    """The ids as ``_in`` and ``_out`` in place of the texts; written, as widths and rows both read them."""
+    require_columns(df, MODEL_INPUT, MODEL_OUTPUT)
+    tokenizer = tokenizer or hashed_ids()
+    cut = lambda name: arrays.truncate(tokenizer(F.col(name)), max_length)
+    return stage(df.withColumns({"_in": cut(MODEL_INPUT), "_out": cut(MODEL_OUTPUT)}).drop(MODEL_INPUT, MODEL_OUTPUT), "token-ids")
+
+
+def _padded(rows: DataFrame, has_encoder: bool, pad: int, in_width: Column, out_width: Column) -> DataFrame:
     left = not has_encoder
-    ids = arrays.pad_to(F.col("_in"), widths["i"], pad, left)
-    mask = arrays.mask_for(F.col("_in"), widths["i"], left)
+    ids = arrays.pad_to(F.col("_in"), in_width, pad, left)
+    mask = arrays.mask_for(F.col("_in"), in_width, left)
     padded = rows.withColumns({"input_ids": ids, "attention_mask": mask})
     if has_encoder:
-        labels = arrays.output_labels(F.col("_out"), widths["o"], pad)
+        labels = arrays.output_labels(F.col("_out"), out_width, pad)
     else:
         labels = arrays.tail_labels(F.col("input_ids"), F.size("_out"))
-    return padded.withColumn("labels", labels).drop("_in", "_out")
+    return padded.withColumn("labels", labels)
+
+
+#: lengths up to which rows share a bucket, two to an octave, so that at most a third of a row is padding
+BORDERS = tuple(sorted({k << i for i in range(1, 20) for k in (2, 3)} | {1, 2, 3}))
+
+
+def tokenize_bucketed(
+    df: DataFrame, has_encoder: bool, tokenizer: Tokenizer | None = None, max_length: int | None = None, pad: int = 0,
+    borders: Sequence[int] = BORDERS,
+) -> DataFrame:
+    """Like ``tokenize_rows`` with a width for each ``bucket`` of input lengths, so that one long text does not pad the whole table.
+
+    A bucket ends at a border; rows beyond the last one share a bucket. Its widths are those of its longest rows, from a
+    histogram with one row per bucket that is combined on the map side and joined back.
+    """
+    if list(borders) != sorted(set(borders)):
+        raise ValueError("borders must ascend")
+    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in borders]), lambda b: b < F.size("_in")))
+    rows = _token_rows(df, tokenizer, max_length).withColumn("bucket", bucket)
+    widths = stage(length_histogram(rows), "widths")
+    padded = _padded(rows.join(widths.select("bucket", "_in_width", "_out_width"), "bucket"), has_encoder, pad, F.col("_in_width"), F.col("_out_width"))
+    return padded.drop("_in", "_out", "_in_width", "_out_width")
+
+
+def length_histogram(rows: DataFrame) -> DataFrame:
+    """(bucket, n, _in_width, _out_width) of rows with ids."""
+    sizes = rows.select("bucket", F.size("_in").alias("i"), F.size("_out").alias("o"))
+    return sizes.groupBy("bucket").agg(F.count("*").alias("n"), F.max("i").alias("_in_width"), F.max("o").alias("_out_width"))
+
+
+def padding_share(tokenized: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n_rows, width, padding): the share of the input ids that is padding."""
+    seen = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
+    sizes = tokenized.select(*by, F.size("input_ids").alias("w"), seen.alias("t"))
+    return sizes.groupBy(*by).agg(
+        F.count("*").alias("n_rows"), F.max("w").alias("width"), (1 - F.sum("t") / F.sum("w")).alias("padding")
+    )
 
 
 def tokenize_causal(df: DataFrame, tokenizer: Tokenizer | None = None, width: int = 512, pad: int = 0) -> DataFrame:

@@ -9,7 +9,7 @@ from taskweave.functions.text import token_count
 from taskweave.operators.pairs import format_pairs
 from taskweave.operators.positions import batch_number, with_position
 from taskweave.operators.textualize import textualize
-from taskweave.operators.tokenize import batch_budgets, hashed_ids, longest_texts, tokenize_causal, tokenize_rows
+from taskweave.operators.tokenize import batch_budgets, BORDERS, hashed_ids, longest_texts, padding_share, tokenize_bucketed, tokenize_causal, tokenize_rows
 from taskweave.queries.registry import LABELLED, TURN_PAIRS, labelled, query, sql_draw, sql_strip, sql_token_count, sql_tokens, spread_table, table, turn_pairs
 
 _MAX = 512
@@ -55,6 +55,25 @@ def tokenize_decoder_only(spark, sf_dir):
     return _joined(tokenize_rows(_model_rows(spark, sf_dir, False), has_encoder=False, max_length=_MAX), ["doc_id"])
 
 
+_BUCKETED = f"""{LABELLED}, t AS (SELECT doc_id, {_sql_ids(f"{_TEXT} || output_col || '{_EOS}'")}[1:{_MAX}] AS i, {_sql_ids(f"output_col || '{_EOS}'")}[1:{_MAX}] AS o FROM labelled),
+b AS (SELECT *, len(list_filter({list(BORDERS)}, lambda b: b < len(i)))::INTEGER AS bucket FROM t),
+w AS (SELECT *, max(len(i)) OVER (PARTITION BY bucket) AS w FROM b)"""
+
+
+@query(f"""WITH {_BUCKETED}, p AS (SELECT doc_id, bucket, list_concat({_ZEROS.format('w - len(i)')}, i) AS ids, list_concat({_ZEROS.format('w - len(i)')}, {_ONES.format('len(i)')}) AS mask, len(o) AS k, w FROM w)
+SELECT doc_id, bucket, array_to_string(ids, ',') AS input_ids, array_to_string(mask, ',') AS attention_mask,
+  array_to_string(list_concat({_SKIP.format('w - least(k, w)')}, ids[w - least(k, w) + 1:w]), ',') AS labels FROM p""")
+def tokenize_by_length(spark, sf_dir):
+    rows = tokenize_bucketed(_model_rows(spark, sf_dir, False), has_encoder=False, max_length=_MAX)
+    return _joined(rows, ["doc_id", "bucket"])
+
+
+@query(f"""WITH {_BUCKETED} SELECT bucket, count(*) AS n_rows, max(w)::INTEGER AS width, round(1 - sum(len(i)) / sum(w), 6) AS padding FROM w GROUP BY bucket""")
+def padding_by_length(spark, sf_dir):
+    rows = tokenize_bucketed(_model_rows(spark, sf_dir, False), has_encoder=False, max_length=_MAX)
+    return padding_share(rows, ["bucket"]).withColumn("padding", F.round("padding", 6))
+
+
 @query(f"""WITH {LABELLED}, t AS (SELECT doc_id, {_sql_ids(_TEXT)}[1:{_MAX}] AS i, {_sql_ids('output_col::VARCHAR')}[1:{_MAX}] AS o FROM labelled),
 w AS (SELECT *, max(len(i)) OVER () AS wi, max(len(o)) OVER () AS wo FROM t)
 SELECT doc_id, array_to_string(list_concat(i, {_ZEROS.format('wi - len(i)')}), ',') AS input_ids,

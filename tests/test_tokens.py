@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +84,33 @@ def test_longest_budgets_and_batches(spark):
     assert {(r["batch_id"], r["n_tokens"], r["n_prompts"], r["budget"]) for r in batch_budgets(batches, 4000).collect()} == {
         (0, 99, 100, 3601), (1, 199, 100, 3501), (2, 249, 50, 3451)
     }
+
+
+@pytest.mark.parametrize("has_encoder", [True, False])
+def test_buckets_of_lengths_hold_the_same_tokens_with_less_padding(spark, has_encoder):
+    from taskweave.operators.tokenize import padding_share, tokenize_bucketed
+
+    rnd = random.Random(2)
+    lengths = [0, 1, 1, 2, 3, 5, 900] + [rnd.randint(1, 60) for _ in range(60)]
+    rows = [(i, "w " * n, "o " * rnd.randint(0, 4)) for i, n in enumerate(lengths)]
+    df = spark.createDataFrame(rows, "id int, model_input string, model_output string").repartition(3)
+    whole = {r.id: r for r in tokenize_rows(df, has_encoder).collect()}
+    bucketed = tokenize_bucketed(df, has_encoder)
+    assert bucketed.columns == ["bucket", "id", "input_ids", "attention_mask", "labels"]
+    got = {r.id: r for r in bucketed.collect()}
+    assert got.keys() == whole.keys()
+    widths = {}
+    for i, r in got.items():
+        real = lambda row: [t for t, m in zip(row.input_ids, row.attention_mask) if m]
+        assert real(r) == real(whole[i]) and len(real(r)) == lengths[i]
+        kept, every = ([x for x in row.labels if x != -100] for row in (r, whole[i]))
+        assert kept == every[len(every) - len(kept) :] and (len(kept) == len(every) or not has_encoder)
+        widths.setdefault(r.bucket, set()).add(len(r.input_ids))
+        assert len(r.input_ids) <= max(1, 1.5 * lengths[i]) or lengths[i] <= 1
+    assert all(len(w) == 1 for w in widths.values()) and len(widths) > 5
+    assert padding_share(tokenize_rows(df, has_encoder)).first().padding > 0.9
+    assert padding_share(bucketed).first().padding < 0.2
+    coarse = tokenize_bucketed(df, has_encoder, borders=[10])
+    assert {(r.bucket, len(r.input_ids)) for r in coarse.collect()} == {(0, max(n for n in lengths if n <= 10)), (1, 900)}
+    with pytest.raises(ValueError):
+        tokenize_bucketed(df, has_encoder, borders=[3, 2])
