@@ -44,6 +44,23 @@ def test_keys_at(skewed):
     assert keys_at(df, ["g", "k"], [0, 1234, 1999, 5000]) == {i: ordered[i] for i in (0, 1234, 1999)}
 
 
+def test_keys_at_in_many_small_passes(spark, monkeypatch):
+    monkeypatch.setattr(positions, "_SMALL", 20)
+    monkeypatch.setattr(positions, "_CUTS", 5)
+    rnd = random.Random(3)
+    data = [(rnd.choice([None, "a", "b", "é"]), k, rnd.choice([k / 7, float("nan")])) for k in rnd.sample(range(-900, 900), 400)]
+    df = spark.createDataFrame(data, "g string, k int, x double").coalesce(2).cache()
+    ordered = sorted(((g, k) for g, k, _ in data), key=lambda r: (r[0] is not None, (r[0] or "").encode(), r[1]))
+    ranks = [0, 1, 250, 399, 400, -1]
+    assert keys_at(df, ["g", "k"], ranks) == {r: ordered[r] for r in ranks if 0 <= r < 400}
+    doubles = sorted(x for _, _, x in data if x == x)
+    got = keys_at(df, ["x"], [17, 399])
+    assert got[17] == (doubles[17],) and got[399][0] != got[399][0]
+    repeated = spark.createDataFrame([(i % 3,) for i in range(300)], "k int").coalesce(2)
+    assert keys_at(repeated, ["k"], [0, 150, 299]) == {0: (0,), 150: (1,), 299: (2,)}
+    assert keys_at(df.limit(0), ["k"], [0]) == {}
+
+
 @pytest.mark.parametrize("bundles", [64, 3])
 def test_head_per_group_with_and_without_bundles(skewed, monkeypatch, bundles):
     data, df = skewed
