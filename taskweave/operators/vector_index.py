@@ -34,6 +34,7 @@ from taskweave.staging import shared_folder, stage
 CELLS = 1_024  # most cells, so that the pivots fit into every task
 PACK = 1_024  # vectors of a pack
 QUERY_BYTES = 8 << 20  # vectors of a block of queries
+SCORES = 2_000_000  # scores a task holds at once
 _KEPT = 500_000  # candidates a task holds before it passes them on
 _SLACK = 2e-6  # scores are rounded to six digits, bounds are not
 
@@ -110,8 +111,11 @@ def _scored(rows: DataFrame, k: int, result: str) -> DataFrame:
                     continue
                 ids = ids.values.to_pandas().to_numpy()
                 matrix = np.frombuffer(vectors.as_buffer(), np.float64).reshape(len(ids), -1)
-                kept.append(cut(candidates(queries @ matrix.T, names, ids, k), k))
-                held += len(kept[-1])
+                step = max(1, SCORES // max(1, len(ids)))
+                for at in range(0, len(names), step):
+                    asking = slice(at, at + step)
+                    kept.append(cut(candidates(queries[asking] @ matrix.T, names[asking], ids, k), k))
+                    held += len(kept[-1])
                 if held > _KEPT:
                     kept = [cut(pd.concat(kept, ignore_index=True), k)]
                     held = len(kept[0])

@@ -110,3 +110,17 @@ def test_jobs_read_stored_indexes(spark, tmp_path):
     for vectors in (coded, dense):
         assert search_datasets(tasks, datasets, hashed_embedding, depth=9, vectors=vectors).collect() == plain
     assert dense_top_k(coded.limit(3).withColumnRenamed("id", "query_id"), dense, 2).count() == 6
+
+
+def test_scores_are_made_in_slices(spark, monkeypatch):
+    queries, corpus = [(i, np.array([i % 97, 1.0])) for i in range(6000)], [(f"v{i:04d}", np.array([1.0, i])) for i in range(700)]
+    q, c = tables(spark, queries, corpus, 1)
+    whole = V.candidates
+
+    def small(scores, *rest):
+        if scores.size > 2_000_000:
+            raise MemoryError(scores.shape)
+        return whole(scores, *rest)
+
+    monkeypatch.setattr(V, "candidates", small)
+    assert {(r.query_id, r.id, r.score) for r in V.scan(q, c, 1).collect()} == {(i, "v0699", i % 97 + 699.0) for i in range(6000)}
