@@ -35,6 +35,7 @@ CELLS = 1_024  # most cells, so that the pivots fit into every task
 PACK = 1_024  # vectors of a pack
 QUERY_BYTES = 8 << 20  # vectors of a block of queries
 SCORES = 2_000_000  # scores a task holds at once
+JOINED = 64 << 20  # bytes of packs and queries that a task of a search by cells brings together, about
 _KEPT = 500_000  # candidates a task holds before it passes them on
 _SLACK = 2e-6  # scores are rounded to six digits, bounds are not
 
@@ -93,7 +94,10 @@ def packed(corpus: DataFrame, pack: int = PACK) -> DataFrame:
 
 
 def _scored(rows: DataFrame, k: int, result: str) -> DataFrame:
-    """(query_id, id, score) candidates from rows of a pack and a block of queries; ``bars`` are NULL where there are none."""
+    """(query_id, id, score) candidates from rows of a pack and a block of queries; ``bars`` are NULL where there are none.
+
+    Rows of one block should follow each other, so that its packs leave the k best of them all and not those of each.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pd.DataFrame] = []
@@ -158,10 +162,14 @@ def _result(queries: DataFrame, id_kind: str) -> str:
     return f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {id_kind}, score double"
 
 
+def _row_bytes(queries: DataFrame) -> int:
+    first = queries.select(F.size("embedding").alias("n")).first()
+    return 8 * first["n"] + 16 if first else 0
+
+
 def _blocks(queries: DataFrame, query_bytes: int) -> int:
     n = queries.count()  # does not compute the vectors
-    first = queries.select(F.size("embedding").alias("n")).first()
-    return max(1, -(-n * (8 * first["n"] + 16) // query_bytes)) if first else 1
+    return max(1, -(-n * _row_bytes(queries) // query_bytes))
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -294,9 +302,21 @@ def _bounds(index: VectorIndex, queries: DataFrame) -> DataFrame:
 
 def _open(index: VectorIndex, wanted: DataFrame, queries: DataFrame, k: int, query_bytes: int, result: str, bars: bool) -> DataFrame:
     """Candidates from the packs of the wanted (query_id, cell[, bar])."""
-    cells = [r["cell"] for r in wanted.select("cell").distinct().collect()]  # at most CELLS numbers
-    n = _blocks(queries, query_bytes)
-    asked = wanted.join(queries, "query_id").withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(n)))
-    blocks = stage(_query_blocks(asked, ["cell", "block"], bars), "cell-queries").drop("block")
+    sizes = wanted.groupBy("cell").agg(F.count("*").alias("asked"), F.max("n").alias("n")).collect()  # at most CELLS rows
+    each = _row_bytes(queries)
+    blocks = [max(1, -(-r["asked"] * each // query_bytes)) for r in sizes]
+    spark = queries.sparkSession
+    # a local relation: its size is known to the optimizer, so it is sent, not shuffled
+    dealt = spark.createDataFrame(
+        pa.table({"cell": pa.array([r["cell"] for r in sizes], pa.int64()), "n_blocks": pa.array(blocks, pa.int64())})
+    )
+    numbered = wanted.join(queries, "query_id").join(dealt, "cell").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("n_blocks")))
+    asked = stage(_query_blocks(numbered, ["cell", "block"], bars), "cell-queries")
     # folders of other cells are not listed, let alone read
-    return _scored(index.packs.where(F.col("cell").isin(cells)).join(blocks, "cell"), k, result)
+    packs = index.packs.where(F.col("cell").isin([r["cell"] for r in sizes])).join(dealt, "cell")
+    # a pack goes to every block that asks for its cell, and not all blocks of a cell to one task
+    packs = packs.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1))).drop("n_blocks")
+    moved = sum((b * r["n"] + r["asked"]) * each for b, r in zip(blocks, sizes))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-moved // JOINED))
+    met = packs.repartition(parts, "cell", "block").join(asked.repartition(parts, "cell", "block"), ["cell", "block"])
+    return _scored(met, k, result)

@@ -124,3 +124,19 @@ def test_scores_are_made_in_slices(spark, monkeypatch):
 
     monkeypatch.setattr(V, "candidates", small)
     assert {(r.query_id, r.id, r.score) for r in V.scan(q, c, 1).collect()} == {(i, "v0699", i % 97 + 699.0) for i in range(6000)}
+
+
+def test_candidates_of_a_cell_do_not_grow_with_its_packs(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(V, "_KEPT", 600)
+    _, corpus = clustered(4, 500, 4, 0.5)
+    queries = [(i, v) for i, (_, v) in enumerate(corpus[:400])]
+    q, c = tables(spark, queries, corpus)
+    index = V.write_vector_index(c, str(tmp_path / "ix"), cells=1, pack=10)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        first, rest = V.search_parts(index, q, 5, 48 * 50)  # eight blocks of about fifty queries
+        assert first.count() + rest.count() <= 400 * 5 * 2
+        assert rows(V.best(first.unionByName(rest), 5)) == brute(queries, corpus, 5)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
