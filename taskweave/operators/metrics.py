@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from taskweave.contracts import require_columns
-from taskweave.functions.text import SPACE_CLASS, strip, words
+from taskweave.functions.text import PY_SPACES, strip, words
 from taskweave.staging import stage
 
 CHAR_ORDERS, WORD_ORDERS, BETA = 6, 2, 2
@@ -53,12 +54,12 @@ def containment_accuracy(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
 # chrF++ ---------------------------------------------------------------------
 
-# Fixed value: the ASCII punctuation marks.
+# Fixed value: the ASCII punctuation marks, those of string.punctuation.
 _MARKS = r"[!\"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~]"
 
 
 def metric_words(text: Column) -> Column:
-    """Words with one punctuation mark split off the end, or else off the start, of a longer word."""
+    """Words with one punctuation mark split off the end, or else off the start, of a longer word; ``_visible`` has the same rule."""
     def pieces(w: Column) -> Column:
         n = F.length(w)
         last, first = F.right(w, F.lit(1)), F.left(w, F.lit(1))
@@ -72,69 +73,165 @@ def metric_words(text: Column) -> Column:
     return F.flatten(F.transform(words(text), pieces))
 
 
-def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    lengths = np.array([len(r) for r in rows], dtype=np.int64)
-    values = np.concatenate(rows) if len(rows) else np.array([], dtype=np.int64)
-    return values.astype(np.int64), np.repeat(np.arange(len(rows)), lengths)
-
+_AT_ONCE = 200_000  # characters whose n-grams are counted together, about; a longer row is counted alone
+_ROWS = 256  # rows counted together
+_KEY_BITS = 63
+_HEAD = 6  # characters that a word's key holds at either end
+
+
+def _table(members: str) -> np.ndarray:
+    """Membership by code point; the last cell stands for all code points beyond."""
+    table = np.zeros(0x3002, dtype=bool)
+    table[[ord(c) for c in members]] = True
+    return table
+
+
+_SPACES, _MARK_TABLE = _table(PY_SPACES), _table(string.punctuation)
+
+
+def _visible(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The characters of all texts without white space: code points, rows, and where words as in ``metric_words`` begin."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le"), dtype=np.uint32)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    place = np.minimum(codes, len(_SPACES) - 1)
+    seen = ~_SPACES[place]
+    begins, ends = seen.copy(), seen.copy()
+    apart = ~seen[:-1] | ~seen[1:] | (row[:-1] != row[1:])
+    begins[1:] &= apart
+    ends[:-1] &= apart
+    mark = _MARK_TABLE[place]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends)
+    split_last = (last > first) & mark[last]
+    split_first = (last > first) & ~split_last & mark[first]
+    begins[last[split_last]] = True
+    begins[first[split_first] + 1] = True
+    return codes[seen], row[seen], begins[seen]
+
+
+def _numbered(codes: np.ndarray) -> np.ndarray:
+    """Small numbers from 1 for the code points at hand."""
+    present = np.zeros(int(codes.max()) + 1, dtype=bool)
+    present[codes] = True
+    return np.cumsum(present)[codes]
+
+
+def _keys(symbols: np.ndarray, part: np.ndarray, orders: int, bits: int) -> np.ndarray:
+    """The next ``orders`` symbols of each place in one number, the first one highest; 0 beyond the end of a part."""
+    cuts = np.concatenate([[False], part[1:] != part[:-1]])
+    wide = np.arange(len(symbols)) + (orders - 1) * np.cumsum(cuts)  # room for zeros between parts
+    spread = np.zeros(wide[-1] + orders, dtype=np.int64)
+    spread[wide] = symbols
+    keys = np.zeros(wide[-1] + 1, dtype=np.int64)
+    for k in range(orders):
+        keys = (keys << bits) | spread[k : k + len(keys)]
+    return keys[wide]
+
+
+def _matches(keys: np.ndarray, row: np.ndarray, side: np.ndarray, n_rows: int, orders: int, bits: int) -> np.ndarray:
+    """Per row and order the clipped matches: a sort by the longest n-grams puts equal shorter ones together as well."""
+    out = np.zeros((n_rows, orders), dtype=np.int64)
+    ordered = np.sort((((row << (orders * bits)) | keys) << 1) | side)
+    refs = np.concatenate([[0], np.cumsum(ordered & 1)])
+    ordered >>= 1
+    for order in range(orders, 0, -1):
+        cuts = np.concatenate([[0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)]])
+        gram, size = ordered[cuts[:-1]], np.diff(cuts)
+        ref = np.diff(refs[cuts])
+        # a last symbol of 0 lies beyond the end
+        match = np.where((gram & ((1 << bits) - 1)) > 0, np.minimum(size - ref, ref), 0)
+        out[:, order - 1] = np.bincount(gram >> (order * bits), weights=match, minlength=n_rows).astype(np.int64)
+        ordered >>= bits
+    return out
 
-def _overlaps(hyp: list[np.ndarray], ref: list[np.ndarray], orders: int) -> np.ndarray:
-    """Per row and order: clipped matches, hypothesis n-grams, reference n-grams.
 
-    Hypothesis and reference symbols of all rows lie end to end in one array. An n-gram's number is made
-    from the number of its first n-1 symbols and its last symbol, renumbered each round, so
-    equal numbers mean equal n-grams of the same row, without hash collisions.
-    """
-    n_rows = len(hyp)
-    out = np.zeros((n_rows, orders, 3), dtype=np.int64)
-    hyp_symbols, hyp_row = _flat(hyp)
-    ref_symbols, ref_row = _flat(ref)
-    symbols = np.concatenate([hyp_symbols, ref_symbols])
-    if not len(symbols):
-        return out
-    row = np.concatenate([hyp_row, ref_row])
-    side = np.concatenate([np.zeros(len(hyp_row), bool), np.ones(len(ref_row), bool)])
+def _matches_by_number(symbols: np.ndarray, part: np.ndarray, row: np.ndarray, side: np.ndarray, n_rows: int, orders: int) -> np.ndarray:
+    """The same where n symbols do not fit into one number: an n-gram is the number of its first n-1 symbols and its last one."""
+    out = np.zeros((n_rows, orders), dtype=np.int64)
     base = int(symbols.max()) + 1
-    start = np.arange(len(symbols))
-    prefix = row
+    start, prefix = np.arange(len(symbols)), row
     for order in range(orders):
         number, _ = pd.factorize(prefix * base + symbols[start + order])
         total = number.max() + 1
-        is_ref = side[start]
-        h = np.bincount(number[~is_ref], minlength=total)
-        r = np.bincount(number[is_ref], minlength=total)
+        ref = np.bincount(number[side[start] == 1], minlength=total)
+        match = np.minimum(np.bincount(number, minlength=total) - ref, ref)
         of = np.empty(total, dtype=np.int64)
         of[number] = row[start]
-        for at, counts in enumerate((np.minimum(h, r), h, r)):
-            out[:, order, at] = np.bincount(of, weights=counts, minlength=n_rows).astype(np.int64)
+        out[:, order] = np.bincount(of, weights=match, minlength=n_rows).astype(np.int64)
         after = start + order + 1
         inside = after < len(symbols)
-        inside[inside] = (row[after[inside]] == row[start[inside]]) & (side[after[inside]] == side[start[inside]])
+        inside[inside] = part[after[inside]] == part[start[inside]]
         start, prefix = start[inside], number[inside]
         if not len(start):
             break
     return out
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer("".join(text.split()).encode("utf-32-le"), dtype=np.uint32)
+def _word_numbers(codes: np.ndarray, begin: np.ndarray, keys: np.ndarray | None, bits: int) -> np.ndarray:
+    """Numbers from 1, equal for equal words: short words by their characters in one or two keys, others by their bytes."""
+    length = np.diff(np.concatenate([begin, [len(codes)]]))
+    number = np.zeros(len(begin), dtype=np.int64)
+    used = reach = 0
+    if keys is not None:
+        reach = 2 * _HEAD
+        short, middle = length <= _HEAD, (length > _HEAD) & (length <= reach)
+        beyond = bits * (_HEAD - length[short])
+        found, names = pd.factorize((keys[begin[short]] >> beyond) << beyond)
+        number[short], used = found + 1, len(names)
+        heads, _ = pd.factorize(keys[begin[middle]])
+        tails, names = pd.factorize(keys[begin[middle] + length[middle] - _HEAD])
+        found, names = pd.factorize((heads * max(1, len(names)) + tails) * reach + length[middle])
+        number[middle], used = found + 1 + used, used + len(names)
+    rest = np.flatnonzero(length > reach)
+    known: dict[bytes, int] = {}
+    number[rest] = [
+        known.setdefault(codes[at : at + n].tobytes(), used + 1 + len(known)) for at, n in zip(begin[rest].tolist(), length[rest].tolist())
+    ]
+    return number
+
+
+def _grams(sizes: np.ndarray, orders: int) -> np.ndarray:
+    return np.maximum(sizes[:, None] - np.arange(orders), 0)
+
+
+def _counted(hyp: list[str], ref: list[str]) -> np.ndarray:
+    """Per row and order: clipped matches, hypothesis n-grams, reference n-grams; without hash collisions."""
+    n_rows = len(hyp)
+    out = np.zeros((n_rows, _ORDERS, 3), dtype=np.int64)
+    codes, part, begins = _visible([*hyp, *ref])
+    if not len(codes):
+        return out
+    row, side = part % n_rows, part // n_rows
+    symbols = _numbered(codes)
+    bits, row_bits = int(symbols.max()).bit_length(), (n_rows - 1).bit_length()
+    fits = CHAR_ORDERS * bits + row_bits + 1 <= _KEY_BITS
+    keys = _keys(symbols, part, CHAR_ORDERS, bits) if fits else None
+    if fits:
+        out[:, :CHAR_ORDERS, 0] = _matches(keys, row, side, n_rows, CHAR_ORDERS, bits)
+    else:
+        out[:, :CHAR_ORDERS, 0] = _matches_by_number(symbols, part, row, side, n_rows, CHAR_ORDERS)
+    begin = np.flatnonzero(begins)
+    words = _word_numbers(codes, begin, keys, bits)
+    word_bits, word_part = int(words.max()).bit_length(), part[begin]
+    pairs = _keys(words, word_part, WORD_ORDERS, word_bits)
+    out[:, CHAR_ORDERS:, 0] = _matches(pairs, row[begin], side[begin], n_rows, WORD_ORDERS, word_bits)
+    for at, first in ((1, 0), (2, n_rows)):
+        chars, n_words = (np.bincount(p, minlength=2 * n_rows)[first : first + n_rows] for p in (part, word_part))
+        out[:, :CHAR_ORDERS, at], out[:, CHAR_ORDERS:, at] = _grams(chars, CHAR_ORDERS), _grams(n_words, WORD_ORDERS)
+    return out
 
 
 @F.pandas_udf(T.ArrayType(T.LongType()))
-def _gram_counts(hyp: pd.Series, ref: pd.Series, hyp_words: pd.Series, ref_words: pd.Series) -> pd.Series:
-    counts = []
-    sizes = (hyp.str.len() + ref.str.len()).to_numpy()
-    bounds = np.flatnonzero(np.diff(np.cumsum(sizes) // 2_000_000)) + 1  # about two million characters at a time
-    for rows in np.split(np.arange(len(hyp)), bounds):
-        h, r = hyp.iloc[rows], ref.iloc[rows]
-        chars = _overlaps([_codes(t) for t in h], [_codes(t) for t in r], CHAR_ORDERS)
-        hw, rw = list(hyp_words.iloc[rows]), list(ref_words.iloc[rows])
-        flat = [w for ws in (*hw, *rw) for w in ws]
-        ids, ends = pd.factorize(np.array(flat, dtype=object))[0], np.cumsum([len(w) for w in (*hw, *rw)])
-        pieces = np.split(ids, ends[:-1]) if len(ends) else []
-        grams = _overlaps(pieces[: len(hw)], pieces[len(hw) :], WORD_ORDERS)
-        counts.append(np.concatenate([chars, grams], axis=1).reshape(len(rows), -1))
-    return pd.Series(list(np.concatenate(counts)) if counts else [], dtype=object)
+def _gram_counts(hyp: pd.Series, ref: pd.Series) -> pd.Series:
+    counts, start, held = [], 0, 0
+    sizes = (hyp.str.len() + ref.str.len()).tolist()
+    for at, size in enumerate(sizes):
+        if at > start and (held + size > _AT_ONCE or at - start == _ROWS):
+            counts.append(_counted(hyp.iloc[start:at].tolist(), ref.iloc[start:at].tolist()))
+            start, held = at, 0
+        held += size
+    if sizes:
+        counts.append(_counted(hyp.iloc[start:].tolist(), ref.iloc[start:].tolist()))
+    return pd.Series([row for block in counts for row in block.reshape(len(block), -1)], dtype=object)
 
 
 def chrf(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -144,9 +241,7 @@ def chrf(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     for an order only when the reference has n-grams of that order.
     """
     hyp_text, ref_text = (F.coalesce(F.col(c), F.lit("")) for c in ("prediction", "reference"))
-    counted = pairs.select(
-        *by, _gram_counts(hyp_text, ref_text, metric_words(hyp_text), metric_words(ref_text)).alias("g")
-    )
+    counted = pairs.select(*by, _gram_counts(hyp_text, ref_text).alias("g"))
     sums = []
     for order in range(_ORDERS):
         match, hyp, ref = (F.get(F.col("g"), F.lit(3 * order + i)) for i in range(3))

@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,3 +135,34 @@ def test_greedy_match_in_one_and_in_many_blocks(spark, monkeypatch, chunk):
     for r in greedy_match(df).collect():
         assert (r["precision"], r["recall"], r["f1"]) == pytest.approx(expected.pop(r["pair_id"]))
     assert not expected
+
+
+def test_chrf_of_many_kinds_of_rows(spark, monkeypatch):
+    # short words by their key at six and twelve characters, longer ones by bytes, symbols that do not fit into one number
+    words = ["sevench", "sevenCh", "twelvechars!", "(twelvechars", "averyveryveryverylongword", "averyveryveryverylongworD", "six.66", "\x1c", "a"]
+    many = "".join(map(chr, range(0x4E00, 0x5300)))
+    rnd = np.random.default_rng(5)
+    text = lambda n: " ".join(rnd.choice(words, n).tolist())
+    rows = [(text(i), text(i + 2)) for i in range(40)] + [(many[i:], many[:900] + " " + text(3)) for i in (0, 7, 500)] + [("", ""), (" ", "　")]
+    df = spark.createDataFrame([(i % 3, *r) for i, r in enumerate(rows)], "task int, prediction string, reference string").repartition(2)
+    expected = {g: pytest.approx(slow_chrf(rows[g::3])) for g in range(3)}
+    assert {r["task"]: r["value"] for r in chrf(df, ["task"]).collect()} == expected
+    plain = list(zip(*rows[:40]))
+    got = metrics._counted(*map(list, plain))
+    monkeypatch.setattr(metrics, "_KEY_BITS", 1)  # numbers instead of keys
+    assert (metrics._counted(*map(list, plain)) == got).all()
+
+
+def test_rows_are_counted_a_few_at_a_time(monkeypatch):
+    held = []
+    whole = metrics._counted
+    monkeypatch.setattr(metrics, "_counted", lambda hyp, ref: held.append((len(hyp), sum(map(len, hyp + ref)))) or whole(hyp, ref))
+    text = pd.Series(["a few words " * 250] * 300 + [""] * 1000)
+    assert len(metrics._gram_counts.func(text, text)) == 1300
+    assert sum(n for n, _ in held) == 1300 and max(n for n, _ in held) <= 256 and max(size for _, size in held) <= 200_000
+
+
+def test_words_are_not_sent_to_python(spark):
+    df = spark.createDataFrame([("a b.", "a c.")], "prediction string, reference string")
+    plan = chrf(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" in plan and "split(" not in plan
