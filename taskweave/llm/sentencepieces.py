@@ -43,6 +43,15 @@ SPACE = "▁"  # fixed value: how the models write a space
 CHUNK = 16_384  # characters
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NEVER = -np.inf
+_REMEMBERED = 200_000  # words, and steps between pieces, that a task remembers at most
+_ROWS = 128  # rows, and
+_CHUNK_ROWS = 16  # chunks of long texts, that a task turns into Python values at once
+
+
+def _few(batches: Iterator[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 class Pieces:
@@ -116,6 +125,8 @@ class Pieces:
     def may_follow(self, a: str, b: str) -> bool:
         known = self.allowed.get((a, b))
         if known is None:
+            if len(self.allowed) >= _REMEMBERED:
+                self.allowed.clear()
             known = self.allowed[a, b] = self.merge(a + b) == ([a, b] if a else [b])
         return known
 
@@ -139,10 +150,10 @@ class Pieces:
         for unit in _UNIT.findall(text):
             ids = units.get(unit)
             if ids is None:
-                if len(units) > 1_000_000:
-                    units.clear()
                 ids = tuple(self.ids_of(self.merge(unit)))
                 if len(unit) <= 64:
+                    if len(units) >= _REMEMBERED:
+                        units.clear()
                     units[unit] = ids
             out += ids
         return out
@@ -307,7 +318,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
-        for batch in batches:
+        for batch in _few(batches):
             texts = batch.column(at).to_pylist()
             ids = pa.array([None if t is None else pieces.encode(_normal(t)) for t in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*columns, out])
@@ -338,7 +349,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
-        for batch in batches:
+        for batch in _few(batches, _CHUNK_ROWS):
             found = [chunk_matrix(pieces, *_span(r)) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array([m.shape[1] for m in found], pa.int32()), pa.array([m.tobytes() for m in found], pa.binary())],
@@ -362,7 +373,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
-        for batch in batches:
+        for batch in _few(batches, _CHUNK_ROWS):
             ids = [chunk_ids(pieces, *_span(r), r["entry"], r["exit"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "chunk", "ids"]
@@ -383,8 +394,8 @@ def decode_ids(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
-        for batch in batches:
-            texts = [None if v is None else pieces.decode(v) for v in batch.column(at).to_pylist()]
+        for batch in _few(batches):
+            texts = [pieces.decode(v.as_py()) if v.is_valid else None for v in batch.column(at)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
@@ -404,8 +415,8 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = decode_ids(encode_texts(docs, path), path)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = [np.asarray(v, "<u4") for v in batch.column("ids").to_pylist()]
+        for batch in _few(batches):
+            ids = [v.values.to_numpy().astype("<u4") for v in batch.column("ids")]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),

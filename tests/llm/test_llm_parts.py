@@ -262,3 +262,17 @@ def test_pieces_equal_the_library(pieces):
     assert several > 50
     for spaces in range(40):
         assert pieces.encode(sentencepieces._normal(" " * spaces + "a")) == library.encode(" " * spaces + "a")
+
+
+def test_remembered_words_and_steps_are_bounded(monkeypatch):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    pieces = sentencepieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    text = sentencepieces._normal(" ".join(f"word{i} z{i * i}" for i in range(400)))
+    whole = pieces.encode(text)
+    steps = [(f"a{i}", f"{i}b") for i in range(300)]
+    follows = [pieces.may_follow(*s) for s in steps]
+    monkeypatch.setattr(sentencepieces, "_REMEMBERED", 50, raising=False)
+    pieces.units.clear()
+    pieces.allowed.clear()
+    assert pieces.encode(text) == whole and len(pieces.units) <= 50
+    assert [pieces.may_follow(*s) for s in steps] == follows and len(pieces.allowed) <= 50
