@@ -271,6 +271,14 @@ def _repeated(values: np.ndarray) -> np.ndarray:
     return alike[1:] | alike[:-1]
 
 
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    """Rows of two numbers in order, each once; several times faster than ``np.unique`` by rows."""
+    rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+    fresh = np.ones(len(rows), bool)
+    fresh[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+    return rows[fresh]
+
+
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of packed keys sorted by range, each (bucket, line) once, where a bucket has different lines."""
     held: list[np.ndarray] = []
@@ -280,7 +288,7 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate(held)
         order = np.argsort(rows[:, 0])
         several = order[_repeated(rows[order, 0])]
-        rows = np.unique(rows[several], axis=0)  # each line of a bucket once
+        rows = _distinct(rows[several])  # each line of a bucket once
         rows = rows[_repeated(rows[:, 0])]
         return pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], names=["bucket", "h1"])
 

@@ -276,3 +276,11 @@ def test_remembered_words_and_steps_are_bounded(monkeypatch):
     pieces.allowed.clear()
     assert pieces.encode(text) == whole and len(pieces.units) <= 50
     assert [pieces.may_follow(*s) for s in steps] == follows and len(pieces.allowed) <= 50
+
+
+def test_distinct_rows_are_those_of_unique():
+    rnd = np.random.default_rng(3)
+    for n, top in ((0, 5), (1, 5), (500, 9), (3000, 1 << 62)):
+        rows = rnd.integers(-top, top, (n, 2))
+        rows = np.concatenate([rows, rows[: n // 3]])
+        assert np.array_equal(linededup._distinct(rows), np.unique(rows, axis=0))
