@@ -43,9 +43,12 @@ SPACE = "▁"  # fixed value: how the models write a space
 CHUNK = 16_384  # characters
 _UNIT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 _NEVER = -np.inf
+_NO_RANK = 1 << 40
 _REMEMBERED = 200_000  # words, and steps between pieces, that a task remembers at most
 _ROWS = 128  # rows, and
 _CHUNK_ROWS = 16  # chunks of long texts, that a task turns into Python values at once
+_SHORT = 32  # characters of the longest word that is merged together with others
+_CELLS = 1 << 18  # characters that are merged at once
 
 
 def _few(batches: Iterator[pa.RecordBatch], rows: int = _ROWS) -> Iterator[pa.RecordBatch]:
@@ -75,6 +78,46 @@ class Pieces:
             self.back[i] = bytes([value])
         self.allowed: dict[tuple[str, str], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
+        self._number_symbols()
+
+    def _number_symbols(self) -> None:
+        """Symbols are the pieces and the characters in them; 0 is any other character, which no piece holds.
+
+        ``_pair`` is a hash table of the pairs of symbols that make a piece; ``_made`` has the piece, ``_rank`` the place of
+        its score from the best on, the same for equal scores.
+        """
+        letters = {c for piece in self.ids for c in piece}
+        symbols = {s: i for i, s in enumerate(sorted(letters | set(self.ids)), 1)}
+        self._width = np.int64(len(symbols) + 1)
+        self._letter = np.zeros(max(map(ord, letters), default=0) + 2, np.int32)
+        for c in letters:
+            self._letter[ord(c)] = symbols[c]
+        self._id = np.full(len(symbols) + 1, -1, np.int64)
+        for piece, i in self.ids.items():
+            self._id[symbols[piece]] = i
+        place = {score: i for i, score in enumerate(sorted(set(self.score.values()), reverse=True))}
+        pairs = [
+            (symbols[a] * int(self._width) + symbols[b], symbols[piece], place[self.score[piece]])
+            for piece in self.ids
+            for a, b in ((piece[:i], piece[i:]) for i in range(1, len(piece)))
+            if a in symbols and b in symbols
+        ]
+        size = 1 << max(4, (4 * len(pairs)).bit_length())
+        self._pair = np.full(size, -1, np.int64)
+        self._made, self._rank = np.zeros(size, np.int32), np.zeros(size, np.int64)
+        left = np.array(sorted(pairs), np.int64).reshape(-1, 3)
+        slot = self._slot(left[:, 0])
+        while len(left):  # of those that want a free slot the first gets it, the others go one on
+            free = np.flatnonzero(self._pair[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            put = free[first]
+            self._pair[slot[put]], self._made[slot[put]], self._rank[slot[put]] = left[put].T
+            left, slot = np.delete(left, put, axis=0), np.delete(slot, put)
+            slot = np.where(self._pair[slot] < 0, slot, (slot + 1) & (size - 1))
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        mixed = key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        return (mixed >> np.uint64(65 - len(self._pair).bit_length())).astype(np.int64)
 
     def merge(self, text: str) -> list[str]:
         """The definition: the best-scored neighbours are joined first, the leftmost of equal ones, until none can be."""
@@ -143,21 +186,124 @@ class Pieces:
             out.extend([known] if known is not None else (self.bytes[b] for b in piece.encode("utf-8", "replace")))
         return out
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a text that starts and ends where no piece reaches over."""
-        out: list[int] = []
-        units = self.units
-        for unit in _UNIT.findall(text):
-            ids = units.get(unit)
-            if ids is None:
-                ids = tuple(self.ids_of(self.merge(unit)))
-                if len(unit) <= 64:
-                    if len(units) >= _REMEMBERED:
-                        units.clear()
-                    units[unit] = ids
-            out += ids
+    def _joined(self, left: np.ndarray, right: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair of symbols the rank of its piece with the place ``at`` of the pair, and the pair's number; -1 if it makes none."""
+        key = left * self._width + right
+        where = self._slot(key)
+        found = self._pair[where]
+        other = np.nonzero((found != key) & (found >= 0))
+        while len(other[0]):
+            where[other] = (where[other] + 1) & (len(self._pair) - 1)
+            found[other] = self._pair[where[other]]
+            still = (found[other] != key[other]) & (found[other] >= 0)
+            other = tuple(o[still] for o in other)
+        none = found != key
+        rank = self._rank[where] * _SHORT + at
+        rank[none] = _NO_RANK
+        where[none] = -1
+        return rank, where
+
+    def _merge_columns(self, words: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Symbols of words of at most ``size`` characters after merging, a column for each word, which places start a piece, and characters.
+
+        In a round every word joins its best pair, the leftmost of equal ones, as ``merge`` does.
+        """
+        n = len(words)
+        code = np.frombuffer("".join([w.ljust(size, "\0") for w in words]).encode("utf-32-le", "surrogatepass"), np.uint32)
+        code = code.reshape(n, size).T
+        lengths = np.fromiter(map(len, words), np.int64, n)
+        place = np.arange(size)[:, None]
+        held = place < lengths
+        symbol = np.where(held, self._letter[np.minimum(code, len(self._letter) - 1)], 0).astype(np.int64)
+        after, before = np.repeat(place + 1, n, axis=1), np.repeat(place - 1, n, axis=1)
+        # one row more at the end and one that place -1 means: neither makes a pair
+        rank = np.full((size, n), _NO_RANK, np.int64)
+        number = np.full((size, n), -1, np.int64)
+        rank[:-1], number[:-1] = self._joined(symbol[:-1], symbol[1:], np.broadcast_to(place[:-1], (size - 1, n)))
+        symbol = np.concatenate([symbol, np.zeros((1, n), np.int64)])
+        while True:
+            best = rank.min(axis=0)
+            word = np.flatnonzero(best < _NO_RANK)
+            if not len(word):
+                return symbol[:-1], held, code
+            left = best[word] % _SHORT
+            right = after[left, word]
+            symbol[left, word] = self._made[number[left, word]]
+            held[right, word] = False
+            rank[right, word] = _NO_RANK
+            follows = after[right, word]
+            after[left, word] = follows
+            inside = follows < size
+            before[follows[inside], word[inside]] = left[inside]
+            rank[left, word], number[left, word] = self._joined(symbol[left, word], symbol[follows, word], left)
+            inside = before[left, word] >= 0
+            left, word = left[inside], word[inside]
+            ahead = before[left, word]
+            rank[ahead, word], number[ahead, word] = self._joined(symbol[ahead, word], symbol[left, word], ahead)
+
+    def _spell(self, ids: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids with the bytes of the characters (``code``) that have none (-1), and how many each place has."""
+        plain = ids >= 0
+        if plain.all():
+            return ids, np.ones(len(ids), np.int64)
+        bare = np.flatnonzero(~plain)
+        letters, which = np.unique(code[bare], return_inverse=True)
+        spelled = [[self.bytes[b] for b in chr(c).encode("utf-8", "replace")] for c in letters.tolist()]
+        count = np.ones(len(ids), np.int64)
+        count[bare] = np.array([len(x) for x in spelled])[which]
+        at = np.cumsum(count) - count
+        out = np.empty(int(count.sum()), np.int64)
+        out[at[plain]] = ids[plain]
+        padded = np.array([x + [0] * (4 - len(x)) for x in spelled])[which]
+        for i in range(4):
+            long = count[bare] > i
+            out[at[bare][long] + i] = padded[long, i]
+        return out, count
+
+    def ids_of_words(self, words: list[str]) -> Iterator[tuple[list[str], list[tuple[int, ...]]]]:
+        """Words and the ids of their pieces, some at a time; the short ones of about one length are merged together."""
+        ordered = sorted(words, key=len)
+        lengths = np.fromiter(map(len, ordered), np.int64, len(ordered))
+        short = int(np.searchsorted(lengths, _SHORT, side="right"))
+        at = 0
+        while at < short:
+            to = at + max(1, _CELLS // int(lengths[at]))
+            to = min(to, short, int(np.searchsorted(lengths, 2 * lengths[at], side="right")))
+            symbols, held, code = self._merge_columns(ordered[at:to], max(int(lengths[to - 1]), 2))
+            held = held.T
+            ids, count = self._spell(self._id[symbols.T[held]], code.T[held])
+            last = np.cumsum(held.sum(axis=1)) - 1
+            ends = np.cumsum(count)[last].tolist()
+            flat = ids.tolist()
+            yield ordered[at:to], [tuple(flat[a:b]) for a, b in zip([0, *ends], ends)]
+            at = to
+        for word in ordered[short:]:
+            yield [word], [tuple(self.ids_of(self._merge_long(word)))]
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of texts that start and end where no piece reaches over; the words they have anew are merged together."""
+        split = [_UNIT.findall(text) for text in texts]
+        every = set().union(*split)
+        fresh = every.difference(self.units)
+        if len(self.units) + len(fresh) > _REMEMBERED:
+            self.units.clear()
+            fresh = every
+        known = self.units if len(fresh) <= _REMEMBERED else {}  # what does not fit is known for these texts only
+        for words, ids in self.ids_of_words(list(fresh)):
+            known.update(zip(words, ids))
+        out: list[list[int]] = []
+        for words in split:
+            out.append(ids := [])
+            for word in words:
+                ids += known[word]
+        for word in [w for w in fresh if len(w) > 64]:
+            del known[word]
         return out
 
+    def encode(self, text: str) -> list[int]:
+        """Ids of one text."""
+        return self.encode_all([text])[0]
+
     def decode(self, ids: list[int]) -> str:
         text = b"".join([self.back[i] for i in ids]).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
@@ -197,6 +343,11 @@ def states(pieces: Pieces, text: str, cut: int) -> list[tuple[int, int]]:
     return found if cut < len(text) else [s for s in found if s[1] == cut]
 
 
+def closed(text: str, cut: int) -> bool:
+    """Does no piece reach over this place? It is an end of the text, or before a space that ends a word."""
+    return cut in (0, len(text)) or (text[cut] == SPACE and text[cut - 1] != SPACE)
+
+
 def _whole(state: tuple[int, int]) -> bool:
     return state[0] == state[1]
 
@@ -248,7 +399,7 @@ def _normal(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-_CHUNKS = "row long, chunk int, left string, body string, right string, final boolean"
+_CHUNKS = "row long, chunk int, left string, body string, right string, open boolean"
 
 
 def _inner(a: int, b: int, pieces: Pieces, text: str) -> tuple[int, int] | None:
@@ -279,19 +430,28 @@ def chunk_matrix(pieces: Pieces, text: str, a: int, b: int) -> np.ndarray:
     return into + out  # one state between: the product is a sum
 
 
-def chunk_ids(pieces: Pieces, text: str, a: int, b: int, entry: int, exit_: int) -> list[int]:
-    """Ids of the pieces after the entry state, up to the exit state."""
+def ids_of_chunks(pieces: Pieces, chunks: list[tuple[str, int, int, int, int]]) -> list[list[int]]:
+    """For each (text, a, b, entry, exit) the ids of the pieces after the entry state, up to the exit state."""
 
-    def between(low: int, high: int, first: int, last: int) -> list[int]:
+    def between(text: str, low: int, high: int, first: int, last: int) -> list[int]:
         _, reach = transfer(pieces, text, low, high)
         entry_, exit__ = states(pieces, text, low)[first], states(pieces, text, high)[last]
         return pieces.ids_of(trace(pieces, text, reach, low, entry_, first, exit__))
 
-    inner = _inner(a, b, pieces, text)
-    if inner is None:
-        return between(a, b, entry, exit_)
-    low, high = inner
-    return between(a, low, entry, 0) + pieces.encode(text[low:high]) + between(high, b, 0, exit_)
+    inner = [_inner(a, b, pieces, text) for text, a, b, _, _ in chunks]
+    closed = pieces.encode_all([c[0][place[0] : place[1]] if place else "" for c, place in zip(chunks, inner)])
+    out = []
+    for (text, a, b, entry, exit_), place, ids in zip(chunks, inner, closed):
+        if place is None:
+            out.append(between(text, a, b, entry, exit_))
+        else:
+            out.append(between(text, a, place[0], entry, 0) + ids + between(text, place[1], b, 0, exit_))
+    return out
+
+
+def chunk_ids(pieces: Pieces, text: str, a: int, b: int, entry: int, exit_: int) -> list[int]:
+    """Ids of the pieces after the entry state, up to the exit state."""
+    return ids_of_chunks(pieces, [(text, a, b, entry, exit_)])[0]
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -320,13 +480,14 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
         pieces = load(model_path)
         for batch in _few(batches):
             texts = batch.column(at).to_pylist()
-            ids = pa.array([None if t is None else pieces.encode(_normal(t)) for t in texts], pa.list_(pa.int32()))
+            found = pieces.encode_all([_normal(t or "") for t in texts])
+            ids = pa.array([None if t is None else i for t, i in zip(texts, found)], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*columns, out])
 
     giant = F.coalesce(F.length(text) > chunk, F.lit(False))
     small = docs.where(~giant).mapInArrow(short, schema)
     # giant texts get a number, and the numbered rows are written: a row read again must keep it
-    numbered = stage(docs.where(giant).select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__kept")), "giants")
+    numbered = stage(docs.where(giant).select(F.monotonically_increasing_id().alias("__row"), F.struct(*columns).alias("__kept")), "giants", compression="zstd")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
@@ -336,7 +497,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
                 whole = _normal(value.as_py())
                 ends = cuts(whole, chunk, pieces.longest)
                 rows = [
-                    (row, i, whole[max(0, a - reach) : a], whole[a:b], whole[b : b + reach], b == len(whole))
+                    (row, i, whole[max(0, a - reach) : a], whole[a:b], whole[b : b + reach], not (closed(whole, a) and closed(whole, b)))
                     for i, (a, b) in enumerate(zip(ends[:-1], ends[1:]))
                 ]
                 kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.bool_())
@@ -344,8 +505,10 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
     chunks = stage(
-        numbered.select("__row", F.col("__kept")[text].alias("t")).mapInArrow(split, _CHUNKS).repartition("row", "chunk"), "chunks"
+        numbered.select("__row", F.col("__kept")[text].alias("t")).mapInArrow(split, _CHUNKS).repartition("row", "chunk"), "chunks", compression="zstd"
     )
+    # a chunk that no piece reaches into or out of is a product by itself, and leaves the others' product as it is
+    linked = chunks.where("open")
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
@@ -366,7 +529,7 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
         )
 
     way = (
-        chunks.mapInArrow(matrices, "row long, chunk int, exits int, matrix binary")
+        linked.mapInArrow(matrices, "row long, chunk int, exits int, matrix binary")
         .groupBy("row")
         .applyInArrow(scan, "row long, chunk int, entry int, exit int")
     )
@@ -374,12 +537,14 @@ def encode_texts(docs: DataFrame, model_path: str, text: str = "text", out: str
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in _few(batches, _CHUNK_ROWS):
-            ids = [chunk_ids(pieces, *_span(r), r["entry"], r["exit"]) for r in batch.to_pylist()]
+            found = [(_span(r), (r["entry"], r["exit"])) for r in batch.to_pylist()]
+            ids = ids_of_chunks(pieces, [(*s, *(w if w[0] is not None else chosen_states([chunk_matrix(pieces, *s)]))) for s, w in found])
             yield pa.RecordBatch.from_arrays(
                 [batch.column("row"), batch.column("chunk"), pa.array(ids, pa.list_(pa.int32()))], names=["row", "chunk", "ids"]
             )
 
-    parts = chunks.join(way, ["row", "chunk"]).mapInArrow(traced, "row long, chunk int, ids array<int>")
+    alone = chunks.where("NOT open").withColumns({c: F.lit(None).cast("int") for c in ("entry", "exit")})
+    parts = linked.join(way, ["row", "chunk"]).unionByName(alone).mapInArrow(traced, "row long, chunk int, ids array<int>")
     whole = parts.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("chunk", "ids"))).alias("parts"))
     long = numbered.join(whole, numbered["__row"] == whole["row"]).select(
         *[F.col("__kept")[c].alias(c) for c in columns], F.flatten(F.transform("parts", lambda p: p["ids"])).alias(out)

@@ -278,6 +278,33 @@ def test_remembered_words_and_steps_are_bounded(monkeypatch):
     assert [pieces.may_follow(*s) for s in steps] == follows and len(pieces.allowed) <= 50
 
 
+def test_new_words_are_merged_together(pieces, monkeypatch):
+    rng = random.Random(4)
+    letters = "ab e\u2581\u00e9\u00f1\u4e16\u754c\U0001f600\0\t\nthing\u017a\ud800"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 40))) for _ in range(3000)] + ["\u2581" * 40, "aa" * 16]
+    got = {w: ids for some, found in pieces.ids_of_words(words) for w, ids in zip(some, found)}
+    assert got == {w: tuple(pieces.ids_of(pieces.merge(w))) for w in words}
+    text = sentencepieces._normal(" ".join(f"new{i} z{i * i}" for i in range(400)))
+    expected = [i for unit in sentencepieces._UNIT.findall(text) for i in pieces.ids_of(pieces.merge(unit))]
+    pieces.units.clear()
+    monkeypatch.setattr(pieces, "_merge_short", None)
+    assert pieces.encode(text) == expected
+
+
+def test_chunks_that_no_piece_reaches_into_are_traced_alone(pieces):
+    text = sentencepieces._normal("some words and " * 40 + "w" * 300)
+    ends = sentencepieces.cuts(text, 100, pieces.longest)
+    assert [sentencepieces.closed(text, a) for a in ends] == [len(sentencepieces.states(pieces, text, a)) == 1 for a in ends[:-1]] + [True]
+    spans = [(text, a, b) for a, b in zip(ends[:-1], ends[1:])]
+    matrices = [sentencepieces.chunk_matrix(pieces, *s) for s in spans]
+    alone = [i for i, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if sentencepieces.closed(text, a) and sentencepieces.closed(text, b)]
+    assert 2 < len(alone) < len(spans) and all(matrices[i].shape == (1, 1) and matrices[i][0, 0] == 0 for i in alone)
+    way = sentencepieces.chosen_states(matrices)
+    rest = [i for i in range(len(spans)) if i not in alone]
+    part = sentencepieces.chosen_states([matrices[i] for i in rest])
+    assert [(way[i], way[i + 1]) for i in rest] == list(zip(part[:-1], part[1:]))
+
+
 def test_distinct_rows_are_those_of_unique():
     rnd = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 5), (500, 9), (3000, 1 << 62)):
