@@ -76,6 +76,7 @@ class Pieces:
             self.back[i] = piece.replace(SPACE, " ").encode()
         for value, i in self.bytes.items():
             self.back[i] = bytes([value])
+        self._back = pa.array(self.back, pa.large_binary())
         self.allowed: dict[tuple[str, str], bool] = {}
         self.units: dict[str, tuple[int, ...]] = {}
         self._number_symbols()
@@ -305,8 +306,16 @@ class Pieces:
         return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join([self.back[i] for i in ids]).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_all(pa.array([ids], pa.list_(pa.int32())))[0]
+
+    def decode_all(self, rows: pa.ListArray) -> list[str | None]:
+        """The text of each list of ids; the bytes of all are put together at once."""
+        ends = rows.offsets.to_numpy()
+        taken = self._back.take(rows.values.slice(ends[0], ends[-1] - ends[0]))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[ends - ends[0]].tolist() if len(taken) else [0] * len(ends)
+        held = memoryview(taken.buffers()[2] or b"") if len(taken) else b""
+        texts = [str(held[a:b], "utf-8", "replace") for a, b in zip(at[:-1], at[1:])]
+        return [t[t.startswith(" ") :] if valid else None for t, valid in zip(texts, rows.is_valid().to_pylist())]
 
 
 @lru_cache(maxsize=2)
@@ -560,8 +569,8 @@ def decode_ids(rows: DataFrame, model_path: str, ids: str = "ids", out: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model_path)
         for batch in _few(batches):
-            texts = [pieces.decode(v.as_py()) if v.is_valid else None for v in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*columns, out])
+            texts = pa.array(pieces.decode_all(batch.column(at)), pa.string())
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*columns, out])
 
     return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(out, T.StringType())]))
 

@@ -291,6 +291,16 @@ def test_new_words_are_merged_together(pieces, monkeypatch):
     assert pieces.encode(text) == expected
 
 
+def test_rows_are_decoded_together(pieces):
+    texts = ["two words", "", " a", "\u4e16 \U0001f600", None, "x" * 300]
+    ids = pa.array([None if t is None else pieces.encode(sentencepieces._normal(t)) for t in texts], pa.list_(pa.int32()))
+    assert pieces.decode_all(ids) == texts
+    for a in range(len(texts)):
+        assert pieces.decode_all(ids.slice(a, 2)) == texts[a : a + 2]
+    assert pieces.decode_all(pa.array([[], None], pa.list_(pa.int32()))) == ["", None]
+    assert pieces.decode([pieces.bytes[0xE4], pieces.bytes[0xB8]]) == "\ufffd"
+
+
 def test_chunks_that_no_piece_reaches_into_are_traced_alone(pieces):
     text = sentencepieces._normal("some words and " * 40 + "w" * 300)
     ends = sentencepieces.cuts(text, 100, pieces.longest)
