@@ -148,9 +148,11 @@ def near_enough(lines: pa.Array, bands: Bands) -> Callable[[np.ndarray, np.ndarr
     n = len(lines)
     ends = np.frombuffer(lines.buffers()[1], np.int32)[lines.offset : lines.offset + n + 1].astype(np.int64)
     data = np.frombuffer(lines.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    first = (data & 0xC0) != 0x80
-    row = np.repeat(np.arange(n), np.diff(ends))[first]
-    counts = np.bincount(row * 32 + data[first] % 32, minlength=32 * n).reshape(-1, 32).astype(np.int32)
+    place = np.repeat(np.arange(0, 32 * n, 32), np.diff(ends))
+    place += data & 31
+    if (data & 0x80).any():
+        place = place[(data & 0xC0) != 0x80]
+    counts = np.bincount(place, minlength=32 * n).reshape(-1, 32).astype(np.int32)
     lengths = counts.sum(axis=1)
     edits = np.concatenate([[0], [e for _, e in bands]])[np.searchsorted([at for at, _ in bands], lengths, side="right")]
 
@@ -166,9 +168,12 @@ def near_enough(lines: pa.Array, bands: Bands) -> Callable[[np.ndarray, np.ndarr
 def _mixed(x: np.ndarray) -> np.ndarray:
     """Well spread 64-bit numbers from any (Steele, Lea and Flood)."""
     x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x ^= x >> np.uint64(30)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(27)
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 @lru_cache(maxsize=4)
@@ -200,17 +205,24 @@ def keys_of(lines: list[str], bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     size = 1 << max(20, int(len(codes)).bit_length())
     sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * _powers(_BASE, size)[: len(codes)], dtype=np.uint64)])
     back = _powers(pow(_BASE, -1, 1 << 64), size)
-    keys, places = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     order = np.argsort(lengths, kind="stable")
-    cuts = np.flatnonzero(np.diff(lengths[order])) + 1
-    for same in np.split(order, cuts):
-        if not len(same) or not allowed(int(lengths[same[0]]), bands):
-            continue
-        at, end, segment = _probe_columns(int(lengths[same[0]]), bands)
-        a, b = starts[same][:, None] + at[None, :], starts[same][:, None] + end[None, :]
-        keys.append(_mixed((sums[b] - sums[a]) * back[a] ^ segment[None, :]).view(np.int64).ravel())
-        places.append(np.repeat(same, len(at)))
-    return np.concatenate(keys), np.concatenate(places)
+    found, which = np.unique(lengths[order], return_inverse=True)
+    if not len(found):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    # the substrings of all lengths stand one after another; a line takes those of its length
+    columns = [_probe_columns(n, bands) for n in found.tolist()]
+    at, end, segment = (np.concatenate(c) for c in zip(*columns))
+    sizes = np.array([len(c[0]) for c in columns], np.int64)
+    count = sizes[which]
+    places = np.repeat(order, count)
+    column = np.arange(len(places)) + np.repeat((np.cumsum(sizes) - sizes)[which] - (np.cumsum(count) - count), count)
+    begin = starts[places]
+    a = begin + at[column]
+    value = sums[begin + end[column]]
+    value -= sums[a]
+    value *= back[a]
+    value ^= segment[column]
+    return _mixed(value).view(np.int64), places
 
 
 def _keys(line: str, bands: Bands | int) -> list[int]:

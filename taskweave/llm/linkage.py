@@ -183,6 +183,12 @@ def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int, siev
         central, apart = (part[c].to_numpy(zero_copy_only=False) for c in ("central", "apart"))
         tile_of = np.cumsum(_tile_starts(part))
         may_link, linked = sieve(part["text"]), compare(_Lazy(part["text"]))
+        every, first = part["buckets"].values.to_numpy(), part["buckets"].offsets.to_numpy()
+
+        def before(x: int) -> list[int]:
+            own = every[first[x] : first[x + 1]]
+            return own[: own.searchsorted(bucket[x])].tolist()
+
         xs, ys = np.flatnonzero(apart), np.flatnonzero(~apart)
         start, stop = (np.searchsorted(tile_of[ys], tile_of[xs], side) for side in ("left", "right"))
         ends = np.cumsum(stop - start)
@@ -198,11 +204,9 @@ def _across(torn: DataFrame, texts: DataFrame, compare: Compare, tile: int, siev
             for x, y in zip(i[kept].tolist(), j[kept].tolist()):
                 tile_ = tile_of[x]
                 one, other = joined.root((tile_, component[x])), joined.root((tile_, component[y]))
-                if one != other:
-                    shared = np.intersect1d(part["buckets"][x].values, part["buckets"][y].values)
-                    if shared[0] == bucket[x] and linked(x, y):
-                        joined.parent[one] = other
-                        yield int(ids[x]), int(ids[y])
+                if one != other and set(before(x)).isdisjoint(before(y)) and linked(x, y):
+                    joined.parent[one] = other
+                    yield int(ids[x]), int(ids[y])
             at = to
 
     def sieved_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

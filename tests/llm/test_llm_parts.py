@@ -315,6 +315,29 @@ def test_chunks_that_no_piece_reaches_into_are_traced_alone(pieces):
     assert [(way[i], way[i + 1]) for i in rest] == list(zip(part[:-1], part[1:]))
 
 
+def test_keys_of_lines_of_all_lengths_at_once(monkeypatch):
+    rng = random.Random(7)
+    lines = ["".join(rng.choice("ab \u00e9\U0001f600") for _ in range(n)) for n in [*range(0, 300), *range(0, 300, 3)]]
+    singly = [linededup.keys_of([line], linededup.BANDS)[0] for line in lines]
+    assert [len(k) for k in singly] == [len(linededup.probes(len(line), linededup.BANDS)) for line in lines]
+    mixed, calls = linededup._mixed, []
+    monkeypatch.setattr(linededup, "_mixed", lambda x: calls.append(len(x)) or mixed(x))
+    keys, places = linededup.keys_of(lines, linededup.BANDS)
+    assert len(calls) == 1
+    for i, own in enumerate(singly):
+        assert np.array_equal(keys[places == i], own)
+    assert [len(x) for x in linededup.keys_of([], linededup.BANDS)] == [0, 0]
+
+
+def test_sieve_counts_characters_of_every_width():
+    lines = ["plain ascii line", "plain \u00e9scii line", "", "\u4e16\u754c \U0001f600 and more", "\u4e16\u754c \U0001f601 and more"]
+    for some in (lines, lines[:1] * 2, [""]):
+        may = linededup.near_enough(pa.array(["x", *some]).slice(1), linededup.BANDS)
+        for i, x in enumerate(some):
+            for j, y in enumerate(some):
+                assert may(np.array([i]), np.array([j]))[0] or not linededup.linked(x, y, linededup.BANDS)
+
+
 def test_distinct_rows_are_those_of_unique():
     rnd = np.random.default_rng(3)
     for n, top in ((0, 5), (1, 5), (500, 9), (3000, 1 << 62)):
