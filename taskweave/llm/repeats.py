@@ -7,13 +7,14 @@ per position:
    have equal anchors, and neighbouring windows mostly share theirs.
 2. Documents (but for copies of whole texts) are dealt into chunks of a few megabytes. A chunk sends the distinct anchors it holds, mixed and packed in one
    binary row for each bucket of values, so an anchor that every document holds is sent once a chunk.
+   They are sorted, so that only the differences of their first 44 bits are sent, compressed.
 3. A bucket answers every chunk with one bit for each anchor: does it occur in another chunk, or in two documents of
    this one?
 4. A chunk keeps the windows whose anchor has that bit, and gives them out as *pieces*: a run of windows with
    the same anchor, with the units they cover.
 
 A window that occurs in two documents is in a piece of both, under the same anchor; what else the pieces hold is sorted
-out by the operator. Copies of a piece inside a chunk carry their content once.
+out by the operator. Copies of a piece inside a chunk carry their content once. Texts cross a shuffle compressed.
 """
 
 from __future__ import annotations
@@ -89,7 +90,7 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchored(
-    units: np.ndarray, starts: np.ndarray, window: int, gram: int, at_once: int = 1 << 18
+    units: np.ndarray, starts: np.ndarray, window: int, gram: int, at_once: int = 1 << 18, turn: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchors, the first windows and the ends; no run leaves its text.
 
@@ -100,7 +101,7 @@ def anchored(
     while at + 1 < len(starts):
         stop = max(at + 1, int(np.searchsorted(starts, starts[at] + at_once, side="right")) - 1)
         base = starts[at]
-        low = sliding_min(grams(units[base : starts[stop]], gram), window - gram + 1)
+        low = sliding_min(grams(units[base : starts[stop]], gram, turn), window - gram + 1)
         # the windows of each text that start in its last units would run into the next text
         ends = np.repeat(starts[at + 1 : stop + 1] - base, np.diff(starts[at : stop + 1]))[: len(low)]
         first, end = runs(np.arange(len(low)) + window <= ends, low)
@@ -119,6 +120,33 @@ def runs(keep: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at[np.concatenate([[0], cut])], at[np.concatenate([cut - 1, [len(at) - 1]])] + 1
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``docs`` with each ``text`` compressed, and its ``n_bytes``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 1)
+        for batch in batches:
+            at = batch.schema.get_field_index("text")
+            texts = batch.column(at).cast(pa.binary())
+            small = pa.array([codec.compress(t.as_buffer(), asbytes=True) for t in texts], pa.binary())
+            yield batch.set_column(at, "text", small).append_column("n_bytes", pc.binary_length(texts))
+
+    fields = [f"`{c}` {'binary' if c == 'text' else t}" for c, t in docs.dtypes]
+    return docs.mapInArrow(run, ", ".join([*fields, "n_bytes int"]))
+
+
+def unpacked(texts: pa.Array | pa.ChunkedArray, sizes: pa.Array | pa.ChunkedArray) -> pa.Array:
+    """The texts that ``packed`` compressed."""
+    codec = pa.Codec("zstd", 1)
+    whole = [codec.decompress(t.as_buffer(), n, asbytes=True) for t, n in zip(texts, sizes.to_pylist())]
+    return pa.array(whole, pa.binary()).view(pa.string())
+
+
+def _unpacked(table: pa.Table) -> pa.Table:
+    texts = unpacked(table.column("text"), table.column("n_bytes"))
+    return table.set_column(table.schema.get_field_index("text"), "text", texts).drop_columns(["n_bytes"])
+
+
 def _name(content: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
 
@@ -148,6 +176,21 @@ def _value_rows(distinct: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndar
     return at[:-1], at[1:]
 
 
+_SPARE = np.uint64(20)
+
+
+def _squeezed(values: np.ndarray) -> bytes:
+    """Ascending values but for their last bits, as compressed differences, byte by byte."""
+    steps = np.diff(values >> _SPARE, prepend=np.uint64(0))
+    return pa.compress(steps.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), "zstd", asbytes=True)
+
+
+def _stretched(data: bytes, count: int) -> np.ndarray:
+    """The values of ``_squeezed``, their last bits zero; different ones may have become equal."""
+    planes = np.frombuffer(pa.decompress(data, count * 8, "zstd", asbytes=True), np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64) << _SPARE
+
+
 def _send(table: pa.Table, copies: pa.Table, units: Units, buckets: int) -> pa.Table:
     if not table.num_rows:
         return _SENT.empty_table()
@@ -162,16 +205,20 @@ def _send(table: pa.Table, copies: pa.Table, units: Units, buckets: int) -> pa.T
     last = np.concatenate([at[1:], [len(value)]])[: len(at)] - 1
     distinct, many = value[at], doc[at] != doc[last]
     lo, hi = _value_rows(distinct, buckets)
-    rows = [(chunk, b, distinct[i:j].tobytes(), np.packbits(many[i:j]).tobytes()) for b, (i, j) in enumerate(zip(lo, hi)) if i < j]
+    rows = [
+        (chunk, b, int(j - i), _squeezed(distinct[i:j]), np.packbits(many[i:j]).tobytes())
+        for b, (i, j) in enumerate(zip(lo, hi))
+        if i < j
+    ]
     return pa.Table.from_pylist([dict(zip(_SENT.names, r)) for r in rows], schema=_SENT)
 
 
-_SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("anchors", pa.binary()), ("many", pa.binary())])
+_SENT = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("n", pa.int32()), ("anchors", pa.binary()), ("many", pa.binary())])
 _ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int64()), ("repeated", pa.binary())])
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(a, np.uint64) for a in table.column("anchors").to_pylist()]
+    parts = [_stretched(a, n) for a, n in zip(table.column("anchors").to_pylist(), table.column("n").to_pylist())]
     many = [np.unpackbits(np.frombuffer(m, np.uint8))[: len(p)] for m, p in zip(table.column("many").to_pylist(), parts)]
     every = np.concatenate(parts)
     order = np.argsort(every, kind="stable")
@@ -256,17 +303,17 @@ def copied(docs: DataFrame) -> DataFrame:
 def pieces(docs: DataFrame, copies: DataFrame, units: Units, total_bytes: int, total_units: int) -> DataFrame:
     """The pieces of ``docs`` (``doc_id``, ``text_hash``, ``text``, none of them null) but for ``copies``."""
     n = max(1, total_bytes // units.chunk_bytes)
-    dealt = docs.select("doc_id", "text_hash", "text", _chunk(n))
+    dealt = packed(docs.select("doc_id", "text_hash", "text", _chunk(n)))
     noted = copies.select(_chunk(n), "doc_id", "text_hash")
     density = 2 / (units.window - units.gram + 2)
     buckets = max(1, int(total_units * density / 2_000_000))
     by_chunk = dealt.groupBy("chunk")
     sent = by_chunk.cogroup(noted.groupBy("chunk")).applyInArrow(
-        lambda a, b: _send(a, b, units, buckets), "chunk long, bucket long, anchors binary, many binary"
+        lambda a, b: _send(_unpacked(a), b, units, buckets), "chunk long, bucket long, n int, anchors binary, many binary"
     )
     answers = sent.groupBy("bucket").applyInArrow(_answer, "chunk long, bucket long, repeated binary")
     both = answers.unionByName(noted, allowMissingColumns=True)
-    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(lambda a, b: _cut(a, b, units, buckets), PIECES_SQL)
+    return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(lambda a, b: _cut(_unpacked(a), b, units, buckets), PIECES_SQL)
 
 
 def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
@@ -280,25 +327,27 @@ def refined(rows: DataFrame, units: Units, turn: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: dict[str, list] = {name: [] for name in batch.schema.names}
-            for row in batch.to_pylist():
-                body = row["content"]
-                hashes = units.again(body)
-                if turn >= LAST_TURN:
-                    low = grams(hashes, units.window)
-                else:
-                    low = sliding_min(grams(hashes, units.gram, turn), units.window - units.gram + 1)
-                first, end = runs(np.ones(len(low), bool), low)
-                for a, b in zip(first.tolist(), end.tolist()):
-                    party = mix(np.array([row["party"]], np.int64).view(np.uint64) ^ low[a : a + 1], turn)
-                    out["party"].append(int(party.view(np.int64)[0]))
-                    out["anchor"].append(row["anchor"])
-                    out["content_id"].append(row["content_id"])
-                    out["shift"].append(row["shift"] + a)
-                    out["windows"].append(b - a)
-                    out["doc_id"].append(row["doc_id"])
-                    out["content"].append(units.part(body, a, (a + 1 if turn >= LAST_TURN else b) + units.window - 1))
-            yield pa.RecordBatch.from_pydict(out, schema=batch.schema)
+            if not batch.num_rows:
+                continue
+            bodies = batch.column("content").to_pylist()
+            hashes = [units.again(body) for body in bodies]
+            starts = np.concatenate([[0], np.cumsum([len(h) for h in hashes])])
+            gram = units.window if turn >= LAST_TURN else units.gram
+            low, first, end = anchored(np.concatenate(hashes), starts, units.window, gram, turn=turn)
+            owner = np.searchsorted(starts, first, side="right") - 1
+            at, n = first - starts[owner], end - first
+            party = batch.column("party").to_numpy().view(np.uint64)[owner]
+            length = (1 if turn >= LAST_TURN else n) + units.window - 1
+            parts = [units.part(bodies[o], a, b) for o, a, b in zip(owner.tolist(), at.tolist(), (at + length).tolist())]
+            new = {
+                "party": pa.array(mix(party ^ low, turn).view(np.int64)),
+                "shift": pa.array((batch.column("shift").to_numpy()[owner] + at).astype(np.int32)),
+                "windows": pa.array(n.astype(np.int32)),
+                "content": pa.array(parts, pa.binary()),
+            }
+            who = pa.array(owner)
+            columns = [new[f.name] if f.name in new else batch.column(f.name).take(who) for f in batch.schema]
+            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return rows.mapInArrow(run, rows.schema)
 
@@ -310,7 +359,7 @@ def least_holders(rows: DataFrame, parts: int = 64) -> DataFrame:
     """
     named = rows.select(
         "party",
-        F.sha2("content", 256).alias("window"),
+        F.unhex(F.sha2("content", 256)).alias("window"),
         F.pmod(F.xxhash64("anchor", "content_id", "shift"), F.lit(parts)).alias("part"),
         "anchor",
         "content_id",
@@ -326,13 +375,67 @@ def least_holders(rows: DataFrame, parts: int = 64) -> DataFrame:
 
 Engine = Callable[[pa.Table], pa.Table]
 FOUND = pa.schema([("anchor", pa.int64()), ("content_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32()), ("first_doc", pa.int64())])
+COVERED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+COVERED_SQL = "doc_id long, text_hash long, start int, end int"
 FOUND_SQL = "anchor long, content_id long, low int, high int, first_doc long"
 LAST_TURN = 4
 WHOLE = 2**31 - 1
 
 
+def _spans_of(copies: pa.Table, holders: pa.Table, window: int) -> pa.Table:
+    """``COVERED`` rows: windows of the copies of contents that a smaller document holds."""
+    copies = copies.select(["anchor", "content_id", "doc_id", "text_hash", "place"])
+    both = copies.join(holders, ["anchor", "content_id"], join_type="inner", use_threads=False)
+    both = both.filter(pc.less(both.column("first_doc"), both.column("doc_id")))
+    place = both.column("place")
+    start, end = pc.add(place, both.column("low")), pc.add(pc.add(place, both.column("high")), window - 1)
+    columns = [both.column("doc_id"), both.column("text_hash"), start, end.cast(pa.int32())]
+    return pa.Table.from_arrays(columns, schema=COVERED)
+
+
 def first_holders(
     found: DataFrame, units: Units, engine: Engine, shard_units: int, most_contents: int = 500
+) -> DataFrame:
+    """``doc_id, text_hash, start, end``: units of the windows of ``found`` that a document with a smaller id holds.
+
+    A shard has all copies of the pieces of its anchors, and the engine's answer is told to them there. An anchor with
+    over ``most_contents`` contents, or very many copies of them, is left out: Spark joins its copies with their
+    contents' holders. Each part is written before the next begins, so that shuffles behind it can be let go.
+    """
+    counts = found.groupBy("anchor").agg(F.count("content").alias("contents"), F.count("*").alias("copies"))
+    many = (F.col("contents") > most_contents) | (F.col("copies") > 20 * most_contents)
+    crowded = stage(counts.where(many).select("anchor"), "crowded-anchors")
+    few = found.join(crowded, "anchor", "left_anti")
+    size = few.agg(F.sum(F.when(F.col("content").isNotNull(), F.col("windows") + units.window))).first()[0] or 0
+    sharded = few.select(
+        F.pmod(F.xxhash64("anchor"), F.lit(max(1, -(-size // shard_units)))).alias("shard"),
+        "anchor", "content_id", F.lit(0).alias("shift"), "doc_id", "text_hash", "place", "content",
+    )
+
+    def told(shard: pa.Table) -> pa.Table:
+        holders = engine(shard.filter(pc.is_valid(shard.column("content"))).drop_columns(["text_hash", "place"]))
+        return _spans_of(shard, holders, units.window)
+
+    covered = stage(sharded.groupBy("shard").applyInArrow(told, COVERED_SQL), "covered", compression="zstd")
+    if crowded.isEmpty():
+        return covered
+    rest = found.join(crowded, "anchor", "left_semi")
+    joined = (
+        rest.select("anchor", "content_id", "doc_id", "text_hash", "place")
+        .join(_crowded_holders(rest, units, engine, shard_units, most_contents), ["anchor", "content_id"])
+        .where(F.col("first_doc") < F.col("doc_id"))
+        .select(
+            "doc_id",
+            "text_hash",
+            (F.col("place") + F.col("low")).alias("start"),
+            (F.col("place") + F.col("high") - 1 + units.window).alias("end"),
+        )
+    )
+    return covered.unionByName(joined)
+
+
+def _crowded_holders(
+    found: DataFrame, units: Units, engine: Engine, shard_units: int, most_contents: int
 ) -> DataFrame:
     """``anchor, content_id, low, high, first_doc``: the smallest document that holds the windows ``[low, high)`` of a content.
 
@@ -385,29 +488,17 @@ def spans_of_repeats(
     total = whole.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     copies = stage(copied(whole), "copies")
     found = stage(pieces(whole, copies, units, total, int(total * units_per_byte)), "pieces", compression="zstd")
-    holders = first_holders(found, units, engine, shard_units)
-    covered = (
-        found.select("anchor", "content_id", "doc_id", "text_hash", "place")
-        .join(holders, ["anchor", "content_id"])
-        .where(F.col("first_doc") < F.col("doc_id"))
-        .select(
-            "doc_id",
-            "text_hash",
-            F.struct(
-                (F.col("place") + F.col("low")).alias("start"),
-                (F.col("place") + F.col("high") - 1 + units.window).alias("end"),
-            ).alias("span"),
-        )
-    )
+    covered = first_holders(found, units, engine, shard_units)
     every = covered.unionByName(
-        copies.select("doc_id", "text_hash", F.struct(F.lit(0).alias("start"), F.lit(WHOLE).alias("end")).alias("span"))
+        copies.select("doc_id", "text_hash", F.lit(0).alias("start"), F.lit(WHOLE).alias("end"))
     )
-    return every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list("span")).alias("spans"))
+    spans = every.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    return stage(spans, "spans", compression="zstd")
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """Every document with its spans; null where there are none."""
-    return docs.join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
+    """Every document, ``packed``, with its spans; null where there are none."""
+    return packed(docs).join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
 
 
 def covered_mask(n: int, spans: list | None, window: int) -> np.ndarray:

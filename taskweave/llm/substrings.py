@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
-from taskweave.llm.repeats import FOUND, Units, covered_mask, spans_of_repeats, text_key, with_spans
+from taskweave.llm.repeats import FOUND, Units, covered_mask, spans_of_repeats, text_key, unpacked, with_spans
 
 WINDOW, GRAM = 50, 8
 
@@ -180,7 +180,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, words = words_of(batch.column("text"))
+            starts, words = words_of(unpacked(batch.column("text"), batch.column("n_bytes")))
             total = np.diff(starts)
             spans = batch.column("spans").to_pylist()
             gone = np.concatenate([np.empty(0, bool), *(covered_mask(n, s, WINDOW) for n, s in zip(total.tolist(), spans))])
@@ -193,7 +193,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
                 names=["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    return with_spans(own, spans).select("doc_id", "text", "spans").mapInArrow(run, _RESULT)
+    return with_spans(own, spans).select("doc_id", "text", "n_bytes", "spans").mapInArrow(run, _RESULT)
 
 
 OP4_SQL = f"""

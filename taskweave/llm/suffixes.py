@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
-from taskweave.llm.repeats import FOUND, Units, covered_mask, mix, spans_of_repeats, text_key, with_spans
+from taskweave.llm.repeats import FOUND, Units, covered_mask, mix, spans_of_repeats, text_key, unpacked, with_spans
 
 WINDOW, GRAM = 50, 20
 SHARDS = 8
@@ -203,7 +203,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held, starts = _bytes_of(batch.column("text"))
+            held, starts = _bytes_of(unpacked(batch.column("text"), batch.column("n_bytes")))
             removed, runs, kept = [], [], []
             for a, b, spans in zip(starts[:-1].tolist(), starts[1:].tolist(), batch.column("spans").to_pylist()):
                 gone = covered_mask(b - a, spans, WINDOW)
@@ -221,7 +221,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 
-    return with_spans(own, spans).select("doc_id", "text", "spans").mapInArrow(run, _RESULT)
+    return with_spans(own, spans).select("doc_id", "text", "n_bytes", "spans").mapInArrow(run, _RESULT)
 
 
 OP5_SQL = f"""

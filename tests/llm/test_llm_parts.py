@@ -137,6 +137,18 @@ def test_buckets_of_anchors_are_even(operator):
     assert sent.column("bucket").to_pylist() == list(range(8)) and max(sizes) < 2 * sum(sizes) / 8
 
 
+def test_anchors_are_sent_in_less_than_half_of_their_bytes():
+    rng = np.random.default_rng(14)
+    values = np.unique(np.concatenate([rng.integers(0, 1 << 64, 50000, np.uint64), np.array([0, 2**64 - 1], np.uint64)]))
+    sent = repeats._squeezed(values)
+    assert len(sent) < 0.55 * values.nbytes
+    assert (repeats._stretched(sent, len(values)) == values >> np.uint64(20) << np.uint64(20)).all()
+    text = "".join(rng.choice(list("abcdefgh ")) for _ in range(60000))
+    table = pa.table({"chunk": [0], "doc_id": [1], "text_hash": [1], "text": [text]})
+    rows = repeats._send(table, table.select(["doc_id", "text_hash"]).slice(1), suffixes.BYTES, 2)
+    assert sum(len(a) for a in rows.column("anchors").to_pylist()) < 0.6 * 8 * sum(rows.column("n").to_pylist())
+
+
 def plain_spans(text):
     found = []
     patterns = {

@@ -148,6 +148,18 @@ def test_no_party_of_the_engine_is_crowded(spark, monkeypatch, operator):
     assert cut == plain and cut[0][2] == 0 and all(r[2] > 100 for r in cut[1:])
 
 
+def test_texts_are_shuffled_compressed_and_come_back(spark):
+    from taskweave.llm import repeats
+
+    texts = ["", "é\x00 x", "many words " * 500, "a" * 49]
+    docs = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "doc_id long, text_hash long, text string")
+    rows = repeats.packed(docs).orderBy("doc_id").toArrow()
+    assert len(rows.column("text")[2].as_py()) < 200
+    assert repeats.unpacked(rows.column("text"), rows.column("n_bytes")).to_pylist() == texts
+    spans = spark.createDataFrame([], "doc_id long, text_hash long, spans array<struct<start:int,end:int>>")
+    assert dict(repeats.with_spans(docs, spans).dtypes)["text"] == "binary"
+
+
 def test_repeated_lines_against_brute_force(docs, none):
     out = linededup.drop_repeated_lines(docs)
     assert out.columns == [*docs.columns, "__removed"]
