@@ -19,13 +19,13 @@ out by the operator. Copies of a piece inside a chunk carry their content once.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,7 +90,7 @@ def sliding_min(values: np.ndarray, size: int) -> np.ndarray:
 
 
 def anchored(
-    units: np.ndarray, starts: np.ndarray, window: int, gram: int, at_once: int = 1 << 18, turn: int = 0
+    units: np.ndarray, starts: np.ndarray, window: int, gram: int, at_once: int = 1 << 16, turn: int = 0
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor: the anchors, the first windows and the ends; no run leaves its text.
 
@@ -148,7 +148,8 @@ def _unpacked(table: pa.Table) -> pa.Table:
 
 
 def _name(content: bytes) -> int:
-    return int.from_bytes(hashlib.blake2b(content, digest_size=8).digest(), "big", signed=True)
+    name = xxhash.xxh3_64_intdigest(content)
+    return name - (1 << 64) if name >> 63 else name
 
 
 def _anchors_of(table: pa.Table, copies: pa.Table, units: Units):
@@ -394,14 +395,17 @@ def _spans_of(copies: pa.Table, holders: pa.Table, window: int) -> pa.Table:
 
 
 def first_holders(
-    found: DataFrame, units: Units, engine: Engine, shard_units: int, most_contents: int = 500
+    found: DataFrame, units: Units, engine: Engine, shard_units: int, most_contents: int | None = None
 ) -> DataFrame:
     """``doc_id, text_hash, start, end``: units of the windows of ``found`` that a document with a smaller id holds.
 
     A shard has all copies of the pieces of its anchors, and the engine's answer is told to them there. An anchor with
-    over ``most_contents`` contents, or very many copies of them, is left out: Spark joins its copies with their
-    contents' holders. Each part is written before the next begins, so that shuffles behind it can be let go.
+    over ``most_contents`` contents (by default, as many as fill a shard: they have up to two windows' units each), or
+    very many copies of them, is left out: Spark joins its copies with their contents' holders. Each part is written
+    before the next begins, so that shuffles behind it can be let go.
     """
+    if most_contents is None:
+        most_contents = max(1, shard_units // (2 * units.window))
     counts = found.groupBy("anchor").agg(F.count("content").alias("contents"), F.count("*").alias("copies"))
     many = (F.col("contents") > most_contents) | (F.col("copies") > 20 * most_contents)
     crowded = stage(counts.where(many).select("anchor"), "crowded-anchors")
@@ -501,17 +505,24 @@ def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
     return packed(docs).join(spans.hint("merge"), ["doc_id", "text_hash"], "left")
 
 
-def covered_mask(n: int, spans: list | None, window: int) -> np.ndarray:
-    steps = np.zeros(n + 1, np.int64)
-    for span in spans or ():
-        end = span["end"]
-        if end == WHOLE:
-            if n < window:
-                continue
-            end = n
-        steps[span["start"]] += 1
-        steps[end] -= 1
-    return np.cumsum(steps[:n]) > 0
+def covered_masks(starts: np.ndarray, spans: pa.Array, window: int, at_once: int = 1 << 20) -> np.ndarray:
+    """Which units of a batch's texts their spans cover; ``starts``: first unit of each text, one more than texts."""
+    owner, flat = pc.list_parent_indices(spans).to_numpy(zero_copy_only=False), spans.flatten()
+    low, high = (pc.struct_field(flat, f).to_numpy(zero_copy_only=False).astype(np.int64) for f in ("start", "end"))
+    size = np.diff(starts)[owner]
+    told = (high != WHOLE) | (size >= window)
+    high = np.where(high == WHOLE, size, high)[told]
+    owner, low = owner[told], low[told]
+    gone = np.empty(starts[-1], bool)
+    at = 0
+    while at + 1 < len(starts):  # some texts at a time, so that what is counted stays small
+        stop = max(at + 1, int(np.searchsorted(starts, starts[at] + at_once, side="right")) - 1)
+        a, b = np.searchsorted(owner, [at, stop])
+        base, n = starts[owner[a:b]] - starts[at], starts[stop] - starts[at]
+        steps = np.bincount(base + low[a:b], minlength=n + 1) - np.bincount(base + high[a:b], minlength=n + 1)
+        gone[starts[at] : starts[stop]] = np.cumsum(steps[:n]) > 0
+        at = stop
+    return gone
 
 
 def text_key() -> Column:

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
-from taskweave.llm.repeats import FOUND, Units, covered_mask, spans_of_repeats, text_key, unpacked, with_spans
+from taskweave.llm.repeats import FOUND, Units, covered_masks, spans_of_repeats, text_key, unpacked, with_spans
 
 WINDOW, GRAM = 50, 8
 
@@ -182,8 +182,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
         for batch in batches:
             starts, words = words_of(unpacked(batch.column("text"), batch.column("n_bytes")))
             total = np.diff(starts)
-            spans = batch.column("spans").to_pylist()
-            gone = np.concatenate([np.empty(0, bool), *(covered_mask(n, s, WINDOW) for n, s in zip(total.tolist(), spans))])
+            gone = covered_masks(starts, batch.column("spans"), WINDOW)
             owner = np.repeat(np.arange(len(total)), total)
             removed = np.bincount(owner[gone], minlength=len(total))
             ends = np.concatenate([[0], np.cumsum(total - removed)]).astype(np.int32)

@@ -26,17 +26,17 @@ span may cut a character, so what is kept is bytes; other columns are ignored; a
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from taskweave.contracts import require_columns
 from taskweave.llm.registry import query, table
-from taskweave.llm.repeats import FOUND, Units, covered_mask, mix, spans_of_repeats, text_key, unpacked, with_spans
+from taskweave.llm.repeats import FOUND, Units, covered_masks, mix, spans_of_repeats, text_key, unpacked, with_spans
 
 WINDOW, GRAM = 50, 20
 SHARDS = 8
@@ -63,25 +63,37 @@ BYTES = Units(
 )
 
 
-def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order of the keys and the dense rank of each."""
-    order = np.argsort(key, kind="stable")
-    ordered = key[order]
-    rank = np.empty(len(key), np.int64)
-    rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))
+def _ranked(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the keys, which have ``bits`` bits, and the dense rank of each; places are sorted with their keys if they fit."""
+    place_bits = len(key).bit_length()
+    if bits + place_bits <= 64:
+        packed = key << np.uint64(place_bits)
+        packed |= np.arange(len(key), dtype=np.uint64)
+        packed.sort()
+        order = (packed & np.uint64((1 << place_bits) - 1)).view(np.int64)
+        ordered = packed >> np.uint64(place_bits)
+    else:
+        order = np.argsort(key, kind="stable")
+        ordered = key[order]
+    rank = np.empty(len(key), np.uint64)
+    rank[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]), dtype=np.uint64)
     return order, rank
 
 
 def sorted_rotations(text: np.ndarray, depth: int) -> np.ndarray:
     """Rotations of ``text`` in the order of their first ``depth`` bytes, by ranks of prefixes of doubled length."""
+    present = np.bincount(text, minlength=256) > 0
+    bits = max(1, int(np.count_nonzero(present) - 1).bit_length())
+    code = (np.cumsum(present) - 1).astype(np.uint64)[text]
     key = np.zeros(len(text), np.uint64)
-    known = min(7, depth)
+    known = min(max(1, (64 - len(text).bit_length()) // bits), depth)
     for i in range(known):
-        key = (key << np.uint64(8)) | np.roll(text, -i).astype(np.uint64)
-    order, rank = _ranked(key.view(np.int64))
+        key = (key << np.uint64(bits)) | np.roll(code, -i)
+    order, rank = _ranked(key, known * bits)
     while known < depth:
         step = min(known, depth - known)  # an overlap of equal bytes does not change the order
-        order, rank = _ranked(rank * (int(rank.max()) + 1) + np.roll(rank, -step))
+        bits = int(rank.max()).bit_length()
+        order, rank = _ranked((rank << np.uint64(bits)) | np.roll(rank, -step), 2 * bits)
         known += step
     return order
 
@@ -145,7 +157,7 @@ def first_docs(contents: list[bytes], docs: np.ndarray, window: int = WINDOW, sh
     source, begins = merged(parts, orders, window)
     place = np.empty(len(whole), np.int64)  # of the rotation in each slot
     place[np.argsort(source, kind="stable")] = np.concatenate([o + a for o, a in zip(orders, cuts)])
-    content = np.searchsorted(starts, place, side="right") - 1
+    content = np.repeat(np.arange(len(contents)), lengths)[place]
     # rotations that run over the end of their content are no windows
     held = np.where(place + window <= starts[content + 1], docs[content], np.iinfo(np.int64).max)
     at = np.flatnonzero(begins)
@@ -157,38 +169,28 @@ def first_docs(contents: list[bytes], docs: np.ndarray, window: int = WINDOW, sh
 
 def merge_group(group: pa.Table) -> pa.Table:
     """``FOUND`` rows of the contents of one group."""
-    rows = group.select(["doc_id", "anchor", "content_id", "shift", "content"]).sort_by(
-        [("doc_id", "ascending"), ("anchor", "ascending"), ("content_id", "ascending")]
-    )
-    contents: dict[tuple[int, int, int], tuple[bytes, int]] = {}
-    for row in zip(*(rows.column(c).to_pylist() for c in ("anchor", "content_id", "shift", "content", "doc_id"))):
-        contents.setdefault(row[:3], row[3:])
+    anchor, name, shift, doc = (group.column(c).to_numpy() for c in ("anchor", "content_id", "shift", "doc_id"))
+    order = np.lexsort((doc, shift, name, anchor))
+    steps = [v[order][1:] != v[order][:-1] for v in (anchor, name, shift)]
+    one = order[np.concatenate([[True], steps[0] | steps[1] | steps[2]])[: len(order)]]  # of a content's rows
+    anchor, name, shift, doc = anchor[one], name[one], shift[one].astype(np.int64), doc[one]
+    contents = group.column("content").take(pa.array(one))
+    windows = pc.binary_length(contents).to_numpy().astype(np.int64) - WINDOW + 1
     # equal windows have equal anchors: the only content of an anchor is a merged transform as it is
-    several = Counter(anchor for anchor, _, _ in contents)
-    alone = [key for key in contents if several[key[0]] == 1]
-    shared = [key for key in contents if several[key[0]] > 1]
-    names = alone + shared
-    firsts = [np.full(len(contents[key][0]) - WINDOW + 1, contents[key][1], np.int64) for key in alone]
-    if shared:
-        docs = np.array([contents[key][1] for key in shared], np.int64)
-        firsts += first_docs([contents[key][0] for key in shared], docs)
-    lengths = np.array([len(f) for f in firsts])
-    every, owner = np.concatenate(firsts), np.repeat(np.arange(len(firsts)), lengths)
-    begin = np.concatenate([[0], np.cumsum(lengths)])[:-1]
-    at = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]))
-    end = np.concatenate([at[1:], [len(every)]])
-    who = owner[at]
-    anchor, content, shift = np.array(names, np.int64)[who].T
-    return pa.Table.from_arrays(
-        [
-            pa.array(anchor),
-            pa.array(content),
-            pa.array(shift + at - begin[who], pa.int32()),
-            pa.array(shift + end - begin[who], pa.int32()),
-            pa.array(every[at], pa.int64()),
-        ],
-        schema=FOUND,
-    )
+    _, of, several = np.unique(anchor, return_inverse=True, return_counts=True)
+    alone, shared = np.flatnonzero(several[of] == 1), np.flatnonzero(several[of] > 1)
+    who, low, high, first = alone, np.zeros(len(alone), np.int64), windows[alone], doc[alone]
+    if len(shared):
+        firsts = first_docs(contents.take(pa.array(shared)).to_pylist(), doc[shared])
+        every, owner = np.concatenate(firsts), np.repeat(np.arange(len(shared)), windows[shared])
+        begin = np.cumsum(windows[shared]) - windows[shared]
+        at = np.flatnonzero(np.concatenate([[True], (every[1:] != every[:-1]) | (owner[1:] != owner[:-1])]))
+        end = np.concatenate([at[1:], [len(every)]])
+        owner = owner[at]
+        who, first = np.concatenate([who, shared[owner]]), np.concatenate([first, every[at]])
+        low, high = np.concatenate([low, at - begin[owner]]), np.concatenate([high, end - begin[owner]])
+    columns = [anchor[who], name[who], (shift[who] + low).astype(np.int32), (shift[who] + high).astype(np.int32), first]
+    return pa.Table.from_arrays([pa.array(c) for c in columns], schema=FOUND)
 
 
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
@@ -204,20 +206,19 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", gr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held, starts = _bytes_of(unpacked(batch.column("text"), batch.column("n_bytes")))
-            removed, runs, kept = [], [], []
-            for a, b, spans in zip(starts[:-1].tolist(), starts[1:].tolist(), batch.column("spans").to_pylist()):
-                gone = covered_mask(b - a, spans, WINDOW)
-                removed.append(int(gone.sum()))
-                runs.append(int(np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[:1].sum()))
-                kept.append(held[a:b][~gone].tobytes())
+            gone = covered_masks(starts, batch.column("spans"), WINDOW)
+            first = starts[:-1][np.diff(starts) > 0]
+            begins = gone.copy()
+            begins[1:] &= ~gone[:-1]
+            begins[first] = gone[first]
+            removed, runs = (np.zeros(batch.num_rows, np.int64) for _ in range(2))
+            if len(first):
+                for counted, mask in ((removed, gone), (runs, begins)):
+                    counted[np.diff(starts) > 0] = np.add.reduceat(mask, first, dtype=np.int64)
+            ends = np.concatenate([[0], np.cumsum(np.diff(starts) - removed)]).astype(np.int32)
+            kept = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(held[~gone])])
             yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(starts)),
-                    pa.array(removed, pa.int64()),
-                    pa.array(runs, pa.int64()),
-                    pa.array(kept, pa.binary()),
-                ],
+                [batch.column("doc_id"), pa.array(np.diff(starts)), pa.array(removed), pa.array(runs), kept],
                 names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
             )
 

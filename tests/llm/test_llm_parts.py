@@ -97,6 +97,59 @@ def test_merged_transforms_give_first_holders(window):
             assert g.tolist() == [first[c[i : i + window]] for i in range(len(c) - window + 1)]
 
 
+def test_contents_of_a_group_meet_by_anchor_and_keep_their_smallest_document():
+    rng = random.Random(8)
+    bodies = [bytes(rng.choice(b"ab") for _ in range(rng.randint(50, 80))) for _ in range(30)]
+    rows = [(d, a, k, s, bodies[k]) for k in range(30) for a, s in ((k % 7, 0), (100 + k, 3)) for d in rng.sample(range(-40, 40), 3)]
+    rng.shuffle(rows)
+    group = pa.table(dict(zip(("doc_id", "anchor", "content_id", "shift", "content"), zip(*rows))))
+    holder: dict[bytes, int] = {}
+    for d, _, _, _, body in [r for r in rows if r[1] < 100]:
+        for i in range(len(body) - 49):
+            holder[body[i : i + 50]] = min(d, holder.get(body[i : i + 50], d))
+    alone = {r[1]: min(x[0] for x in rows if x[1] == r[1]) for r in rows if r[1] >= 100}
+    got: dict[tuple, int] = {}
+    for r in suffixes.merge_group(group).to_pylist():
+        for i in range(r["low"], r["high"]):
+            assert got.setdefault((r["anchor"], r["content_id"], i), r["first_doc"]) == r["first_doc"]
+    expected = {(k % 7, k, i): holder[bodies[k][i : i + 50]] for k in range(30) for i in range(len(bodies[k]) - 49)}
+    expected |= {(100 + k, k, i + 3): alone[100 + k] for k in range(30) for i in range(len(bodies[k]) - 49)}
+    assert got == expected
+
+
+def test_spans_of_a_batch_are_told_at_once():
+    rng = random.Random(9)
+    lengths = [0, 7, 0, 50, 49, *(rng.randint(0, 400) for _ in range(60)), 0]
+    spans = [[(0, repeats.WHOLE)] if rng.random() < 0.2 else sorted((a := rng.randint(0, n), rng.randint(a, n)) for _ in range(rng.randint(0, 4))) for n in lengths]
+    spans[5] = None
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+    column = pa.array([s and [{"start": a, "end": b} for a, b in s] for s in spans], kind)
+    gone = []
+    for n, told in zip(lengths, spans):
+        mask = [False] * n
+        for a, b in told or ():
+            if b != repeats.WHOLE or n >= 50:
+                mask[a:b] = [True] * (min(b, n) - a)
+        gone += mask
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    for at_once in (1, 500, 1 << 20):
+        assert repeats.covered_masks(starts, column, 50, at_once).tolist() == gone
+    assert repeats.covered_masks(starts[:1], column.slice(0, 0), 50).tolist() == []
+
+
+def test_rotations_are_sorted_whether_or_not_keys_and_places_fit_in_a_word():
+    rng = np.random.default_rng(10)
+    for letters, n in ((2, 3000), (256, 3000), (1, 500), (40, 1)):
+        text = rng.integers(0, letters, n).astype(np.uint8)
+        twice = bytes(text) * (1 + -(-50 // n))
+        order = suffixes.sorted_rotations(text, 50)
+        keys = [twice[i : i + 50] for i in order.tolist()]
+        assert keys == sorted(keys) and sorted(order.tolist()) == list(range(n))
+    key = rng.integers(0, 1 << 60, 1000).astype(np.uint64) >> np.uint64(52)
+    (small, ranks), (large, same) = suffixes._ranked(key, 8), suffixes._ranked(key, 64)
+    assert (small == large).all() and (ranks == same).all() and (key[small] == np.sort(key)).all()
+
+
 def test_automaton_knows_first_documents():
     rng = random.Random(5)
     for _ in range(60):

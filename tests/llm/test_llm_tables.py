@@ -1,5 +1,6 @@
 """The training-data operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
 
+import dataclasses
 import hashlib
 import random
 import re
@@ -148,6 +149,25 @@ def test_no_party_of_the_engine_is_crowded(spark, monkeypatch, operator):
     assert cut == plain and cut[0][2] == 0 and all(r[2] > 100 for r in cut[1:])
 
 
+def test_an_anchor_whose_contents_fit_in_a_shard_is_not_crowded(spark, monkeypatch):
+    from taskweave.llm import repeats
+
+    rng = random.Random(15)
+    line = "".join(rng.choice("abcdefgh") for _ in range(40))
+    new = lambda: "".join(rng.choice("0123456789") for _ in range(90))
+    rows = [(i, f"{new()}{line}{new()}") for i in range(1800)]
+    rows.append((5000, rows[3][1][60:150]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut, crowded = repeats._crowded_holders, []
+    monkeypatch.setattr(repeats, "_crowded_holders", lambda *a: crowded.append(1) or cut(*a))
+    chunk = dataclasses.replace(suffixes.BYTES, chunk_bytes=100_000)
+    monkeypatch.setattr(suffixes, "BYTES", chunk)
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.without_repeats(docs).collect()}
+    assert got == {i: (0, 0) for i in range(1800)} | {5000: (90, 1)} and not crowded
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffixes.without_repeats(docs, group_bytes=60_000).collect()}
+    assert got == {i: (0, 0) for i in range(1800)} | {5000: (90, 1)} and crowded
+
+
 def test_texts_are_shuffled_compressed_and_come_back(spark):
     from taskweave.llm import repeats
 
